@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orewright.llm import sentencepiece_op, token_files
+from orewright.llm import fingerprints, language, mixing, quality, sentencepiece_op, token_files
 from orewright.llm.tasks import small_batches
 
 
@@ -25,6 +26,28 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_op.encode(_table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"), keep=["doc_id"], check=True)
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), slim=True)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score_quality(docs, quality.train_quality(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    found = language.predict_language(docs, language.train_language(docs), keep=["doc_id"])
+    return found.select("doc_id", quality.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return sentencepiece_op.count_tokens(_table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"), keep=["doc_id", "source"])
@@ -39,6 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece,
+        op2_mix_sources,
+        op3_quality,
+        op4_fingerprints,
+        op5_language,
         op9_token_counts,
         op10_token_files,
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -30,17 +31,22 @@ MANIFEST = "part long, name string, bits int, n_docs long, n_tokens long"
 #: A blank beside other white space, at an end, or a control character that marks a text's start below.
 _ODD = "[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}] | [\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]|^ | $|\\x00|^$"
 
+#: A word of Latin letters and marks after it: the pattern parts these two and nothing else.
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*]*)")
+
 
 class LibraryTable(WordTable):
-    """Ids by the ``tokenizers`` library. Its pattern never joins what a single blank parts, so each distinct stretch from a blank to the next is encoded once; odd texts are encoded whole."""
+    """Ids by the ``tokenizers`` library. Its pattern never joins what a single blank parts, so each distinct stretch from a blank to the next is encoded once; odd texts are encoded whole. Of byte-level BPE files, as this takes the pattern of those for granted."""
 
     odd = _ODD
 
     def __init__(self, data: bytes, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(data.decode())
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(32, 256)}
         super().__init__(None, ("library",), True, most)
 
     def split(self, texts: pa.Array) -> pa.Array:
@@ -49,11 +55,19 @@ class LibraryTable(WordTable):
     def words(self, text: str) -> list[str]:
         return ["\x01" + text]
 
+    def _pretoken(self, text: str) -> list[int]:
+        """Ids of a stretch that the pattern doesn't part, by the library's model alone."""
+        return [t.id for t in self.library.model.tokenize(text.translate(self.bytes))]
+
     def _learn(self) -> None:
-        new = self.index.new
+        new = [w[1:] if w[:1] in ("\x00", "\x01") else " " + w for w in self.index.new]
         if not new:
             return
-        got = [e.ids for e in self.library.encode_batch_fast([w[1:] if w[:1] in ("\x00", "\x01") else " " + w for w in new], add_special_tokens=False)]
+        plain = [_PLAIN.fullmatch(w) for w in new]
+        parts = {p for m in plain if m for p in m.groups() if p}
+        known = {p: self._pretoken(p) for p in parts}
+        other = iter(self.library.encode_batch_fast([w for w, m in zip(new, plain, strict=True) if not m], add_special_tokens=False))
+        got = [(known[m[1]] + known[m[2]] if m[2] else known[m[1]]) if m else next(other).ids for m in plain]
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.int32)])
         self.lengths[0] = np.concatenate([self.lengths[0], np.array([len(x) for x in got], np.int32)])
         self.index.new = []

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orewright.llm import fingerprints, language, mixing, quality, sentencepiece_op, token_files
+import corpus_pipeline
+from orewright.llm import chat, fingerprints, language, media, mixing, neardup, quality, sentencepiece_op, token_files
 from orewright.llm.tasks import small_batches
+from orewright.plans.shared import fresh_path
 
 
 def _path(name: str) -> str:
@@ -48,6 +50,26 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    root = fresh_path(spark, "media")
+    media.write_archives(media.to_media(_table(spark, sf_dir, "documents")), root)
+    return media.media_features(media.read_archives(spark, root))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = rows.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digest_chats(chat.format_chats(rows.unionByName(extra)))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return sentencepiece_op.count_tokens(_table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"), keep=["doc_id", "source"])
@@ -66,8 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality,
         op4_fingerprints,
         op5_language,
+        op6_media_columns,
+        op7_chat_format,
+        op8_near_duplicates,
         op9_token_counts,
         op10_token_files,
     )
-}
-ORACLES: dict[str, str] = {}
+} | {"pipeline": corpus_pipeline.run}
+ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -20,11 +20,17 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
         _oracles[name] = oracle
 
 
+def _load() -> None:
+    from orewright.cases import catalogue  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(_oracles)
 
 

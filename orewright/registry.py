@@ -21,7 +21,7 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 
 def _load() -> None:
-    from orewright.cases import catalogue  # noqa: F401  registers its queries
+    from orewright.cases import catalogue, records  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

@@ -17,6 +17,7 @@ import heapq
 import re
 import struct
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -304,7 +305,7 @@ class WordTable:
             known = dict(zip(words, self.model.forward(words, mode, self.with_ids), strict=True))
             if self.with_ids:
                 got = [known[p[0]] if len(p) == 1 else [i for w in p for i in known[w]] for p in parts]
-                self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.int32)])
+                self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.int32)])
                 got = [len(x) for x in got]
             else:
                 got = [known[p[0]] if len(p) == 1 else sum(known[w] for w in p) for p in parts]
@@ -321,7 +322,7 @@ class WordTable:
         sizes = np.zeros(len(texts), np.int64)
         sizes[~odd] = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
-        distinct = np.fromiter((self.index[w] for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        distinct = np.fromiter(map(self.index.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         plain = distinct[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
         if odd.any():
             runs, at = [], 0

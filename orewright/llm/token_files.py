@@ -14,6 +14,7 @@ import re
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,10 @@ class LibraryTable(WordTable):
     def words(self, text: str) -> list[str]:
         return ["\x01" + text]
 
+    def clear(self) -> None:
+        super().clear()
+        self.known: dict[str, list[int]] = {}
+
     def _pretoken(self, text: str) -> list[int]:
         """Ids of a stretch that the pattern doesn't part, by the library's model alone."""
         return [t.id for t in self.library.model.tokenize(text.translate(self.bytes))]
@@ -64,12 +69,13 @@ class LibraryTable(WordTable):
         if not new:
             return
         plain = [_PLAIN.fullmatch(w) for w in new]
-        parts = {p for m in plain if m for p in m.groups() if p}
-        known = {p: self._pretoken(p) for p in parts}
+        known = self.known
+        for p in {p for m in plain if m for p in m.groups() if p and p not in known}:
+            known[p] = self._pretoken(p)
         other = iter(self.library.encode_batch_fast([w for w, m in zip(new, plain, strict=True) if not m], add_special_tokens=False))
         got = [(known[m[1]] + known[m[2]] if m[2] else known[m[1]]) if m else next(other).ids for m in plain]
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.int32)])
-        self.lengths[0] = np.concatenate([self.lengths[0], np.array([len(x) for x in got], np.int32)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.int32)])
+        self.lengths[0] = np.concatenate([self.lengths[0], np.fromiter(map(len, got), np.int32, len(got))])
         self.index.new = []
 
 

@@ -64,8 +64,8 @@ LONLAT = "SELECT c_custkey AS id, -4.7e0 + (c_custkey % 101) * 0.001e0 AS lon, 4
 case("g11_project_local", lambda v: s.project_local(v.sql(LONLAT), -4.7, 41.6).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")),
      f"""WITH k AS (SELECT 6378137.0e0 AS a, (1 / 298.257223563e0) * (2 - 1 / 298.257223563e0) AS e2, sin(radians(41.6e0)) AS s) SELECT id, round(radians(lon + 4.7e0) * a / sqrt(1 - e2 * s * s) * cos(radians(41.6e0)), 4) AS x, round(radians(lat - 41.6e0) * a * (1 - e2) / power(1 - e2 * s * s, 1.5e0), 4) AS y FROM ({LONLAT}), k""")
 case("g11_tile_keys", lambda v: s.tile_keys(v.sql(LONLAT), 14).groupBy("tx", "ty").agg(F.count("*").alias("n"), F.min("quadkey").substr(1, 3).alias("head")),
-     f"SELECT CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS tx, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS BIGINT) AS ty, count(*) AS n, '033' AS head FROM ({LONLAT}) GROUP BY 1, 2")
-case("g13_within_area", lambda v: s.within_area(v.sql(LONLAT), -4.69, 41.61, -4.65, 41.65, 0.1).select("id"), f"SELECT id FROM ({LONLAT}) WHERE lon BETWEEN -4.694e0 AND -4.646e0 AND lat BETWEEN 41.606e0 AND 41.654e0")
+     f"WITH t AS (SELECT CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS tx, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS BIGINT) AS ty FROM ({LONLAT})) SELECT tx, ty, count(*) AS n, any_value(concat(((tx >> 13) & 1) + 2 * ((ty >> 13) & 1), ((tx >> 12) & 1) + 2 * ((ty >> 12) & 1), ((tx >> 11) & 1) + 2 * ((ty >> 11) & 1))) AS head FROM t GROUP BY tx, ty")
+case("g13_within_area", lambda v: s.within_area(v.sql(LONLAT), -4.6905, 41.6105, -4.6505, 41.6505, 0.0).select("id"), f"SELECT id FROM ({LONLAT}) WHERE lon BETWEEN -4.6905e0 AND -4.6505e0 AND lat BETWEEN 41.6105e0 AND 41.6505e0")
 EDGES = """e AS (SELECT src, dst, min(seconds) AS seconds FROM (SELECT a AS src, b AS dst, 1000 / (speed_kmh / 3.6e0) AS seconds FROM geo_lines UNION ALL SELECT b, a, 1000 / (speed_kmh / 3.6e0) FROM geo_lines WHERE NOT oneway) GROUP BY src, dst)"""
 
 

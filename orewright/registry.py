@@ -35,4 +35,14 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    """The ten largest distinct assets with copies, near-duplicate group, and how many assets share their format."""
+    from pyspark.sql import functions as F
+
+    from orewright.fixtures import Inputs
+    from orewright.operators import catalogue as c
+
+    assets = Inputs(spark, sf_dir).assets
+    top = c.fold_distinct(assets, "-size", 10)
+    groups = c.near_groups(assets).select(F.col("node").alias("id"), F.col("label").alias("near_group"))
+    formats = assets.groupBy("format").agg(F.count("*").alias("of_format"))
+    return top.join(groups, "id", "left").join(formats, "format").select("id", "name", "format", "size_bytes", "copies", "near_group", "of_format")

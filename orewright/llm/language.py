@@ -130,7 +130,7 @@ def train_language(docs: DataFrame, rows_per_language: int = 1500, most_language
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < limit[F.col("lang")])
 
     def run(batch):
-        for part in slices(batch, most=2_000_000):
+        for part in slices(batch, most=1_000_000, rows=256):
             yield part, {"_x": pa.array([v.astype(np.float16).tobytes() for v in trigrams(part.column("text"))], pa.binary())}
 
     got = arrow_map(sample, run, [T.StructField("_x", T.BinaryType())], ["doc_id", "lang"], ("text",)).orderBy("doc_id", "lang").toPandas()
@@ -142,7 +142,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text",
     """Adds ``lang_pred string`` and ``score double`` (0 to 1). Texts that are null or have no letter, and all texts where nothing was learnt, are ``und`` with score 0."""
 
     def run(batch):
-        for part in slices(batch, text, 1_000_000):
+        for part in slices(batch, text, 1_000_000, 256):
             texts = part.column(text)
             there = np.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], bool)
             lang, score = model.predict(trigrams(texts)) if model.families else (np.full(len(part), "und", object), np.zeros(len(part)))

@@ -275,7 +275,7 @@ class _Index(dict):
 class WordTable:
     """What a worker knows of the words that it has met; forgotten as a whole beyond ``most`` words, so its memory is bounded."""
 
-    def __init__(self, model: PieceModel, modes: tuple[str, ...] = (), with_ids: bool = True, most: int = 500_000):
+    def __init__(self, model: PieceModel, modes: tuple[str, ...] = (), with_ids: bool = True, most: int = 400_000):
         self.model, self.modes, self.with_ids, self.most = model, modes or (model.mode,), with_ids, most
         self.clear()
 
@@ -359,12 +359,12 @@ class WordTable:
         return self.flat[take], ends[np.concatenate([[0], np.cumsum(sizes)])]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8_000_000):
-    """The batch in runs of rows whose texts sum to about ``most`` bytes; a longer text is a run of its own."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2_500_000, rows: int = 2000):
+    """The batch in runs of at most ``rows`` rows whose texts sum to about ``most`` bytes; a longer text is a run of its own."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(lengths):
-        if i > start and total + n > most:
+        if i > start and (total + n > most or i - start >= rows):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(n)

@@ -42,6 +42,7 @@ def arrow_map(df: DataFrame, f: Callable, added: list[T.StructField], keep: list
         for batch in batches:
             for part, columns in f(batch):
                 yield pa.RecordBatch.from_arrays([columns[n] if n in columns else part.column(n) for n in order], names=order)
+        pa.default_memory_pool().release_unused()  # workers serve other operators next
 
     read = list(dict.fromkeys([*names, *reads]))
     return (df.select(*[df[f"`{n}`"] for n in read]) if keep is not None else df).mapInArrow(run, schema)

@@ -118,7 +118,7 @@ def fit_languages(x: np.ndarray, langs: np.ndarray, families: dict[str, tuple[st
     return model
 
 
-def train_language(docs: DataFrame, rows_per_language: int = 1500, most_languages: int = 200, families: dict[str, tuple[str, ...]] | None = None) -> LanguageModel:
+def train_language(docs: DataFrame, rows_per_language: int = 800, most_languages: int = 200, families: dict[str, tuple[str, ...]] | None = None) -> LanguageModel:
     """Learn from at most about ``rows_per_language`` documents of each language, chosen by a hash of the id among those that aren't held out and name a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
     number = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
@@ -134,8 +134,10 @@ def train_language(docs: DataFrame, rows_per_language: int = 1500, most_language
             yield part, {"_x": pa.array([v.astype(np.float16).tobytes() for v in trigrams(part.column("text"))], pa.binary())}
 
     got = arrow_map(sample, run, [T.StructField("_x", T.BinaryType())], ["doc_id", "lang"], ("text",)).orderBy("doc_id", "lang").toPandas()
-    x = np.stack([np.frombuffer(v, np.float16) for v in got["_x"]]).astype(np.float32)
-    return fit_languages(x, got["lang"].to_numpy(), families)
+    langs, x = got["lang"].to_numpy(), np.empty((len(got), DIMS), np.float32)
+    for i, v in enumerate(got.pop("_x")):
+        x[i] = np.frombuffer(v, np.float16)
+    return fit_languages(x, langs, families)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

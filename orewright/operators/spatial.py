@@ -251,3 +251,72 @@ def within_area(points: DataFrame, lon0: float, lat0: float, lon1: float, lat1:
     """Points in a box padded by a share of its sides; literals, so that they reach the scan."""
     px, py = (lon1 - lon0) * pad, (lat1 - lat0) * pad
     return points.where(F.col("lon").between(lon0 - px, lon1 + px) & F.col("lat").between(lat0 - py, lat1 + py))
+
+
+def conflate_prefer(base: DataFrame, other: DataFrame) -> DataFrame:
+    """Base features with ``special`` and those of the other source whose middle doesn't lie in one of them."""
+    special = base.where("special").select("id", "x0", "y0", "x1", "y1", F.lit("base").alias("origin"))
+    middle = other.select(F.col("id"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    ring = F.array(*[F.struct(F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+    inside = points_in_polygons(middle, special.select("id", ring.alias("ring"))).select(F.col("point").alias("id"))
+    return special.unionByName(other.join(inside, "id", "left_anti").select("id", "x0", "y0", "x1", "y1", F.lit("other").alias("origin")))
+
+
+def drop_covered_outlines(buildings: DataFrame, share: float = 0.6) -> DataFrame:
+    """Buildings without the outlines (not ``part``) of which their parts cover ``share`` or more."""
+    parts, outlines = buildings.where("part"), buildings.where("not part")
+    covered = overlap_pairs(outlines, parts).groupBy(F.col("a").alias("id")).agg(F.sum("area").alias("area")).join(outlines, "id")
+    gone = covered.where(F.col("area") >= share * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).select("id")
+    return buildings.join(gone, "id", "left_anti")
+
+
+def layer_summary(features: DataFrame) -> DataFrame:
+    """Counts of features (``height, estimated, bridge, tunnel, area``) and their area by ``kind``."""
+    return features.groupBy("kind").agg(F.count("*").alias("n"), F.count("height").alias("with_height"), F.count_if(F.col("estimated")).alias("estimated"), F.count_if(F.col("bridge")).alias("bridges"), F.count_if(F.col("tunnel")).alias("tunnels"), F.round(F.sum("area"), 3).alias("area"))
+
+
+def screen_parcels(parcels: DataFrame, least_area: float, most_slope: float, most_share: float, most_access: float, zoning: list[str], unknown: str = "reject") -> DataFrame:
+    """``id, accepted, reasons`` of parcels (``area, slope, share, access, zoning``): each limit that isn't met with its measured value; a missing value is unknown and, under ``reject``, a reason."""
+    def rule(name: str, col: str, ok: Column) -> Column:
+        value = F.round(col, 3).cast("string") if col != "zoning" else F.col(col)
+        missing = F.when(F.lit(unknown == "reject") & F.col(col).isNull(), F.lit(f"{name} unknown"))
+        return F.when(~ok, F.concat(F.lit(f"{name} "), value)).otherwise(missing)
+
+    reasons = F.array_compact(F.array(rule("area", "area", F.col("area") >= least_area), rule("slope", "slope", F.col("slope") <= most_slope), rule("share", "share", F.col("share") <= most_share), rule("access", "access", F.col("access") <= most_access), rule("zoning", "zoning", F.col("zoning").isin(zoning))))
+    return parcels.select("id", reasons.alias("reasons")).withColumn("accepted", F.size("reasons") == 0)
+
+
+def screening_summary(screened: DataFrame) -> DataFrame:
+    """``rule, n``: rejections by the first word of their reasons."""
+    return screened.select(F.explode("reasons").alias("r")).groupBy(F.split_part("r", F.lit(" "), F.lit(1)).alias("rule")).agg(F.count("*").alias("n"))
+
+
+def cluster_mesh(faces: DataFrame, cell: float) -> DataFrame:
+    """Faces (``model_id, ax .. cz``) after vertices of one grid cell become their mean: those with two equal corners go, and of equal ones one stays."""
+    corner = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in "xyz"])
+    key = lambda v: F.concat_ws(",", *[F.floor(v[c] / cell).cast("string") for c in "xyz"])
+    rows = faces.select("model_id", *[key(corner(p)).alias(p) for p in "abc"])
+    vertices = faces.select("model_id", F.explode(F.array(*[corner(p) for p in "abc"])).alias("v")).distinct()
+    means = vertices.groupBy("model_id", key(F.col("v")).alias("k")).agg(F.struct(*[F.round(F.avg(F.col(f"v.{c}")), 6).alias(c) for c in "xyz"]).alias("m"))
+    rows = rows.where("a <> b AND b <> c AND a <> c").withColumn("_s", F.array_sort(F.array("a", "b", "c"))).groupBy("model_id", "_s").agg(F.min(F.struct("a", "b", "c")).alias("f")).select("model_id", "f.*")
+    for p in "abc":
+        rows = rows.join(means.select("model_id", F.col("k").alias(p), F.col("m").alias(f"m{p}")), ["model_id", p])
+    return rows.select("model_id", *[F.col(f"m{p}.{c}").alias(f"{p}{c}") for p in "abc" for c in "xyz"])
+
+
+def footprint_heights(boxes: DataFrame, cells: DataFrame, size: float, inner: float, outer: float, least: int = 8) -> DataFrame:
+    """``id, ground, eaves, roof, top``: the 20th percentile of the ring of cells from ``inner`` to ``outer`` metres outside a footprint that lie in no footprint (none under ``least`` cells), and above it the 25th, 90th and 99.5th of the cells inside."""
+    good = cells.where("z is not null").select("row", "col", "z", (F.col("col") * size).alias("x"), (F.col("row") * size).alias("y"))
+
+    def cover(grow: float) -> DataFrame:
+        lo, hi = lambda c: F.ceil((F.col(c) - grow) / size), lambda c: F.floor((F.col(c) + grow) / size)
+        wide = boxes.where((lo("y0") <= hi("y1")) & (lo("x0") <= hi("x1"))).select("id", "x0", "y0", "x1", "y1", F.explode(F.sequence(lo("y0"), hi("y1"))).alias("row"), lo("x0").alias("p"), hi("x1").alias("q"))
+        return wide.select("id", "x0", "y0", "x1", "y1", "row", F.explode(F.sequence("p", "q")).alias("col")).join(good, ["row", "col"])
+
+    inside = cover(0.0)
+    used = inside.select("row", "col").distinct()
+    away = F.sqrt(F.greatest(F.col("x0") - F.col("x"), F.lit(0.0), F.col("x") - F.col("x1")) ** 2 + F.greatest(F.col("y0") - F.col("y"), F.lit(0.0), F.col("y") - F.col("y1")) ** 2)
+    ring = cover(outer).where(away.between(inner, outer)).join(used, ["row", "col"], "left_anti")
+    ground = ring.groupBy("id").agg(F.percentile("z", F.lit(0.2)).alias("ground"), F.count("*").alias("n")).where(F.col("n") >= least).select("id", "ground")
+    roof = inside.groupBy("id").agg(*[F.percentile("z", F.lit(p)).alias(n) for p, n in ((0.25, "eaves"), (0.9, "roof"), (0.995, "top"))])
+    return ground.join(roof, "id").select("id", F.round("ground", 6).alias("ground"), *[F.round(F.col(c) - F.col("ground"), 6).alias(c) for c in ("eaves", "roof", "top")])

@@ -1 +1,105 @@
+"""Scalar helpers and table functions for use in SQL."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from orewright.operators.extract import PII, cut_points
+
+
+def register_functions(spark: SparkSession) -> None:
+    """SQL functions ``fold``, ``stem``, ``url_key``, ``content_hash``, ``mask_text`` on Arrow batches, null for null; they say what the columns of the operators say."""
+    import hashlib
+    import re
+
+    from orewright.operators.text import ACCENTED, PLAIN, TRACKING_PARAMS, TRACKING_PREFIXES
+
+    table = str.maketrans(ACCENTED, PLAIN)
+    noise = (re.compile(r"\d+"), re.compile(r"[^a-zà-ÿ# \n\t]"), re.compile(r"\s+"))
+
+    def stem(w: str) -> str:
+        return w[:-2] if len(w) > 5 and w.endswith("es") else w[:-1] if len(w) > 4 and w.endswith("s") else w
+
+    def content_hash(t: str) -> str:
+        return hashlib.sha256(noise[2].sub(" ", noise[1].sub("", noise[0].sub("#", t.lower()))).strip().encode()).hexdigest()
+
+    def mask(t: str) -> str:
+        for k, p in PII.items():
+            t = re.sub(p, f"<{k}>", t)
+        return t
+
+    def url_key(u: str) -> str:
+        u = u.strip()
+        u = "https:" + u if u.startswith("//") else u if "://" in u else "https://" + u if re.match(r"^([A-Za-z0-9]([A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(:\d+)?([/?#]|$)", u) else u
+        m = re.match(r"^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", u, re.I)
+        host = re.sub(r"^www\.", "", re.sub(r"\.$", "", re.sub(r":\d*$", "", re.sub(r"^.*@", "", m[2]))).lower()) if m else ""
+        if not host:
+            return ""
+        port = (re.search(r":0*(\d+)$", m[2]) or [None, ""])[1]
+        port = "" if (m[1].lower(), port) in (("http", "80"), ("https", "443")) or not port else f":{port}"
+        name = lambda p: p.partition("=")[0].lower()
+        kept = [p for p in (m[4] or "").split("&") if p and name(p) not in TRACKING_PARAMS and not name(p).startswith(TRACKING_PREFIXES)]
+        query = "&".join(sorted(kept, key=lambda p: (p.partition("=")[0], p)))
+        return host + port + m[3].rstrip("/") + (f"?{query}" if query else "")
+
+    for name, f in (("fold", lambda t: t.translate(table).lower()), ("stem", stem), ("url_key", url_key), ("content_hash", content_hash), ("mask_text", mask)):
+        spark.udf.register(name, F.pandas_udf(batch_of(f), T.StringType()))
+
+
+def batch_of(f):
+    """A function on series that leaves null alone."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else f(v))
+
+    return run
+
+
+class ChunkText:
+    """``chunk_text(text, size, overlap)``: rows ``n, start, end, chunk``."""
+
+    def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple]:
+        for n, (a, b) in enumerate(cut_points(text or "", size, overlap)):
+            yield n, a, b, text[a:b]
+
+
+class ScanPii:
+    """``scan_pii(text)``: rows ``kind, value`` of what looks like personal data; checks of digits are left to the census."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        import re
+
+        for kind, pattern in PII.items():
+            for m in re.finditer(pattern, text or ""):
+                yield kind, m[0]
+
+
+class FindDates:
+    """``find_dates(text)``: rows ``start, value`` of ISO dates."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        import re
+
+        for m in re.finditer(r"\b\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b", text or ""):
+            yield m.start(), m[0]
+
+
+class FindPrices:
+    """``find_prices(text)``: rows ``start, cents, currency`` of amounts like ``1.234,50 EUR``."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        import re
+
+        for m in re.finditer(r"(?i)(\d{1,3}(?:\.\d{3})+|\d+)(?:,(\d{2}))?\s*(EUR|USD|GBP)", text or ""):
+            yield m.start(), int(m[1].replace(".", "")) * 100 + int(m[2] or 0), m[3].upper()
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """SQL table functions ``chunk_text``, ``scan_pii``, ``find_dates``, ``find_prices``, for ``LATERAL`` use."""
+    for name, kind, schema in (("chunk_text", ChunkText, "n int, start int, end int, chunk string"), ("scan_pii", ScanPii, "kind string, value string"), ("find_dates", FindDates, "start int, value string"), ("find_prices", FindPrices, "start int, cents bigint, currency string")):
+        spark.udtf.register(name, F.udtf(kind, returnType=schema))

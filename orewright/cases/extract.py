@@ -12,7 +12,7 @@ case("t10_chunk_corpus", lambda v: x.chunk_corpus(v.documents, "doc_id", "text",
 case("t11_chunk_markdown", lambda v: x.chunk_markdown(v.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("---\na: b\n---\n# Conversation "), F.col("conv_id").cast("string"), F.lit("\n## "), "role", F.lit("\n"), "text").alias("body")), "id", "body", 100_000).select("doc", "path", F.length("chunk").alias("chars")),
      "SELECT conv_id * 1000 + turn AS doc, concat('Conversation ', conv_id, ' § ', role) AS path, CAST(length(trim(text, concat(' ', chr(10), chr(9)))) AS INT) AS chars FROM conversations WHERE trim(text) <> ''")
 case("t13_extract_pages", lambda v: x.extract_pages(v.pages).select("page_id", "title", (F.length("text") > 0).alias("has_text"), F.contains("text", F.lit("track(")).alias("has_script")), "SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, true AS has_text, false AS has_script FROM pages")
-case("t04_snippets", lambda v: x.snippets(v.documents.select(F.col("doc_id").alias("doc"), F.lit("pathetic").alias("term")), v.documents.select(F.col("doc_id").alias("doc"), "text")).select("doc", F.contains("snippet", F.lit("[")).alias("marked")).where("marked").agg(F.count("*").alias("n")), None)
+case("t04_snippets", lambda v: x.snippets(v.documents.select(F.col("doc_id").alias("doc"), F.lit("pathetic").alias("term")), v.documents.select(F.col("doc_id").alias("doc"), "text")).select("doc", F.contains("snippet", F.lit("[")).alias("marked")).where("marked").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM documents WHERE regexp_matches(lower(text), '\\bpathetic')")
 PLANTED = "SELECT doc_id, source, concat(text, ' mail a.b', doc_id, '@mail.example.org or 12345678Z, ES9121000418450200051332 and ES0021000418450200051332, host 10.0.', doc_id % 400, '.7') AS text FROM documents"
 case("a13_pii_census", lambda v: x.pii_census(v.sql(PLANTED.replace("doc_id, '@mail", "CAST(doc_id AS STRING), '@mail").replace("doc_id % 400, '", "CAST(doc_id % 400 AS STRING), '")), "text", "source").where("kind IN ('iban', 'dni')"),
      f"WITH p AS ({PLANTED}), h AS (SELECT source, len(regexp_extract_all(text, '\\bES9121000418450200051332\\b')) AS iban, list_filter(regexp_extract_all(text, '\\b\\d{{8}}[A-Z]\\b'), lambda d: substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(substr(d, 1, 8) AS INT) % 23 + 1, 1) = substr(d, 9, 1)) AS dni FROM p) SELECT source, 'iban' AS kind, CAST(sum(iban) AS BIGINT) AS n, count(*) AS docs FROM h GROUP BY source UNION ALL SELECT source, 'dni', CAST(sum(len(dni)) AS BIGINT), count_if(len(dni) > 0) FROM h GROUP BY source")

@@ -105,6 +105,13 @@ def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
     return rankings.groupBy("id").agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("score"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
 
 
+def rrf_urls(hits: DataFrame, k: int = 60) -> DataFrame:
+    """Fuse hits of several engines (``engine, rank, url``) by URL key: the best rank of each engine counts, the best-ranked copy gives ``url``, and ``engines`` names them."""
+    keyed = hits.withColumn("key", F.when(url_key(F.col("url")) != "", url_key(F.col("url"))).otherwise(F.col("url")))
+    best = keyed.groupBy("key", "engine").agg(F.min(F.struct("rank", "url")).alias("m"))
+    return best.groupBy("key").agg(F.sum(1 / (k + F.col("m.rank"))).alias("score"), F.min("m").getField("url").alias("url"), F.array_join(F.array_sort(F.collect_set("engine")), ",").alias("engines"))
+
+
 def minmax_fuse(scores: DataFrame) -> DataFrame:
     """Fuse ``list, id, score, weight``: each list scaled to 0 to 1 (a flat list counts 1), then summed by weight. Bounds come from an aggregate, so a long list stays spread."""
     bounds = scores.groupBy("list").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))

@@ -21,7 +21,7 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 
 def _load() -> None:
-    from orewright.cases import catalogue, entities, extract, records, sources, spatial, text  # noqa: F401  they register their queries
+    from orewright.cases import catalogue, entities, extract, records, shapes, sources, spatial, text  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

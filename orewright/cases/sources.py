@@ -37,8 +37,10 @@ case("s11_sniff_census", lambda v: f.sniff_census(v.pages.select(F.concat(F.lit(
 case("r01_watch_changes", lambda v: j.watch_changes(v.events.select((F.col("user_id") % 10).alias("root"), F.col("ts").cast("timestamp").alias("ts")), "600 seconds").groupBy("root").agg(F.count("*").alias("triggers"), F.sum("n").alias("n"), F.max("n").alias("most")),
      """WITH e AS (SELECT user_id % 10 AS root, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id % 10 ORDER BY ts)) >= 600000000, true) AS new FROM events), s AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY root ORDER BY ts) AS k FROM e), g AS (SELECT root, k, count(*) AS n FROM s GROUP BY root, k)
      SELECT root, count(*) AS triggers, CAST(sum(n) AS BIGINT) AS n, max(n) AS most FROM g GROUP BY root""")
-VERSIONS = "SELECT url, 1 AS version, true AS ok, html AS text FROM pages UNION ALL SELECT url, 2, page_id % 4 <> 0, CASE WHEN page_id % 3 = 0 THEN concat(html, chr(10), 'new line', chr(10), 'another') ELSE html END FROM pages UNION ALL SELECT url, 3, true, CASE WHEN page_id % 5 = 0 THEN 'gone' ELSE html END FROM pages"
-case("r02_page_changes", lambda v: j.page_changes_batch(v.sql(VERSIONS).dropDuplicates(["url", "version"])).groupBy("version").agg(F.count_if(F.col("added") > 0).alias("grown")), None)
+VERSIONS = "SELECT concat(url, ' ', CAST(page_id AS VARCHAR(9))) AS url, 1 AS version, true AS ok, html AS text FROM pages UNION ALL SELECT concat(url, ' ', CAST(page_id AS VARCHAR(9))), 2, page_id % 4 <> 0, CASE WHEN page_id % 3 = 0 THEN concat(html, chr(10), 'new line', chr(10), 'another') ELSE html END FROM pages UNION ALL SELECT concat(url, ' ', CAST(page_id AS VARCHAR(9))), 3, true, CASE WHEN page_id % 5 = 0 THEN 'gone' ELSE html END FROM pages"
+case("r02_page_changes", lambda v: j.page_changes_batch(v.sql(VERSIONS)),
+     rf"""WITH v AS ({VERSIONS}), n AS (SELECT url, version, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> '')) AS now FROM v WHERE ok), p AS (SELECT *, lag(now) OVER (PARTITION BY url ORDER BY version) AS old FROM n),
+     d AS (SELECT url, version, CAST(len(list_filter(now, lambda x: NOT list_contains(old, x))) AS BIGINT) AS added, CAST(len(list_filter(old, lambda x: NOT list_contains(now, x))) AS BIGINT) AS removed FROM p WHERE old IS NOT NULL) SELECT * FROM d WHERE added > 0 OR removed > 0""")
 OBS = "SELECT CAST(user_id % 20 AS BIGINT) AS key, event_id * 10.0e0 AS at, value FROM events WHERE event_id % 3 = 0"
 POLLS = "SELECT CAST(user_id % 20 AS BIGINT) AS key, event_id * 10.0e0 + 3 AS at FROM events WHERE event_id % 7 = 1"
 case("r04_live_state", lambda v: j.live_state(v.sql(OBS), v.sql(POLLS), 60.0, 900.0).select("key", F.col("at").alias("moment"), F.round("value", 6).alias("value"), "state"),

@@ -96,7 +96,10 @@ def weights(v):
 
 
 case("g05_max_coverage", lambda v: n.max_coverage(reach(v), weights(v), 1), f"WITH RECURSIVE {REACH}, g AS (SELECT site, round(sum(weight), 6) AS gain FROM reach JOIN geo_demand d ON d.id = demand GROUP BY site) SELECT 1 AS step, site, gain, gain AS served FROM g ORDER BY gain DESC, site LIMIT 1")
-case("g05_max_coverage_k3", lambda v: n.max_coverage(reach(v), weights(v), 3), None)
+GREEDY = ", ".join(f"""s{k} AS (SELECT site, round(sum(weight), 6) AS gain FROM reach JOIN geo_demand d ON d.id = demand WHERE true {"".join(f"AND demand NOT IN (SELECT demand FROM reach WHERE site IN (SELECT site FROM b{i}))" for i in range(1, k))} GROUP BY site),
+ b{k} AS (SELECT * FROM s{k} WHERE gain > 0 ORDER BY gain DESC, site LIMIT 1)""" for k in (1, 2, 3))
+case("g05_max_coverage_k3", lambda v: n.max_coverage(reach(v), weights(v), 3).withColumn("served", F.round("served", 4)),
+     f"WITH RECURSIVE {REACH}, {GREEDY}, u AS (SELECT 1 AS step, * FROM b1 UNION ALL SELECT 2, * FROM b2 UNION ALL SELECT 3, * FROM b3) SELECT step, site, gain, round(sum(gain) OVER (ORDER BY step), 4) AS served FROM u")
 case("g06_min_sites", lambda v: n.min_sites(reach(v), weights(v), v.geo_candidates.select(F.col("id").alias("site"), F.col("cost").cast("double").alias("cost")), 0.3), None)
 case("g07_cross_check", lambda v: (lambda r, st: st.groupBy("a").agg(F.count("*").alias("straight")).join(r.groupBy(F.col("site").alias("a")).agg(F.count("*").alias("network")), "a", "left").select(F.col("a").alias("site"), "straight", F.coalesce("network", F.lit(0)).alias("network")))(reach(v), s.within_distance(v.geo_candidates.where("id < 40"), v.geo_demand, 1500.0)),
      f"WITH RECURSIVE {REACH}, st AS (SELECT a.id AS site, count(*) AS straight FROM geo_candidates a JOIN geo_demand b ON sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 1500 WHERE a.id < 40 GROUP BY a.id) SELECT site, straight, coalesce((SELECT count(*) FROM reach r WHERE r.site = st.site), 0) AS network FROM st")

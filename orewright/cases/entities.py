@@ -95,3 +95,7 @@ case("a05_open_meshes", lambda v: e.mesh_metrics(boxes(v)).where("not watertight
 LAYERS = "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'survey' END AS source, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST('2024-01-01' AS DATE) + CAST((s_suppkey % 13 - 9) * 60 AS INT) END AS date FROM supplier"
 case("g10_check_layers", lambda v: e.check_layers(v.sql(LAYERS.replace("CAST('2024-01-01' AS DATE) + CAST((s_suppkey % 13 - 9) * 60 AS INT)", "date_add(DATE '2024-01-01', CAST((s_suppkey % 13 - 9) * 60 AS INT))")), dt.date(2024, 1, 1)).select("id", "age", "issues"),
      f"SELECT id, CAST(DATE '2024-01-01' - date AS INT) AS age, concat_ws('; ', CASE WHEN source = '' THEN 'no source' END, CASE WHEN date IS NULL THEN 'no date' END, CASE WHEN DATE '2024-01-01' - date > 365 THEN 'stale' END, CASE WHEN DATE '2024-01-01' - date < 0 THEN 'future date' END) AS issues FROM ({LAYERS})")
+case("p06_build_volume", lambda v: e.build_volume_check(v.assets, 90.0, 40.0, 60.0), "SELECT id, CASE WHEN bbox_x IS NULL THEN 'not_evaluated' WHEN list_sort([bbox_x, bbox_y, bbox_z])[1] <= 40 AND list_sort([bbox_x, bbox_y, bbox_z])[2] <= 60 AND list_sort([bbox_x, bbox_y, bbox_z])[3] <= 90 THEN 'pass' ELSE 'fail' END AS outcome FROM assets")
+case("t16_jsonld_rows", lambda v: e.jsonld_rows(v.sql("SELECT page_id, concat('<script type=', chr(34), 'application/ld+json', chr(34), '>', replace(CASE page_id % 4 WHEN 0 THEN '{~@type~:~Article~,~headline~:~H~}' WHEN 1 THEN '[{~@type~:~A~,~name~:~x~},{~@type~:~B~}]' WHEN 2 THEN '{~@graph~:[{~@type~:~C~,~name~:~y~}]}' ELSE '{broken' END, '~', chr(34)), '</script>', html) AS html FROM pages")).select("page_id", "n", "type", "name"),
+     "SELECT page_id, 0 AS n, 'Article' AS type, 'H' AS name FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 0, 'A', 'x' FROM pages WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 1, 'B', NULL FROM pages WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 0, 'C', 'y' FROM pages WHERE page_id % 4 = 2")
+case("t16_feed_links", lambda v: e.feed_links(v.sql("SELECT page_id, concat('<link rel=alternate type=', chr(34), CASE WHEN page_id % 2 = 0 THEN 'application/rss+xml' ELSE 'text/css' END, chr(34), ' href=', chr(34), '/f', CAST(page_id AS VARCHAR(9)), chr(34), '>', html) AS html FROM pages")), "SELECT page_id, concat('/f', page_id) AS href FROM pages WHERE page_id % 2 = 0")

@@ -141,7 +141,7 @@ class Inputs:
 
     def sql(self, sql: str) -> DataFrame:
         """A statement over tables and views of the folder."""
-        text = oracle(sql)
+        text = oracle(sql).replace("{", "{{").replace("}", "}}")
         used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text, re.I)]
         for t in used:
             text = re.sub(rf"(\b(?:FROM|JOIN)\s+){t}\b", rf"\g<1>{{{t}}}", text, flags=re.I)

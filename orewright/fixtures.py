@@ -116,8 +116,20 @@ def needed(sql: str) -> list[str]:
     return found
 
 
+def _counts(sql: str) -> str:
+    """``count_if(x)`` as a plain count, which DuckDB gives as BIGINT."""
+    while (a := sql.find("count_if(")) >= 0:
+        depth, b = 1, a + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[b], 0)
+            b += 1
+        sql = f"{sql[:a]}count(CASE WHEN {sql[a + len('count_if('):b - 1]} THEN 1 END){sql[b:]}"
+    return sql
+
+
 def oracle(sql: str) -> str:
     """``sql`` with the views that it names in front."""
+    sql = _counts(sql)
     names = needed(sql)
     head = ",\n".join(f"{n} AS ({VIEWS[n]}\n)" for n in names)
     if not names:

@@ -31,6 +31,8 @@ SIZE, BINS, ROWS = 5, 64, 4
 LIGHT = 128
 #: Members of a bucket up to which each is compared with each; all of a larger one are compared too, in the way described at :func:`_links`.
 FEW = 32
+#: About as many texts, and characters, are in a block of a larger bucket.
+BLOCK, BLOCK_CHARS = 512, 4_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -243,9 +245,8 @@ def _links(rows: DataFrame, texts: DataFrame, threshold: float, state, rare: flo
     """Compared pairs ``a < b`` of text numbers and their similarity, enough of them for the connected components.
 
     In a bucket of few texts each is compared with each. In a larger one, its least and its greatest number are compared with all others,
-    which settles a group of near copies with two comparisons each. A text that this leaves outside the component of its bucket's least is
-    compared, in each of its buckets, with six texts that a hash draws from all of it and with two of those outside; those outside are all
-    compared with each other where they are few. The draws differ from bucket to bucket.
+    which settles a group of near copies with two comparisons each. The texts that this leaves outside the component of its bucket's least are
+    compared with each other and with all of the bucket, see :func:`_blocks`.
     """
     similar = lambda done: done.where(F.col("similarity") >= threshold).select("a", "b")
     pairs = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -256,33 +257,103 @@ def _links(rows: DataFrame, texts: DataFrame, threshold: float, state, rare: flo
     few, many = rest.where(F.col("n") <= FEW).select("key", "t"), rest.where(F.col("n") > FEW)
     each = few.withColumnRenamed("t", "a").join(few.withColumnRenamed("t", "b"), "key").where("a < b").select("a", "b")
     star = many.where("t <> low").select(*pairs("low", "t")).unionAll(many.where("t <> high").select(*pairs("high", "t")))
-    done = _compare(each.unionAll(star).distinct(), bodies, None, state, rare)
+    done = _compare(each.unionAll(star).distinct(), bodies, state, rare)
     if many.limit(1).count() == 0:
         return done
     labels = connected_components(similar(done), "a", "b")
     label = lambda df, t, name: df.join(labels.select(F.col("node").alias(t), F.col("label").alias(name)), t, "left").withColumn(name, F.coalesce(name, t))
-    many = materialize(label(label(many, "t", "own"), "low", "theirs"), "outside")
-    open_keys = many.where("own <> theirs").select("key").distinct()
-    member = materialize(many.join(open_keys, "key", "left_semi").select("t", "key", "own", (F.col("own") != F.col("theirs")).alias("far")), "members")
-    pick = lambda k: F.min(F.struct(F.xxhash64("t", "key", F.lit(k)).alias("h"), "t", "own"))
-    some = member.groupBy("key").agg(*[pick(k).alias(f"p{k}") for k in range(6)])
-    outside = member.where("far").select("t", "key", "own")
-    ends = outside.groupBy("key").agg(F.min(F.struct("t", "own")).alias("p6"), F.max(F.struct("t", "own")).alias("p7"), F.count("*").alias("n"))
-    far = materialize(outside.join(some, "key").join(ends, "key"), "far")
-    small = far.where((F.col("n") > 1) & (F.col("n") <= FEW)).select("key", "t", "own")
-    each = small.join(small.select("key", F.col("t").alias("t2"), F.col("own").alias("own2")), "key").where("own <> own2 and t < t2").select(*pairs("t", "t2"))
-    star = far.where("own <> p0.own").select(*pairs("t", "p0.t"))
-    for k in range(1, 8):
-        star = star.unionAll(far.where(f"own <> p{k}.own").select(*pairs("t", f"p{k}.t")))
-    return _compare(each.unionAll(star).distinct(), bodies, done, state, rare)
-
-
-def _compare(pairs: DataFrame, bodies: DataFrame, done: DataFrame | None, state, rare: float) -> DataFrame:
-    """``done`` and the ``similarity`` of each of ``pairs`` that isn't in it, from the texts themselves."""
-    pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    many = materialize(label(label(many, "t", "own"), "low", "theirs").select("key", "t", (F.col("own") != F.col("theirs")).alias("far")), "outside")
+    return done.unionByName(_blocks(many, bodies, threshold, state, rare))
+
+
+def _blocks(many: DataFrame, bodies: DataFrame, threshold: float, state, rare: float) -> DataFrame:
+    """Similar pairs that tie together all similar texts of one ``key``, of which one at least is ``far``.
+
+    The far texts of a key are dealt to blocks by a hash, and so are the others. Each two blocks, one of far texts at least, are a task of their own
+    with the exact similarity of all its pairs, so no task grows with the bucket.
+    """
+    sized = many.join(many.where("far").select("key").distinct(), "key", "left_semi").join(bodies.select("t", F.length("text").alias("size")), "t")
+    number = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("size")).otherwise(0)) / BLOCK_CHARS)).cast("int")
+    counts = sized.groupBy("key").agg(number(F.col("far")).alias("outer"), number(~F.col("far")).alias("inner"))
+    dealt = sized.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("t", "key"), F.when(F.col("far"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    # a task is a key and two blocks: i of the far texts, and j of the far texts (up from 0) or of the others (down from -1)
+    task = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    both = F.concat(F.transform(upto(F.col("outer")), lambda o: task(F.least(o, "block"), F.greatest(o, "block"))), F.transform(upto(F.col("inner")), lambda o: task(F.col("block"), -1 - o)))
+    alone = F.transform(upto(F.col("outer")), lambda o: task(o, -1 - F.col("block")))
+    tasks = materialize(dealt.select("key", "t", "block", "far", F.explode(F.when(F.col("far"), both).otherwise(alone)).alias("task")).select("key", "task.i", "task.j", "t", F.when(F.col("far"), F.col("block")).otherwise(-1 - F.col("block")).alias("side")), "blocks")
+
+    def judge(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        t, side = table.column("t").to_numpy(), table.column("side").to_numpy()
+        like = similarities(table.column("text").combine_chunks(), state.value, rare)
+        linked = like >= threshold
+        if i != j:
+            linked &= side[:, None] != side[None, :]
+        a, b = forest(linked)
+        return pa.table({"a": pa.array(np.minimum(t[a], t[b])), "b": pa.array(np.maximum(t[a], t[b])), "similarity": pa.array(like[a, b])})
+
+    found = tasks.join(bodies, "t").groupBy("key", "i", "j").applyInArrow(judge, "a long, b long, similarity double")
+    return materialize(found, "blocks")
+
+
+def similarities(texts: pa.Array, common: tuple[np.ndarray, np.ndarray], rare: float) -> np.ndarray:
+    """The weighted Jaccard similarity of each two of some texts."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    row, h, _ = shingles(texts)
+    n = len(texts)
+    factor = np.full(len(h), rare)
+    if len(common[0]) and len(h):
+        place = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        there = common[0][place] == h
+        factor[there] = common[1][place[there]]
+    total = np.bincount(row, weights=factor, minlength=n)
+    # the second copy of a shingle in a text is an item of its own, so the lesser of two weights is a sum over items that both have
+    head = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
+    copy = np.arange(len(h)) - np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
+    item = np.where(copy > 0, _mix(h + copy.astype(np.uint64) * _R, 9), h)
+    order = np.argsort(item, kind="stable")
+    item, row, factor = item[order], row[order], factor[order]
+    first = np.flatnonzero(np.append(True, item[1:] != item[:-1])[: len(item)])
+    count = np.diff(np.append(first, len(item)))
+    shared = np.zeros(n * n)
+    for k in range(2, 17):  # items of few texts: their pairs
+        at = first[count == k]
+        for a in range(0, len(at), 4096):
+            own = row[at[a : a + 4096, None] + np.arange(k)]
+            cell = own[:, :, None] * n + own[:, None, :]
+            shared += np.bincount(cell.ravel(), np.repeat(factor[at[a : a + 4096]], k * k), n * n)
+    shared = shared.reshape(n, n)
+    at, size = first[count > 16], count[count > 16]
+    for a in range(0, len(at), 1024):  # items of more: a product
+        held = np.zeros((n, len(at[a : a + 1024])))
+        for c, (f, k) in enumerate(zip(at[a : a + 1024], size[a : a + 1024], strict=True)):
+            held[row[f : f + k], c] = 1
+        shared += (held * factor[at[a : a + 1024]]) @ held.T
+    np.fill_diagonal(shared, total)
+    return shared / np.maximum(total[:, None] + total[None, :] - shared, 1e-300)
+
+
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links enough to tie together what ``linked`` ties."""
+    new, a, b = np.ones(len(linked), bool), [], []
+    for i in range(len(linked)):
+        if not new[i]:
+            continue
+        new[i], queue = False, [i]
+        for x in queue:
+            found = np.flatnonzero(linked[x] & new)
+            new[found] = False
+            queue.extend(found.tolist())
+            a.extend([x] * len(found))
+            b.extend(found.tolist())
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _compare(pairs: DataFrame, bodies: DataFrame, state, rare: float) -> DataFrame:
+    """The ``similarity`` of each of ``pairs``, from the texts themselves."""
+    pairs = materialize(pairs, "pairs")
     number = pairs.count()
-    if done is not None and number == 0:
-        return done
 
     def judge(batches):
         last: list = [None, None]
@@ -315,5 +386,4 @@ def _compare(pairs: DataFrame, bodies: DataFrame, done: DataFrame | None, state,
         bodies = bodies.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()), "t", "left_semi")
     left, right = bodies.select(F.col("t").alias("a"), F.col("text").alias("ta")), bodies.select(F.col("t").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    got = materialize(both.mapInArrow(judge, "a long, b long, similarity double"), "compared")
-    return got if done is None else done.unionByName(got)
+    return materialize(both.mapInArrow(judge, "a long, b long, similarity double"), "compared")

@@ -280,6 +280,34 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     assert [r["class_id"] for r in got if r["doc_id"] == 4] == [1]
 
 
+def family(n, near):
+    """Texts that share three quarters of their words, and for each of ``near`` a changed copy at the end."""
+    words = [[f"g{k}" for k in range(150)] + [f"u{i}x{k}" for k in range(31)] for i in range(n)]
+    return [" ".join(w) for w in words] + [" ".join([*words[i][:-5], *(f"v{i}x{k}" for k in range(5))]) for i in near]
+
+
+def test_similarities_of_a_block_equal_brute_force():
+    texts = [*family(40, [3, 7]), "a b c d e a b c d e a b c d e", "a b c d e a b c d e", sentence(300), sentence(290), "x y"]
+    row, h, w, _ = neardup.weighted(pa.array(texts), (np.zeros(0, np.uint64), np.zeros(0)), 2.0)
+    held = [dict(zip(h[row == i], w[row == i], strict=True)) for i in range(len(texts))]
+    got = neardup.similarities(pa.array(texts), (np.zeros(0, np.uint64), np.zeros(0)), 2.0)
+    for i, a in enumerate(held):
+        for j, b in enumerate(held):
+            low = sum(min(v, b[k]) for k, v in a.items() if k in b)
+            assert abs(got[i, j] - low / (sum(a.values()) + sum(b.values()) - low)) < 1e-9
+
+
+def test_all_near_pairs_of_a_large_bucket_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 100, raising=False)
+    near = list(range(5, 400, 10))
+    texts = family(400, near)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    bucket = spark.createDataFrame([(i, i, i, i, [7]) for i in range(len(texts))], "k1 long, k2 long, least long, t long, bands array<long>")
+    state = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0)))
+    got = neardup._links(rows, bucket, 0.8, state, 2.0, False).where("similarity >= 0.8").collect()
+    assert {(r["a"], r["b"]) for r in got} == {(i, 400 + k) for k, i in enumerate(near)}
+
+
 def test_consistent_samples_estimate_weighted_similarity():
     a, b = " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(20, 320))
     row, h, w, _ = neardup.weighted(pa.array([a, b]), (np.zeros(0, np.uint64), np.zeros(0)), 2.0)

@@ -15,8 +15,8 @@ from orewright.plans.shared import materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its quality score is below this; at 0.3 a score predicts the label, and rejecting asks for more than that.
 LEAST_QUALITY = 0.15
-#: A document goes if its language is ``und`` or no language scores this much.
-LEAST_LANGUAGE = 0.2
+#: A document goes if its language is ``und``, or its score is under those of all but this share of the documents that name the language predicted for them.
+LANGUAGE_SHARE = 0.005
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = languages.train_language(docs)
     if not model.families:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
-    return languages.predict_language(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
+    right = languages.predict_language(docs, model, keep=["lang"]).where("lang = lang_pred")
+    cuts = {r["lang"]: r["cut"] for r in right.groupBy("lang").agg(F.percentile_approx("score", LANGUAGE_SHARE).alias("cut")).collect()}
+    cut = F.coalesce(*[F.when(F.col("lang_pred") == lang, F.lit(v)) for lang, v in cuts.items()], F.lit(0.0))  # 0 for a language that no document is rightly in
+    return languages.predict_language(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= cut)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

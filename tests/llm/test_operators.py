@@ -338,3 +338,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert not {2000, 2001, 2002} & seen["language"][1] and seen["language"][1] >= seen["language"][0] - {2000, 2001, 2002}
     assert not {i for i in seen["near_duplicates"][1] if 1000 <= i < 2000} and 0 < seen["near_duplicates"][2] <= len(seen["near_duplicates"][0])
     assert "ids" in docs.columns and seen["tokens"][2] == seen["mix"][2]
+
+
+def test_language_stage_rejects_what_is_no_learnt_language(spark):
+    import corpus_pipeline
+
+    table, _ = corpus(spark)
+    rng = np.random.default_rng(1)
+    letters = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(80)) for _ in range(10)]
+    other = ["Все люди рождаются свободными и равными в своем достоинстве и правах.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan."]
+    odd = spark.createDataFrame([(5000 + i, x, None, "a", 1) for i, x in enumerate(letters + other)], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = table.select(*corpus_pipeline.COLUMNS)
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, clean.unionByName(odd), "").collect()}
+    ids = {r["doc_id"] for r in clean.collect()}
+    assert len(got & ids) >= 0.98 * len(ids) and not got - ids

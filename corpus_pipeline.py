@@ -39,10 +39,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the least id; of rows with one id, one."""
+    """One document of each class of near duplicates, the one with the least id; different texts of one id, or of none, are documents of their own."""
     small_batches(spark)
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").withColumn("_n", F.expr("row_number() over (partition by doc_id order by xxhash64(text))")).where("_n = 1").select(*COLUMNS)
+    kept = neardup.representatives(docs)
+    key = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(neardup.NO_ID)).alias("id"), F.xxhash64("text").alias("x"), F.struct("doc_id", "lang", "source", "n_chars", "text").alias("row"))
+    return key.groupBy("id", "x").agg(F.min("row").alias("row")).join(kept, ["id", "x"], "left_semi").select(*[F.col(f"row.{c}") for c in COLUMNS])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ LIGHT = 128
 FEW = 32
 #: About as many texts, and characters, are in a block of a larger bucket.
 BLOCK, BLOCK_CHARS = 512, 4_000_000
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -196,6 +198,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, common: float = 0.1
     similarity is at least ``threshold``, and classes are the connected components. Null texts count as empty, and all empty texts are copies of
     each other. A null doc_id is the least. Rows of one doc_id with different texts each take part; of several kept rows of one id all stay.
     """
+    signed, known = _labelled(docs, threshold, common, doc_id, text)
+    classes = known.groupBy("label").agg(F.min("least").alias("class_id"))
+    known = known.join(classes, "label").select("k1", "k2", "class_id")
+    out = signed.select("doc_id", "k1", "k2").join(known, ["k1", "k2"])
+    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return out.select(back("doc_id").alias("doc_id"), back("class_id").alias("class_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def representatives(docs: DataFrame, threshold: float = 0.8, common: float = 0.1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id`` (:data:`NO_ID` for null) and ``x``, the ``xxhash64`` of the text, of one document of each class: the least id, and of equals the least ``x``."""
+    signed, known = _labelled(docs, threshold, common, doc_id, text)
+    least = signed.join(known, ["k1", "k2"]).groupBy("label").agg(F.min(F.struct("doc_id", "x")).alias("first"))
+    return least.select(F.col("first.doc_id").alias("id"), "first.x")
+
+
+def _labelled(docs: DataFrame, threshold: float, common: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Each row's id, text hash and keys, and ``label`` and least id of each distinct text."""
     spark = docs.sparkSession
     n, h, df = common_shingles(docs, common, text)
     rare = float(np.log1p(1 / common))
@@ -207,10 +226,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, common: float = 0.1
                 row, hashes, weight, keys = weighted(piece.column("text"), state.value, rare)
                 own = bands(row, hashes, weight, len(piece), threshold, LIGHT * rare)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "k1": pa.array(keys[:, 0].view(np.int64)), "k2": pa.array(keys[:, 1].view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))})
+                yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "x": piece.column("x"), "k1": pa.array(keys[:, 0].view(np.int64)), "k2": pa.array(keys[:, 1].view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))})
 
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(rows.mapInArrow(sign, "doc_id long, k1 long, k2 long, bands array<long>"), "signatures")
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
+    signed = materialize(rows.withColumn("x", F.xxhash64("text")).mapInArrow(sign, "doc_id long, x long, k1 long, k2 long, bands array<long>"), "signatures")
     # one row for each distinct text; its number is the least id, made unique where one id has several texts
     texts = materialize(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "texts")
     repeated = signed.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
@@ -218,12 +237,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, common: float = 0.1
     links = _links(rows, texts, threshold, state, rare, repeated)
     labels = connected_components(links.where(F.col("similarity") >= threshold), "a", "b")
     known = texts.select("k1", "k2", "least", "t").join(labels.withColumnRenamed("node", "t"), "t", "left")
-    known = known.select("k1", "k2", "least", F.coalesce("label", "t").alias("label"))
-    classes = known.groupBy("label").agg(F.min("least").alias("class_id"))
-    known = known.join(classes, "label").select("k1", "k2", "class_id")
-    out = signed.select("doc_id", "k1", "k2").join(known, ["k1", "k2"])
-    back = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c))
-    return out.select(back("doc_id").alias("doc_id"), back("class_id").alias("class_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return signed, known.select("k1", "k2", "least", F.coalesce("label", "t").alias("label"))
 
 
 def _bodies(rows: DataFrame, texts: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:

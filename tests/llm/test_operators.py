@@ -352,3 +352,13 @@ def test_language_stage_rejects_what_is_no_learnt_language(spark):
     got = {r["doc_id"] for r in corpus_pipeline.language(spark, clean.unionByName(odd), "").collect()}
     ids = {r["doc_id"] for r in clean.collect()}
     assert len(got & ids) >= 0.98 * len(ids) and not got - ids
+
+
+def test_near_duplicates_stage_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    texts = [sentence(50, s) + f" only{s}" for s in range(1, 5)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (7, texts[2]), (7, texts[3]), (8, None), (9, " ")]
+    docs = spark.createDataFrame([(i, x, "en", "a", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(0, texts[0]), (0, texts[1]), (3, texts[2]), (7, texts[3]), (8, "")])

@@ -259,6 +259,13 @@ class PieceModel:
         return out
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` from each of ``starts``, of the given sizes, one after another."""
+    sizes = sizes.astype(np.int64)
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class _Index(dict):
     """Numbers words as they come; ``new`` has those without a value yet."""
 
@@ -273,7 +280,7 @@ class _Index(dict):
 
 
 class WordTable:
-    """What a worker knows of the words that it has met; forgotten as a whole beyond ``most`` words, so its memory is bounded."""
+    """What a worker knows of the words that it has met. Beyond ``most`` words those of one slice alone are forgotten, so its memory is bounded."""
 
     def __init__(self, model: PieceModel, modes: tuple[str, ...] = (), with_ids: bool = True, most: int = 400_000):
         self.model, self.modes, self.with_ids, self.most = model, modes or (model.mode,), with_ids, most
@@ -283,6 +290,21 @@ class WordTable:
         self.index = _Index()
         self.lengths = [np.zeros(0, np.int32) for _ in self.modes]
         self.flat = np.zeros(0, np.int32)
+        self.seen = np.zeros(0, np.uint8)
+
+    def forget(self) -> None:
+        """Keep the words that were in more than one slice, or nothing where these are more than half of ``most``."""
+        stay = np.flatnonzero(self.seen > 1)
+        if len(stay) * 2 > self.most:
+            self.clear()
+            return
+        names = list(self.index)
+        starts = np.concatenate([[0], np.cumsum(self.lengths[0], dtype=np.int64)])[stay]
+        if self.with_ids:
+            self.flat = gather(self.flat, starts, self.lengths[0][stay])
+        self.lengths, self.seen = [x[stay] for x in self.lengths], np.ones(len(stay), np.uint8)
+        self.index = _Index()
+        self.index.update(zip([names[i] for i in stay.tolist()], range(len(stay)), strict=True))
 
     @property
     def odd(self) -> str:
@@ -315,28 +337,32 @@ class WordTable:
     def look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts, one after another, and how many each text has. A word here ends at a blank; its lines are parted when it's learnt."""
         if len(self.index) > self.most:
-            self.clear()
+            self.forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         words = self.split(texts.filter(pa.array(~odd)))
         sizes = np.zeros(len(texts), np.int64)
         sizes[~odd] = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
-        distinct = np.fromiter(map(self.index.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        distinct = np.fromiter(map(self.index.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(coded.dictionary))
         plain = distinct[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
         if odd.any():
-            runs, at = [], 0
+            runs, others, at = [], [], 0
             for i, (strange, n) in enumerate(zip(odd, sizes, strict=True)):
                 if strange:
                     text = texts[i].as_py()
                     found = self.words(text) if text else []
                     sizes[i] = len(found)
                     runs.append(np.fromiter((self.index[w] for w in found), np.int64, len(found)))
+                    others.append(runs[-1])
                 else:
                     runs.append(plain[at : at + n])
                     at += n
+            distinct = np.concatenate([distinct, *others])
             plain = np.concatenate(runs)
         self._learn()
+        self.seen = np.concatenate([self.seen, np.zeros(len(self.index) - len(self.seen), np.uint8)])
+        self.seen[distinct] = np.minimum(self.seen[distinct] + 1, 2)
         return plain, sizes
 
     def counts(self, texts: pa.Array) -> list[np.ndarray]:
@@ -353,10 +379,9 @@ class WordTable:
         """Ids of all texts, one after another, and the offset of each text's first (one more offset at the end)."""
         words, sizes = self.look_up(texts)
         starts = np.concatenate([[0], np.cumsum(self.lengths[0], dtype=np.int64)])
-        n = self.lengths[0][words].astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(n)])
-        take = np.repeat(starts[words] - ends[:-1], n) + np.arange(ends[-1])
-        return self.flat[take], ends[np.concatenate([[0], np.cumsum(sizes)])]
+        n = self.lengths[0][words]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        return gather(self.flat, starts[words], n), ends[np.concatenate([[0], np.cumsum(sizes)])]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2_500_000, rows: int = 2000):

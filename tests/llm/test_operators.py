@@ -91,6 +91,26 @@ def test_token_files(spark, docs, none):
     assert token_files.read_token_files(spark, token_files.write_token_files(none, BYTES)).count() == 0
 
 
+def test_tables_of_other_tokenizer_files_and_of_few_words_equal_the_library():
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(BYTES) as f:
+        usual = json.load(f)
+    spaced = usual | {"pre_tokenizer": usual["pre_tokenizer"] | {"add_prefix_space": True}}
+    wide = usual | {"added_tokens": [*usual["added_tokens"], dict(usual["added_tokens"][0], id=50257, content="one two", special=False)]}
+    texts = [t or "" for t in TEXTS] + [sentence(50, k) + " one two" for k in range(9)] + ["a\n b  c d\x00e f", "\x00", "\x01 x"]
+    for spec, whole in ((usual, False), (spaced, True), (wide, True)):
+        raw = json.dumps(spec)
+        library, table = Tokenizer.from_str(raw), token_files.LibraryTable(raw.encode(), most=60)
+        assert table.whole == whole
+        for _ in range(3):  # words are forgotten and learnt again
+            for a in range(0, len(texts), 5):
+                ids, at = table.ids(pa.array(texts[a : a + 5]))
+                assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts[a : a + 5]]
+
+
 def test_mixing(spark, docs, none):
     many = spark.createDataFrame([(i, sentence(1 + i * i % 97, i), "en", [None, "a", "B", "c", "é"][i % 5] if i % 3 else "a", 1, "x", 0.0) for i in range(400)], SCHEMA)
     for table in (many, docs):

@@ -1,10 +1,11 @@
 """Near-duplicate documents: improved consistent weighted sampling of TF-IDF word shingles, banded and verified.
 
-A shingle is five words in a row (a shorter text is one shingle). Its weight in a document is its count there times the
-logarithm of one plus the documents over those that have it. Shingles of fewer than ``common`` of all documents share the weight
-of that share; the others are few (at most the mean number of shingles over the share), so their counts go to all tasks. A
-single pass over all documents counts them: each stretch of documents reports the shingles of at least a quarter of that share of
-its own, which leaves out less than a quarter of the share from any sum.
+A shingle is five words in a row (a shorter text is one shingle). Its weight in a document is its count there times its inverse document
+frequency, ``log((1 + documents) / (1 + those that have it)) + 1``. A single pass over all documents counts those that have a shingle, in a sketch of
+:data:`CELLS` counters: each distinct shingle of each document adds one to the counter of its hash. Counters are sums, so neither the order nor the
+partitions of the table matter. A counter is the shingle's documents and those of others of the same counter, the mean of all counters
+more on average: where a corpus has few shingles for its counters, frequencies are exact, and in any corpus of mean length ``m``, shingles of well over
+``m / CELLS`` of all documents are told apart, and rarer ones weigh about alike.
 
 Every shingle competes in one of 64 bins, by its hash, and each bin keeps the consistent sample of its shingles' weights, so the
 work is linear in the text. Two documents agree in a bin about as often as their weighted Jaccard similarity; a band is the
@@ -13,7 +14,7 @@ samples of four bins. Documents that share a band with each other are compared b
 
 from __future__ import annotations
 
-import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orewright.llm.pieces import slices
-from orewright.llm.tasks import once
 from orewright.plans.components import connected_components
-from orewright.plans.shared import materialize
+from orewright.plans.shared import Scratch, materialize, scratch
 
 SIZE, BINS, ROWS = 5, 64, 4
-#: Texts lighter than so many rare shingles are sampled as a whole.
+#: Counters of document frequencies, by the first bits of a hash, and how many of them are a row of the sketch.
+BITS, RUN = 22, 4096
+CELLS = 1 << BITS
+#: Texts lighter than so many of the rarest shingles are sampled as a whole.
 LIGHT = 128
 #: Members of a bucket up to which each is compared with each; all of a larger one are compared too, in the way described at :func:`_links`.
 FEW = 32
@@ -94,20 +97,25 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[order], hashes[order], keys
 
 
-def weighted(texts: pa.Array, common: tuple[np.ndarray, np.ndarray], rare: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Rarity:
+    """Inverse document frequencies by counter, as 1/2048 each, and the largest of any shingle."""
+
+    cells: np.ndarray
+    top: float
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        return self.cells[(h >> np.uint64(64 - BITS)).astype(np.int64)] / 2048.0
+
+
+def weighted(texts: pa.Array, rarity: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text number, hash and weight of each text's distinct shingles, sorted by the first two, and the texts' keys."""
     row, h, keys = shingles(texts)
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     row, distinct = row[first], h[first]
-    weight = np.diff(np.append(first, len(h))).astype(float)
-    factor = np.full(len(distinct), rare)
-    if len(common[0]):
-        place = np.minimum(np.searchsorted(common[0], distinct), len(common[0]) - 1)
-        there = common[0][place] == distinct
-        factor[there] = common[1][place[there]]
-    return row, distinct, weight * factor, keys
+    return row, distinct, np.diff(np.append(first, len(h))) * rarity.of(distinct), keys
 
 
 def _samples(h: np.ndarray, weight: np.ndarray, group: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,48 +165,76 @@ def bands(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, thresho
     return [np.concatenate(x) if x else none for x in out]
 
 
-def common_shingles(docs: DataFrame, common: float, text: str = "text", stretch: int = 2_000_000) -> tuple[int, np.ndarray, np.ndarray]:
-    """The number of documents, and hash and document count of each shingle that at least ``common`` of them have (see above)."""
-    part = common / 4
+def document_frequencies(docs: DataFrame, own: Scratch, text: str = "text") -> Rarity:
+    """The sketch of all documents (see above) as the weights that it stands for, 8 MB whatever the table is."""
+    runs = CELLS // RUN
 
     def count(batches):
-        held, number, size = [], 0, 0
+        sums, held, size, number = np.zeros(CELLS, np.uint32), [], 0, 0
+
+        def add():
+            np.add(sums, np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32), out=sums)
+            held.clear()
 
-        def report():
-            h = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            df = np.diff(np.append(first, len(h)))
-            often = df >= part * number
-            return pa.RecordBatch.from_pydict({"h": pa.array(np.append(h[first][often].view(np.int64), 0)), "df": pa.array(np.append(df[often], number)), "total": pa.array(np.append(np.zeros(often.sum(), bool), True))})
+        def rows(first: int, values: np.ndarray):
+            kind = np.min_scalar_type(int(values.max()))
+            return pa.RecordBatch.from_pydict({"run": pa.array(range(first, first + len(values)), pa.int32()), "width": pa.array([kind.itemsize] * len(values), pa.int32()), "counts": pa.array([v.tobytes() for v in values.astype(kind)], pa.binary())})
 
         for batch in batches:
             for piece in slices(batch, text):
                 row, h, _ = shingles(piece.column(text))
-                held.append(h[np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))] if len(h) else h)
-                number, size = number + len(piece), size + len(h)
-                if size > stretch:
-                    yield report()
-                    held, number, size = [], 0, 0
+                new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
+                held.append((h[new] >> np.uint64(64 - BITS)).astype(np.uint32))
+                size, number = size + len(held[-1]), number + len(piece)
+                if size > CELLS:
+                    add()
+                    size = 0
         if number:
-            yield report()
+            add()
+            for a in range(0, runs, 64):
+                yield rows(a, sums.reshape(runs, RUN)[a : a + 64])
+            yield rows(-1, np.array([[number]]))
+
+    def total(batches):
+        run, sums = None, None
+        done = lambda: pa.RecordBatch.from_pydict({"run": pa.array([run], pa.int32()), "counts": pa.array([sums.tobytes()], pa.binary())})
+        for batch in batches:
+            for r, width, counts in zip(batch.column("run").to_pylist(), batch.column("width").to_pylist(), batch.column("counts"), strict=True):
+                if r != run:
+                    if run is not None:
+                        yield done()
+                    run, sums = r, 0
+                sums = sums + np.frombuffer(counts.as_buffer(), f"<u{width}").astype(np.int64)
+        if run is not None:
+            yield done()
+
+    parts = docs.select(text).mapInArrow(count, "run int, width int, counts binary").repartition("run").sortWithinPartitions("run")
+    found = own.keep(parts.mapInArrow(total, "run int, counts binary"), "sketch")
+    first = found.where("run = -1").first()
+    n = int(np.frombuffer(first["counts"], "<i8")[0]) if first else 0
+
+    def weigh(batches):
+        for batch in batches:
+            for r, counts in zip(batch.column("run").to_pylist(), batch.column("counts"), strict=True):
+                idf = np.log((1 + n) / (1 + np.minimum(np.frombuffer(counts.as_buffer(), "<i8"), n))) + 1
+                there = np.frombuffer(counts.as_buffer(), "<i8") > 0
+                yield pa.RecordBatch.from_pydict({"run": pa.array([r], pa.int32()), "top": pa.array([int((np.round(idf * 2048) * there).max())], pa.int32()), "cells": pa.array([np.round(idf * 2048).astype("<u2").tobytes()], pa.binary())})
 
-    found = docs.select(text).mapInArrow(count, "h long, df long, total boolean").groupBy("total", "h").agg(F.sum("df").alias("df"))
-    found = materialize(found, "shingles")
-    n = found.where("total").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    rows = found.where(~F.col("total") & (F.col("df") >= 3 * part * n)).select("h", "df").toPandas()  # few, see above
-    h, df = rows["h"].to_numpy(np.int64).view(np.uint64), rows["df"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return n, h[order], df[order]
+    cells, top = np.full((runs, RUN), 2048, np.uint16), 2048
+    for r in found.where("run >= 0").mapInArrow(weigh, "run int, top int, cells binary").collect():  # 1024 rows of 8 KB
+        cells[r["run"]], top = np.frombuffer(r["cells"], "<u2"), max(top, r["top"])
+    own.drop("sketch")
+    return Rarity(cells.reshape(-1), top / 2048)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, common: float = 0.1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``class_id`` (the least doc_id of its class) and ``kept`` (one row of each class).
 
     Texts of the same words in the same order are copies and share a class; different texts are linked where their weighted Jaccard
     similarity is at least ``threshold``, and classes are the connected components. Null texts count as empty, and all empty texts are copies of
     each other. A null doc_id is the least. Rows of one doc_id with different texts each take part; of several kept rows of one id all stay.
     """
-    signed, known = _labelled(docs, threshold, common, doc_id, text)
+    signed, known = _labelled(docs, threshold, doc_id, text)
     classes = known.groupBy("label").agg(F.min("least").alias("class_id"))
     known = known.join(classes, "label").select("k1", "k2", "class_id")
     out = signed.select("doc_id", "k1", "k2").join(known, ["k1", "k2"])
@@ -206,38 +242,41 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, common: float = 0.1
     return out.select(back("doc_id").alias("doc_id"), back("class_id").alias("class_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
-def representatives(docs: DataFrame, threshold: float = 0.8, common: float = 0.1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` (:data:`NO_ID` for null) and ``x``, the ``xxhash64`` of the text, of one document of each class: the least id, and of equals the least ``x``."""
-    signed, known = _labelled(docs, threshold, common, doc_id, text)
+    signed, known = _labelled(docs, threshold, doc_id, text)
     least = signed.join(known, ["k1", "k2"]).groupBy("label").agg(F.min(F.struct("doc_id", "x")).alias("first"))
     return least.select(F.col("first.doc_id").alias("id"), "first.x")
 
 
-def _labelled(docs: DataFrame, threshold: float, common: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+def _labelled(docs: DataFrame, threshold: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Each row's id, text hash and keys, and ``label`` and least id of each distinct text."""
-    spark = docs.sparkSession
-    n, h, df = common_shingles(docs, common, text)
-    rare = float(np.log1p(1 / common))
-    state = spark.sparkContext.broadcast((h, np.minimum(np.log1p(n / np.maximum(df, 1)), rare)))
+    with scratch(docs.sparkSession, "near") as own:
+        signed, known = _label(docs, threshold, doc_id, text, own)
+        return materialize(signed, "signed"), materialize(known, "known")
+
+
+def _label(docs: DataFrame, threshold: float, doc_id: str, text: str, own: Scratch) -> tuple[DataFrame, DataFrame]:
+    state = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs, own, text))
 
     def sign(batches):
         for batch in batches:
             for piece in slices(batch, "text", 2_000_000):
-                row, hashes, weight, keys = weighted(piece.column("text"), state.value, rare)
-                own = bands(row, hashes, weight, len(piece), threshold, LIGHT * rare)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "x": piece.column("x"), "k1": pa.array(keys[:, 0].view(np.int64)), "k2": pa.array(keys[:, 1].view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))})
+                row, hashes, weight, keys = weighted(piece.column("text"), state.value)
+                found = bands(row, hashes, weight, len(piece), threshold, LIGHT * state.value.top)
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "x": piece.column("x"), "k1": pa.array(keys[:, 0].view(np.int64)), "k2": pa.array(keys[:, 1].view(np.int64)), "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))})
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(rows.withColumn("x", F.xxhash64("text")).mapInArrow(sign, "doc_id long, x long, k1 long, k2 long, bands array<long>"), "signatures")
+    signed = own.keep(rows.withColumn("x", F.xxhash64("text")).mapInArrow(sign, "doc_id long, x long, k1 long, k2 long, bands array<long>"), "signatures")
     # one row for each distinct text; its number is the least id, made unique where one id has several texts
-    texts = materialize(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "texts")
+    texts = own.keep(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "texts")
     repeated = signed.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     texts = texts.select("k1", "k2", "least", (F.xxhash64("k1", "k2") if repeated else F.col("least")).alias("t"), "bands")
-    links = _links(rows, texts, threshold, state, rare, repeated)
+    links = _links(rows, texts, threshold, state, repeated, own)
     labels = connected_components(links.where(F.col("similarity") >= threshold), "a", "b")
     known = texts.select("k1", "k2", "least", "t").join(labels.withColumnRenamed("node", "t"), "t", "left")
-    return signed, known.select("k1", "k2", "least", F.coalesce("label", "t").alias("label"))
+    return signed.select("doc_id", "x", "k1", "k2"), known.select("k1", "k2", "least", F.coalesce("label", "t").alias("label"))
 
 
 def _bodies(rows: DataFrame, texts: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
@@ -255,7 +294,7 @@ def _bodies(rows: DataFrame, texts: DataFrame, wanted: DataFrame, repeated: bool
     return rows.mapInArrow(key, "k1 long, k2 long, text string").join(named, ["k1", "k2"]).groupBy("t").agg(F.min("text").alias("text"))
 
 
-def _links(rows: DataFrame, texts: DataFrame, threshold: float, state, rare: float, repeated: bool) -> DataFrame:
+def _links(rows: DataFrame, texts: DataFrame, threshold: float, state, repeated: bool, own: Scratch) -> DataFrame:
     """Compared pairs ``a < b`` of text numbers and their similarity, enough of them for the connected components.
 
     In a bucket of few texts each is compared with each. In a larger one, its least and its greatest number are compared with all others,
@@ -266,21 +305,21 @@ def _links(rows: DataFrame, texts: DataFrame, threshold: float, state, rare: flo
     pairs = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     first = texts.select("t", F.explode("bands").alias("key"))
     ends = lambda df: df.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("n")).where("n > 1")
-    rest = materialize(first.join(ends(first), "key"), "buckets")
-    bodies = materialize(_bodies(rows, texts, rest.select("t").distinct(), repeated), "bodies")
+    rest = own.keep(first.join(ends(first), "key"), "buckets")
+    bodies = own.keep(_bodies(rows, texts, rest.select("t").distinct(), repeated), "bodies")
     few, many = rest.where(F.col("n") <= FEW).select("key", "t"), rest.where(F.col("n") > FEW)
     each = few.withColumnRenamed("t", "a").join(few.withColumnRenamed("t", "b"), "key").where("a < b").select("a", "b")
     star = many.where("t <> low").select(*pairs("low", "t")).unionAll(many.where("t <> high").select(*pairs("high", "t")))
-    done = _compare(each.unionAll(star).distinct(), bodies, state, rare)
+    done = _compare(each.unionAll(star).distinct(), bodies, state, own)
     if many.limit(1).count() == 0:
         return done
     labels = connected_components(similar(done), "a", "b")
     label = lambda df, t, name: df.join(labels.select(F.col("node").alias(t), F.col("label").alias(name)), t, "left").withColumn(name, F.coalesce(name, t))
-    many = materialize(label(label(many, "t", "own"), "low", "theirs").select("key", "t", (F.col("own") != F.col("theirs")).alias("far")), "outside")
-    return done.unionByName(_blocks(many, bodies, threshold, state, rare))
+    many = own.keep(label(label(many, "t", "own"), "low", "theirs").select("key", "t", (F.col("own") != F.col("theirs")).alias("far")), "outside")
+    return done.unionByName(_blocks(many, bodies, threshold, state, own))
 
 
-def _blocks(many: DataFrame, bodies: DataFrame, threshold: float, state, rare: float) -> DataFrame:
+def _blocks(many: DataFrame, bodies: DataFrame, threshold: float, state, own: Scratch) -> DataFrame:
     """Similar pairs that tie together all similar texts of one ``key``, of which one at least is ``far``.
 
     The far texts of a key are dealt to blocks by a hash, and so are the others. Each two blocks, one of far texts at least, are a task of their own
@@ -295,12 +334,12 @@ def _blocks(many: DataFrame, bodies: DataFrame, threshold: float, state, rare: f
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     both = F.concat(F.transform(upto(F.col("outer")), lambda o: task(F.least(o, "block"), F.greatest(o, "block"))), F.transform(upto(F.col("inner")), lambda o: task(F.col("block"), -1 - o)))
     alone = F.transform(upto(F.col("outer")), lambda o: task(o, -1 - F.col("block")))
-    tasks = materialize(dealt.select("key", "t", "block", "far", F.explode(F.when(F.col("far"), both).otherwise(alone)).alias("task")).select("key", "task.i", "task.j", "t", F.when(F.col("far"), F.col("block")).otherwise(-1 - F.col("block")).alias("side")), "blocks")
+    tasks = own.keep(dealt.select("key", "t", "block", "far", F.explode(F.when(F.col("far"), both).otherwise(alone)).alias("task")).select("key", "task.i", "task.j", "t", F.when(F.col("far"), F.col("block")).otherwise(-1 - F.col("block")).alias("side")), "tasks")
 
     def judge(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         t, side = table.column("t").to_numpy(), table.column("side").to_numpy()
-        like = similarities(table.column("text").combine_chunks(), state.value, rare)
+        like = similarities(table.column("text").combine_chunks(), state.value)
         linked = like >= threshold
         if i != j:
             linked &= side[:, None] != side[None, :]
@@ -308,19 +347,15 @@ def _blocks(many: DataFrame, bodies: DataFrame, threshold: float, state, rare: f
         return pa.table({"a": pa.array(np.minimum(t[a], t[b])), "b": pa.array(np.maximum(t[a], t[b])), "similarity": pa.array(like[a, b])})
 
     found = tasks.join(bodies, "t").groupBy("key", "i", "j").applyInArrow(judge, "a long, b long, similarity double")
-    return materialize(found, "blocks")
+    return own.keep(found, "blocks")
 
 
-def similarities(texts: pa.Array, common: tuple[np.ndarray, np.ndarray], rare: float) -> np.ndarray:
+def similarities(texts: pa.Array, rarity: Rarity) -> np.ndarray:
     """The weighted Jaccard similarity of each two of some texts."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     row, h, _ = shingles(texts)
     n = len(texts)
-    factor = np.full(len(h), rare)
-    if len(common[0]) and len(h):
-        place = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
-        there = common[0][place] == h
-        factor[there] = common[1][place[there]]
+    factor = rarity.of(h)
     total = np.bincount(row, weights=factor, minlength=n)
     # the second copy of a shingle in a text is an item of its own, so the lesser of two weights is a sum over items that both have
     head = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
@@ -364,16 +399,16 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _compare(pairs: DataFrame, bodies: DataFrame, state, rare: float) -> DataFrame:
+def _compare(pairs: DataFrame, bodies: DataFrame, state, keep: Scratch) -> DataFrame:
     """The ``similarity`` of each of ``pairs``, from the texts themselves."""
-    pairs = materialize(pairs, "pairs")
+    pairs = keep.keep(pairs, "pairs")
     number = pairs.count()
 
     def judge(batches):
         last: list = [None, None]
 
         def own(column: pa.Array):
-            row, h, w, _ = weighted(column, state.value, rare)
+            row, h, w, _ = weighted(column, state.value)
             return h, w, np.searchsorted(row, np.arange(len(column) + 1))
 
         for batch in batches:
@@ -400,4 +435,4 @@ def _compare(pairs: DataFrame, bodies: DataFrame, state, rare: float) -> DataFra
         bodies = bodies.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()), "t", "left_semi")
     left, right = bodies.select(F.col("t").alias("a"), F.col("text").alias("ta")), bodies.select(F.col("t").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return materialize(both.mapInArrow(judge, "a long, b long, similarity double"), "compared")
+    return keep.keep(both.mapInArrow(judge, "a long, b long, similarity double"), "compared")

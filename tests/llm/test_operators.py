@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from orewright.llm import chat, fingerprints, language, media, mixing, neardup, quality, sentencepiece_op, token_files  # noqa: E402
 from orewright.llm.pieces import MARK, PieceModel  # noqa: E402
-from orewright.plans.shared import fresh_path  # noqa: E402
+from orewright.plans.shared import fresh_path, scratch  # noqa: E402
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, Score double"
@@ -24,6 +25,8 @@ def sentence(n, salt=0):
     return " ".join(WORDS[(i * i + i * salt + salt) % len(WORDS)] + str((i * 7 + salt) % 13) for i in range(n))
 
 
+#: All shingles weigh 2.
+ALIKE = neardup.Rarity(np.full(neardup.CELLS, 4096, np.uint16), 2.0)
 TEXTS = [None, "", " ", "\n\n", "a", "Hello  world\nfoo 你\U0001f600 x ", "tab\there  \r\n é ñ Ω", MARK + "x" + MARK, "    four", "x" * 3000, sentence(40), sentence(40), sentence(60, 1), sentence(60, 1) + " end",
          sentence(3000, 3), "<|endoftext|> it's we'll <|im_end|>", "12 345", "\x00\x01 \x85", "ÀÉ ß <\\|x| \\n", "one.\nTwo three. Four!\nfive"]
 
@@ -133,26 +136,67 @@ def test_mixing(spark, docs, none):
             taken[r["source"]] += r["taken"]
         biggest = max(r["size"] for r in rows)
         assert all(abs(taken[s] - target[s]) <= biggest for s in order)
+        for source in order:  # the rates solve the dual, and copies are rates rounded
+            own = [r for r in rows if r["source"] == source]
+            mean = sizes[source] / len(own)
+            low, high = -1e4, 1e4
+            for _ in range(200 if sizes[source] else 0):
+                lam = (low + high) / 2
+                words = sum(r["size"] * min(3.0, math.exp(min(50.0, lam * r["size"] / mean))) for r in own)
+                low, high = (lam, high) if words < target[source] else (low, lam)
+            for r in own:
+                if r["size"]:
+                    assert abs(r["rate"] - min(3.0, math.exp(min(50.0, lam * r["size"] / mean)))) < 0.02 and abs(r["copies"] - r["rate"]) < 3
+            if len(own) > 20:
+                assert abs(sum(r["copies"] - r["rate"] for r in own)) <= 4
+    with pytest.raises(RuntimeError):
+        mixing.mix_sources(many, rounds=1)
+    for table in (many, docs):
+        rows = mixing.mix_sources(table, slim=True).collect()
         key = lambda r: (str(r["doc_id"]), r["size"], r["taken"])
         assert sorted(map(key, rows)) == sorted(map(key, mixing.mix_sources(table.repartition(7), slim=True).collect()))
     assert mixing.mix_sources(none).count() == 0
     assert set(mixing.mix_sources(docs).columns) >= set(docs.columns)
 
 
+def lanes_of(spark, texts):
+    """The lanes of each text, from the hashes of its paragraphs."""
+    parts = {t: [p for p in re.split(fingerprints.PARAGRAPHS, t) if p.strip(" ")] for t in texts}
+    table = spark.createDataFrame([(p,) for p in sorted({p for own in parts.values() for p in own})], "p string")
+    hashes = {r["p"]: [x % 2**64 for x in r["h"]] for r in table.selectExpr("p", "array(xxhash64(0, p), xxhash64(1, p), xxhash64(2, p), xxhash64(3, p)) h").collect()}
+    out = {}
+    for t, own in parts.items():
+        lanes = [sum(hashes[p][k] >> (j + 32 * half) & 1 for p in own) for k in (0, 1) for j in range(32) for half in (0, 1)]
+        lanes += [sum(hashes[p][k] >> 32 * half & 0xFFFFFFFF for p in own) % 2**32 for k in (2, 3) for half in (0, 1)]
+        out[t] = [*lanes, len(own)]
+    return out
+
+
+def like(a, b):
+    x, y = ([2 * v - w[-1] for v in w[:128]] for w in (a, b))
+    squares = sum(v * v for v in x) + sum(v * v for v in y)
+    return 1.0 if a == b else 0.0 if not squares else min(1.0, max(0.0, 2 * sum(v * w for v, w in zip(x, y)) / squares))
+
+
 def test_fingerprints(spark, docs, none):
-    rows = fingerprints.edited_fingerprints(docs).collect()
-    texts = sorted(((r["doc_id"] if r["doc_id"] is not None else -math.inf), r["text"] or "") for r in docs.collect())
-    assert len(rows) == len(texts)
-    prints = {r["doc_id"]: r for r in rows}
-    for i, (key, text) in enumerate(texts):
-        if key in (2, 3) or key == -math.inf:  # next to the repeated id
-            continue
-        k, follow = len(text) // 4, texts[(i + 1) % len(texts)][1]
-        edited = text[: len(text) - k] + follow[:k]
-        r = prints[key]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest()), key
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert prints[10]["fingerprint"] == prints[11]["fingerprint"] and prints[10]["near_next"] == 1.0
+    ids = docs.where("doc_id is null or doc_id <> 3")
+    for given in ({}, {"range_bytes": 2000, "widest": 2}):
+        rows = fingerprints.edited_fingerprints(ids, **given).collect()
+        texts = sorted(((r["doc_id"] if r["doc_id"] is not None else -math.inf), r["text"] or "") for r in ids.collect())
+        assert len(rows) == len(texts)
+        prints = {r["doc_id"] if r["doc_id"] is not None else -math.inf: r for r in rows}
+        edits = []
+        for i, (key, text) in enumerate(texts):
+            k, follow = len(text) // 4, texts[(i + 1) % len(texts)][1]
+            edits.append((key, text, text[: len(text) - k] + follow[:k], follow))
+        lanes = lanes_of(spark, {t for e in edits for t in e[1:]})
+        for key, text, edited, follow in edits:
+            r = prints[key]
+            assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest()), key
+            assert r["fingerprint"] == "".join(f"{v:08x}" for v in lanes[text]) and r["edited_fingerprint"] == "".join(f"{v:08x}" for v in lanes[edited])
+            assert abs(r["near_edited"] - like(lanes[text], lanes[edited])) < 1e-9 and abs(r["near_next"] - like(lanes[text], lanes[follow])) < 1e-9
+        assert prints[10]["fingerprint"] == prints[11]["fingerprint"] and prints[10]["near_next"] == 1.0
+    assert fingerprints.edited_fingerprints(docs).count() == len(TEXTS) + 2  # a repeated id
     own = {r["doc_id"]: r["lanes"] for r in fingerprints.fingerprint(spark.createDataFrame([(1, "one. Two\nthree"), (2, "three\nTwo\none."), (3, "Two\nthree"), (4, "one."), (5, None)], "doc_id long, text string")).collect()}
     assert own[1] == own[2] and set(own[5]) == {0}  # order doesn't matter
     assert [(a + b) % 2**32 for a, b in zip(own[3], own[4])] == own[1]  # insertion adds
@@ -257,14 +301,14 @@ def test_chat_round_trip(spark):
     assert chat.digest_chats(chat.format_chats(table.limit(0))).count() == 0
 
 
-def classes(texts, threshold=0.8, common=0.1):
+def classes(texts, threshold=0.8):
     """Least index of each text's class, by comparing all."""
     grams = []
     for t in texts:
         w = (t or "").split()
         grams.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else []))
     df = Counter(g for c in grams for g in c)
-    weights = [{g: k * math.log1p(1 / max(df[g] / len(texts), common)) for g, k in c.items()} for c in grams]
+    weights = [{g: k * (math.log((1 + len(texts)) / (1 + df[g])) + 1) for g, k in c.items()} for c in grams]
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -289,9 +333,25 @@ def test_near_duplicates_equal_brute_force(spark, none):
     got = {r["doc_id"]: r for r in neardup.near_duplicates(rows).collect()}
     assert [got[i]["class_id"] for i in range(len(texts))] == classes(texts)
     assert sum(r["kept"] for r in got.values()) == len(set(classes(texts)))
+    for other in (rows.repartition(7), rows.orderBy("text"), rows.coalesce(1)):  # the layout decides nothing
+        assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(other).collect()} == {i: r["class_id"] for i, r in got.items()}
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_document_frequencies_count_all_documents(spark):
+    texts = [" ".join(f"w{i}" for i in range(k, k + 40)) for k in range(60)] + [None, "", "x"] + [sentence(900)] * 5
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    df, n = Counter(), len(texts)
+    row, h, _ = neardup.shingles(pa.array(texts))
+    df.update(x for _, x in set(zip(row.tolist(), h.tolist())))
+    for table in (rows.repartition(5), rows.coalesce(1)):
+        with scratch(spark, "test") as own:
+            rarity = neardup.document_frequencies(table, own)
+        for x, k in df.items():
+            assert abs(rarity.of(np.array([x], np.uint64))[0] - (math.log((1 + n) / (1 + k)) + 1)) < 0.001
+        assert abs(rarity.top - (math.log((1 + n) / 2) + 1)) < 0.001
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     rows = [(1, sentence(50)), (1, sentence(50)), (1, sentence(50, 2) + " q w e"), (None, sentence(50)), (4, sentence(50, 2) + " q w e"), (5, None), (6, "")]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -308,9 +368,9 @@ def family(n, near):
 
 def test_similarities_of_a_block_equal_brute_force():
     texts = [*family(40, [3, 7]), "a b c d e a b c d e a b c d e", "a b c d e a b c d e", sentence(300), sentence(290), "x y"]
-    row, h, w, _ = neardup.weighted(pa.array(texts), (np.zeros(0, np.uint64), np.zeros(0)), 2.0)
+    row, h, w, _ = neardup.weighted(pa.array(texts), ALIKE)
     held = [dict(zip(h[row == i], w[row == i], strict=True)) for i in range(len(texts))]
-    got = neardup.similarities(pa.array(texts), (np.zeros(0, np.uint64), np.zeros(0)), 2.0)
+    got = neardup.similarities(pa.array(texts), ALIKE)
     for i, a in enumerate(held):
         for j, b in enumerate(held):
             low = sum(min(v, b[k]) for k, v in a.items() if k in b)
@@ -323,14 +383,14 @@ def test_all_near_pairs_of_a_large_bucket_are_linked(spark, monkeypatch):
     texts = family(400, near)
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     bucket = spark.createDataFrame([(i, i, i, i, [7]) for i in range(len(texts))], "k1 long, k2 long, least long, t long, bands array<long>")
-    state = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0)))
-    got = neardup._links(rows, bucket, 0.8, state, 2.0, False).where("similarity >= 0.8").collect()
+    with scratch(spark, "test") as own:
+        got = neardup._links(rows, bucket, 0.8, spark.sparkContext.broadcast(ALIKE), False, own).where("similarity >= 0.8").collect()
     assert {(r["a"], r["b"]) for r in got} == {(i, 400 + k) for k, i in enumerate(near)}
 
 
 def test_consistent_samples_estimate_weighted_similarity():
     a, b = " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(20, 320))
-    row, h, w, _ = neardup.weighted(pa.array([a, b]), (np.zeros(0, np.uint64), np.zeros(0)), 2.0)
+    row, h, w, _ = neardup.weighted(pa.array([a, b]), ALIKE)
     same = []
     for salt in range(0, 600, 2):
         _, value = neardup._samples(h, w, row, 1000 + salt)

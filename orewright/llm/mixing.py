@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orewright.plans.shared import materialize
+from orewright.plans.shared import Scratch, materialize, scratch
 
 WORDS = r"[^\x20\x09-\x0D]+"
 _FIXED = 1024.0  # sums hold 1/1024 words
@@ -28,13 +28,13 @@ def _source_key(source: Column) -> Column:
     return F.concat(F.when(source.isNull(), "1").otherwise("0"), F.coalesce(source.cast("string"), F.lit("")))
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """For each source key ``_key``: ``source_size``, ``target``, ``mean`` and ``least`` (size over 0). The windows hold a row for each source.
+def source_targets(counts: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
+    """For each source key ``_key`` of the table of sizes and how many documents have them: ``source_size``, ``target``, ``mean`` and ``least`` (size over 0). The windows hold a row for each source.
 
     A target stops at ``most`` times the source's size. With sources in order of size over weight, those that stop come first,
     so the level of the others follows from running sums.
     """
-    by = sizes.groupBy("_key").agg(F.sum("_size").alias("source_size"), F.avg("_size").alias("mean"), F.min(F.when(F.col("_size") > 0, F.col("_size"))).alias("least"))
+    by = counts.groupBy("_key").agg(F.sum(F.col("_size") * F.col("_n")).alias("source_size"), (F.sum(F.col("_size") * F.col("_n")) / F.sum("_n")).alias("mean"), F.min(F.when(F.col("_size") > 0, F.col("_size"))).alias("least"))
     order = Window.orderBy("_key")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))).cast("int") + 1)
     by = by.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
@@ -48,10 +48,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
     return by.select("_key", "source_size", "target", "mean", "least")
 
 
-def _solve(counts: DataFrame, targets: DataFrame, most: float, rounds: int) -> DataFrame:
-    """``lam`` for each source: Newton's iteration, kept inside a bracket that each step narrows."""
+def _solve(counts: DataFrame, targets: DataFrame, most: float, rounds: int, own: Scratch) -> DataFrame:
+    """``lam`` for each source: Newton's iteration, kept inside a bracket that each step narrows, until every source is within a word or a ten thousandth of its target.
+
+    A source whose target is all that it can give starts, and ends, at the upper end of its bracket. Raises RuntimeError if ``rounds`` don't suffice.
+    """
     wide = F.col("mean") / F.col("least")
-    state = targets.where("source_size > 0").select("_key", "target", "mean", F.lit(0.0).alias("lam"), (-60 * wide).alias("lo"), (F.log(F.lit(most)) * wide).alias("hi"))
+    top = F.log(F.lit(most)) * wide
+    start = F.when(F.col("target") >= most * F.col("source_size"), top).otherwise(F.lit(0.0))
+    state = targets.where("source_size > 0").select("_key", "target", "mean", start.alias("lam"), (-60 * wide).alias("lo"), top.alias("hi"))
     z, e = F.col("_size") / F.col("mean"), F.exp(F.least(F.col("lam") * F.col("_size") / F.col("mean"), F.lit(50.0)))
     fixed = lambda x: F.sum(F.round(x * _FIXED).cast("decimal(28,0)")).cast("double") / _FIXED
     for k in range(rounds):
@@ -59,32 +64,44 @@ def _solve(counts: DataFrame, targets: DataFrame, most: float, rounds: int) -> D
         sums = counts.join(state, "_key").groupBy("_key", "target", "mean", "lam", "lo", "hi").agg(
             (fixed(words * F.least(e, F.lit(most))) - F.col("target")).alias("over"), fixed(F.when(e < most, words * z * e).otherwise(0.0)).alias("slope")
         )
+        near = F.abs("over") <= F.greatest(F.lit(1.0), F.col("target") * 1e-4)
         lo, hi = F.when(F.col("over") < 0, F.col("lam")).otherwise(F.col("lo")), F.when(F.col("over") > 0, F.col("lam")).otherwise(F.col("hi"))
         step = F.when(F.col("slope") > 0, F.col("lam") - F.col("over") / F.col("slope"))
-        state = sums.select("_key", "target", "mean", lo.alias("lo"), hi.alias("hi"), F.when(F.col("over") == 0, F.col("lam")).when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2).alias("lam"))
-        if k % 4 == 3 and k + 1 < rounds:
-            state = materialize(state, "dual")
-    return state.select("_key", "lam")
-
-
-def _copies(cells: DataFrame, most: float) -> DataFrame:
-    """``_copies`` for each cell of like documents. Rates are summed up from the largest size down, and a cell gets the whole copies that fall to it; what a source is then off its target is made up for with cells no larger than that."""
-    order = [F.col("_size").desc(), F.col("_salt")]
-    own = Window.partitionBy("_key")
-    run = own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        state = sums.select("_key", "target", "mean", lo.alias("lo"), hi.alias("hi"), near.alias("near"), F.when(near, F.col("lam")).when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2).alias("lam"))
+        if k % 3 == 2 or k + 1 == rounds:
+            state = own.keep(state, "state")
+            if state.where("not near").limit(1).count() == 0:
+                return state.select("_key", "lam")
+    raise RuntimeError(f"rates of some sources still miss their targets after {rounds} rounds")
+
+
+def _running(cells: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all larger sizes of the cell's source. Ranges of 256 sizes are summed first, so a task has the sizes of a range, or the ranges of a source."""
+    cells = cells.withColumn("_range", F.floor(F.col("_size") / 256)).withColumn(name, value)
+    inner = Window.partitionBy("_key", "_range").orderBy(F.col("_size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("_key").orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cells.groupBy("_key", "_range").agg(F.sum(name).alias("_all")).select("_key", "_range", F.coalesce(F.sum("_all").over(outer), F.lit(0)).alias("_larger"))
+    within = cells.withColumn(name, F.coalesce(F.sum(name).over(inner), F.lit(0)))
+    return within.join(ranges, ["_key", "_range"]).withColumn(name, F.col(name) + F.col("_larger")).drop("_range", "_larger")
+
+
+def _copies(cells: DataFrame, most: float, own: Scratch) -> DataFrame:
+    """``_copies`` for each cell, all documents of a source and a size. Rates are summed up from the largest size down, and a cell gets the whole copies that fall to it, which
+    leaves a source off by less than a document. Cells that are no larger than what it is off make up for that, three times."""
     want = F.col("_n") * F.col("rate")
-    cells = cells.withColumn("_up_to", F.sum(want).over(run))
-    cells = cells.withColumn("_copies", F.greatest(F.lit(0), F.least(F.floor(F.col("_up_to") + 0.5) - F.floor(F.col("_up_to") - want + 0.5), F.col("_n") * int(most))))
-    for _ in range(4):
-        cells = cells.withColumn("_off", F.floor(F.col("target") - F.sum(F.col("_copies") * F.col("_size")).over(own) + 0.5))
+    cells = _running(cells, F.round(want * _FIXED**2).cast("decimal(38,0)"), "_up_to").withColumn("_up_to", F.col("_up_to").cast("double") / _FIXED**2)
+    copies = F.floor(F.col("_up_to") + want + 0.5) - F.floor(F.col("_up_to") + 0.5)
+    cells = own.keep(cells.withColumn("_copies", F.greatest(F.lit(0), F.least(copies, F.col("_n") * int(most)))).drop("_up_to"), "copies")
+    for _ in range(3):
+        off = cells.groupBy("_key", "target").agg(F.sum(F.col("_copies") * F.col("_size")).alias("_given")).select("_key", F.floor(F.col("target") - F.col("_given") + 0.5).alias("_off"))
         room = F.when((F.col("_size") == 0) | (F.col("_size") > F.abs("_off")), 0).when(F.col("_off") > 0, F.col("_n") * int(most) - F.col("_copies")).otherwise(F.col("_copies"))
-        cells = cells.withColumn("_room", room).withColumn("_before", F.sum(F.col("_room") * F.col("_size")).over(run) - F.col("_room") * F.col("_size"))
+        cells = _running(cells.join(off, "_key").withColumn("_room", room), F.col("_room") * F.col("_size"), "_before")
         take = F.greatest(F.lit(0), F.least(F.col("_room"), F.floor((F.abs("_off") - F.col("_before")) / F.greatest(F.col("_size"), F.lit(1)))))
-        cells = cells.withColumn("_copies", F.col("_copies") + F.signum("_off").cast("long") * take)
+        cells = own.keep(cells.withColumn("_copies", F.col("_copies") + F.signum("_off").cast("long") * take).drop("_off", "_room", "_before"), "copies")
     return cells
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, doc_id: str = "doc_id", source: str = "source", text: str = "text", slim: bool = False, rounds: int = 16, spread: int = 64) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, doc_id: str = "doc_id", source: str = "source", text: str = "text", slim: bool = False, rounds: int = 60, spread: int = 64) -> DataFrame:
     """Adds ``size``, ``source_size``, ``target``, ``rate``, ``copies`` and ``taken`` (words, repeats counted) to each document.
 
     Sources by code point, null last, weigh ``weights`` in turn and share all words; a target stops at ``most`` times its source.
@@ -99,14 +116,19 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: i
     rows = docs.select(*named, word_count(F.col(text)).alias("_size"), _source_key(F.col(source)).alias("_key"), salt.alias("_salt"))
     sizes = materialize(rows.select(*([doc_id, source] if slim else []), "_size", "_key", "_salt"), "sizes")
     rows = sizes if slim else rows
-    parts = materialize(sizes.groupBy("_key", "_size", "_salt").agg(F.count("*").alias("_n")), "cells")
-    counts = parts.groupBy("_key", "_size").agg(F.sum("_n").alias("_n"))
-    targets = materialize(source_targets(sizes, weights, float(most)), "targets")
-    lam = materialize(_solve(materialize(counts, "counts"), targets, float(most), rounds), "dual")
-    cells = parts.join(targets.join(lam, "_key", "left"), "_key")
-    rate = F.coalesce(F.least(F.exp(F.least(F.col("lam") * F.col("_size") / F.col("mean"), F.lit(50.0))), F.lit(float(most))), F.lit(1.0))
-    cells = _copies(cells.withColumn("rate", rate), float(most)).select("_key", "_size", "_salt", "_n", "rate", "_copies", "source_size", "target")
-    first = Window.partitionBy("_key", "_size", "_salt").orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id))
-    out = rows.join(cells, ["_key", "_size", "_salt"]).withColumn("_rank", F.row_number().over(first))
-    copies = (F.floor(F.col("_copies") / F.col("_n")) + (F.col("_rank") <= F.col("_copies") % F.col("_n")).cast("long")).cast("int")
+    with scratch(docs.sparkSession, "mix") as own:
+        parts = own.keep(sizes.groupBy("_key", "_size", "_salt").agg(F.count("*").alias("_n")), "parts")
+        counts = own.keep(parts.groupBy("_key", "_size").agg(F.sum("_n").alias("_n")), "counts")
+        targets = own.keep(source_targets(counts, weights, float(most)), "targets")
+        lam = _solve(counts, targets, float(most), rounds, own)
+        rate = F.coalesce(F.least(F.exp(F.least(F.col("lam") * F.col("_size") / F.col("mean"), F.lit(50.0))), F.lit(float(most))), F.lit(1.0))
+        cells = _copies(counts.join(targets.join(lam, "_key", "left"), "_key").withColumn("rate", rate), float(most), own)
+        # the copies of a cell, dealt to its parts: what all documents get, and one more for the first ones
+        first = Window.partitionBy("_key", "_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+        before = parts.withColumn("_first", F.coalesce(F.sum("_n").over(first), F.lit(0))).drop("_n")
+        cells = cells.select("_key", "_size", "rate", "source_size", "target", F.floor(F.col("_copies") / F.col("_n")).alias("_each"), (F.col("_copies") % F.col("_n")).alias("_more"))
+        cells = materialize(before.join(cells, ["_key", "_size"]), "cells")
+    order = Window.partitionBy("_key", "_size", "_salt").orderBy(F.xxhash64(F.col(doc_id)), F.col(doc_id))
+    out = rows.join(cells, ["_key", "_size", "_salt"]).withColumn("_rank", F.row_number().over(order))
+    copies = (F.col("_each") + (F.col("_first") + F.col("_rank") <= F.col("_more")).cast("long")).cast("int")
     return out.select(*named, F.col("_size").alias("size"), "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("_size")).cast("long").alias("taken"))

@@ -1,7 +1,7 @@
 """Fingerprints of documents as homomorphic multiset hashes, with DataFrame functions only.
 
-A text is a multiset of paragraphs: its lines, and the sentences in them. Each paragraph hashes to a wide vector: 64 lanes of
-one bit and 4 lanes of 32 bits. The fingerprint is the sum of the vectors and the number of paragraphs, modulo 2**32. So it
+A text is a multiset of paragraphs: its lines, and the sentences in them. Each paragraph hashes, four times with a seed of its own, to a wide
+vector: 128 lanes of one bit and 4 lanes of 32 bits. The fingerprint is the sum of the vectors and the number of paragraphs, modulo 2**32. So it
 doesn't depend on order, and adding or removing a paragraph adds or subtracts its vector. Seen as +1 and -1, the bits of
 different paragraphs are uncorrelated, so the scalar product of two fingerprints estimates how many paragraphs their texts share.
 """
@@ -11,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orewright.plans.shared import materialize
+
 PARAGRAPHS = r"\n+|(?<=[.!?])[ \t]+"
-LANES = 64
+LANES = 128
 _MOD = 0xFFFFFFFF
 _LEAST = -(1 << 63)
 
@@ -23,15 +25,18 @@ def paragraphs(text: Column, pattern: str = PARAGRAPHS) -> Column:
 
 
 def lane_sums(paragraph: Column) -> Column:
-    """Aggregate: the lanes of a group of paragraphs, as array<long>; null paragraphs count as none."""
-    bits, wide = F.xxhash64(paragraph), F.xxhash64(paragraph, F.lit(1))
-    there = paragraph.isNotNull()
-    lanes = [F.sum(F.when(there, F.shiftrightunsigned(bits, j).bitwiseAND(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))) for j in range(LANES)]
+    """Aggregate: the lanes of a group of paragraphs, as array<long>; null paragraphs count as none.
+
+    A sum adds up two bits of a hash, 32 places apart, in the two halves of a long, so a group may have up to 2**31 paragraphs.
+    """
+    bits = [F.when(paragraph.isNotNull(), F.xxhash64(F.lit(k), paragraph)).otherwise(F.lit(0).cast("long")) for k in range(2)]
+    wide = [F.when(paragraph.isNotNull(), F.xxhash64(F.lit(k), paragraph)).otherwise(F.lit(0).cast("long")) for k in (2, 3)]
     low = F.lit(_MOD).cast("long")
-    for h in (wide, F.xxhash64(paragraph, F.lit(2))):
-        lanes += [F.sum(F.when(there, h.bitwiseAND(low)).otherwise(F.lit(0).cast("long"))), F.sum(F.when(there, F.shiftrightunsigned(h, 32)).otherwise(F.lit(0).cast("long")))]
-    lanes.append(F.count(paragraph))
-    return F.array(*[x.bitwiseAND(low) for x in lanes])
+    halves = lambda x: [x.bitwiseAND(low), F.shiftrightunsigned(x, 32)]
+    pair = F.lit((1 << 32) + 1).cast("long")
+    lanes = [x for h in bits for j in range(32) for x in halves(F.sum(F.shiftrightunsigned(h, j).bitwiseAND(pair)))]
+    lanes += [F.sum(x).bitwiseAND(low) for h in wide for x in halves(h)]
+    return F.array(*lanes, F.count(paragraph).bitwiseAND(low))
 
 
 def to_hex(lanes: Column) -> Column:
@@ -68,35 +73,48 @@ def _bucket(key: Column, bounds: list[int], low: int = 0) -> Column:
     return F.when(key < bounds[m], _bucket(key, bounds[:m], low)).otherwise(_bucket(key, bounds[m + 1 :], low + m + 1))
 
 
-def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+def _ranges(rows: DataFrame, spark_partitions: int, range_bytes: int, widest: int = 512) -> DataFrame:
+    """Adds ``_a`` and ``_b``: ranges of ``_k`` of about ``range_bytes`` of ``_text``, those of one ``_a`` side by side.
+
+    Up to ``widest`` ranges are quantiles of all keys; where more are needed, each is parted by quantiles of its own, found by a group for each of them.
+    """
+    bytes_ = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    wanted = max(spark_partitions, bytes_ // range_bytes + 1)
+    n, m = min(widest, wanted), -(-wanted // widest)
+    found = rows.agg(F.percentile_approx("_k", [i / n for i in range(1, n)] or [0.5], 10 * n).alias("b")).first()
+    rows = rows.withColumn("_a", _bucket(F.col("_k"), sorted(set(found["b"] or [])) if n > 1 else []))  # at most ``widest`` numbers
+    if m == 1:
+        return rows.withColumn("_b", F.lit(0))
+    inner = rows.groupBy("_a").agg(F.percentile_approx("_k", [i / m for i in range(1, m)], 10 * m).alias("_bounds"))
+    return rows.join(F.broadcast(inner), "_a").withColumn("_b", F.size(F.filter(F.array_distinct("_bounds"), lambda x: x <= F.col("_k")))).drop("_bounds")  # at most 512 rows
+
+
+def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int = 32 << 20, widest: int = 512) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last quarter of code points is the start of the next document's text.
 
     Next is by ascending ``doc_id`` (null first, then by a hash of the text); after the last comes the first. A null text is empty. Documents are
-    dealt out by ranges of ``doc_id``; each range also gets a copy of the first document of the next one, so no window spans ranges.
-    Repeated ids and rows each keep their row; a single document is its own next.
+    dealt out by ranges of ``doc_id`` of about ``range_bytes``, so a task doesn't grow with the table; each range also gets a copy of the first document of the
+    next one, so no window spans ranges. Repeated ids and rows each keep their row; all rows of one id, or of none, are in one range and so in one task. A
+    single document is its own next.
     """
     spark = docs.sparkSession
-    n = buckets or min(512, max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST))
-    keys = docs.select(key.alias("k"))
-    found = keys.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n).alias("b")).first()
-    bounds = sorted(set(found["b"] or []))  # at most n numbers
-    bucket = _bucket(F.col("_k"), bounds)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), key.alias("_k"))
-    rows = rows.withColumn("_b", bucket).withColumn("_end", F.lit(0))
-    firsts = sorted((r["_b"], r["k"]) for r in keys.withColumnRenamed("k", "_k").groupBy(bucket.alias("_b")).agg(F.min("_k").alias("k")).collect())  # at most n rows
-    ends = [(firsts[(i + 1) % len(firsts)][1], firsts[i][0]) for i in range(len(firsts))]
-    ends = F.broadcast(spark.createDataFrame(ends, "_k long, _to int"))
-    # the first document of each range, once for the range before it
-    copies = rows.join(ends, "_k").groupBy("_to").agg(F.min_by(F.struct("doc_id", "_text", "_k"), F.xxhash64("_text")).alias("r"))
-    copies = copies.select("r.doc_id", "r._text", "r._k", F.col("_to").alias("_b"), F.lit(1).alias("_end"))
-    order = Window.partitionBy("_b").orderBy("_end", "_k", F.xxhash64("_text"))
+    rows = _ranges(rows, int(spark.conf.get("spark.sql.shuffle.partitions")), range_bytes, widest).withColumn("_end", F.lit(0))
+    # the first document of each range, once for the range before it; a row for each range
+    firsts = materialize(rows.groupBy("_a", "_b").agg(F.min("_k").alias("_k")), "ranges")
+    place = Window.orderBy("_a", "_b")
+    whole = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = firsts.select("_k", *[F.coalesce(F.lag(c).over(place), F.last(c).over(whole)).alias(f"_to{c}") for c in ("_a", "_b")])
+    copies = rows.drop("_a", "_b").join(F.broadcast(ends), "_k").groupBy("_to_a", "_to_b").agg(F.min_by(F.struct("doc_id", "_text", "_k"), F.xxhash64("_text")).alias("r"))
+    copies = copies.select("r.doc_id", "r._text", "r._k", F.col("_to_a").alias("_a"), F.col("_to_b").alias("_b"), F.lit(1).alias("_end"))
+    order = Window.partitionBy("_a", "_b").orderBy("_end", "_k", F.xxhash64("_text"))
     rows = rows.unionByName(copies).withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead("_text").over(order))
     quarter = F.floor(F.length("_text") / 4).cast("int")
     rows = rows.withColumn("_edited", F.when(F.col("_end") == 0, F.concat(F.substring(F.col("_text"), F.lit(1), F.length("_text") - quarter), F.substring(F.col("_next"), F.lit(1), quarter))))
-    rows = rows.select("_b", "_n", "_end", "doc_id", F.length("_text").cast("long").alias("n_chars"), F.sha2(F.col("_edited"), 256).alias("edited_sha256"), F.explode(F.filter(F.array(F.struct(F.lit(0).alias("w"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("w"), F.col("_edited").alias("t"))), lambda x: x["t"].isNotNull())).alias("_x"))
-    units = rows.select("_b", "_n", "_end", "doc_id", "n_chars", "edited_sha256", F.col("_x.w").alias("_w"), F.explode_outer(paragraphs(F.col("_x.t"))).alias("_p"))
-    sums = units.groupBy("_b", "_n", "_end", "doc_id", "n_chars", "edited_sha256", "_w").agg(lane_sums(F.col("_p")).alias("lanes"))
-    follow = Window.partitionBy("_b").orderBy("_n", "_w")  # a document, its edited text, the next document
+    rows = rows.select("_a", "_b", "_n", "_end", "doc_id", F.length("_text").cast("long").alias("n_chars"), F.sha2(F.col("_edited"), 256).alias("edited_sha256"), F.explode(F.filter(F.array(F.struct(F.lit(0).alias("w"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("w"), F.col("_edited").alias("t"))), lambda x: x["t"].isNotNull())).alias("_x"))
+    units = rows.select("_a", "_b", "_n", "_end", "doc_id", "n_chars", "edited_sha256", F.col("_x.w").alias("_w"), F.explode_outer(paragraphs(F.col("_x.t"))).alias("_p"))
+    sums = units.groupBy("_a", "_b", "_n", "_end", "doc_id", "n_chars", "edited_sha256", "_w").agg(lane_sums(F.col("_p")).alias("lanes"))
+    follow = Window.partitionBy("_a", "_b").orderBy("_n", "_w")  # a document, its edited text, the next document
     pairs = sums.withColumn("_own", F.lead("lanes", 1).over(follow)).withColumn("_after", F.lead("lanes", 2).over(follow)).where("_w = 0 and _end = 0")
     return pairs.select("doc_id", "n_chars", "edited_sha256", to_hex(F.col("lanes")).alias("fingerprint"), to_hex(F.col("_own")).alias("edited_fingerprint"), likeness(F.col("lanes"), F.col("_own")).alias("near_edited"), likeness(F.col("lanes"), F.col("_after")).alias("near_next"))

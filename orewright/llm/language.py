@@ -119,21 +119,21 @@ def fit_languages(x: np.ndarray, langs: np.ndarray, families: dict[str, tuple[st
 
 
 def train_language(docs: DataFrame, rows_per_language: int = 800, most_languages: int = 200, families: dict[str, tuple[str, ...]] | None = None) -> LanguageModel:
-    """Learn from at most about ``rows_per_language`` documents of each language, chosen by a hash of the id among those that aren't held out and name a language."""
+    """Learn from at most about ``rows_per_language`` distinct documents of each language, chosen by a hash of id and text among those that aren't held out and name a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
-    number = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    number = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("n")).limit(most_languages + 1).collect()}
     if len(number) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     if not number:
         return LanguageModel({})
     limit = F.create_map(*[F.lit(v) for lang, n in number.items() for v in (lang, rows_per_language * (1 << 20) / n)])
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < limit[F.col("lang")])
+    sample = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 20)) < limit[F.col("lang")]).select("doc_id", "lang", "text").distinct()
 
     def run(batch):
         for part in slices(batch, most=1_000_000, rows=256):
             yield part, {"_x": pa.array([v.astype(np.float16).tobytes() for v in trigrams(part.column("text"))], pa.binary())}
 
-    got = arrow_map(sample, run, [T.StructField("_x", T.BinaryType())], ["doc_id", "lang"], ("text",)).orderBy("doc_id", "lang").toPandas()
+    got = arrow_map(sample, run, [T.StructField("_x", T.BinaryType())], ["doc_id", "lang"], ("text",)).orderBy("doc_id", "lang", F.xxhash64("_x")).toPandas()
     langs, x = got["lang"].to_numpy(), np.empty((len(got), DIMS), np.float32)
     for i, v in enumerate(got.pop("_x")):
         x[i] = np.frombuffer(v, np.float16)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from orewright.llm.pieces import slices
 from orewright.llm.tasks import arrow_map
+from orewright.plans.shared import scratch
 
 #: By byte: 0 other, 1 lower-case letter or part of a character over 127, 2 upper-case letter, 3 digit, 4 white space, 5 full stop or comma, 6 other mark.
 _KIND = np.array([4 if b in (9, 10, 11, 12, 13, 32) else 1 if 97 <= b <= 122 or b > 127 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 5 if b in b".," else 6 if 33 <= b < 127 else 0 for b in range(256)], np.uint8)
@@ -76,13 +77,16 @@ class PairwiseModel:
     cut: float
     at: float
 
+    def strength(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.spread, -8, 8) @ self.weight
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        strength = np.clip((x - self.mean) / self.spread, -8, 8) @ self.weight - self.cut
+        strength = self.strength(x) - self.cut
         return 1 / (1 + np.exp(-np.clip(strength + np.log(self.at / (1 - self.at)), -40, 40)))
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, share: float, at: float = 0.3, pairs: int = 20_000, steps: int = 400, penalty: float = 1e-3, seed: int = 7) -> PairwiseModel:
-    """Fit on ``pairs`` pairs drawn from the sampled rows; ``share`` is the share of rejected labels among all."""
+def fit_pairs(x: np.ndarray, y: np.ndarray, at: float = 0.3, pairs: int = 20_000, steps: int = 400, penalty: float = 1e-3, seed: int = 7) -> PairwiseModel:
+    """Weights from ``pairs`` pairs drawn from the sampled rows. With one label alone, all documents are on its side of the cut."""
     mean, spread = x.mean(0), x.std(0) + 1e-9
     z = np.clip((x - mean) / spread, -8, 8)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -95,15 +99,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, share: float, at: float = 0.3, pairs
             g = -(d * (1 / (1 + np.exp(np.clip(d @ w, -40, 40))))[:, None]).mean(0) + penalty * w
             first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
             w -= 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    # the sample holds both labels in other shares than all rows: weigh it back
-    s = z @ w
-    weight = np.where(y == 1, (1 - share) / max(len(good), 1), share / max(len(bad), 1))
-    order = np.argsort(s, kind="stable")
-    if len(good) and len(bad):
-        at_share = min(int(np.searchsorted(np.cumsum(weight[order]), share - 1e-9)), len(s) - 1)
-        cut = float(s[order][at_share : at_share + 2].mean())  # between the last strength at the share and the next
-    else:
-        cut = 1e9 if len(bad) else -1e9
+    cut = 0.0 if len(good) and len(bad) else 1e9 if len(bad) else -1e9
     return PairwiseModel(mean, spread, w, cut, at)
 
 
@@ -113,28 +109,51 @@ def held_out(doc_id: Column, parts: int = 5, part: int = 0) -> Column:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_label: int = 5000, at: float = 0.3) -> PairwiseModel:
-    """Learn from at most about ``rows_per_label`` rows of each label, chosen by a hash of the id, so the driver holds a bounded table of features.
+    """Learn weights from about ``rows_per_label`` distinct rows of each label, chosen by a hash, so the driver holds a bounded table of features; the cut is the quantile of the
+    strengths of all documents with a label, at the share of those that are rejected.
 
     Rows whose label is null, or that are held out, teach nothing. Of repeated labels the mean counts, rejected where it is under a half. With one label alone, all
-    documents score that label.
+    documents score that label. Rows of one id are chosen each on its own, and equal ones count once.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
     number = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    untaught = PairwiseModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), -1e9, at)
     if not number:
-        return PairwiseModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), -1e9, at)
+        return untaught
     u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
-    limit = F.when(F.col("_y") == 1, rows_per_label * (1 << 20) / max(number.get(1, 1), 1)).otherwise(rows_per_label * (1 << 20) / max(number.get(0, 1), 1))
-    chosen = known.where(u < limit)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most about twice rows_per_label rows
+    limit = lambda n: F.when(F.col("_y") == 1, rows_per_label * (1 << 20) / max(n.get(1, 1), 1)).otherwise(rows_per_label * (1 << 20) / max(n.get(0, 1), 1))
+    chosen = known.where(u < limit(number))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ids: at most about twice rows_per_label
+    there = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("n")).collect()}
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(12)), F.lit(1 << 20)) < limit(there)).dropDuplicates(["doc_id", "text"])
 
     def run(batch):
         for part in slices(batch):
             yield part, {"_x": pa.array(list(features(part.column("text"))), pa.list_(pa.float64()))}
 
-    got = arrow_map(sample, run, [T.StructField("_x", T.ArrayType(T.DoubleType()))], ["doc_id", "_y"], ("text",)).orderBy("doc_id").toPandas()
+    got = arrow_map(sample, run, [T.StructField("_x", T.ArrayType(T.DoubleType()))], ["doc_id", "_y"], ("text",)).orderBy("doc_id", F.hash("_x")).toPandas()
     if not len(got):
-        return PairwiseModel(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), -1e9, at)
-    return fit_pairs(np.stack(got["_x"]), got["_y"].to_numpy(), number.get(0, 0) / sum(number.values()), at)
+        return untaught
+    model = fit_pairs(np.stack(got["_x"]), got["_y"].to_numpy(), at)
+    if abs(model.cut) < 1e9:
+        model.cut = _quantile(docs, known, model)
+    return model
+
+
+def _quantile(docs: DataFrame, known: DataFrame, model: PairwiseModel) -> float:
+    """Half way between the strength at the share of rejected documents, of all that have a label, and the next above it."""
+
+    def run(batch):
+        for part in slices(batch):
+            yield part, {"_s": pa.array(model.strength(features(part.column("text"))))}
+
+    with scratch(docs.sparkSession, "strengths") as own:
+        strengths = arrow_map(docs.select("doc_id", "text").where("doc_id is not null"), run, [T.StructField("_s", T.DoubleType())], ["doc_id"], ("text",))
+        found = own.keep(strengths.join(known, "doc_id"), "labelled")
+        share = found.agg(F.avg(1 - F.col("_y"))).first()[0]
+        at = found.agg(F.percentile_approx("_s", share, 100_000)).first()[0]
+        below, above = found.agg(F.max(F.when(F.col("_s") <= at, F.col("_s"))), F.min(F.when(F.col("_s") > at, F.col("_s")))).first()
+    return (below + (below if above is None else above)) / 2
 
 
 def score_quality(docs: DataFrame, model: PairwiseModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -13,17 +13,15 @@ from orewright.llm.tasks import small_batches
 from orewright.plans.shared import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document goes if its quality score is below this; at 0.3 a score predicts the label, and rejecting asks for more than that.
-LEAST_QUALITY = 0.15
 #: A document goes if its language is ``und``, or its score is under those of all but this share of the documents that name the language predicted for them.
 LANGUAGE_SHARE = 0.005
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise ranking of ``labels.quality`` doesn't reject."""
+    """Documents that the pairwise ranking of ``labels.quality`` doesn't reject: those over the quantile of its scores."""
     small_batches(spark)
     model = qualities.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return qualities.score_quality(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
+    return qualities.score_quality(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

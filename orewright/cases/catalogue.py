@@ -16,9 +16,16 @@ def tagged(v):
 case("p01_filter_assets", lambda v: c.filter_assets(tagged(v), v.listings, v.album_models, c.Filters(root_id=1, formats=["obj", "glb"], watertight=True, min_extent=20.0, max_extent=120.0, min_triangles=24, has_listing=False, status="ok")).select("id", "name", "size_bytes"),
      "SELECT id, name, size_bytes FROM assets WHERE root_id = 1 AND format IN ('obj', 'glb') AND watertight AND bbox_x IS NOT NULL AND greatest(bbox_x, bbox_y, bbox_z) BETWEEN 20 AND 120 AND triangles >= 24 AND status = 'ok' AND id NOT IN (SELECT model_id FROM listings)")
 case("p01_dupes_only", lambda v: c.filter_assets(tagged(v), v.listings, v.album_models, c.Filters(dupes_only=True, album_id=3)).select("id", "sha256"),
-     "WITH own AS (SELECT * FROM assets WHERE id IN (SELECT model_id FROM album_models WHERE album_id = 3)) SELECT id, sha256 FROM own WHERE sha256 IN (SELECT sha256 FROM own GROUP BY sha256 HAVING count(*) > 1)")
-case("p02_tag_containment", lambda v: tagged(v).join(v.sql("SELECT min(tag1) AS t1, min(tag2) AS t2 FROM assets"), F.array_contains("tags", F.col("t1")) | F.array_contains("tags", F.col("t2"))).select("id", "tag1", "tag2"),
-     "WITH w AS (SELECT min(tag1) AS t1, min(tag2) AS t2 FROM assets) SELECT id, tag1, tag2 FROM assets, w WHERE tag1 = t1 OR tag2 = t1 OR tag1 = t2 OR tag2 = t2")
+     "WITH own AS (SELECT * FROM assets WHERE id IN (SELECT model_id FROM album_models WHERE album_id = 3)) SELECT id, sha256 FROM own WHERE EXISTS (SELECT 1 FROM assets o WHERE o.sha256 = own.sha256 AND o.id <> own.id)")
+
+
+def two_tags(v):
+    """Two tags that one asset at least has together."""
+    return list(v.sql("SELECT tag1, tag2 FROM assets WHERE id = (SELECT max(id) FROM assets)").first())
+
+
+case("p02_tag_containment", lambda v: tagged(v).where(c.has_tags(F.col("tags"), two_tags(v))).select("id", "tag1", "tag2"),
+     "WITH w AS (SELECT tag1 AS t1, tag2 AS t2 FROM assets WHERE id = (SELECT max(id) FROM assets)) SELECT id, tag1, tag2 FROM assets, w WHERE (tag1 = t1 OR tag2 = t1) AND (tag1 = t2 OR tag2 = t2)")
 case("p03_in_album", lambda v: c.in_album(v.assets, v.album_models, 4).select("id", "name"), "SELECT id, name FROM assets WHERE id IN (SELECT model_id FROM album_models WHERE album_id = 4)")
 case("p04_with_listing_flag", lambda v: c.with_listing_flag(v.assets, v.listings).select("id", "has_listing"), "SELECT id, id IN (SELECT model_id FROM listings) AS has_listing FROM assets")
 case("p08_normalise_tags", lambda v: v.assets.select("id", F.array_join(c.normalise_tags(F.array(F.concat(F.lit("  "), F.upper("tag1")), F.lit(" "), "tag2", F.concat(F.regexp_replace("tag1", " ", "   ")), "tag2")), "|").alias("tags")),
@@ -31,8 +38,10 @@ case("j01_assign_dupe_of", lambda v: c.assign_dupe_of(v.assets).select("id", "du
 case("j02_near_pairs", lambda v: c.near_pairs(v.assets), f"WITH {PAIRS} SELECT a, b FROM pairs")
 case("j03_near_groups", lambda v: c.near_groups(v.assets), f"""WITH RECURSIVE {PAIRS}, both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON r.other = w.a)
  SELECT node, min(other) AS label FROM reach GROUP BY node""")
-case("j04_dupes_for", lambda v: c.dupes_for(v.assets, v.sql("SELECT max(lowest) AS id FROM (SELECT min(id) AS lowest FROM assets GROUP BY sha256 HAVING count(*) > 1)").first()["id"] if False else 1),
-     f"WITH {PAIRS}, e AS (SELECT id FROM assets WHERE id <> 1 AND sha256 = (SELECT sha256 FROM assets WHERE id = 1)) SELECT id, 'exact' AS kind FROM e UNION ALL SELECT CASE WHEN a = 1 THEN b ELSE a END AS id, 'near' AS kind FROM pairs WHERE (a = 1 OR b = 1) AND CASE WHEN a = 1 THEN b ELSE a END NOT IN (SELECT id FROM e)")
+#: The lowest id of the hash that most measured assets share.
+MANY = "SELECT id FROM (SELECT min(id) AS id, count(*) AS n FROM assets WHERE bbox_x IS NOT NULL GROUP BY sha256) x ORDER BY n DESC, id LIMIT 1"
+case("j04_dupes_for", lambda v: c.dupes_for(v.assets, v.sql(MANY).first()["id"]),
+     f"WITH {PAIRS}, m AS ({MANY}), e AS (SELECT a.id FROM assets a JOIN assets o USING (sha256), m WHERE o.id = m.id AND a.id <> m.id), n AS (SELECT CASE WHEN a = m.id THEN b ELSE a END AS id FROM pairs, m WHERE a = m.id OR b = m.id) SELECT id, 'exact' AS kind FROM e UNION ALL SELECT id, 'near' FROM n WHERE id NOT IN (SELECT id FROM e)")
 case("j05_shape_candidates", lambda v: c.shape_candidates(v.assets.withColumn("bbox_y", F.col("bbox_y") + F.col("id") % 13).withColumn("bbox_z", F.col("bbox_z") + F.col("id") % 7), v.assets.where("id % 50 = 1"), 0.05, 20),
      """WITH w AS (SELECT *, nullif(min(id) OVER (PARTITION BY sha256), id) AS dupe_of FROM assets), x AS (SELECT id, sha256, watertight, dupe_of, list_sort([bbox_x, bbox_y + id % 13, bbox_z + id % 7]) AS e FROM w WHERE bbox_x IS NOT NULL),
      y AS (SELECT *, e[1] / e[3] AS p, e[2] / e[3] AS q FROM x WHERE e[3] > 0), z AS (SELECT a.id AS query, b.id, abs(a.p - b.p) + abs(a.q - b.q) AS distance FROM y a JOIN y b ON a.id <> b.id AND a.sha256 <> b.sha256 AND a.id % 50 = 1 AND b.watertight AND b.dupe_of IS NULL),

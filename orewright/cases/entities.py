@@ -26,7 +26,7 @@ HOSTS = "SELECT page_id AS id, split_part(split_part(split_part(split_part(url,
 case("j18_resolve_merchants", lambda v: e.resolve_merchants(v.sql(HOSTS), "host", v.sql("SELECT * FROM (VALUES ('example.org', 'Org'), ('www.therti.example.org', 'Therti'), ('example.net', 'Net')) AS m(domain, merchant)"), v.sql("SELECT * FROM (VALUES ('^blog', 2, 'Blog'), ('th', 1, 'Th')) AS p(pattern, priority, merchant)")),
      f"""WITH h AS ({HOSTS}) SELECT id, host, CASE WHEN host = 'www.therti.example.org' THEN 'Therti' WHEN host LIKE '%.example.org' THEN 'Org' WHEN host LIKE '%.example.net' THEN 'Net' WHEN contains(host, 'th') THEN 'Th' WHEN host LIKE 'blog%' THEN 'Blog' END AS merchant,
      CASE WHEN host LIKE '%.example.org' OR host LIKE '%.example.net' THEN 'domain' WHEN contains(host, 'th') OR host LIKE 'blog%' THEN 'pattern' END AS by FROM h""")
-NAMES = "SELECT p_partkey AS id, concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' Deluxe' ELSE '' END) AS name FROM part WHERE p_partkey < 150"
+NAMES = "SELECT p_partkey AS id, concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' Deluxe' ELSE '' END) AS name FROM part"
 case("j19_similar_names", lambda v: e.similar_names(v.sql(NAMES), v.sql("SELECT s_suppkey AS id, concat(p_name, ' ', p_type) AS name FROM supplier JOIN part ON p_partkey = s_suppkey + 40")),
      f"""WITH a AS (SELECT id AS a, list_distinct(string_split(lower(name), ' ')) AS w FROM ({NAMES})), b AS (SELECT s_suppkey AS b, list_distinct(regexp_extract_all(lower(concat(p_name, ' ', p_type)), '[a-z0-9]+')) AS w FROM supplier JOIN part ON p_partkey = s_suppkey + 40),
      j AS (SELECT a, b, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS na, len(b.w) AS nb FROM a, b) SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM j WHERE k > 0 AND (k = least(na, nb) OR k / (na + nb - k) >= 0.5)""")

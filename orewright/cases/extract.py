@@ -38,14 +38,18 @@ CHECKS = f"""f AS ({FACTS}), r AS (SELECT id, list_filter([CASE WHEN area < 5000
 case("g09_screen_parcels", lambda v: screened(v).select("id", "accepted", F.array_join(F.transform("reasons", lambda r: F.split_part(r, F.lit(" "), F.lit(1))), ",").alias("rules")), f"WITH {CHECKS} SELECT id, len(rules) = 0 AS accepted, array_to_string(rules, ',') AS rules FROM r")
 case("a12_screening_summary", lambda v: s.screening_summary(screened(v)), f"WITH {CHECKS}, u AS (SELECT unnest(rules) AS rule FROM r) SELECT rule, count(*) AS n FROM u GROUP BY rule")
 case("g12_cluster_mesh", lambda v: s.cluster_mesh(boxes(v), 7.0).groupBy("model_id").agg(F.count("*").alias("faces")), None)
-SPOTS = "SELECT id, x0 / 10 AS x0, y0 / 10 AS y0, x0 / 10 + 12 AS x1, y0 / 10 + 9 AS y1 FROM parcels WHERE id < 60"
-case("a08_footprint_heights", lambda v: s.footprint_heights(v.sql(SPOTS), v.cells, 4.0, 2.0, 12.0),
-     f"""WITH b AS ({SPOTS}), c AS (SELECT row, col, z, col * 4.0e0 AS x, row * 4.0e0 AS y FROM cells WHERE z IS NOT NULL), i AS (SELECT id, row, col, z FROM b JOIN c ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1), o AS (SELECT id, z FROM b JOIN c ON sqrt(power(greatest(x0 - x, 0, x - x1), 2) + power(greatest(y0 - y, 0, y - y1), 2)) BETWEEN 2 AND 12 WHERE (row, col) NOT IN (SELECT (row, col) FROM i)),
-     g AS (SELECT id, quantile_cont(z, 0.2) AS ground FROM o GROUP BY id HAVING count(*) >= 8), q AS (SELECT id, quantile_cont(z, 0.25) AS e, quantile_cont(z, 0.9) AS r, quantile_cont(z, 0.995) AS t FROM i GROUP BY id) SELECT id, round(ground, 6) AS ground, round(e - ground, 6) AS eaves, round(r - ground, 6) AS roof, round(t - ground, 6) AS top FROM g JOIN q USING (id)""")
+SPOTS = "SELECT s_suppkey AS id, s_suppkey * 22.0e0 AS x0, s_suppkey * 29 % 80 * 1.0e0 AS y0, s_suppkey * 22.0e0 + 12 AS x1, s_suppkey * 29 % 80 + 9.0e0 AS y1 FROM supplier UNION ALL SELECT 1000000 + s_suppkey, s_suppkey * 22.0e0 + 13, s_suppkey * 29 % 80 * 1.0e0, s_suppkey * 22.0e0 + 20, s_suppkey * 29 % 80 + 40.0e0 FROM supplier WHERE s_suppkey % 4 = 0"
+case("a08_footprint_heights", lambda v: s.footprint_heights(v.sql(SPOTS), v.cells, 4.0, 2.0, 5.0),
+     f"""WITH b AS ({SPOTS}), c AS (SELECT row, col, z, col * 4.0e0 AS x, row * 4.0e0 AS y FROM cells WHERE z IS NOT NULL), i AS (SELECT id, row, col, z FROM b JOIN c ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1), far AS (SELECT id, z, sqrt(power(greatest(x0 - x, 0, x - x1), 2) + power(greatest(y0 - y, 0, y - y1), 2)) AS d FROM b JOIN c ON x BETWEEN x0 - 12.5 AND x1 + 12.5 AND y BETWEEN y0 - 12.5 AND y1 + 12.5 WHERE (row, col) NOT IN (SELECT (row, col) FROM i)),
+     g1 AS (SELECT id, quantile_cont(z, 0.2) AS ground FROM far WHERE d > 2 AND d <= 5 GROUP BY id HAVING count(*) >= 8), g2 AS (SELECT id, quantile_cont(z, 0.2) AS ground FROM far WHERE d > 2 AND d <= 12.5 AND id NOT IN (SELECT id FROM g1) GROUP BY id HAVING count(*) >= 8), g AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2), q AS (SELECT id, quantile_cont(z, 0.25) AS e, quantile_cont(z, 0.9) AS r, quantile_cont(z, 0.995) AS t FROM i GROUP BY id) SELECT id, round(ground, 6) AS ground, round(greatest(e - ground, 0), 6) AS eaves, round(greatest(r - ground, 0), 6) AS roof, round(greatest(t - ground, 0), 6) AS top FROM g JOIN q USING (id)""")
+
+
+#: The node of each candidate site.
+STARTS = "SELECT DISTINCT CAST(s_suppkey * 19 % (SELECT count(*) FROM part) AS INT) AS node FROM supplier"
 
 
 def paths(v):
-    nodes = n.reach_nodes(edges(v), v.geo_nodes.where("node IN (0, 12)").select(F.col("node").cast("long").alias("site"), "node", F.lit(0.0).alias("seconds")), 900.0)
+    nodes = n.reach_nodes(edges(v), v.sql(STARTS).select(F.col("node").cast("long").alias("site"), "node", F.lit(0.0).alias("seconds")), 500.0)
     walked = n.shortest_paths(nodes, nodes.select("site", "node"))
     steps = walked.select("site", "target", "step", F.col("node").alias("dst")).join(walked.select("site", "target", (F.col("step") - 1).alias("step"), F.col("node").alias("src")), ["site", "target", "step"])
     length = steps.join(edges(v).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "seconds"), ["src", "dst"]).groupBy("site", "target").agg(F.sum("seconds").alias("s"))
@@ -53,5 +57,5 @@ def paths(v):
 
 
 case("g03_shortest_paths", paths,
-     """WITH RECURSIVE e AS (SELECT src, dst, min(seconds) AS seconds FROM (SELECT a AS src, b AS dst, 1000 / (speed_kmh / 3.6e0) AS seconds FROM geo_lines UNION ALL SELECT b, a, 1000 / (speed_kmh / 3.6e0) FROM geo_lines WHERE NOT oneway) GROUP BY src, dst), w(site, node, s) AS (SELECT node, node, 0.0e0 FROM geo_nodes WHERE node IN (0, 12) UNION SELECT w.site, e.dst, round(w.s + e.seconds, 7) FROM w JOIN e ON e.src = w.node WHERE w.s + e.seconds <= 900)
-     SELECT CAST(site AS BIGINT) AS site, CAST(node AS BIGINT) AS target, round(min(s), 6) AS seconds FROM w WHERE node <> site GROUP BY site, node""")
+     """WITH RECURSIVE e AS (SELECT src, dst, min(seconds) AS seconds FROM (SELECT a AS src, b AS dst, 1000 / (speed_kmh / 3.6e0) AS seconds FROM geo_lines UNION ALL SELECT b, a, 1000 / (speed_kmh / 3.6e0) FROM geo_lines WHERE NOT oneway) GROUP BY src, dst), w(site, node, s) AS (SELECT node, node, 0.0e0 FROM (STARTS) UNION SELECT w.site, e.dst, round(w.s + e.seconds, 7) FROM w JOIN e ON e.src = w.node WHERE w.s + e.seconds <= 500)
+     SELECT CAST(site AS BIGINT) AS site, CAST(node AS BIGINT) AS target, round(min(s), 6) AS seconds FROM w WHERE node <> site GROUP BY site, node""".replace("STARTS", STARTS))

@@ -58,8 +58,8 @@ case("a17_net_balances", lambda v: g.net_balances(v.tx), f"WITH {NET} SELECT * F
 case("a17_settle_groups", lambda v: g.settle_groups(g.net_balances(v.tx)),
      f"""WITH {NET}, r AS (SELECT *, net > 0 AS side, CAST(sum(abs(net)) OVER (PARTITION BY grp, net > 0 ORDER BY abs(net) DESC, member ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM net WHERE net <> 0)
      SELECT d.grp, d.member AS debtor, c.member AS creditor, least(d.upto, c.upto) - greatest(d.upto - abs(d.net), c.upto - abs(c.net)) AS cents FROM r d JOIN r c ON d.grp = c.grp AND NOT d.side AND c.side AND d.upto - abs(d.net) < c.upto AND c.upto - abs(c.net) < d.upto""")
-case("w09_allocate_cents", lambda v: g.allocate_cents(v.sql("SELECT l_orderkey AS o, l_linenumber AS n, CAST(1001 + l_orderkey % 97 AS BIGINT) AS total, CAST(l_quantity AS BIGINT) AS w FROM lineitem"), "o", "total", "w", "n"),
+case("w09_allocate_cents", lambda v: g.allocate_cents(v.sql("SELECT l_orderkey AS o, l_linenumber AS n, CAST(1001 + l_orderkey % 97 AS BIGINT) AS total, CAST(l_quantity AS BIGINT) AS w FROM lineitem"), "o", "total", "w", ["n", "w"]),
      """WITH x AS (SELECT l_orderkey AS o, l_linenumber AS n, CAST(1001 + l_orderkey % 97 AS BIGINT) AS total, CAST(l_quantity AS BIGINT) AS w FROM lineitem), y AS (SELECT *, total * w // CAST(sum(w) OVER (PARTITION BY o) AS BIGINT) AS whole, total * w % CAST(sum(w) OVER (PARTITION BY o) AS BIGINT) AS rest FROM x),
-     z AS (SELECT *, total - CAST(sum(whole) OVER (PARTITION BY o) AS BIGINT) AS remaining, row_number() OVER (PARTITION BY o ORDER BY rest DESC, n) AS k FROM y) SELECT o, n, total, w, whole + CASE WHEN k <= remaining THEN 1 ELSE 0 END AS share FROM z""")
+     z AS (SELECT *, total - CAST(sum(whole) OVER (PARTITION BY o) AS BIGINT) AS remaining, row_number() OVER (PARTITION BY o ORDER BY rest DESC, n, w) AS k FROM y) SELECT o, n, total, w, whole + CASE WHEN k <= remaining THEN 1 ELSE 0 END AS share FROM z""")
 AMOUNTS = "SELECT o_orderkey AS id, o_custkey % 10 AS grp, CASE WHEN o_custkey % 10 < 5 THEN concat(CAST(o_orderkey % 900 AS VARCHAR(9)), '.000,', CAST(10 + o_orderkey % 90 AS VARCHAR(9)), ' EUR') ELSE concat('$', CAST(o_orderkey % 900 AS VARCHAR(9)), ',000.', CAST(10 + o_orderkey % 90 AS VARCHAR(9))) END AS amount FROM orders"
 case("t22_parse_amounts", lambda v: g.parse_amounts(v.sql(AMOUNTS), "amount", "grp").select("id", "cents"), "SELECT o_orderkey AS id, o_orderkey % 900 * 100000 + 10 + o_orderkey % 90 AS cents FROM orders")

@@ -4,27 +4,33 @@ from orewright.cases import case
 from orewright.operators import network as n
 from orewright.operators import spatial as s
 
-GRAD = """g AS (SELECT row, col, z, class, CASE WHEN col = 0 THEN (lead(z) OVER h - z) / 10 WHEN col = 24 THEN (z - lag(z) OVER h) / 10 ELSE (lead(z) OVER h - lag(z) OVER h) / 20 END AS gx, CASE WHEN row = 0 THEN (lead(z) OVER v - z) / 10 WHEN row = 24 THEN (z - lag(z) OVER v) / 10 ELSE (lead(z) OVER v - lag(z) OVER v) / 20 END AS gy
+GRAD = """g AS (SELECT row, col, z, class, CASE WHEN col = 0 THEN (lead(z) OVER h - z) / 10 WHEN col = (SELECT max(col) FROM cells) THEN (z - lag(z) OVER h) / 10 ELSE (lead(z) OVER h - lag(z) OVER h) / 20 END AS gx, CASE WHEN row = 0 THEN (lead(z) OVER v - z) / 10 WHEN row = 24 THEN (z - lag(z) OVER v) / 10 ELSE (lead(z) OVER v - lag(z) OVER v) / 20 END AS gy
  FROM cells WINDOW h AS (PARTITION BY row ORDER BY col), v AS (PARTITION BY col ORDER BY row))"""
 case("w02_slope_pct", lambda v: s.slope_pct(v.cells, 10.0, 10.0).select("row", "col", F.round("slope", 6).alias("slope")), f"WITH {GRAD} SELECT row, col, round(100 * sqrt(gx * gx + gy * gy), 6) AS slope FROM g")
 
 
 def near(stat, r):
-    return f"SELECT a.row, a.col, a.z, {stat} FROM cells a LEFT JOIN cells b ON abs(a.row - b.row) <= {r} AND abs(a.col - b.col) <= {r} GROUP BY a.row, a.col, a.z"
+    return f"SELECT a.row, a.col, a.z, {stat} FROM cells a, range({-r}, {r} + 1) i(i), range({-r}, {r} + 1) j(j) LEFT JOIN cells b ON b.row = a.row + i.i AND b.col = a.col + j.j GROUP BY a.row, a.col, a.z"
 
 
 case("w03_focal", lambda v: s.focal(s.focal(v.cells, "mean", 2, "mean"), "max", 2, "high").select("row", "col", F.round("mean", 6).alias("mean"), "high"), f"SELECT row, col, mean, high FROM ({near('round(avg(b.z), 6) AS mean, max(b.z) AS high', 2)})")
 case("w03_height_above_ground", lambda v: s.height_above_ground(v.cells, 2).select("row", "col", F.round("height", 6).alias("height")),
-     f"WITH low AS ({near('min(b.z) AS low', 2)}) SELECT a.row, a.col, round(a.z - avg(b.low), 6) AS height FROM low a JOIN low b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY a.row, a.col, a.z")
+     f"WITH low AS ({near('min(b.z) AS low', 2)}) SELECT a.row, a.col, round(a.z - avg(b.low), 6) AS height FROM low a, range(-2, 3) i(i), range(-2, 3) j(j) JOIN low b ON b.row = a.row + i.i AND b.col = a.col + j.j GROUP BY a.row, a.col, a.z")
 case("w04_local_peaks", lambda v: s.local_peaks(v.cells, 1, 20.0), f"SELECT row, col, z FROM ({near('max(b.z) AS top', 1)}) WHERE z = top AND z >= 20")
-case("w05_suppress_peaks", lambda v: s.suppress_peaks(s.local_peaks(v.cells, 1, 5.0), 3), None)
+case("w05_suppress_peaks", lambda v: s.suppress_peaks(s.local_peaks(v.cells, 1, 5.0), 3),
+     f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY z DESC, row, col) AS k FROM ({near('max(b.z) AS top', 1)}) WHERE z = top AND z >= 5), 
+     nb AS (SELECT a.k AS k, list(b.k) AS above FROM p a JOIN p b ON b.k < a.k AND abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 GROUP BY a.k),
+     -- in order of height, a peak stays unless one that stays is near it
+     o AS (SELECT list({{'k': p.k, 'above': coalesce(nb.above, []), 'kept': CAST([] AS BIGINT[])}} ORDER BY p.k) AS l FROM p LEFT JOIN nb ON nb.k = p.k),
+     w AS (SELECT list_reduce(l, lambda s, x: {{'k': x.k, 'above': x.above, 'kept': CASE WHEN list_has_any(x.above, s.kept) THEN s.kept ELSE list_append(s.kept, x.k) END}}, {{'k': CAST(0 AS BIGINT), 'above': CAST([] AS BIGINT[]), 'kept': CAST([] AS BIGINT[])}}).kept AS kept FROM o)
+     SELECT row, col, z FROM p WHERE k IN (SELECT unnest(kept) FROM w)""")
 case("w06_terrain_mask", lambda v: s.terrain_mask(v.cells, 10.0, 10.0, 40.0).groupBy("band").agg(F.count("*").alias("n")),
      f"WITH {GRAD} SELECT CASE WHEN z IS NULL OR sqrt(gx * gx + gy * gy) IS NULL THEN NULL WHEN 100 * sqrt(gx * gx + gy * gy) > 60 THEN 'rock' WHEN z >= 40 THEN 'snow' WHEN z >= 36 THEN 'mixed' ELSE 'low' END AS band, count(*) AS n FROM g GROUP BY 1")
 case("a09_class_area", lambda v: s.class_area(v.cells, 0.001, 42.0).withColumn("m2", F.round("m2", 3)), "SELECT class, count(*) AS cells, round(sum(111.32e0 * 111.32e0 * cos(radians(42.0e0 - row * 0.001e0))), 3) AS m2 FROM cells GROUP BY class")
 TWO = "SELECT row, col, z, 1 AS priority FROM cells WHERE col < 15 UNION ALL SELECT row, col, z + CASE WHEN (row + col) % 3 = 0 THEN 2 ELSE -2 END, 2 FROM cells WHERE col >= 10"
 case("a11_mosaic", lambda v: s.mosaic(v.sql(TWO)), f"SELECT row, col, max(z) AS z FROM ({TWO}) GROUP BY row, col")
 case("a11_mosaic_priority", lambda v: s.mosaic(v.sql(TWO), "priority"), f"SELECT row, col, arg_max(z, priority) FILTER (z IS NOT NULL) AS z FROM ({TWO}) GROUP BY row, col")
-POINTS = "SELECT p_partkey AS id, (p_partkey * 37 % 2400) / 10.0e0 AS x, (p_partkey * 53 % 2400) / 10.0e0 AS y FROM part"
+POINTS = "SELECT p_partkey AS id, (p_partkey * 37 % 2400) / 10.0e0 + 240 * floor(p_partkey / 200) AS x, (p_partkey * 53 % 2500) / 10.0e0 AS y FROM part"
 case("j22_sample_grid", lambda v: s.sample_grid(v.sql(POINTS), v.cells, 10.0).select("id", F.round("z", 6).alias("z")),
      f"""WITH p AS (SELECT id, y / 10 - floor(y / 10) AS fy, x / 10 - floor(x / 10) AS fx, CAST(floor(y / 10) AS INT) AS r, CAST(floor(x / 10) AS INT) AS c FROM ({POINTS})), k AS (SELECT id, r + a AS row, c + b AS col, (CASE WHEN a = 1 THEN fy ELSE 1 - fy END) * (CASE WHEN b = 1 THEN fx ELSE 1 - fx END) AS w FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b))
      SELECT id, round(CASE WHEN count_if(z IS NULL) > 0 THEN 0 ELSE sum(w * z) END, 6) AS z FROM k LEFT JOIN cells USING (row, col) WHERE w > 0 GROUP BY id""")
@@ -56,9 +62,9 @@ case("j15_conflate_fill", lambda v: s.conflate_fill(v.sql(BASE), v.sql(EXTRA)),
      f"""WITH ba AS ({BASE}), ex AS ({EXTRA}), o AS (SELECT a.id AS e, b.id AS b, {AREA} AS area, a.height AS h, (a.x1 - a.x0) * (a.y1 - a.y0) AS whole FROM ex a JOIN ba b ON {MEET}), u AS (SELECT e FROM o GROUP BY e HAVING sum(area) >= any_value(whole) / 3),
      k AS (SELECT b, h, row_number() OVER (PARTITION BY b ORDER BY area DESC, e) AS k FROM o WHERE h IS NOT NULL) SELECT id, CASE WHEN estimated AND h IS NOT NULL THEN h ELSE height END AS height, estimated AND h IS NULL AS estimated, 'base' AS origin FROM ba LEFT JOIN k ON k.b = ba.id AND k.k = 1
      UNION ALL SELECT id, height, estimated, 'extra' FROM ex WHERE id NOT IN (SELECT e FROM u)""")
-CLOUD = "SELECT row * 25 + col AS id, col * 1.0e0 AS x, row * 1.0e0 AS y, z{0} AS z FROM cells WHERE z IS NOT NULL"
+CLOUD = "SELECT col * 25 + row AS id, col * 1.0e0 AS x, row * 1.0e0 AS y, z{0} AS z FROM cells WHERE z IS NOT NULL"
 case("j24_cloud_deviation", lambda v: s.cloud_deviation(v.sql(CLOUD.format("")), v.sql(CLOUD.format(" + CASE WHEN row = 3 AND col = 4 THEN 3.5e0 ELSE 0.1e0 END")), 0.5, 4.0),
-     f"""WITH a AS ({CLOUD.format("")}), b AS ({CLOUD.format(" + CASE WHEN row = 3 AND col = 4 THEN 3.5e0 ELSE 0.1e0 END")}), n AS (SELECT 'a to b' AS way, a.id, min(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))) AS d FROM a, b GROUP BY a.id UNION ALL SELECT 'b to a', b.id, min(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2))) FROM a, b GROUP BY b.id)
+     f"""WITH a AS ({CLOUD.format("")}), b AS ({CLOUD.format(" + CASE WHEN row = 3 AND col = 4 THEN 3.5e0 ELSE 0.1e0 END")}), pr AS (SELECT a.id AS a, b.id AS b, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS d FROM a, range(-4, 5) i(i), range(-4, 5) j(j) JOIN b ON b.x = a.x + i.i AND b.y = a.y + j.j), n AS (SELECT 'a to b' AS way, a AS id, min(d) AS d FROM pr GROUP BY a UNION ALL SELECT 'b to a', b, min(d) FROM pr GROUP BY b)
      SELECT way, count(*) AS n, round(max(d), 6) AS high, round(avg(d), 6) AS mean, round(sqrt(avg(d * d)), 6) AS rms, round(quantile_cont(d, 0.95), 6) AS p95, count_if(d > 0.5) AS "over" FROM n GROUP BY way""")
 LONLAT = "SELECT c_custkey AS id, -4.7e0 + (c_custkey % 101) * 0.001e0 AS lon, 41.6e0 + (c_custkey % 97) * 0.001e0 AS lat FROM customer"
 case("g11_project_local", lambda v: s.project_local(v.sql(LONLAT), -4.7, 41.6).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")),
@@ -75,10 +81,10 @@ def edges(v):
 
 def reach(v):
     access = lambda df: s.snap_points(df, v.geo_nodes, 60.0).withColumn("access_s", F.col("access") / 1.25)
-    return n.reach_network(edges(v), access(v.geo_candidates.where("id < 40")), access(v.geo_demand), 400.0)
+    return n.reach_network(edges(v), access(v.geo_candidates), access(v.geo_demand), 400.0)
 
 
-REACH = f"""{EDGES}, near(kind, id, node, access) AS (SELECT kind, id, node, round(sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2)), 9) / 1.25e0 FROM (SELECT 's' AS kind, id, x, y FROM geo_candidates WHERE id < 40 UNION ALL SELECT 'd', id, x, y FROM geo_demand) p JOIN geo_nodes g ON sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2)) <= 60),
+REACH = f"""{EDGES}, near(kind, id, node, access) AS (SELECT kind, id, node, round(sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2)), 9) / 1.25e0 FROM (SELECT 's' AS kind, id, x, y FROM geo_candidates UNION ALL SELECT 'd', id, x, y FROM geo_demand) p JOIN geo_nodes g ON sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2)) <= 60),
  walk(site, node, s) AS (SELECT id, node, access FROM near WHERE kind = 's' UNION SELECT site, e.dst, s + e.seconds FROM walk w JOIN e ON e.src = w.node WHERE s + e.seconds <= 400), best AS (SELECT site, node, min(s) AS s FROM walk GROUP BY site, node),
  reach AS (SELECT site, d.id AS demand, s + access AS cost FROM best JOIN near d ON d.kind = 'd' AND d.node = best.node WHERE s + access <= 400)"""
 case("g01_build_network", lambda v: edges(v).withColumn("seconds", F.round("seconds", 6)), f"WITH {EDGES} SELECT src, dst, round(seconds, 6) AS seconds FROM e")
@@ -101,5 +107,5 @@ GREEDY = ", ".join(f"""s{k} AS (SELECT site, round(sum(weight), 6) AS gain FROM
 case("g05_max_coverage_k3", lambda v: n.max_coverage(reach(v), weights(v), 3).withColumn("served", F.round("served", 4)),
      f"WITH RECURSIVE {REACH}, {GREEDY}, u AS (SELECT 1 AS step, * FROM b1 UNION ALL SELECT 2, * FROM b2 UNION ALL SELECT 3, * FROM b3) SELECT step, site, gain, round(sum(gain) OVER (ORDER BY step), 4) AS served FROM u")
 case("g06_min_sites", lambda v: n.min_sites(reach(v), weights(v), v.geo_candidates.select(F.col("id").alias("site"), F.col("cost").cast("double").alias("cost")), 0.3), None)
-case("g07_cross_check", lambda v: (lambda r, st: st.groupBy("a").agg(F.count("*").alias("straight")).join(r.groupBy(F.col("site").alias("a")).agg(F.count("*").alias("network")), "a", "left").select(F.col("a").alias("site"), "straight", F.coalesce("network", F.lit(0)).alias("network")))(reach(v), s.within_distance(v.geo_candidates.where("id < 40"), v.geo_demand, 1500.0)),
-     f"WITH RECURSIVE {REACH}, st AS (SELECT a.id AS site, count(*) AS straight FROM geo_candidates a JOIN geo_demand b ON sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 1500 WHERE a.id < 40 GROUP BY a.id) SELECT site, straight, coalesce((SELECT count(*) FROM reach r WHERE r.site = st.site), 0) AS network FROM st")
+case("g07_cross_check", lambda v: (lambda r, st: st.groupBy("a").agg(F.count("*").alias("straight")).join(r.groupBy(F.col("site").alias("a")).agg(F.count("*").alias("network")), "a", "left").select(F.col("a").alias("site"), "straight", F.coalesce("network", F.lit(0)).alias("network")))(reach(v), s.within_distance(v.geo_candidates, v.geo_demand, 1500.0)),
+     f"WITH RECURSIVE {REACH}, st AS (SELECT a.id AS site, count(*) AS straight FROM geo_candidates a JOIN geo_demand b ON sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 1500 GROUP BY a.id) SELECT site, straight, coalesce((SELECT count(*) FROM reach r WHERE r.site = st.site), 0) AS network FROM st")

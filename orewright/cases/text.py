@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 from orewright.cases import case
 from orewright.operators import text as t
 
-FOLD = f"lower(translate({{0}}, '{t.ACCENTED}', '{t.PLAIN}'))"
+FOLD = "lower(strip_accents({0}))"
 WORDS = "regexp_extract_all(" + FOLD.format("coalesce(text, '')") + r", '[\p{L}\p{N}]+')"
-TOKENS = f"tok AS (SELECT doc_id AS doc, unnest({WORDS}) AS term, CAST(len({WORDS}) AS BIGINT) AS length FROM documents)"
+TOKENS = f"wd AS MATERIALIZED (SELECT doc_id AS doc, {WORDS} AS w FROM documents), tok AS (SELECT doc, unnest(w) AS term, CAST(len(w) AS BIGINT) AS length FROM wd)"
 POSTINGS = f"{TOKENS}, post AS (SELECT doc, term, count(*) AS tf, any_value(length) AS length FROM tok GROUP BY doc, term)"
 QUERIES = "SELECT * FROM (VALUES (1, 'the thtions and ereds'), (2, 'Apache License Version'), (3, 'the of'), (4, 'sein Pathetic zu')) AS q(query, text)"
 TERMS = "terms(query, term, stem) AS (VALUES (1, 'thtions', 'thtion'), (1, 'ereds', 'ered'), (2, 'apache', 'apache'), (2, 'license', 'license'), (2, 'version', 'version'), (3, 'the', 'the'), (3, 'of', NULL), (4, 'sein', 'sein'), (4, 'pathetic', 'pathetic'), (4, 'zu', NULL))"
@@ -48,13 +48,15 @@ TOPK = """n AS (SELECT b.vec_id AS query, a.vec_id AS id, round(list_cosine_simi
 case("o05_vector_topk", nearest, f"WITH {TOPK} SELECT query, id, score, rank FROM top WHERE rank <= 10")
 case("t07_hybrid_search", lambda v: t.rrf(scores(v).where("query = 1").select(F.lit("words").alias("list"), F.col("doc").alias("id"), F.expr("row_number() over (order by round(score, 9) desc, doc)").alias("rank"), F.lit(1.0).alias("weight")).where("rank <= 200").unionAll(nearest(v, 50).where("query = 0").select(F.lit("vectors").alias("list"), "id", "rank", F.lit(1.0).alias("weight")))).withColumn("score", F.round("score", 9)),
      f"WITH {BM_SQL}, {TOPK}, l AS (SELECT * FROM (SELECT 'words' AS list, doc AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS rank FROM s WHERE query = 1) WHERE rank <= 200 UNION ALL SELECT 'vectors', id, rank FROM top WHERE query = 0 AND rank <= 50) SELECT id, round(sum(1.0e0 / (60 + rank)), 9) AS score, string_agg(list, ',' ORDER BY list) AS lists FROM l GROUP BY id")
-DIRTY = "SELECT doc_id, concat(replace(text, '. ', concat('.', chr(160), chr(13), chr(10), chr(10), chr(10), chr(10))), chr(8203), ' end-', chr(10), 'ing') AS text FROM documents"
+DIRTY = "SELECT doc_id, concat(CASE WHEN doc_id % 5 = 0 THEN replace(text, ' ', chr(10)) ELSE replace(text, '. ', concat('. ', chr(160), chr(13), chr(10), chr(10), chr(10), chr(10))) END, chr(8203), '   end-', chr(10), 'ing') AS text FROM documents"
 case("t08_clean_corpus", lambda v: t.clean_corpus(v.sql(DIRTY.replace("chr(160)", "decode(unhex('C2A0'), 'UTF-8')").replace("chr(8203)", "decode(unhex('E2808B'), 'UTF-8')"))).select("doc_id", F.md5("clean").alias("clean"), "before", "after"),
-     rf"""WITH d AS ({DIRTY}), a AS (SELECT doc_id, text, regexp_replace(text, '\r\n?', chr(10), 'g') AS x FROM d), b AS (SELECT doc_id, text, replace(replace(x, chr(8203), ''), chr(160), ' ') AS x FROM a), c AS (SELECT doc_id, text, regexp_replace(x, '(\p{{L}})-\n(\p{{Ll}})', '\1\2', 'g') AS x FROM b),
-     e AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(x, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', concat(chr(10), chr(10)), 'g')) AS x FROM c) SELECT doc_id, md5(x) AS clean, length(text) AS before, length(x) AS after FROM e""")
-case("t09_strip_repeated_lines", lambda v: t.strip_repeated_lines(v.sql("SELECT source, doc_id, concat('Page ', doc_id, chr(10), text, chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'All rights reserved' END) AS text FROM documents"), "source", "doc_id").select("doc_id", F.md5("text").alias("text")),
-     r"""WITH d AS (SELECT source, doc_id, string_split(concat('Page ', doc_id, chr(10), text, chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'All rights reserved' END), chr(10)) AS ls FROM documents), l AS (SELECT source, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
-     k AS (SELECT *, regexp_replace(trim(line), '\d+', '#', 'g') AS key FROM l), n AS (SELECT source, count(*) AS pages FROM documents GROUP BY source), c AS (SELECT source, key FROM k JOIN n USING (source) WHERE key <> '' AND length(key) <= 160 AND pages >= 3 GROUP BY source, key HAVING count(DISTINCT doc_id) > 0.5 * any_value(pages)),
+     rf"""WITH d AS ({DIRTY}), a AS (SELECT doc_id, text, regexp_replace(text, '\r\n?', chr(10), 'g') AS x FROM d), b AS (SELECT doc_id, text, regexp_replace(replace(x, chr(8203), ''), concat('[ \t', chr(160), ']+'), ' ', 'g') AS x FROM a), c AS (SELECT doc_id, text, regexp_replace(x, '(\p{{L}})-\n(\p{{Ll}})', '\1\2', 'g') AS x FROM b),
+     e AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(x, ' *\n *', chr(10), 'g'), '\n{{3,}}', concat(chr(10), chr(10)), 'g'), '^\s+|\s+$', '', 'g') AS x FROM c), f AS (SELECT *, list_filter(string_split(x, chr(10)), lambda l: trim(l) <> '') AS ls FROM e),
+     g AS (SELECT doc_id, text, CASE WHEN len(ls) >= 20 AND len(list_filter(ls, lambda l: NOT contains(trim(l), ' '))) / len(ls) > 0.6 AND list_sort(list_transform(ls, lambda l: length(l)))[len(ls) // 2 + 1] <= 14 THEN regexp_replace(x, '\s*\n+\s*', ' ', 'g') ELSE x END AS x FROM f)
+     SELECT doc_id, md5(x) AS clean, length(text) AS before, length(x) AS after FROM g""")
+case("t09_strip_repeated_lines", lambda v: t.strip_repeated_lines(v.sql("SELECT source, doc_id, concat(CASE WHEN doc_id % 2 = 0 THEN 'PAGE ' ELSE 'Page ' END, doc_id, chr(10), text, chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'All rights reserved' END) AS text FROM documents"), "source", "doc_id").select("doc_id", F.md5("text").alias("text")),
+     r"""WITH d AS (SELECT source, doc_id, string_split(concat(CASE WHEN doc_id % 2 = 0 THEN 'PAGE ' ELSE 'Page ' END, doc_id, chr(10), text, chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'All rights reserved' END), chr(10)) AS ls FROM documents), l AS (SELECT source, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+     k AS (SELECT *, regexp_replace(lower(trim(line)), '\d+', '#', 'g') AS key FROM l), n AS (SELECT source, count(*) AS pages FROM documents GROUP BY source), c AS (SELECT source, key FROM k JOIN n USING (source) WHERE key <> '' AND length(key) <= 160 AND pages >= 3 GROUP BY source, key HAVING count(DISTINCT doc_id) > 0.5 * any_value(pages)),
      r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM k WHERE (source, key) NOT IN (SELECT (source, key) FROM c) GROUP BY doc_id) SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents LEFT JOIN r USING (doc_id) WHERE true""".replace("coalesce(text, '')", "coalesce(r.text, '')"))
 NEWER = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(text, chr(10), 'A new  line ', doc_id) WHEN doc_id % 3 = 1 THEN replace(text, 'the', 'THE') ELSE text END AS text FROM documents"
 case("u02_diff_lines", lambda v: t.diff_lines(v.documents.select("doc_id", "text"), v.sql(NEWER), "doc_id").select("doc_id", "change", F.md5("line").alias("line")),
@@ -78,7 +80,9 @@ case("t17_normalize_url", lambda v: v.sql(MESSY).select("page_id", t.normalize_u
 case("t17_dedupe_urls", lambda v: t.dedupe_urls(v.sql(MESSY), "url", "page_id").select("page_id", "key", "copies"),
      f"WITH {CLEAN}, k AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '^www\\.', '') AS key FROM c) SELECT min(page_id) AS page_id, key, count(*) - 1 + 1 AS copies FROM k GROUP BY key")
 case("t19_by_domain", lambda v: t.by_domain(v.pages, "url"), r"SELECT regexp_extract(url, '://(?:[^/?#]*\.)?([^./?#]+\.[^./?#]+)', 1) AS domain, count(*) AS n FROM pages GROUP BY 1")
-HASHES = "SELECT vec_id AS id, CAST(SUMS AS BIGINT) AS h FROM embeddings"
-SIGNS = "aggregate(transform(sequence(0, 19), i -> CASE WHEN embedding[i] > 0 THEN shiftleft(1L, i) ELSE 0L END), 0L, (a, b) -> a + b)"
-case("j20_hash_near_pairs", lambda v: t.hash_near_pairs(v.sql(HASHES.replace("SUMS", SIGNS)), 2),
-     """WITH h AS (SELECT vec_id AS id, CAST(list_sum(list_transform(range(0, 20), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1 << i ELSE 0 END)) AS BIGINT) AS h FROM embeddings) SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS bits FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 2""")
+SIGNS = "aggregate(transform(sequence(0, 62), i -> CASE WHEN embedding[i] > 0 THEN shiftleft(1L, i) ELSE 0L END), 0L, (a, b) -> a + b)"
+#: Sign bits of the vectors, and for every third one a copy with up to seven of its bits turned.
+HASHES = "SELECT vec_id AS id, SIGNS AS h FROM embeddings UNION ALL SELECT vec_id + 1000000, CAST(xor(SIGNS, CAST(power(2, vec_id % 8) AS BIGINT) * 4398046511104 - 4398046511104) AS BIGINT) FROM embeddings WHERE vec_id % 3 = 0"
+case("j20_hash_near_pairs", lambda v: t.hash_near_pairs(v.sql(HASHES.replace("xor(SIGNS, ", "(SIGNS ^ ").replace("SIGNS", SIGNS))),
+     f"""WITH h AS ({HASHES.replace("SIGNS", "CAST(list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT)")}), d AS (SELECT h, min(id) AS id FROM h GROUP BY h)
+     SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS bits FROM d a JOIN d b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 6 UNION ALL SELECT d.id, h.id, 0 FROM h JOIN d USING (h) WHERE h.id <> d.id""")

@@ -46,32 +46,30 @@ SELECT p_partkey AS id, concat('p', cast(p_partkey AS varchar(9))) AS rel_path,
        CASE WHEN p_partkey % 13 = 0 THEN md5(concat(p_name, 'v2')) ELSE md5(concat(p_name, 'v1')) END AS sha256
 FROM part WHERE p_partkey % 19 <> 0""",
     "geo_nodes": """
-SELECT n_nationkey AS node, (n_nationkey % 5) * 1000.0e0 AS x, floor(n_nationkey / 5) * 1000.0e0 AS y FROM nation""",
+SELECT CAST(p_partkey AS INT) AS node, (p_partkey % 5) * 1000.0e0 AS x, floor(p_partkey / 5) * 1000.0e0 AS y FROM part""",
     "geo_lines": """
-SELECT a.n_nationkey AS a, b.n_nationkey AS b, 20 + 10 * (a.n_nationkey % 3) AS speed_kmh, (a.n_nationkey % 7 = 3) AS oneway, (a.n_nationkey = 12) AS bridge
-FROM nation a JOIN nation b
-  ON (b.n_nationkey = a.n_nationkey + 1 AND a.n_nationkey % 5 < 4) OR b.n_nationkey = a.n_nationkey + 5""",
+SELECT CAST(p_partkey AS INT) AS a, CAST(p_partkey + 1 AS INT) AS b, 20 + 10 * (p_partkey % 3) AS speed_kmh, p_partkey % 7 = 3 AS oneway, p_partkey % 25 = 12 AS bridge FROM part WHERE p_partkey % 5 < 4 AND p_partkey + 1 < (SELECT count(*) FROM part)
+UNION ALL SELECT CAST(p_partkey AS INT), CAST(p_partkey + 5 AS INT), 20 + 10 * (p_partkey % 3), p_partkey % 7 = 3, p_partkey % 25 = 12 FROM part WHERE p_partkey + 5 < (SELECT count(*) FROM part)""",
     "geo_demand": """
-SELECT c_custkey AS id, (c_nationkey % 5) * 1000.0e0 + (c_custkey % 9 - 4) * 10 AS x, floor(c_nationkey / 5) * 1000.0e0 + (c_custkey % 7 - 3) * 10 AS y,
-       greatest(round(c_acctbal), 0.0e0) AS weight FROM customer""",
+SELECT id, (spot % 5) * 1000.0e0 + (id % 9 - 4) * 10 AS x, floor(spot / 5) * 1000.0e0 + (id % 7 - 3) * 10 AS y, weight
+FROM (SELECT c_custkey AS id, c_custkey * 7 % (SELECT count(*) FROM part) AS spot, greatest(round(c_acctbal), 0.0e0) AS weight FROM customer) c""",
     "geo_candidates": """
-SELECT s_suppkey AS id, (s_nationkey % 5) * 1000.0e0 + (s_suppkey % 5) * 10 AS x, floor(s_nationkey / 5) * 1000.0e0 AS y, 1 + s_suppkey % 3 AS cost FROM supplier""",
+SELECT id, (spot % 5) * 1000.0e0 + (id % 5) * 10 AS x, floor(spot / 5) * 1000.0e0 AS y, 1 + id % 3 AS cost FROM (SELECT s_suppkey AS id, s_suppkey * 19 % (SELECT count(*) FROM part) AS spot FROM supplier) s""",
     "cells": """
-SELECT a.n_nationkey AS row, b.n_nationkey AS col,
-       CASE WHEN (a.n_nationkey * 25 + b.n_nationkey) % 97 = 96 THEN NULL
-            ELSE 2.0e0 * b.n_nationkey + 0.5e0 * a.n_nationkey + ((a.n_nationkey * 7 + b.n_nationkey * 13) % 11) END AS z,
-       (a.n_nationkey * 3 + b.n_nationkey) % 4 AS class
-FROM nation a CROSS JOIN nation b""",
+SELECT CAST(o_orderkey % 25 AS INT) AS row, CAST(floor(o_orderkey / 25) AS INT) AS col,
+       CASE WHEN o_orderkey % 97 = 96 THEN NULL ELSE 2.0e0 * abs(25 - floor(o_orderkey / 25) % 50) + 0.5e0 * (o_orderkey % 25) + ((o_orderkey % 25 * 7 + floor(o_orderkey / 25) * 13) % 11) END AS z,
+       CAST((o_orderkey % 25 * 3 + floor(o_orderkey / 25)) % 4 AS INT) AS class
+FROM orders""",
     "parcels": """
-SELECT p_partkey AS id, (p_partkey * 37 % 2200) * 1.0e0 AS x0, (p_partkey * 53 % 2200) * 1.0e0 AS y0,
-       (p_partkey * 37 % 2200) + 20.0e0 + p_size * 5 AS x1, (p_partkey * 53 % 2200) + 20.0e0 + (p_partkey % 40) * 5 AS y1,
+SELECT p_partkey AS id, (p_partkey * 37 % 2200) + 2500.0e0 * floor(p_partkey / 200) AS x0, (p_partkey * 53 % 2200) * 1.0e0 AS y0,
+       (p_partkey * 37 % 2200) + 2500.0e0 * floor(p_partkey / 200) + 20.0e0 + p_size * 5 AS x1, (p_partkey * 53 % 2200) + 20.0e0 + (p_partkey % 40) * 5 AS y1,
        CASE p_partkey % 4 WHEN 0 THEN 'industrial' WHEN 1 THEN 'logistics' WHEN 2 THEN 'rural' ELSE NULL END AS zoning
-FROM part WHERE p_partkey < 200""",
+FROM part""",
     "restricted": """
-SELECT s_suppkey AS id, (s_suppkey % 10) * 220.0e0 AS x0, floor(s_suppkey / 10) * 220.0e0 AS y0, (s_suppkey % 10) * 220.0e0 + 60 AS x1, floor(s_suppkey / 10) * 220.0e0 + 60 AS y1
-FROM supplier WHERE s_suppkey < 100""",
+SELECT s_suppkey AS id, (s_suppkey % 10) * 220.0e0 + 2500.0e0 * floor(s_suppkey / 100) AS x0, floor(s_suppkey % 100 / 10) * 220.0e0 AS y0, (s_suppkey % 10) * 220.0e0 + 2500.0e0 * floor(s_suppkey / 100) + 60 AS x1, floor(s_suppkey % 100 / 10) * 220.0e0 + 60 AS y1
+FROM supplier""",
     "box_faces_seed": """
-SELECT p_partkey AS model_id, p_size * 1.0e0 AS a, p_size * 2.0e0 AS b, p_size * 3.0e0 AS c FROM part WHERE p_partkey < 100""",
+SELECT p_partkey AS model_id, p_size * 1.0e0 AS a, p_size * 2.0e0 AS b, p_size * 3.0e0 AS c FROM part""",
     "tx": """
 SELECT o_custkey % 20 AS grp, o_custkey AS payer, (o_custkey + o_orderkey) % 100 AS payee, cast(round(o_totalprice * 100) AS bigint) AS cents FROM orders""",
     "receipts": """

@@ -54,10 +54,11 @@ def with_listing_flag(assets: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def filter_assets(assets: DataFrame, listings: DataFrame, members: DataFrame, f: Filters) -> DataFrame:
-    """Rows of ``assets`` (``tags`` an array) that meet all conditions; scan predicates come first, semi joins after."""
-    extent = longest_extent()
+    """Rows of ``assets`` (``tags`` an array) that meet all conditions; scan predicates come first, semi joins after. ``dupes_only`` keeps what has a copy anywhere in the library."""
+    extent, everything = longest_extent(), assets
+    formats, tags = [x.strip().lower().lstrip(".") for x in f.formats], [x.strip().lower() for x in f.tags]
     plain = [
-        (f.root_id, F.col("root_id") == f.root_id), (f.formats, F.col("format").isin(f.formats)), (f.tags, has_tags(F.col("tags"), f.tags)), (f.collection, F.col("collection") == f.collection),
+        (f.root_id, F.col("root_id") == f.root_id), (f.formats, F.col("format").isin(formats)), (f.tags, has_tags(F.col("tags"), tags)), (f.collection, F.col("collection") == f.collection),
         (f.watertight, F.col("watertight") == f.watertight), (f.status, F.col("status") == f.status), (f.min_bytes, F.col("size_bytes") >= f.min_bytes), (f.max_bytes, F.col("size_bytes") <= f.max_bytes),
         (f.min_extent, extent >= f.min_extent), (f.max_extent, extent <= f.max_extent), (f.min_triangles, F.col("triangles") >= f.min_triangles), (f.max_triangles, F.col("triangles") <= f.max_triangles), (f.ids, F.col("id").isin(f.ids)),
     ]
@@ -69,8 +70,7 @@ def filter_assets(assets: DataFrame, listings: DataFrame, members: DataFrame, f:
     if f.has_listing is not None:
         assets = assets.join(listings.select(F.col("model_id").alias("id")), "id", "left_semi" if f.has_listing else "left_anti")
     if f.dupes_only:
-        copies = assets.where(F.coalesce("sha256", F.lit("")) != "").groupBy("sha256").count().where("count > 1")
-        assets = assets.join(copies, "sha256", "left_semi")
+        assets = assets.join(exact_dupes(everything), "sha256", "left_semi")
     return assets
 
 
@@ -91,13 +91,22 @@ def near_pairs(assets: DataFrame, tolerance: float = 0.01) -> DataFrame:
     The volume's tolerance is relative to the larger of both, the extents' to asset ``a``, the lower id. A geometric bucket of the largest extent
     joins its neighbours only, so assets of one triangle count aren't all compared.
     """
+    rows = _measured(assets)
+    return _near(rows, rows, tolerance)
+
+
+def _measured(assets: DataFrame) -> DataFrame:
+    """What :func:`near_pairs` compares: one asset of each hash, those with measures."""
     there = F.col("volume_cm3").isNotNull() & longest_extent().isNotNull() & F.col("triangles").isNotNull()
-    rows = assign_dupe_of(assets).where("dupe_of is null").where(there).select(
+    return assign_dupe_of(assets).where("dupe_of is null").where(there).select(
         "id", "sha256", "triangles", F.col("volume_cm3").alias("v"), longest_extent().alias("big"), F.least("bbox_x", "bbox_y", "bbox_z").alias("small"), (F.col("bbox_x") + F.col("bbox_y") + F.col("bbox_z")).alias("total")
     )
+
+
+def _near(lower: DataFrame, higher: DataFrame, tolerance: float) -> DataFrame:
     bucket = F.floor(F.log(F.greatest("big", F.lit(1e-12))) / F.log(F.lit(1 + 2 * tolerance))).cast("long")
-    left = rows.withColumn("k", bucket)
-    right = rows.withColumn("k", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    left = lower.withColumn("k", bucket)
+    right = higher.withColumn("k", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     a, b = left.alias("a"), right.alias("b")
     near = lambda c, base: F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= tolerance * base
     return a.join(b, (F.col("a.triangles") == F.col("b.triangles")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).where(
@@ -114,8 +123,9 @@ def dupes_for(assets: DataFrame, asset_id: int, tolerance: float = 0.01) -> Data
     """``id`` and ``kind`` (``exact`` or ``near``) of what is like one asset; near ones leave out exact ones."""
     own = assets.where(F.col("id") == asset_id).select("sha256").where(F.coalesce("sha256", F.lit("")) != "")
     exact = assets.join(own, "sha256", "left_semi").where(F.col("id") != asset_id).select("id", F.lit("exact").alias("kind"))
-    pairs = near_pairs(assets, tolerance).where((F.col("a") == asset_id) | (F.col("b") == asset_id))
-    near = pairs.select(F.when(F.col("a") == asset_id, F.col("b")).otherwise(F.col("a")).alias("id"), F.lit("near").alias("kind"))
+    rows = _measured(assets)
+    one = rows.where(F.col("id") == asset_id)  # so the joins meet this asset's triangle count and buckets alone
+    near = _near(one, rows, tolerance).select(F.col("b").alias("id")).unionAll(_near(rows, one, tolerance).select("a")).select("id", F.lit("near").alias("kind"))
     return exact.unionAll(near.join(exact, "id", "left_anti"))
 
 
@@ -246,6 +256,8 @@ def recent(assets: DataFrame, n: int) -> DataFrame:
 def fold_distinct(assets: DataFrame, sort: str, limit: int, offset: int = 0) -> DataFrame:
     """A page of the first asset of each content hash in sort order, with ``copies``: how many assets share it, itself left out. Assets without a hash stand alone."""
     key = F.when(F.coalesce("sha256", F.lit("")) == "", F.concat(F.lit("id "), F.col("id").cast("string"))).otherwise(F.col("sha256"))
-    own = Window.partitionBy("_key")
-    rows = assets.withColumn("_key", key).withColumn("_n", F.row_number().over(own.orderBy(*sort_columns(sort)))).withColumn("copies", F.count("*").over(own) - 1)
-    return sort_assets(rows.where("_n = 1"), sort).offset(offset).limit(limit).drop("_key", "_n")
+    rows = assets.withColumn("_key", key)
+    # the first of each key is found before rows are moved, and copies are an aggregate, so a hash that many assets share stays spread
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*sort_columns(sort)))).where("_n = 1").drop("_n")
+    copies = rows.groupBy("_key").agg((F.count("*") - 1).alias("copies"))
+    return sort_assets(first.join(copies, "_key"), sort).offset(offset).limit(limit).drop("_key")

@@ -96,13 +96,19 @@ def settle_groups(net: DataFrame) -> DataFrame:
     return both.select("grp", "debtor", "creditor", (F.least("b", "d") - F.greatest("a", "c")).alias("cents"))
 
 
-def allocate_cents(rows: DataFrame, group: str, total: str, weight: str, order: str) -> DataFrame:
-    """Adds ``share``: whole cents of the group's total by weight, the rest to the largest remainders (ties to the earlier row), so shares sum to the total."""
+def allocate_cents(rows: DataFrame, group: str, total: str, weight: str, order: list[str]) -> DataFrame:
+    """Adds ``share``: whole cents of the group's total by weight, the rest to the largest remainders (ties by ``order``), so shares sum to the total.
+
+    Exact: weights are decimals of up to six places. A weight of zero, or under, gets nothing, a negative total is split like its size; where no weight is over zero, shares are null.
+    """
     own = Window.partitionBy(group)
-    exact = F.col(total) * F.col(weight) / F.sum(weight).over(own)
-    rows = rows.withColumn("_exact", exact).withColumn("_whole", F.floor("_exact"))
-    rows = rows.withColumn("_left", F.col(total) - F.sum("_whole").over(own)).withColumn("_rank", F.row_number().over(own.orderBy(F.desc(F.round(F.col("_exact") - F.col("_whole"), 9)), order)))
-    return rows.withColumn("share", F.col("_whole") + (F.col("_rank") <= F.col("_left")).cast("long")).drop("_exact", "_whole", "_left", "_rank")
+    cents = F.abs(F.col(total)).cast("decimal(18,0)")
+    w = F.greatest(F.col(weight).cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)"))
+    rows = rows.withColumn("_w", w).withColumn("_all", F.nullif(F.sum("_w").over(own), F.lit(0))).withColumn("_parts", cents * F.col("_w"))
+    rows = rows.withColumn("_whole", F.expr("_parts div _all")).withColumn("_rest", F.col("_parts") % F.col("_all"))
+    rows = rows.withColumn("_left", cents - F.sum("_whole").over(own)).withColumn("_rank", F.row_number().over(own.orderBy((F.col("_w") > 0).desc(), F.desc("_rest"), *order)))
+    share = F.signum(F.col(total)).cast("long") * (F.col("_whole") + ((F.col("_rank") <= F.col("_left")) & (F.col("_w") > 0)).cast("long"))
+    return rows.withColumn("share", share).drop("_w", "_all", "_parts", "_whole", "_rest", "_left", "_rank")
 
 
 def parse_amounts(rows: DataFrame, col: str, group: str) -> DataFrame:
@@ -115,4 +121,4 @@ def parse_amounts(rows: DataFrame, col: str, group: str) -> DataFrame:
     rows = rows.join(votes, group)
     comma = F.col("_comma") >= F.col("_point")
     plain = F.when(comma, F.translate(F.replace(text, F.lit("."), F.lit("")), ",", ".")).otherwise(F.replace(text, F.lit(","), F.lit("")))
-    return rows.withColumn("cents", F.when(plain.rlike(r"\d"), F.round(F.expr("1") * plain.try_cast("decimal(18,4)") * 100, 0).cast("long"))).drop("_comma", "_point")
+    return rows.withColumn("cents", F.when(plain.rlike(r"\d"), F.round(plain.try_cast("decimal(18,4)") * 100, 0).cast("long"))).drop("_comma", "_point")

@@ -305,7 +305,9 @@ def cluster_mesh(faces: DataFrame, cell: float) -> DataFrame:
 
 
 def footprint_heights(boxes: DataFrame, cells: DataFrame, size: float, inner: float, outer: float, least: int = 8) -> DataFrame:
-    """``id, ground, eaves, roof, top``: the 20th percentile of the ring of cells from ``inner`` to ``outer`` metres outside a footprint that lie in no footprint (none under ``least`` cells), and above it the 25th, 90th and 99.5th of the cells inside."""
+    """``id, ground, eaves, roof, top``: the 20th percentile of the ring of cells from ``inner`` to ``outer`` metres outside a footprint that lie in no footprint, and above it the
+    25th, 90th and 99.5th of the cells inside, 0 at least. A ring of under ``least`` cells is drawn again two and a half times as wide; a footprint whose ring is
+    too small then too has no row."""
     good = cells.where("z is not null").select("row", "col", "z", (F.col("col") * size).alias("x"), (F.col("row") * size).alias("y"))
 
     def cover(grow: float) -> DataFrame:
@@ -316,7 +318,9 @@ def footprint_heights(boxes: DataFrame, cells: DataFrame, size: float, inner: fl
     inside = cover(0.0)
     used = inside.select("row", "col").distinct()
     away = F.sqrt(F.greatest(F.col("x0") - F.col("x"), F.lit(0.0), F.col("x") - F.col("x1")) ** 2 + F.greatest(F.col("y0") - F.col("y"), F.lit(0.0), F.col("y") - F.col("y1")) ** 2)
-    ring = cover(outer).where(away.between(inner, outer)).join(used, ["row", "col"], "left_anti")
-    ground = ring.groupBy("id").agg(F.percentile("z", F.lit(0.2)).alias("ground"), F.count("*").alias("n")).where(F.col("n") >= least).select("id", "ground")
+    ring = cover(2.5 * outer).withColumn("away", away).where((F.col("away") > inner) & (F.col("away") <= 2.5 * outer)).join(used, ["row", "col"], "left_anti")
+    near = F.when(F.col("away") <= outer, F.col("z"))
+    ground = ring.groupBy("id").agg(F.percentile(near, F.lit(0.2)).alias("first"), F.count(near).alias("m"), F.percentile("z", F.lit(0.2)).alias("second"), F.count("*").alias("n"))
+    ground = ground.where(F.col("n") >= least).select("id", F.when(F.col("m") >= least, F.col("first")).otherwise(F.col("second")).alias("ground"))
     roof = inside.groupBy("id").agg(*[F.percentile("z", F.lit(p)).alias(n) for p, n in ((0.25, "eaves"), (0.9, "roof"), (0.995, "top"))])
-    return ground.join(roof, "id").select("id", F.round("ground", 6).alias("ground"), *[F.round(F.col(c) - F.col("ground"), 6).alias(c) for c in ("eaves", "roof", "top")])
+    return ground.join(roof, "id").select("id", F.round("ground", 6).alias("ground"), *[F.round(F.greatest(F.col(c) - F.col("ground"), F.lit(0.0)), 6).alias(c) for c in ("eaves", "roof", "top")])

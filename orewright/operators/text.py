@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and what each folds to, one character for one.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyaaaaaaceeeeiiiinooooouuuuyy"
+#: Letters of the Latin, Greek and Cyrillic blocks that have accents, and the letter that each is without them, one character for one.
+_BASES = {c: unicodedata.normalize("NFD", c)[0].lower() for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]) if len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isalpha()}
+ACCENTED, PLAIN = "".join(_BASES), "".join(_BASES.values())
 
 #: Words that a query drops.
 STOP_WORDS = (
@@ -120,12 +122,19 @@ def minmax_fuse(scores: DataFrame) -> DataFrame:
 
 
 def clean_text(text: Column) -> Column:
-    """Line feeds alone, no invisible characters, plain blanks, words joined over a hyphen and a line end where the next line is lower case, at most one empty line in a row."""
+    """Line feeds alone, no NUL or invisible characters, single plain blanks and none beside a line end, words joined over a hyphen and a line end where the next line is lower
+    case, at most one empty line in a row. Texts of 20 lines or more, over three fifths of them one word and half of them up to 14 characters, become one line."""
     text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(text, "[\u200b\u200c\u200d\u2060\ufeff\u00ad]", "")
-    text = F.regexp_replace(text, "[\u00a0\u2000-\u200a\u202f\u205f\u3000]", " ")
+    text = F.regexp_replace(text, "[\\x00\u200b\u200c\u200d\u2060\ufeff\u00ad]", "")
+    text = F.regexp_replace(text, "[ \t\u00a0\u2000-\u200a\u202f\u205f\u3000]+", " ")
     text = F.regexp_replace(text, r"(\p{L})-\n(\p{Ll})", "$1$2")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r" *\n *", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    sizes = F.array_sort(F.transform(lines, lambda x: F.length(x)))
+    single = F.size(F.filter(lines, lambda x: ~F.contains(F.trim(x), F.lit(" "))))
+    n = F.size(lines)
+    stacked = (n >= 20) & (single / n > 0.6) & (F.get(sizes, F.floor(n / 2).cast("int")) <= 14)
+    return F.when(stacked, F.regexp_replace(text, r"\s*\n+\s*", " ")).otherwise(text)
 
 
 def clean_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -134,8 +143,8 @@ def clean_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def strip_repeated_lines(pages: DataFrame, group: str, page: str, text: str = "text", share: float = 0.5, longest: int = 160, least: int = 3) -> DataFrame:
-    """``group, page, text`` without the lines that, digits masked, stand on over ``share`` of the pages of a group of ``least`` pages or more."""
-    lines = pages.select(group, page, F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("key", F.regexp_replace(F.trim("line"), r"\d+", "#"))
+    """``group, page, text`` without the lines that, digits masked and case aside, stand on over ``share`` of the pages of a group of ``least`` pages or more."""
+    lines = pages.select(group, page, F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("key", F.regexp_replace(F.lower(F.trim("line")), r"\d+", "#"))
     number = pages.groupBy(group).agg(F.count_distinct(page).alias("pages"))
     common = lines.where((F.col("key") != "") & (F.length("key") <= longest)).groupBy(group, "key").agg(F.count_distinct(page).alias("on")).join(number, group).where((F.col("pages") >= least) & (F.col("on") > share * F.col("pages"))).select(group, "key")
     kept = lines.join(common, [group, "key"], "left_anti").groupBy(group, page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
@@ -239,11 +248,24 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, least: float = -1
 
 
 def hash_near_pairs(hashes: DataFrame, most: int = 6) -> DataFrame:
-    """Pairs ``a < b`` of 64-bit hashes that differ in at most ``most`` bits: of ``most + 1`` bands, one is equal. Equal hashes are joined once, by value."""
-    bands = most + 1
-    width = -(-64 // bands)
-    rows = hashes.select("id", "h")
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("bits")) for i in range(bands)]))
-    left = rows.select(F.col("id").alias("a"), F.col("h").alias("ha"), keys.alias("k"))
-    right = rows.select(F.col("id").alias("b"), F.col("h").alias("hb"), keys.alias("k"))
-    return left.join(right, "k").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= most)).select("a", "b", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))).alias("bits")).distinct()
+    """Links ``a < b`` of 64-bit hashes that differ in at most ``most`` bits, with ``bits``: each id to the least id of its hash (0 bits), and between the least ids of different hashes.
+
+    So copies cost a link each, not a pair each. Hashes are cut into ``most // 2 + 1`` bands as even as can be; of two that are near, some band differs in one bit at most, so
+    one side is joined by its bands and the other by its bands and each of them with one bit turned.
+    """
+    least = hashes.groupBy("h").agg(F.min("id").alias("least"))
+    copies = hashes.join(least, "h").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"), F.lit(0).alias("bits"))
+    bands = most // 2 + 1
+    cuts = [64 * i // bands for i in range(bands + 1)]
+    band = lambda i: F.shiftrightunsigned("h", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1).cast("long")) if bands > 1 else F.col("h")
+    one = [F.struct(F.lit(i).alias("band"), band(i).alias("value")) for i in range(bands)]
+
+    def turn(i: int):
+        return lambda k: F.struct(F.lit(i).alias("band"), band(i).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)).alias("value"))
+
+    turned = [F.transform(F.sequence(F.lit(0), F.lit(cuts[i + 1] - cuts[i] - 1)), turn(i)) for i in range(bands)]
+    left = least.select(F.col("least").alias("x"), F.col("h").alias("hx"), F.explode(F.array(*one)).alias("k"))
+    right = least.select(F.col("least").alias("y"), F.col("h").alias("hy"), F.explode(F.concat(F.array(*one), *turned)).alias("k"))
+    bits = F.bit_count(F.col("hx").bitwiseXOR(F.col("hy")))
+    near = left.join(right, "k").where(F.col("x") < F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b"), bits.alias("bits"))  # the band's distance is the same both ways
+    return near.where(F.col("bits") <= most).distinct().unionAll(copies)

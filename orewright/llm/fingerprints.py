@@ -24,19 +24,23 @@ def paragraphs(text: Column, pattern: str = PARAGRAPHS) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), pattern), lambda p: F.trim(p) != "")
 
 
-def lane_sums(paragraph: Column) -> Column:
-    """Aggregate: the lanes of a group of paragraphs, as array<long>; null paragraphs count as none.
+def hashes(paragraph: Column) -> list[Column]:
+    """Columns that :func:`lane_sums` adds up: four hashes of a paragraph, each with a seed of its own, and 1; all are 0 for a null paragraph."""
+    there = lambda x: F.when(paragraph.isNotNull(), x).otherwise(F.lit(0).cast("long"))
+    return [there(F.xxhash64(F.lit(k), paragraph)).alias(f"_h{k}") for k in range(4)] + [there(F.lit(1).cast("long")).alias("_one")]
+
+
+def lane_sums() -> Column:
+    """Aggregate over the columns of :func:`hashes`: the lanes of a group of paragraphs, as array<long>.
 
     A sum adds up two bits of a hash, 32 places apart, in the two halves of a long, so a group may have up to 2**31 paragraphs.
     """
-    bits = [F.when(paragraph.isNotNull(), F.xxhash64(F.lit(k), paragraph)).otherwise(F.lit(0).cast("long")) for k in range(2)]
-    wide = [F.when(paragraph.isNotNull(), F.xxhash64(F.lit(k), paragraph)).otherwise(F.lit(0).cast("long")) for k in (2, 3)]
     low = F.lit(_MOD).cast("long")
     halves = lambda x: [x.bitwiseAND(low), F.shiftrightunsigned(x, 32)]
     pair = F.lit((1 << 32) + 1).cast("long")
-    lanes = [x for h in bits for j in range(32) for x in halves(F.sum(F.shiftrightunsigned(h, j).bitwiseAND(pair)))]
-    lanes += [F.sum(x).bitwiseAND(low) for h in wide for x in halves(h)]
-    return F.array(*lanes, F.count(paragraph).bitwiseAND(low))
+    lanes = [x for k in range(2) for j in range(32) for x in halves(F.sum(F.shiftrightunsigned(f"_h{k}", j).bitwiseAND(pair)))]
+    lanes += [F.sum(x).bitwiseAND(low) for k in (2, 3) for x in halves(F.col(f"_h{k}"))]
+    return F.array(*lanes, F.sum("_one").bitwiseAND(low))
 
 
 def to_hex(lanes: Column) -> Column:
@@ -62,7 +66,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``lanes`` and ``fingerprint`` of each distinct id: rows that share an id are one multiset, as if their texts were joined. Null and empty texts have none."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode_outer(paragraphs(F.col(text))).alias("_p"))
-    return rows.groupBy("doc_id").agg(lane_sums(F.col("_p")).alias("lanes")).withColumn("fingerprint", to_hex(F.col("lanes")))
+    return rows.select("doc_id", *hashes(F.col("_p"))).groupBy("doc_id").agg(lane_sums().alias("lanes")).withColumn("fingerprint", to_hex(F.col("lanes")))
 
 
 def _bucket(key: Column, bounds: list[int], low: int = 0) -> Column:
@@ -114,7 +118,8 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     rows = rows.withColumn("_edited", F.when(F.col("_end") == 0, F.concat(F.substring(F.col("_text"), F.lit(1), F.length("_text") - quarter), F.substring(F.col("_next"), F.lit(1), quarter))))
     rows = rows.select("_a", "_b", "_n", "_end", "doc_id", F.length("_text").cast("long").alias("n_chars"), F.sha2(F.col("_edited"), 256).alias("edited_sha256"), F.explode(F.filter(F.array(F.struct(F.lit(0).alias("w"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("w"), F.col("_edited").alias("t"))), lambda x: x["t"].isNotNull())).alias("_x"))
     units = rows.select("_a", "_b", "_n", "_end", "doc_id", "n_chars", "edited_sha256", F.col("_x.w").alias("_w"), F.explode_outer(paragraphs(F.col("_x.t"))).alias("_p"))
-    sums = units.groupBy("_a", "_b", "_n", "_end", "doc_id", "n_chars", "edited_sha256", "_w").agg(lane_sums(F.col("_p")).alias("lanes"))
+    own = ["_a", "_b", "_n", "_end", "doc_id", "n_chars", "edited_sha256", "_w"]
+    sums = units.select(*own, *hashes(F.col("_p"))).groupBy(*own).agg(lane_sums().alias("lanes"))
     follow = Window.partitionBy("_a", "_b").orderBy("_n", "_w")  # a document, its edited text, the next document
     pairs = sums.withColumn("_own", F.lead("lanes", 1).over(follow)).withColumn("_after", F.lead("lanes", 2).over(follow)).where("_w = 0 and _end = 0")
     return pairs.select("doc_id", "n_chars", "edited_sha256", to_hex(F.col("lanes")).alias("fingerprint"), to_hex(F.col("_own")).alias("edited_fingerprint"), likeness(F.col("lanes"), F.col("_own")).alias("near_edited"), likeness(F.col("lanes"), F.col("_after")).alias("near_next"))

@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orewright.llm.pieces import slices
+from orewright.llm.tasks import tasks_for
+
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 FORMATTED = "conv_id long, block long, seq long, formatted string, loss_start array<long>, loss_end array<long>, n_turns long"
 _CONTROL = re.compile(r"<\\(\\*)\|")
@@ -70,9 +73,9 @@ def format_chats(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assis
 
     Null roles and texts are empty; a null ``conv_id`` is a conversation. A conversation is one row, but where it's longer than ``part_bytes`` or has turns
     that differ by 1024 or more, it's several rows in order of ``block, seq``: each whole turns, together the conversation. So a conversation with a
-    large share of all rows is formatted by many tasks. ``loss_start`` and ``loss_end`` are offsets in the UTF-8 of the row's ``formatted``.
+    large share of all rows is formatted by many tasks. A task assembles about ``part_bytes`` at once, a longer text on its own. ``loss_start`` and ``loss_end`` are offsets in the UTF-8 of the row's ``formatted``.
     """
-    n = partitions or int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or tasks_for(conversations, "text")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.floor(F.col("turn") / 1024).cast("long").alias("block"), "turn", "role", "text")
 
     def emit(table: pa.Table, seq: dict):
@@ -100,7 +103,7 @@ def format_chats(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assis
 
     def run(batches):
         held, seq = None, {}
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in slices(batch, "text", part_bytes, batch.num_rows)):
             table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
             # the last conversation may go on in the next batch
             c, b, i = table.column("conv_id"), table.column("block"), table.num_rows - 1
@@ -149,7 +152,7 @@ def digest_chats(formatted: DataFrame, partitions: int | None = None) -> DataFra
             out.clear()
             return batch
 
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in slices(batch, "formatted", 8 << 20, batch.num_rows)):
             for conv, text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
                 if not state or state["id"] != conv:
                     close()

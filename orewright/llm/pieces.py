@@ -164,6 +164,11 @@ class PieceModel:
     def _fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unk]
 
+    def viterbi(self, words: list[str]) -> tuple[list[int], list[float]]:
+        """The number of ids of the segmentation with the highest sum of scores, and that sum, of each of the sorted ``words``."""
+        sums: list[float] = []
+        return self._forward_unigram(words, False, sums), sums
+
     def forward(self, words: list[str], mode: str, with_ids: bool) -> list[list[int] | int]:
         """Ids, or with ``with_ids`` False their number, of each of the sorted ``words``."""
         return (self._forward_bpe if mode == "bpe" else self._forward_unigram)(words, with_ids)
@@ -226,7 +231,7 @@ class PieceModel:
             out.append(self._ids(word, back, last, with_ids, count[d]))
         return out
 
-    def _forward_unigram(self, words: list[str], with_ids: bool) -> list:
+    def _forward_unigram(self, words: list[str], with_ids: bool, sums: list[float] | None = None) -> list:
         scores = self.scores
         _, _, steps, ends = self.automaton
         unknown = min((s for s, k in zip(scores, self.kinds, strict=True) if k == NORMAL), default=0.0) - 10.0
@@ -255,6 +260,8 @@ class PieceModel:
                 best.append(top)
                 count.append(count[d - n0] + (1 if i0 >= 0 else len(self._fallback(char))))
             before = word
+            if sums is not None:
+                sums.append(best[d])
             out.append(self._ids(word, back, last, with_ids, count[d]))
         return out
 
@@ -282,8 +289,8 @@ class _Index(dict):
 class WordTable:
     """What a worker knows of the words that it has met. Beyond ``most`` words those of one slice alone are forgotten, so its memory is bounded."""
 
-    def __init__(self, model: PieceModel, modes: tuple[str, ...] = (), with_ids: bool = True, most: int = 400_000):
-        self.model, self.modes, self.with_ids, self.most = model, modes or (model.mode,), with_ids, most
+    def __init__(self, model: PieceModel, modes: tuple[str, ...] = (), with_ids: bool = True, most: int = 400_000, scored: bool = False):
+        self.model, self.modes, self.with_ids, self.most, self.scored = model, modes or (model.mode,), with_ids, most, scored
         self.clear()
 
     def clear(self) -> None:
@@ -291,6 +298,7 @@ class WordTable:
         self.lengths = [np.zeros(0, np.int32) for _ in self.modes]
         self.flat = np.zeros(0, np.int32)
         self.seen = np.zeros(0, np.uint8)
+        self.best = [np.zeros(0, np.int32), np.zeros(0)]  # with ``scored``: ids and sum of scores of the best segmentation
 
     def forget(self) -> None:
         """Keep the words that were in more than one slice, or nothing where these are more than half of ``most``."""
@@ -303,6 +311,7 @@ class WordTable:
         if self.with_ids:
             self.flat = gather(self.flat, starts, self.lengths[0][stay])
         self.lengths, self.seen = [x[stay] for x in self.lengths], np.ones(len(stay), np.uint8)
+        self.best = [x[stay] for x in self.best] if self.scored else self.best
         self.index = _Index()
         self.index.update(zip([names[i] for i in stay.tolist()], range(len(stay)), strict=True))
 
@@ -332,6 +341,9 @@ class WordTable:
             else:
                 got = [known[p[0]] if len(p) == 1 else sum(known[w] for w in p) for p in parts]
             self.lengths[m] = np.concatenate([self.lengths[m], np.array(got, np.int32)])
+        if self.scored:
+            counts, sums = (dict(zip(words, x, strict=True)) for x in self.model.viterbi(words))
+            self.best = [np.concatenate([self.best[0], np.array([sum(counts[w] for w in p) for p in parts], np.int32)]), np.concatenate([self.best[1], np.array([sum(sums[w] for w in p) for p in parts], float)])]
         self.index.new = []
 
     def look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -377,7 +389,14 @@ class WordTable:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the offset of each text's first (one more offset at the end)."""
-        words, sizes = self.look_up(texts)
+        return self.ids_of(*self.look_up(texts))
+
+    def best_of(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sum of scores of the best segmentation of each text, of what :meth:`look_up` gave."""
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        return np.bincount(row, self.best[0][words], len(sizes)).astype(np.int64), np.bincount(row, self.best[1][words], len(sizes))
+
+    def ids_of(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.concatenate([[0], np.cumsum(self.lengths[0], dtype=np.int64)])
         n = self.lengths[0][words]
         ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])

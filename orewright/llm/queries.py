@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orewright.llm import chat, fingerprints, language, media, mixing, neardup, quality, sentencepiece_op, token_files
-from orewright.llm.tasks import small_batches
+from orewright.llm.tasks import small_batches, tasks_for
 from orewright.plans.shared import fresh_path
 
 
@@ -62,7 +62,9 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     extra = rows.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.digest_chats(chat.format_chats(rows.unionByName(extra)))
+    rows = rows.unionByName(extra)
+    n = tasks_for(rows, "text")
+    return chat.digest_chats(chat.format_chats(rows, partitions=n), n)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

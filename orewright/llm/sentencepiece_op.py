@@ -22,9 +22,9 @@ def _shared_model(df: DataFrame, model_path: str):
     return df.sparkSession.sparkContext.broadcast(data), hashlib.sha1(data).hexdigest()
 
 
-def _table(data, key: str, modes: tuple[str, ...], with_ids: bool) -> WordTable:
+def _table(data, key: str, modes: tuple[str, ...], with_ids: bool, scored: bool = False) -> WordTable:
     model = once(("model", key), lambda: PieceModel.parse(data.value))
-    return once(("words", key, modes, with_ids), lambda: WordTable(model, modes, with_ids))
+    return once(("words", key, modes, with_ids, scored), lambda: WordTable(model, modes, with_ids, scored=scored))
 
 
 class Decoder:
@@ -60,22 +60,25 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", keep: list[str]
     """Adds ``ids array<int>`` and ``n_tokens long``: the segmentation of each whole text that the model file stands for.
 
     ``check`` also adds ``ids_crc32`` (of the ids as little-endian 32-bit integers), ``decoded_sha256`` (of the text that the
-    ids decode to) and ``round_trip`` (whether that is the text). Null and empty texts have no ids. Rows stay as they are,
+    ids decode to) and ``round_trip`` (whether that is the text), and of the segmentation with the highest sum of scores, which is the model's own only for
+    unigram files, ``viterbi_tokens`` and ``viterbi_score``. Null and empty texts have no ids. Rows stay as they are,
     repeated ones too; columns of the input with an added name are replaced. A lone surrogate can't occur in a Spark string.
     """
     data, key = _shared_model(docs, model_path)
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     if check:
-        added += [T.StructField("ids_crc32", T.LongType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())]
+        added += [T.StructField("ids_crc32", T.LongType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType()), T.StructField("viterbi_tokens", T.LongType()), T.StructField("viterbi_score", T.DoubleType())]
 
     def run(batch):
-        table = _table(data, key, (), True)
+        table = _table(data, key, (), True, check)
         decoder = once(("decoder", key), lambda: Decoder(table.model)) if check else None
         for part in slices(batch, text):
-            ids, offsets = table.ids(part.column(text))
+            found = table.look_up(part.column(text))
+            ids, offsets = table.ids_of(*found)
             out = {"n_tokens": pa.array(np.diff(offsets)), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))}
             if check:
                 raw, view = ids.astype("<u4"), memoryview
+                out["viterbi_tokens"], out["viterbi_score"] = (pa.array(x) for x in table.best_of(*found))
                 made, at = decoder.texts(ids, offsets)
                 whole = pc.fill_null(part.column(text), "").cast(pa.large_binary())
                 buffers = whole.buffers()

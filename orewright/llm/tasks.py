@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _made: dict = {}
@@ -21,8 +22,15 @@ def once(key, make: Callable):
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, as texts may be long."""
+    """Bound the rows and bytes of an Arrow batch, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
+
+
+def tasks_for(df: DataFrame, text: str, part_bytes: int = 64 << 20) -> int:
+    """A number of tasks with about ``part_bytes`` of text each, and not less than ``spark.sql.shuffle.partitions``."""
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // part_bytes + 1)
 
 
 def with_fields(schema: T.StructType, added: list[T.StructField]) -> T.StructType:

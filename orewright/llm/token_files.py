@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orewright.llm.pieces import WordTable, _Index, gather, slices
-from orewright.llm.tasks import once
+from orewright.llm.tasks import once, tasks_for
 from orewright.plans.shared import fresh_path
 
 NULL_ID = -(1 << 63)
@@ -181,7 +181,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_i
     data, key = spark.sparkContext.broadcast(raw), hashlib.sha1(raw).hexdigest()
     root = root or fresh_path(spark, "tokens")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes + 1)
+    n = partitions or tasks_for(rows, "text", part_bytes)
 
     def write(batches):
         from pyspark import TaskContext

@@ -45,6 +45,15 @@ EAN = "SELECT o_orderkey AS id, concat('40063813', lpad(CAST(o_orderkey % 10000
 case("t21_id_validity", lambda v: e.id_validity(v.sql(EAN), "code", "ean13").unionAll(e.id_validity(v.sql("SELECT concat(lpad(CAST(12345678 + o_orderkey AS VARCHAR(9)), 8, '0'), substring('TRWAGMYFPDXBNJZSQVHLCKE', CAST(1 + o_custkey % 23 AS INT), 1)) AS c FROM orders"), "c", "dni")).unionAll(e.id_validity(v.sql("SELECT concat('ES', lpad(CAST(o_custkey % 98 AS VARCHAR(9)), 2, '0'), '2100041845020005', lpad(CAST(o_orderkey % 10000 AS VARCHAR(9)), 4, '0')) AS c FROM orders"), "c", "iban")),
      f"""WITH x AS (SELECT code, list_transform(range(1, 14), lambda i: CAST(substr(code, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END) AS d FROM ({EAN})) SELECT 'ean13' AS kind, count(*) AS n, count_if(list_sum(d) % 10 = 0) AS valid FROM x
      UNION ALL SELECT 'dni', count(*), count_if((12345678 + o_orderkey) % 23 = o_custkey % 23) FROM orders UNION ALL SELECT 'iban', count(*), count_if(CAST(concat('2100041845020005', lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0'), '1428', lpad(CAST(o_custkey % 98 AS VARCHAR), 2, '0')) AS HUGEINT) % 97 = 1) FROM orders""")
+NIES = "SELECT o_orderkey AS k, o_custkey % 23 AS r, concat(substring('XYZ', CAST(1 + o_orderkey % 3 AS INT), 1), '-', lpad(CAST(o_orderkey AS VARCHAR(9)), 7, '0'), '-', substring('TRWAGMYFPDXBNJZSQVHLCKE', CAST(1 + o_custkey % 23 AS INT), 1)) AS c FROM orders"
+CIFS = "SELECT o_orderkey AS k, o_custkey % 10 AS r, lpad(CAST(o_orderkey * 37 AS VARCHAR(9)), 7, '0') AS body, substring('BPC', CAST(1 + o_orderkey % 3 AS INT), 1) AS kind, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey % 10 AS VARCHAR(9)) ELSE substring('JABCDEFGHI', CAST(1 + o_custkey % 10 AS INT), 1) END AS control FROM orders"
+ISBNS = "SELECT concat('03064', lpad(CAST(o_orderkey % 10000 AS VARCHAR(9)), 4, '0')) AS body, o_custkey % 11 AS r FROM orders"
+EIGHTS = "SELECT concat(lpad(CAST(o_orderkey AS VARCHAR(9)), 7, '0'), CAST(o_custkey % 10 AS VARCHAR(9))) AS c FROM orders"
+case("t21_tax_and_book_ids", lambda v: e.id_validity(v.sql(NIES), "c", "nie").unionAll(e.id_validity(v.sql(CIFS).withColumn("c", F.concat("kind", "body", "control")), "c", "cif")).unionAll(e.id_validity(v.sql(ISBNS).withColumn("c", F.concat("body", F.when(F.col("r") == 10, "X").otherwise(F.col("r").cast("string")))), "c", "isbn")).unionAll(e.id_validity(v.sql(EIGHTS), "c", "ean")),
+     f"""WITH c AS (SELECT kind, control, list_transform(range(1, 8), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(body, i, 1) AS INT) ELSE CAST(substr(body, i, 1) AS INT) * 2 // 10 + CAST(substr(body, i, 1) AS INT) * 2 % 10 END) AS d FROM ({CIFS})), k AS (SELECT kind, control, (10 - CAST(list_sum(d) AS INT) % 10) % 10 AS digit FROM c),
+     b AS (SELECT r, list_transform(range(1, 10), lambda i: CAST(substr(body, i, 1) AS INT) * (11 - i)) AS d FROM ({ISBNS})), g AS (SELECT list_transform(range(1, 9), lambda i: CAST(substr(c, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END) AS d FROM ({EIGHTS}))
+     SELECT 'nie' AS kind, count(*) AS n, count_if((k % 3 * 10000000 + k) % 23 = r) AS valid FROM ({NIES}) UNION ALL SELECT 'cif', count(*), count_if(CASE kind WHEN 'B' THEN control = CAST(digit AS VARCHAR) WHEN 'P' THEN control = substr('JABCDEFGHI', digit + 1, 1) ELSE control = CAST(digit AS VARCHAR) OR control = substr('JABCDEFGHI', digit + 1, 1) END) FROM k
+     UNION ALL SELECT 'isbn', count(*), count_if((list_sum(d) + r) % 11 = 0) FROM b UNION ALL SELECT 'ean', count(*), count_if(list_sum(d) % 10 = 0) FROM g""")
 DATES = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders"
 case("t23_business_days", lambda v: (lambda d: e.add_business_days(d, e.business_calendar(d), 5).select(F.col("date").cast("string").alias("date"), F.col("due").cast("string").alias("due")))(v.sql(DATES)),
      f"""WITH y AS (SELECT year(min(date)) AS a, year(max(date)) AS b FROM ({DATES})), d AS (SELECT CAST(unnest(generate_series(make_date(a, 1, 1), make_date(b, 12, 31), INTERVAL 1 DAY)) AS DATE) AS date FROM y), k AS (SELECT DISTINCT year(date) AS y FROM d), e1 AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM k),

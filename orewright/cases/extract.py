@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from orewright.cases import case
-from orewright.cases.entities import boxes
+from orewright.cases.entities import CORNERS, TRIANGLES, boxes
 from orewright.cases.spatial import AREA, MEET, edges
 from orewright.operators import extract as x
 from orewright.operators import network as n
@@ -18,7 +18,15 @@ case("a13_pii_census", lambda v: x.pii_census(v.sql(PLANTED.replace("doc_id, '@m
      f"WITH p AS ({PLANTED}), h AS (SELECT source, len(regexp_extract_all(text, '\\bES9121000418450200051332\\b')) AS iban, list_filter(regexp_extract_all(text, '\\b\\d{{8}}[A-Z]\\b'), lambda d: substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(substr(d, 1, 8) AS INT) % 23 + 1, 1) = substr(d, 9, 1)) AS dni FROM p) SELECT source, 'iban' AS kind, CAST(sum(iban) AS BIGINT) AS n, count(*) AS docs FROM h GROUP BY source UNION ALL SELECT source, 'dni', CAST(sum(len(dni)) AS BIGINT), count_if(len(dni) > 0) FROM h GROUP BY source")
 case("p11_mask_columns", lambda v: x.mask_columns(v.documents.select("doc_id", "text", F.array("source", F.lit("x@y.org")).alias("more")), ("email",)).select("doc_id", F.md5("text").alias("text"), F.array_join("more", "|").alias("more")),
      r"SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)+', '<email>', 'g')) AS text, concat(source, '|<email>') AS more FROM documents")
-case("w10_dedupe_rolling", lambda v: x.dedupe_rolling(v.conversations.select(F.col("conv_id").alias("file"), F.col("turn").alias("n"), F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"), "text")).groupBy("file").agg(F.count("*").alias("n")), None)
+#: Captions that grow, repeat and change; two thirds of an event's cues say what one before them said.
+ROLLING = "SELECT user_id AS file, event_id AS n, event_id * 1.0e0 AS start, event_id + 1.5e0 AS end_, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN concat(event_type, '  more ', CAST(event_id % 2 AS VARCHAR(9))) ELSE '' END AS text FROM events"
+case("w10_dedupe_rolling", lambda v: x.dedupe_rolling(v.sql(ROLLING).withColumnRenamed("end_", "end")),
+     f"""WITH c AS (SELECT file, list({{'n': n, 'text': regexp_replace(text, '\\s+', ' ', 'g'), 'e': end_, 'kept': CAST([] AS STRUCT(n BIGINT, text VARCHAR, e DOUBLE)[])}} ORDER BY n) AS l FROM ({ROLLING}) GROUP BY file),
+     r AS (SELECT file, list_reduce(l, lambda s, x: {{'n': x.n, 'text': x.text, 'e': x.e, 'kept': CASE
+       WHEN len(list_filter(s.kept[-3:], lambda k: k.text = x.text)) > 0 THEN list_transform(s.kept, lambda k, i: {{'n': k.n, 'text': k.text, 'e': CASE WHEN k.text = x.text AND i > len(s.kept) - 3 THEN greatest(k.e, x.e) ELSE k.e END}})
+       WHEN len(s.kept) > 0 AND starts_with(x.text, s.kept[-1].text) THEN list_append(s.kept[:-2], {{'n': s.kept[-1].n, 'text': x.text, 'e': x.e}})
+       WHEN x.text <> '' THEN list_append(s.kept, {{'n': x.n, 'text': x.text, 'e': x.e}}) ELSE s.kept END}}, {{'n': CAST(0 AS BIGINT), 'text': '', 'e': 0.0e0, 'kept': CAST([] AS STRUCT(n BIGINT, text VARCHAR, e DOUBLE)[])}}).kept AS kept FROM c),
+     u AS (SELECT file, unnest(kept) AS k FROM r) SELECT file, k.n AS n, k.text AS text, k.e AS "end" FROM u""")
 OTHERS = "SELECT id, x0, y0, x1, y1, id % 6 = 0 AS special FROM parcels WHERE id % 2 = 0"
 case("j16_conflate_prefer", lambda v: s.conflate_prefer(v.sql(OTHERS), v.parcels.where("id % 2 = 1")).select("id", "origin"),
      f"WITH b AS (SELECT * FROM ({OTHERS}) WHERE special) SELECT id, 'base' AS origin FROM b UNION ALL SELECT id, 'other' FROM parcels o WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM b WHERE (o.x0 + o.x1) / 2 >= b.x0 AND (o.x0 + o.x1) / 2 < b.x1 AND (o.y0 + o.y1) / 2 >= b.y0 AND (o.y0 + o.y1) / 2 < b.y1)")
@@ -37,7 +45,10 @@ def screened(v):
 CHECKS = f"""f AS ({FACTS}), r AS (SELECT id, list_filter([CASE WHEN area < 5000 THEN 'area' WHEN area IS NULL THEN 'area' END, CASE WHEN slope > 20 OR slope IS NULL THEN 'slope' END, CASE WHEN share > 0.25 THEN 'share' END, CASE WHEN access > 600 THEN 'access' END, CASE WHEN zoning IS NULL OR zoning NOT IN ('industrial', 'logistics') THEN 'zoning' END], lambda x: x IS NOT NULL) AS rules FROM f)"""
 case("g09_screen_parcels", lambda v: screened(v).select("id", "accepted", F.array_join(F.transform("reasons", lambda r: F.split_part(r, F.lit(" "), F.lit(1))), ",").alias("rules")), f"WITH {CHECKS} SELECT id, len(rules) = 0 AS accepted, array_to_string(rules, ',') AS rules FROM r")
 case("a12_screening_summary", lambda v: s.screening_summary(screened(v)), f"WITH {CHECKS}, u AS (SELECT unnest(rules) AS rule FROM r) SELECT rule, count(*) AS n FROM u GROUP BY rule")
-case("g12_cluster_mesh", lambda v: s.cluster_mesh(boxes(v), 7.0).groupBy("model_id").agg(F.count("*").alias("faces")), None)
+CORNER = lambda t, j, p: "concat(" + ", '-', ".join(f"CAST(floor({CORNERS[t[p]][i]} * {'abc'[i]} / 7) AS INT)" for i in range(3)) + ")"
+CLUSTERED = " UNION ALL ".join(f"SELECT model_id, {', '.join(f'{CORNER(t, j, p)} AS k{p}' for p in range(3))} FROM box_faces_seed WHERE NOT (model_id % 5 = 0 AND {j} = 3)" for j, t in enumerate(TRIANGLES))
+case("g12_cluster_mesh", lambda v: s.cluster_mesh(boxes(v), 7.0).groupBy("model_id").agg(F.count("*").alias("faces")),
+     f"WITH f AS ({CLUSTERED}) SELECT model_id, count(DISTINCT list_sort([k0, k1, k2])) AS faces FROM f WHERE k0 <> k1 AND k1 <> k2 AND k0 <> k2 GROUP BY model_id")
 SPOTS = "SELECT s_suppkey AS id, s_suppkey * 22.0e0 AS x0, s_suppkey * 29 % 80 * 1.0e0 AS y0, s_suppkey * 22.0e0 + 12 AS x1, s_suppkey * 29 % 80 + 9.0e0 AS y1 FROM supplier UNION ALL SELECT 1000000 + s_suppkey, s_suppkey * 22.0e0 + 13, s_suppkey * 29 % 80 * 1.0e0, s_suppkey * 22.0e0 + 20, s_suppkey * 29 % 80 + 40.0e0 FROM supplier WHERE s_suppkey % 4 = 0"
 case("a08_footprint_heights", lambda v: s.footprint_heights(v.sql(SPOTS), v.cells, 4.0, 2.0, 5.0),
      f"""WITH b AS ({SPOTS}), c AS (SELECT row, col, z, col * 4.0e0 AS x, row * 4.0e0 AS y FROM cells WHERE z IS NOT NULL), i AS (SELECT id, row, col, z FROM b JOIN c ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1), far AS (SELECT id, z, sqrt(power(greatest(x0 - x, 0, x - x1), 2) + power(greatest(y0 - y, 0, y - y1), 2)) AS d FROM b JOIN c ON x BETWEEN x0 - 12.5 AND x1 + 12.5 AND y BETWEEN y0 - 12.5 AND y1 + 12.5 WHERE (row, col) NOT IN (SELECT (row, col) FROM i)),

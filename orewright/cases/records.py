@@ -21,6 +21,9 @@ case("p07_validate_listings", lambda v: ls.validate_listings(folders(v), ls.Temp
      y AS (SELECT *, concat_ws('; ', CASE WHEN length(title) > 120 THEN 'title is too long' END, CASE WHEN length(description) < 200 THEN 'description is too short' END, CASE WHEN n <> 20 THEN 'tags are not exactly the wanted number of unique ones' END,
      CASE WHEN k > 1 THEN 'title is used twice' END, CASE WHEN contains(lower(concat(title, ' ', description)), 'brushed') THEN 'forbidden word brushed' END, CASE WHEN NOT starts_with(title, 'Set') THEN 'title matches no pattern' END) AS issues FROM x)
      SELECT root_id, folder, issues, CASE WHEN status = 'none' THEN 'none' WHEN status = 'approved' AND issues = '' THEN 'approved' ELSE 'checked' END AS checked_status FROM y""")
+KEYS = "CASE root_id WHEN 0 THEN 'title|description|tags' WHEN 1 THEN 'title|tags|price|author' ELSE 'description' END"
+case("p07_listing_keys", lambda v: ls.validate_listings(folders(v).withColumn("keys", F.split(F.expr(KEYS), r"\|")), keys="keys").select("root_id", "folder", F.array_join(F.filter("issues", lambda i: i.contains("keys")), "; ").alias("issues")),
+     "SELECT root_id, folder, CASE root_id WHEN 0 THEN '' WHEN 1 THEN 'unexpected keys author, price; missing keys description' ELSE 'missing keys tags, title' END AS issues FROM folder_listings")
 case("o04_listing_worklist", lambda v: ls.listing_worklist(v.folder_listings).select("root_id", "folder", "status", "step").limit(15),
      "SELECT root_id, folder, status, CAST(CASE status WHEN 'none' THEN 1 WHEN 'draft' THEN 2 WHEN 'checked' THEN 3 ELSE 4 END AS INT) AS step FROM folder_listings ORDER BY step, root_id, folder LIMIT 15")
 case("w08_approved_examples", lambda v: ls.approved_examples(v.folder_listings),

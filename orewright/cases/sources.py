@@ -32,6 +32,9 @@ def footprints(v):
 case("s15_read_footprints", footprints, f"SELECT id, CASE WHEN height >= 0 THEN height END AS height FROM ({PRINTS}) WHERE x0 BETWEEN -4.69e0 AND -4.671e0 AND y0 BETWEEN 41.611e0 AND 41.629e0")
 case("s13_export_cover_instance", lambda v: f.export_cover_instance(s.within_distance(v.geo_candidates, v.geo_demand, 150.0).select(F.col("a").alias("site"), F.col("b").alias("demand"))),
      """SELECT a.id AS site, concat('{"site":', a.id, ',"covers":[', string_agg(CAST(b.id AS VARCHAR), ',' ORDER BY b.id), ']}') AS line FROM geo_candidates a JOIN geo_demand b ON sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 150 GROUP BY a.id""")
+case("s13_export_cover_decision", lambda v: f.export_cover_decision(s.within_distance(v.geo_candidates, v.geo_demand, 150.0).select(F.col("a").alias("site"), F.col("b").alias("demand")), v.geo_demand.select("id", F.col("weight").cast("long").alias("weight")), v.geo_candidates.select("id", "cost"), v.sql("SELECT CAST(1 AS INT) AS step, CAST(0 AS BIGINT) AS site, 0 AS gain, 0 AS served")).where("part <> 'solution'"),
+     """WITH c AS (SELECT a.id AS site, string_agg(CAST(b.id AS VARCHAR), ',' ORDER BY b.id) AS covers FROM geo_candidates a JOIN geo_demand b ON sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 150 GROUP BY a.id)
+     SELECT 'demand' AS part, id, concat('{"id":', id, ',"weight":', CAST(weight AS BIGINT), '}') AS line FROM geo_demand UNION ALL SELECT 'candidate', id, concat('{"id":', id, ',"cost":', cost, ',"covers":[', coalesce(covers, ''), ']}') FROM geo_candidates LEFT JOIN c ON site = id""")
 case("s11_sniff_census", lambda v: f.sniff_census(v.pages.select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".html").otherwise(".PDF")).alias("path"), F.when(F.col("page_id") % 5 == 0, F.unhex(F.lit("255044462D312E37"))).otherwise(F.encode("html", "UTF-8")).alias("content"))),
      "SELECT CASE WHEN page_id % 2 = 0 THEN 'html' ELSE 'pdf' END AS ending, CASE WHEN page_id % 5 = 0 THEN 'pdf' ELSE 'markup' END AS kind, count(*) AS n FROM pages GROUP BY 1, 2")
 case("r01_watch_changes", lambda v: j.watch_changes(v.events.select((F.col("user_id") % 10).alias("root"), F.col("ts").cast("timestamp").alias("ts")), "600 seconds").groupBy("root").agg(F.count("*").alias("triggers"), F.sum("n").alias("n"), F.max("n").alias("most")),

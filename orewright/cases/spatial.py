@@ -34,6 +34,10 @@ POINTS = "SELECT p_partkey AS id, (p_partkey * 37 % 2400) / 10.0e0 + 240 * floor
 case("j22_sample_grid", lambda v: s.sample_grid(v.sql(POINTS), v.cells, 10.0).select("id", F.round("z", 6).alias("z")),
      f"""WITH p AS (SELECT id, y / 10 - floor(y / 10) AS fy, x / 10 - floor(x / 10) AS fx, CAST(floor(y / 10) AS INT) AS r, CAST(floor(x / 10) AS INT) AS c FROM ({POINTS})), k AS (SELECT id, r + a AS row, c + b AS col, (CASE WHEN a = 1 THEN fy ELSE 1 - fy END) * (CASE WHEN b = 1 THEN fx ELSE 1 - fx END) AS w FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b))
      SELECT id, round(CASE WHEN count_if(z IS NULL) > 0 THEN 0 ELSE sum(w * z) END, 6) AS z FROM k LEFT JOIN cells USING (row, col) WHERE w > 0 GROUP BY id""")
+COARSE = "SELECT row, col, CASE WHEN row % 7 = 3 THEN NULL ELSE coalesce(z, 5) + 1 END AS z FROM cells"
+case("j22_sample_with_fallback", lambda v: s.sample_grid(v.sql(POINTS), v.cells, 10.0, v.sql(COARSE)).select("id", F.round("z", 6).alias("z")),
+     f"""WITH p AS (SELECT id, y / 10 - floor(y / 10) AS fy, x / 10 - floor(x / 10) AS fx, CAST(floor(y / 10) AS INT) AS r, CAST(floor(x / 10) AS INT) AS c FROM ({POINTS})), k AS (SELECT id, r + a AS row, c + b AS col, (CASE WHEN a = 1 THEN fy ELSE 1 - fy END) * (CASE WHEN b = 1 THEN fx ELSE 1 - fx END) AS w FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b)),
+     g AS (SELECT id, CASE WHEN count_if(f.z IS NULL) = 0 THEN sum(w * f.z) END AS fine, CASE WHEN count_if(o.z IS NULL) = 0 THEN sum(w * o.z) END AS coarse FROM k LEFT JOIN cells f USING (row, col) LEFT JOIN ({COARSE}) o USING (row, col) WHERE w > 0 GROUP BY id) SELECT id, round(coalesce(fine, coarse, 0), 6) AS z FROM g""")
 case("a07_zonal_stats", lambda v: s.zonal_stats(v.parcels, v.cells, 100.0).select("id", "n", "high", F.round("mean", 6).alias("mean"), F.round("p90", 6).alias("p90"), "reason"),
      """WITH i AS (SELECT p.id, count(z) AS n, max(z) AS high, round(avg(z), 6) AS mean, round(quantile_cont(z, 0.9), 6) AS p90 FROM parcels p JOIN cells c ON c.row * 100 BETWEEN y0 AND y1 AND c.col * 100 BETWEEN x0 AND x1 AND z IS NOT NULL GROUP BY p.id), o AS (SELECT p.id, z FROM parcels p JOIN cells c ON c.row = round((y0 + y1) / 200) AND c.col = round((x0 + x1) / 200) WHERE z IS NOT NULL)
      SELECT p.id, coalesce(n, CASE WHEN z IS NULL THEN 0 ELSE 1 END) AS n, coalesce(high, z) AS high, coalesce(mean, z) AS mean, coalesce(p90, z) AS p90, CASE WHEN n IS NULL AND z IS NULL THEN 'no data' END AS reason FROM parcels p LEFT JOIN i USING (id) LEFT JOIN o USING (id)""")
@@ -79,9 +83,9 @@ def edges(v):
     return n.build_network(v.geo_lines.withColumn("length_m", F.lit(1000.0)))
 
 
-def reach(v):
+def reach(v, most=400.0):
     access = lambda df: s.snap_points(df, v.geo_nodes, 60.0).withColumn("access_s", F.col("access") / 1.25)
-    return n.reach_network(edges(v), access(v.geo_candidates), access(v.geo_demand), 400.0)
+    return n.reach_network(edges(v), access(v.geo_candidates), access(v.geo_demand), most)
 
 
 REACH = f"""{EDGES}, near(kind, id, node, access) AS (SELECT kind, id, node, round(sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2)), 9) / 1.25e0 FROM (SELECT 's' AS kind, id, x, y FROM geo_candidates UNION ALL SELECT 'd', id, x, y FROM geo_demand) p JOIN geo_nodes g ON sqrt(power(p.x - g.x, 2) + power(p.y - g.y, 2)) <= 60),
@@ -93,8 +97,10 @@ CHOSEN = "SELECT * FROM (VALUES (CAST(3 AS BIGINT), 1), (CAST(17 AS BIGINT), 2),
 SPARK_CHOSEN = CHOSEN.replace('"', "`")
 case("g04_assign", lambda v: n.assign(reach(v), v.sql(SPARK_CHOSEN)).withColumn("cost", F.round("cost", 6)),
      f"WITH RECURSIVE {REACH}, c AS ({CHOSEN}), r AS (SELECT demand, site, cost, row_number() OVER (PARTITION BY demand ORDER BY round(cost, 9), \"order\") AS k FROM reach JOIN c USING (site)) SELECT demand, site, round(cost, 6) AS cost FROM r WHERE k = 1")
-case("g08_unserved_reasons", lambda v: n.unserved_reasons(s.snap_points(v.geo_demand, v.geo_nodes, 60.0), reach(v), v.sql(SPARK_CHOSEN)),
-     f"WITH RECURSIVE {REACH} SELECT d.id, CASE WHEN NOT EXISTS (SELECT 1 FROM near WHERE kind = 'd' AND near.id = d.id) THEN 'no node near' WHEN d.id IN (SELECT demand FROM reach) THEN 'another site would reach it' ELSE 'no site reaches it' END AS reason FROM geo_demand d WHERE d.id NOT IN (SELECT demand FROM reach WHERE site IN (3, 17, 8))")
+WIDE = REACH.replace("<= 400", "<= 600")
+case("g08_unserved_reasons", lambda v: n.unserved_reasons(s.snap_points(v.geo_demand, v.geo_nodes, 60.0), reach(v), v.sql(SPARK_CHOSEN), reach(v, 600.0)).withColumn("minutes", F.round("minutes", 3)),
+     f"""WITH RECURSIVE {WIDE}, d AS (SELECT d.id, min(cost) FILTER (site IN (3, 17, 8)) AS best, EXISTS (SELECT 1 FROM near WHERE kind = 'd' AND near.id = d.id) AS on_road, coalesce(bool_or(cost <= 400), false) AS possible FROM geo_demand d LEFT JOIN reach ON demand = d.id GROUP BY d.id)
+     SELECT id, CASE WHEN NOT on_road THEN 'no node near' WHEN best IS NOT NULL THEN 'too far' WHEN possible THEN 'another site would reach it' ELSE 'no site reaches it' END AS reason, round(best / 60, 3) AS minutes FROM d WHERE best IS NULL OR best > 400""")
 
 
 def weights(v):
@@ -106,6 +112,9 @@ GREEDY = ", ".join(f"""s{k} AS (SELECT site, round(sum(weight), 6) AS gain FROM
  b{k} AS (SELECT * FROM s{k} WHERE gain > 0 ORDER BY gain DESC, site LIMIT 1)""" for k in (1, 2, 3))
 case("g05_max_coverage_k3", lambda v: n.max_coverage(reach(v), weights(v), 3).withColumn("served", F.round("served", 4)),
      f"WITH RECURSIVE {REACH}, {GREEDY}, u AS (SELECT 1 AS step, * FROM b1 UNION ALL SELECT 2, * FROM b2 UNION ALL SELECT 3, * FROM b3) SELECT step, site, gain, round(sum(gain) OVER (ORDER BY step), 4) AS served FROM u")
-case("g06_min_sites", lambda v: n.min_sites(reach(v), weights(v), v.geo_candidates.select(F.col("id").alias("site"), F.col("cost").cast("double").alias("cost")), 0.3), None)
-case("g07_cross_check", lambda v: (lambda r, st: st.groupBy("a").agg(F.count("*").alias("straight")).join(r.groupBy(F.col("site").alias("a")).agg(F.count("*").alias("network")), "a", "left").select(F.col("a").alias("site"), "straight", F.coalesce("network", F.lit(0)).alias("network")))(reach(v), s.within_distance(v.geo_candidates, v.geo_demand, 1500.0)),
+PRICED = ", ".join(f"""s{k} AS (SELECT site, round(sum(weight), 6) AS gain, round(round(sum(weight), 6) / any_value(cost), 9) AS score FROM r JOIN geo_demand d ON d.id = demand WHERE true {"".join(f"AND demand NOT IN (SELECT demand FROM r WHERE site IN (SELECT site FROM b{i}))" for i in range(1, k))} GROUP BY site),
+ b{k} AS (SELECT site, gain FROM s{k} WHERE gain > 0 {"".join(f"AND (SELECT coalesce(sum(gain), 0) FROM ({' UNION ALL '.join(f'SELECT gain FROM b{i}' for i in range(1, k))})) < (SELECT goal FROM t)" for _ in range(k > 1))} ORDER BY score DESC, site LIMIT 1)""" for k in range(1, 11))
+case("g06_min_sites", lambda v: n.min_sites(reach(v), weights(v), v.geo_candidates.select(F.col("id").alias("site"), F.col("cost").cast("double").alias("cost")), 0.04).withColumn("served", F.round("served", 4)),
+     f"WITH RECURSIVE {REACH}, t AS (SELECT 0.04e0 * sum(weight) - 1e-9 AS goal FROM geo_demand), r AS (SELECT site, demand, c.cost AS cost FROM reach JOIN geo_candidates c ON c.id = site), {PRICED}, u AS ({' UNION ALL '.join(f'SELECT {k} AS step, site, gain FROM b{k}' for k in range(1, 11))}) SELECT step, site, gain, round(sum(gain) OVER (ORDER BY step), 4) AS served FROM u")
+case("g07_cross_check", lambda v: n.cross_check(reach(v), s.within_distance(v.geo_candidates, v.geo_demand, 1500.0)),
      f"WITH RECURSIVE {REACH}, st AS (SELECT a.id AS site, count(*) AS straight FROM geo_candidates a JOIN geo_demand b ON sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 1500 GROUP BY a.id) SELECT site, straight, coalesce((SELECT count(*) FROM reach r WHERE r.site = st.site), 0) AS network FROM st")

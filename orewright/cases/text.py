@@ -46,8 +46,10 @@ def nearest(v, k=10):
 TOPK = """n AS (SELECT b.vec_id AS query, a.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score FROM embeddings a JOIN embeddings b ON b.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
  top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM n WHERE score >= 0)"""
 case("o05_vector_topk", nearest, f"WITH {TOPK} SELECT query, id, score, rank FROM top WHERE rank <= 10")
-case("t07_hybrid_search", lambda v: t.rrf(scores(v).where("query = 1").select(F.lit("words").alias("list"), F.col("doc").alias("id"), F.expr("row_number() over (order by round(score, 9) desc, doc)").alias("rank"), F.lit(1.0).alias("weight")).where("rank <= 200").unionAll(nearest(v, 50).where("query = 0").select(F.lit("vectors").alias("list"), "id", "rank", F.lit(1.0).alias("weight")))).withColumn("score", F.round("score", 9)),
-     f"WITH {BM_SQL}, {TOPK}, l AS (SELECT * FROM (SELECT 'words' AS list, doc AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS rank FROM s WHERE query = 1) WHERE rank <= 200 UNION ALL SELECT 'vectors', id, rank FROM top WHERE query = 0 AND rank <= 50) SELECT id, round(sum(1.0e0 / (60 + rank)), 9) AS score, string_agg(list, ',' ORDER BY list) AS lists FROM l GROUP BY id")
+#: The vectors that stand for the queries of words.
+VECTOR_OF = "SELECT * FROM (VALUES (1, CAST(0 AS BIGINT)), (2, CAST(20 AS BIGINT))) AS w(query, vec)"
+case("t07_hybrid_search", lambda v: t.hybrid_search(scores(v), nearest(v, 50).withColumnRenamed("query", "vec").join(v.sql(VECTOR_OF), "vec")).withColumn("score", F.round("score", 9)),
+     f"WITH {BM_SQL}, {TOPK}, w AS ({VECTOR_OF}), l AS (SELECT * FROM (SELECT query, 'words' AS list, doc AS id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM s) WHERE rank <= 200 UNION ALL SELECT w.query, 'vectors', id, rank FROM top JOIN w ON w.vec = top.query WHERE rank <= 50) SELECT query, id, round(sum(1.0e0 / (60 + rank)), 9) AS score, string_agg(list, ',' ORDER BY list) AS lists FROM l GROUP BY query, id")
 DIRTY = "SELECT doc_id, concat(CASE WHEN doc_id % 5 = 0 THEN replace(text, ' ', chr(10)) ELSE replace(text, '. ', concat('. ', chr(160), chr(13), chr(10), chr(10), chr(10), chr(10))) END, chr(8203), '   end-', chr(10), 'ing') AS text FROM documents"
 case("t08_clean_corpus", lambda v: t.clean_corpus(v.sql(DIRTY.replace("chr(160)", "decode(unhex('C2A0'), 'UTF-8')").replace("chr(8203)", "decode(unhex('E2808B'), 'UTF-8')"))).select("doc_id", F.md5("clean").alias("clean"), "before", "after"),
      rf"""WITH d AS ({DIRTY}), a AS (SELECT doc_id, text, regexp_replace(text, '\r\n?', chr(10), 'g') AS x FROM d), b AS (SELECT doc_id, text, regexp_replace(replace(x, chr(8203), ''), concat('[ \t', chr(160), ']+'), ' ', 'g') AS x FROM a), c AS (SELECT doc_id, text, regexp_replace(x, '(\p{{L}})-\n(\p{{Ll}})', '\1\2', 'g') AS x FROM b),
@@ -79,7 +81,8 @@ CLEAN = r"""m AS (MESSY), a AS (SELECT page_id, regexp_replace(CASE WHEN contain
 case("t17_normalize_url", lambda v: v.sql(MESSY).select("page_id", t.normalize_url(F.col("url")).alias("url")), f"WITH {CLEAN} SELECT page_id, url FROM c")
 case("t17_dedupe_urls", lambda v: t.dedupe_urls(v.sql(MESSY), "url", "page_id").select("page_id", "key", "copies"),
      f"WITH {CLEAN}, k AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '^www\\.', '') AS key FROM c) SELECT min(page_id) AS page_id, key, count(*) - 1 + 1 AS copies FROM k GROUP BY key")
-case("t19_by_domain", lambda v: t.by_domain(v.pages, "url"), r"SELECT regexp_extract(url, '://(?:[^/?#]*\.)?([^./?#]+\.[^./?#]+)', 1) AS domain, count(*) AS n FROM pages GROUP BY 1")
+NAMED = "SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'https://www.hacienda.gob.es/x' WHEN 1 THEN 'http://10.0.0.7/y' WHEN 2 THEN 'http://u:p@a.b.co.uk:8080?q' WHEN 3 THEN 'https://intranet/z' WHEN 4 THEN 'https://shop.example.co.jp.' ELSE url END AS url FROM pages"
+case("t19_by_domain", lambda v: t.by_domain(v.sql(NAMED), "url"), rf"SELECT CASE page_id % 7 WHEN 0 THEN 'hacienda.gob.es' WHEN 1 THEN '10.0.0.7' WHEN 2 THEN 'b.co.uk' WHEN 3 THEN 'intranet' WHEN 4 THEN 'example.co.jp' ELSE regexp_extract(url, '://(?:[^/?#]*\.)?([^./?#]+\.[^./?#]+)', 1) END AS domain, count(*) AS n FROM ({NAMED}) GROUP BY 1")
 SIGNS = "aggregate(transform(sequence(0, 62), i -> CASE WHEN embedding[i] > 0 THEN shiftleft(1L, i) ELSE 0L END), 0L, (a, b) -> a + b)"
 #: Sign bits of the vectors, and for every third one a copy with up to seven of its bits turned.
 HASHES = "SELECT vec_id AS id, SIGNS AS h FROM embeddings UNION ALL SELECT vec_id + 1000000, CAST(xor(SIGNS, CAST(power(2, vec_id % 8) AS BIGINT) * 4398046511104 - 4398046511104) AS BIGINT) FROM embeddings WHERE vec_id % 3 = 0"

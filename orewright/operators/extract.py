@@ -157,21 +157,35 @@ def mask_columns(rows: DataFrame, kinds: tuple[str, ...] = tuple(PII)) -> DataFr
 
 
 def dedupe_rolling(cues: DataFrame) -> DataFrame:
-    """``file, n, text, end`` of cues (``file, n, start, end, text``) that aren't repeated by rolling captions: one equal to one of the last three kept extends it, one that the next one continues is replaced. Order within a file matters, so a file is one group."""
-    def run(key, table):
-        kept: list[list] = []
-        for row in table.sort_by("n").to_pylist():
-            text = " ".join((row["text"] or "").split())
-            same = next((k for k in kept[-3:] if k[1] == text), None)
-            if same:
-                same[2] = max(same[2], row["end"])
-            elif kept and text.startswith(kept[-1][1]) and kept[-1][1]:
-                kept[-1][1:] = [text, row["end"]]
-            elif text:
-                kept.append([row["n"], text, row["end"]])
-        return pa.table({"file": pa.array([key[0].as_py()] * len(kept), pa.int64()), "n": pa.array([k[0] for k in kept], pa.int64()), "text": pa.array([k[1] for k in kept], pa.string()), "end": pa.array([k[2] for k in kept], pa.float64())})
-
-    return cues.select("file", "n", "start", "end", "text").groupBy("file").applyInArrow(run, "file long, n long, text string, end double")
+    """``file, n, text, end`` of cues (``file, n, start, end, text``) that aren't repeated by rolling captions: one equal to one of the last three kept extends it, one that continues the last kept replaces it.
+
+    Order within a file matters, so a file is in one task; its cues stream through it in order, and only the last three kept are held.
+    """
+    schema = pa.schema([("file", pa.int64()), ("n", pa.int64()), ("text", pa.string()), ("end", pa.float64())])
+
+    def run(batches):
+        file, kept, out = None, [], []
+        for batch in batches:
+            for own, n, end, text in zip(*(batch.column(c).to_pylist() for c in ("file", "n", "end", "text")), strict=True):
+                if file != (own,):
+                    out, file, kept = out + kept, (own,), []
+                text = " ".join((text or "").split())
+                same = next((k for k in kept if k[2] == text), None)
+                if same:
+                    same[3] = max(same[3], end)
+                elif kept and kept[-1][2] and text.startswith(kept[-1][2]):
+                    kept[-1][2:] = [text, end]
+                elif text:
+                    kept.append([own, n, text, end])
+                    out, kept = out + kept[:-3], kept[-3:]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                out = []
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), schema.types, strict=True)], schema=schema)
+
+    rows = cues.select(F.col("file").cast("long").alias("file"), F.col("n").cast("long").alias("n"), "end", "text").repartition("file").sortWithinPartitions("file", "n")
+    return rows.mapInArrow(run, "file long, n long, text string, end double")
 
 
 def chunk_markdown(docs: DataFrame, doc_id: str, text: str, size: int = 1000) -> DataFrame:

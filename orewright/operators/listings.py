@@ -55,8 +55,8 @@ class Template:
     title_patterns: list[str] = field(default_factory=list)
 
 
-def validate_listings(rows: DataFrame, template: Template | None = None) -> DataFrame:
-    """Adds ``issues`` and ``checked_status`` (``approved`` where an approved listing has none, else ``checked``; ``none`` stays). ``tags`` is an array; a title that another folder of the root has, regardless of case, is an issue of all but the first folder."""
+def validate_listings(rows: DataFrame, template: Template | None = None, keys: str | None = None) -> DataFrame:
+    """Adds ``issues`` and ``checked_status`` (``approved`` where an approved listing has none, else ``checked``; ``none`` stays). ``tags`` is an array; ``keys`` names a column with the keys that the listing came with, which must be title, description and tags; a title that another folder of the root has, regardless of case, is an issue of all but the first folder."""
     t = template or Template()
     title, text, tags = F.trim(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("description", F.lit(""))), F.coalesce("tags", F.array().cast("array<string>"))
     clean = normalise_tags(tags)
@@ -67,6 +67,10 @@ def validate_listings(rows: DataFrame, template: Template | None = None) -> Data
         issue(title == "", "title is empty"), issue(F.length("title") > TITLE_MAX, "title is too long"), issue(text == "", "description is empty"), issue((text != "") & (F.length("description") < DESCRIPTION_MIN), "description is too short"),
         issue((F.size(tags) != F.size(clean)) | (F.size(clean) != TAG_COUNT), "tags are not exactly the wanted number of unique ones"), issue((title != "") & (F.row_number().over(own) > 1), "title is used twice"),
     ]
+    if keys:
+        own_keys, three = F.array_distinct(F.col(keys)), F.array(*[F.lit(k) for k in ("description", "tags", "title")])
+        extra, gone = F.array_sort(F.array_except(own_keys, three)), F.array_sort(F.array_except(three, own_keys))
+        checks = [F.when(F.size(extra) > 0, F.concat(F.lit("unexpected keys "), F.array_join(extra, ", "))), F.when(F.size(gone) > 0, F.concat(F.lit("missing keys "), F.array_join(gone, ", "))), *checks]
     if t.required_tags:
         wanted = normalise_tags(F.array(*[F.lit(x) for x in t.required_tags]))
         checks.append(issue(F.size(F.array_except(wanted, clean)) > 0, "required tags are missing"))

@@ -76,12 +76,24 @@ def min_sites(reach: DataFrame, weights: DataFrame, costs: DataFrame, share: flo
     return _greedy(reach, weights, costs, lambda served: served >= share * total - 1e-9, 1_000_000)
 
 
-def unserved_reasons(demand: DataFrame, reach: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Why a demand (``id, node``) isn't served by the chosen sites: no node near it, or none of them reaches it in time."""
-    served = reach.join(F.broadcast(chosen.select("site")), "site", "left_semi").select(F.col("demand").alias("id")).distinct()
+def unserved_reasons(demand: DataFrame, reach: DataFrame, chosen: DataFrame, wide: DataFrame | None = None) -> DataFrame:
+    """Why a demand (``id, node``) isn't served by the chosen sites (``site``), and the ``minutes`` to the nearest of them, where ``wide``, a reach of a larger limit, knows it.
+
+    No node near it, a chosen site that is too far, another site that would reach it, or none that does.
+    """
+    served = reach.join(chosen.select("site"), "site", "left_semi").select(F.col("demand").alias("id")).distinct()
     possible = reach.select(F.col("demand").alias("id")).distinct().withColumn("possible", F.lit(True))
-    out = demand.join(served, "id", "left_anti").join(possible, "id", "left")
-    return out.select("id", F.when(F.col("node").isNull(), "no node near").when(F.col("possible"), "another site would reach it").otherwise("no site reaches it").alias("reason"))
+    far = (reach if wide is None else wide).join(chosen.select("site"), "site", "left_semi").groupBy(F.col("demand").alias("id")).agg((F.min("cost") / 60).alias("minutes"))
+    out = demand.join(served, "id", "left_anti").join(possible, "id", "left").join(far, "id", "left")
+    reason = F.when(F.col("node").isNull(), "no node near").when(F.col("minutes").isNotNull(), "too far").when(F.col("possible"), "another site would reach it").otherwise("no site reaches it")
+    return out.select("id", reason.alias("reason"), "minutes")
+
+
+def cross_check(reach: DataFrame, straight: DataFrame) -> DataFrame:
+    """``site, straight, network``: how many demands each site (``a``) serves by straight lines (``a, b``), and how many of them or others it does over the network."""
+    by_road = reach.groupBy("site").agg(F.count("*").alias("network"))
+    by_air = straight.groupBy(F.col("a").alias("site")).agg(F.count("*").alias("straight"))
+    return by_air.join(by_road, "site", "left").select("site", "straight", F.coalesce("network", F.lit(0)).alias("network"))
 
 
 def shortest_paths(reach: DataFrame, targets: DataFrame, most_steps: int = 1000) -> DataFrame:

@@ -89,8 +89,12 @@ def mosaic(cells: DataFrame, mode: str = "max") -> DataFrame:
     return cells.groupBy("row", "col").agg(value.alias("z"))
 
 
-def sample_grid(points: DataFrame, cells: DataFrame, size: float, fallback: float = 0.0) -> DataFrame:
-    """Adds ``z`` by the four cells around each point (``x`` by column, ``y`` by row, cell centres at multiples of ``size``); where one is missing, the fallback."""
+def sample_grid(points: DataFrame, cells: DataFrame, size: float, fallback: float | DataFrame = 0.0) -> DataFrame:
+    """Adds ``z`` by the four cells around each point (``x`` by column, ``y`` by row, cell centres at multiples of ``size``); where one is missing, by the fallback, another grid of the same cells or a number (0 where the other grid has none either)."""
+    if isinstance(fallback, DataFrame):
+        own, other = (sample_grid(points, c, size, float("nan")).select("id", "z") for c in (cells, fallback))
+        z = F.when(~F.isnan("z"), F.col("z")).when(~F.isnan("z2"), F.col("z2")).otherwise(0.0)
+        return points.join(own.join(other.withColumnRenamed("z", "z2"), "id").select("id", z.alias("z")), "id")
     i, j = F.floor(F.col("y") / size), F.floor(F.col("x") / size)
     fy, fx = F.col("y") / size - i, F.col("x") / size - j
     four = F.explode(F.array(*[F.struct((i + a).alias("row"), (j + b).alias("col"), ((fy if a else 1 - fy) * (fx if b else 1 - fx)).alias("w")) for a in (0, 1) for b in (0, 1)]))

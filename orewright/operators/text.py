@@ -102,9 +102,18 @@ def bm25(postings: DataFrame, terms: DataFrame, documents: DataFrame, weights: d
     return hits.join(F.broadcast(idf), ["query", "t", "prefix"]).join(documents.select("doc", "length"), "doc").groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
 
-def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of ``list, id, rank, weight``: ``id`` and the sum of weight over k + rank."""
-    return rankings.groupBy("id").agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("score"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+def rrf(rankings: DataFrame, k: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
+    """Reciprocal rank fusion of ``list, id, rank, weight``, of each value of ``by``: ``id`` and the sum of weight over k + rank."""
+    return rankings.groupBy(*by, "id").agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("score"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+
+
+def hybrid_search(words: DataFrame, nearest: DataFrame, k: int = 60, most_words: int = 200, most_vectors: int = 50, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """``query, id, score, lists``: the best ``most_words`` documents of each query by words (``query, doc, score``, as :func:`bm25` gives) and the best ``most_vectors`` by vectors
+    (``query, id, rank``, as :func:`vector_topk` gives), fused by their ranks. Each list is cut before rows are moved."""
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc")
+    ranked = words.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most_words).select("query", F.lit("words").alias("list"), F.col("doc").alias("id"), "rank", F.lit(weights[0]).alias("weight"))
+    near = nearest.where(F.col("rank") <= most_vectors).select("query", F.lit("vectors").alias("list"), "id", "rank", F.lit(weights[1]).alias("weight"))
+    return rrf(ranked.unionByName(near), k, ("query",))
 
 
 def rrf_urls(hits: DataFrame, k: int = 60) -> DataFrame:
@@ -223,16 +232,61 @@ def dedupe_urls(rows: DataFrame, col: str, order: str) -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(own.orderBy(order))).withColumn("copies", F.count("*").over(own)).where("_n = 1").drop("_n")
 
 
-def registrable_domain(host: Column, suffixes: tuple[str, ...] = ("co.uk", "org.uk", "com.au", "co.jp", "com.br", "com.mx", "com.ar")) -> Column:
-    """The name that was registered: two labels, or three where the last two are a public suffix."""
-    labels = F.split(F.lower(host), r"\.")
+#: Public suffixes of two labels.
+PUBLIC_SUFFIXES = """
+com.es org.es nom.es gob.es edu.es
+co.uk org.uk gov.uk ac.uk me.uk ltd.uk plc.uk net.uk sch.uk nhs.uk police.uk
+com.au net.au org.au edu.au gov.au id.au asn.au
+co.nz org.nz govt.nz ac.nz net.nz school.nz
+com.br org.br gov.br net.br edu.br
+com.mx org.mx gob.mx edu.mx net.mx
+com.ar gob.ar org.ar net.ar edu.ar gov.ar
+com.co org.co gov.co edu.co net.co
+com.pe gob.pe org.pe edu.pe
+com.ve com.uy com.ec com.bo com.py com.gt com.pa
+co.jp or.jp ne.jp ac.jp go.jp
+com.cn org.cn net.cn gov.cn edu.cn
+co.in net.in org.in gov.in ac.in
+co.za org.za gov.za ac.za net.za
+com.tr org.tr gov.tr edu.tr
+com.pl org.pl net.pl edu.pl gov.pl
+com.pt org.pt gov.pt edu.pt
+gouv.fr asso.fr com.fr
+gov.it edu.it
+co.kr or.kr go.kr ac.kr
+com.hk org.hk gov.hk edu.hk
+com.sg org.sg gov.sg edu.sg
+com.my gov.my edu.my
+co.id or.id go.id ac.id
+co.th ac.th go.th
+com.ph org.ph gov.ph edu.ph
+com.vn gov.vn
+co.il org.il gov.il ac.il
+co.ae com.sa com.eg com.ng co.ke co.tz
+com.ua org.ua
+com.ru
+""".split()
+
+
+def registrable_domain(host: Column, extra: tuple[str, ...] = ()) -> Column:
+    """The name that was registered: the public suffix and one label before it. Suffixes are one label, or one of :data:`PUBLIC_SUFFIXES`, or one of ``extra`` (two labels or three).
+
+    Addresses and names of one label or two stay as they are; an empty host is null.
+    """
+    name = F.regexp_replace(F.lower(F.trim(host)), r"\.+$", "")
+    labels = F.split(name, r"\.")
     n = F.size(labels)
     last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), ".")
-    return F.when(last(2).isin(list(suffixes)), last(3)).otherwise(last(2))
+    address = name.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$") | name.contains(":")
+    out = F.when(name == "", None).when(address | (n <= 2), name)
+    if extra:
+        out = out.when((n > 3) & last(3).isin(list(extra)), last(4))
+    return out.when(last(2).isin([*PUBLIC_SUFFIXES, *extra]), last(3)).otherwise(last(2))
 
 
 def by_domain(rows: DataFrame, col: str) -> DataFrame:
-    host = F.regexp_replace(F.regexp_extract(F.col(col), r"^[a-z]+://([^/?#:]*)", 1), r"^www\.", "")
+    """``domain, n`` of the registrable domains of a column of URLs."""
+    host = F.regexp_extract(F.col(col), r"^[a-z]+://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     return rows.groupBy(registrable_domain(host).alias("domain")).agg(F.count("*").alias("n"))
 
 

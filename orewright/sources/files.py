@@ -136,22 +136,37 @@ def read_layer(spark: SparkSession, path: str, role: str, crs: str, source: str
 
 
 def read_tracks(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """``path, n, lon, lat, ele`` of GPX track points or of GeoJSON lines, in order."""
+    """``path, line, n, lon, lat, ele`` of GPX tracks and routes, KML lines, or GeoJSON lines, points in order; ``line`` is the segment's number in its file."""
+    def points(tag: str, child: str) -> DataFrame:
+        rows = spark.read.format("xml").option("rowTag", tag).schema(f"{child} array<struct<_lat: double, _lon: double, ele: double>>").load(path).withColumn("path", F.input_file_name())
+        return rows.select("path", F.col(child).alias("p"))
+
     if fmt == "gpx":
-        rows = spark.read.format("xml").option("rowTag", "trkseg").schema("trkpt array<struct<_lat: double, _lon: double, ele: double>>").load(path)
-        return rows.select(F.input_file_name().alias("path"), F.posexplode("trkpt").alias("n", "p")).select("path", "n", F.col("p._lon").alias("lon"), F.col("p._lat").alias("lat"), F.col("p.ele").alias("ele"))
-    if fmt == "geojson":
-        lines = read_layer(spark, path, "track", "EPSG:4326").where("kind = 'LineString'")
-        return lines.select(F.lit(path).alias("path"), F.posexplode(F.from_json("coordinates", "array<array<double>>")).alias("n", "p")).select("path", "n", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"), F.get("p", F.lit(2)).alias("ele"))
-    raise ValueError(f"unknown format {fmt}")
+        lines = points("trkseg", "trkpt").unionAll(points("rte", "rtept")).select("path", F.transform("p", lambda q: F.struct(q["_lon"].alias("lon"), q["_lat"].alias("lat"), q["ele"].alias("ele"))).alias("p"))
+    elif fmt == "kml":
+        rows = spark.read.format("xml").option("rowTag", "LineString").schema("coordinates string").load(path)
+        number = lambda t, i: F.get(F.split(t, ","), F.lit(i)).try_cast("double")
+        triples = F.transform(F.filter(F.split(F.trim("coordinates"), r"\s+"), lambda t: t.contains(",")), lambda t: F.struct(number(t, 0).alias("lon"), number(t, 1).alias("lat"), number(t, 2).alias("ele")))
+        lines = rows.select(F.input_file_name().alias("path"), triples.alias("p"))
+    elif fmt == "geojson":
+        rows = read_layer(spark, path, "track", "EPSG:4326").where("kind = 'LineString'")
+        lines = rows.select(F.lit(path).alias("path"), F.transform(F.from_json("coordinates", "array<array<double>>"), lambda q: F.struct(q[0].alias("lon"), q[1].alias("lat"), F.get(q, F.lit(2)).alias("ele"))).alias("p"))
+    else:
+        raise ValueError(f"unknown format {fmt}")
+    lines = lines.withColumn("line", F.row_number().over(Window.partitionBy("path").orderBy(F.monotonically_increasing_id())) - 1)  # a row for each line of a file
+    out = lines.select("path", "line", F.posexplode("p").alias("n", "q")).select("path", "line", "n", "q.lon", "q.lat", "q.ele")
+    return out.where("lon is not null and lat is not null")
 
 
 def read_feed_items(spark: SparkSession, path: str, most: int = 200) -> DataFrame:
-    """``feed, id, title, link, published`` of RSS items, the first ``most`` of each feed."""
-    rows = spark.read.format("xml").option("rowTag", "item").schema("guid string, title string, link string, pubDate string").load(path)
-    rows = rows.select(F.input_file_name().alias("feed"), F.coalesce("guid", "link", "title").alias("id"), F.trim("title").alias("title"), "link", F.to_timestamp(F.regexp_replace("pubDate", r"^\w+,\s*", ""), "d MMM yyyy HH:mm:ss Z").alias("published"))
+    """``feed, id, title, link, published, summary`` of RSS items and Atom entries, dates in UTC, the first ``most`` of each feed."""
+    rss = spark.read.format("xml").option("rowTag", "item").schema("guid string, title string, link string, pubDate string, description string").load(path)
+    rss = rss.select(F.input_file_name().alias("feed"), F.coalesce("guid", "link", "title").alias("id"), F.trim("title").alias("title"), "link", F.try_to_timestamp(F.regexp_replace("pubDate", r"^\w+,\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")).alias("published"), F.trim("description").alias("summary"))
+    atom = spark.read.format("xml").option("rowTag", "entry").schema("id string, title string, link array<struct<_href: string, _rel: string>>, published string, updated string, summary string").load(path)
+    href = F.get(F.transform(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), lambda x: x["_href"]), F.lit(0))
+    atom = atom.select(F.input_file_name().alias("feed"), F.coalesce("id", href, "title").alias("id"), F.trim("title").alias("title"), href.alias("link"), F.try_to_timestamp(F.coalesce("published", "updated")).alias("published"), F.trim("summary").alias("summary"))
     order = Window.partitionBy("feed").orderBy(F.desc_nulls_last("published"), "id")
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
+    return rss.unionByName(atom).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
 def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -176,3 +191,15 @@ def export_cover_instance(reach: DataFrame) -> DataFrame:
     """``site, covers`` (ids, in order) of a set-covering instance and its JSON line."""
     rows = reach.groupBy("site").agg(F.array_sort(F.collect_set("demand")).alias("covers"))
     return rows.select("site", F.to_json(F.struct("site", "covers")).alias("line"))
+
+
+def export_cover_decision(reach: DataFrame, demand: DataFrame, sites: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``part, id, line``: the whole hand-off as JSON lines: each ``demand`` (``id, weight``), each candidate (``id, cost``) with what it covers, none too, and the solution: each
+    chosen site (``step, site, gain, served``) with the share of all weight that is served by then."""
+    covers = reach.groupBy(F.col("site").alias("id")).agg(F.array_sort(F.collect_set("demand")).alias("covers"))
+    candidates = sites.select("id", "cost").join(covers, "id", "left").withColumn("covers", F.coalesce("covers", F.array().cast("array<bigint>")))
+    total = demand.agg(F.sum("weight").alias("all"))  # one row
+    solution = chosen.join(F.broadcast(total)).select(F.col("site").alias("id"), "step", "gain", F.round(100 * F.col("served") / F.col("all"), 4).alias("served_pct"))
+    parts = [("demand", demand, ("id", "weight")), ("candidate", candidates, ("id", "cost", "covers")), ("solution", solution, ("id", "step", "gain", "served_pct"))]
+    lines = [df.select(F.lit(name).alias("part"), "id", F.to_json(F.struct(*c)).alias("line")) for name, df, c in parts]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2])

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orewright.operators.ledger import undone_ids
+
 
 def watch_changes(events: DataFrame, gap: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
     """``root, start, end, n``: events (``root, ts``) of a root less than ``gap`` apart are one trigger. Works on a stream (with a watermark of ``late``) and on a table."""
@@ -75,12 +77,29 @@ def live_state(observations: DataFrame, polls: DataFrame, ttl: float, most: floa
     return rows.select("key", "at", F.when(age <= most, F.col("last.value")).alias("value"), state.alias("state"))
 
 
+def _earlier(spark, table: str, n: int) -> DataFrame | None:
+    """Rows that batches before ``n`` have left in ``table``."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(table).where(F.col("batch") < n)
+
+
 def journal_stream(lines: DataFrame, table: str):
-    """A query that keeps ``table`` (a path) at the journal's lines so far, batch after batch, each once by ``id``; ``undone`` follows from :func:`orewright.operators.ledger.undone_ids` when it's read."""
-    def upsert(batch: DataFrame, n: int) -> None:
-        batch.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{table}/batch={n}")  # a batch that runs again replaces its own rows
+    """A query that keeps ``table`` (a path) at the journal's lines so far, each once by ``id``, the first time that it comes; :func:`journal_now` reads it."""
+    def add(batch: DataFrame, n: int) -> None:
+        known = _earlier(batch.sparkSession, table, n)
+        fresh = batch.dropDuplicates(["id"])
+        fresh = fresh if known is None else fresh.join(known.select("id"), "id", "left_anti").select(batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{table}/batch={n}")  # a batch that runs again replaces its own rows
+
+    return lines.writeStream.foreachBatch(add)
+
 
-    return lines.writeStream.foreachBatch(upsert)
+def journal_now(spark, table: str) -> DataFrame:
+    """The journal's lines so far, with ``undone`` for writes that a later successful undo names, whichever batch brought it."""
+    rows = spark.read.parquet(table).drop("batch")
+    return rows.join(undone_ids(rows).select("id", "undone_at"), "id", "left").withColumn("undone", (F.col("kind") == "write") & F.col("undone_at").isNotNull()).drop("undone_at")
 
 
 def catalog_stream(files: DataFrame, table: str):

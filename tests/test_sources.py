@@ -64,6 +64,8 @@ def test_geojson_layer_and_tracks(spark, tmp_path):
     assert f.read_layer(spark, str(tmp_path / "p.json"), "demand", "EPSG:4326").first()["kind"] == "Point"
     (tmp_path / "t.gpx").write_text('<?xml version="1.0"?><gpx><trk><trkseg><trkpt lat="41.5" lon="-4.7"><ele>700</ele></trkpt><trkpt lat="41.6" lon="-4.8"></trkpt></trkseg></trk></gpx>')
     assert [(r["lat"], r["ele"]) for r in f.read_tracks(spark, str(tmp_path / "t.gpx"), "gpx").orderBy("n").collect()] == [(41.5, 700.0), (41.6, None)]
+    (tmp_path / "k.kml").write_text('<?xml version="1.0"?><kml><Document><Placemark><LineString><coordinates>\n-4.7,41.5,700 -4.8,41.6\n x,1 </coordinates></LineString></Placemark><Placemark><LineString><coordinates>1,2</coordinates></LineString></Placemark></Document></kml>')
+    assert [(r["line"], r["lon"], r["ele"]) for r in f.read_tracks(spark, str(tmp_path / "k.kml"), "kml").orderBy("line", "n").collect()] == [(0, -4.7, 700.0), (0, -4.8, None), (1, 1.0, None)]
 
 
 def test_feed_and_journal(spark, tmp_path):
@@ -71,6 +73,9 @@ def test_feed_and_journal(spark, tmp_path):
     (tmp_path / "feed.xml").write_text(f"<rss><channel>{items}</channel></rss>")
     rows = f.read_feed_items(spark, str(tmp_path / "feed.xml"), most=3).collect()
     assert {r["id"] for r in rows} == {"g2", "g3", "g4"} and str(max(r["published"] for r in rows)) == "2024-01-05 09:00:00"
+    (tmp_path / "atom.xml").write_text('<feed><entry><id>e1</id><title>T</title><link href="http://x/e1"/><link rel="edit" href="http://x/edit"/><updated>2024-01-02T10:00:00+02:00</updated><summary> s </summary></entry></feed>')
+    entry = f.read_feed_items(spark, str(tmp_path / "atom.xml")).first()
+    assert (entry["id"], entry["link"], str(entry["published"]), entry["summary"]) == ("e1", "http://x/e1", "2024-01-02 08:00:00", "s")
     for name, lines in (("journal.jsonl.1", '{"seq":1}\n{oops\n'), ("journal.jsonl", '{"seq":2}\n')):
         (tmp_path / "j").mkdir(exist_ok=True)
         (tmp_path / "j" / name).write_text(lines)

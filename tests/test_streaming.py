@@ -43,7 +43,7 @@ def test_catalog_and_journal_batches(spark, tmp_path):
     schema = "rel_path string, sha256 string, id string"
     source = tmp_path / "in"
     source.mkdir()
-    for i, rows in enumerate([[("a", "h1", "1"), ("b", "h2", "2")], [("a", "h3", "3")]]):
+    for i, rows in enumerate([[("a", "h1", "1"), ("b", "h2", "2")], [("a", "h3", "3"), ("b", "h2", "2")]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / f"b{i}"))
         next((tmp_path / f"b{i}").glob("part-*.json")).rename(source / f"{i}.json")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))

@@ -1,6 +1,9 @@
 from pyspark.sql import functions as F
 
 from orewright.cases import case
+from orewright.cases.entities import boxes
+from orewright.cases.text import MESSY, CLEAN, FOLD
+from orewright.functions import register_functions, register_table_functions
 from orewright.operators import spatial as s
 from orewright.plans.shared import fresh_path
 from orewright.sources import files as f
@@ -48,3 +51,121 @@ OBS = "SELECT CAST(user_id % 20 AS BIGINT) AS key, event_id * 10.0e0 AS at, valu
 POLLS = "SELECT CAST(user_id % 20 AS BIGINT) AS key, event_id * 10.0e0 + 3 AS at FROM events WHERE event_id % 7 = 1"
 case("r04_live_state", lambda v: j.live_state(v.sql(OBS), v.sql(POLLS), 60.0, 900.0).select("key", F.col("at").alias("moment"), F.round("value", 6).alias("value"), "state"),
      f"""WITH o AS ({OBS}), p AS ({POLLS}), m AS (SELECT p.key, p.moment, o.moment AS seen, o.value FROM p ASOF LEFT JOIN o ON p.key = o.key AND p.moment >= o.moment) SELECT key, moment, CASE WHEN moment - seen <= 900 THEN round(value, 6) END AS value, CASE WHEN moment - seen <= 60 THEN 'fresh' WHEN moment - seen <= 900 THEN 'stale' ELSE 'error' END AS state FROM m""".replace(" AS at", " AS moment"))
+
+
+def stl_texts(v):
+    """A text STL file for each box, and for every tenth one that isn't any."""
+    corner = lambda p: F.concat(F.lit("vertex "), F.concat_ws(" ", *[F.col(f"{p}{c}").cast("string") for c in "xyz"]), F.lit("\n"))
+    facets = boxes(v).select("model_id", F.concat(F.lit("facet normal 0 0 0\nouter loop\n"), corner("a"), corner("b"), corner("c"), F.lit("endloop\nendfacet\n")).alias("t"))
+    files = facets.groupBy("model_id").agg(F.array_join(F.collect_list("t"), "").alias("t"))
+    text = F.when(F.col("model_id") % 10 == 7, F.lit("no mesh")).otherwise(F.concat(F.lit("solid box\n"), "t", F.lit("endsolid\n")))
+    return files.select(F.col("model_id").cast("string").alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+case("s05_read_stl", lambda v: f.read_stl(stl_texts(v)).groupBy(F.col("path").cast("long").alias("model_id")).agg(F.count("face").alias("faces"), F.max(F.greatest("ax", "bx", "cx")).alias("x"), F.max(F.greatest("az", "bz", "cz")).alias("z"), F.count("error").alias("errors")),
+     "SELECT model_id, CASE WHEN model_id % 10 = 7 THEN 0 WHEN model_id % 5 = 0 THEN 11 ELSE 12 END AS faces, CASE WHEN model_id % 10 <> 7 THEN a END AS x, CASE WHEN model_id % 10 <> 7 THEN c END AS z, CASE WHEN model_id % 10 = 7 THEN 1 ELSE 0 END AS errors FROM box_faces_seed")
+
+
+def ascii_grid(v):
+    path = fresh_path(v.spark, "grid")
+    lines = v.cells.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("z", F.lit(-9999.0)).alias("z")))), lambda x: x["z"].cast("string")), " ").alias("line"), F.count("*").alias("n"))
+    grid = lines.agg(F.concat(F.lit("ncols "), F.max("n").cast("string"), F.lit("\nnrows "), F.count("*").cast("string"), F.lit("\nxllcorner 100\nyllcorner 200\ncellsize 10\nNODATA_value -9999\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n")).alias("value"))
+    grid.write.text(path)
+    return f.read_ascii_grid(v.spark, path).select("row", "col", "x", "y", "z")
+
+
+case("s06_read_ascii_grid", ascii_grid, "SELECT row, col, 105.0e0 + col * 10 AS x, 205.0e0 + (24 - row) * 10 AS y, z FROM cells")
+OUTLINES = """SELECT floor(id / 50) AS block, concat('{"type":"Feature","properties":{"id":', CAST(id AS VARCHAR(9)), ',"zoning":"', coalesce(zoning, 'none'), '"},"geometry":', CASE id % 10 WHEN 0 THEN 'null' WHEN 5 THEN '{"type":"Polygon","coordinates":[]}'
+ ELSE concat('{"type":"Polygon","coordinates":[[[', CAST(CAST(x0 AS BIGINT) AS VARCHAR(20)), ',', CAST(CAST(y0 AS BIGINT) AS VARCHAR(20)), '],[', CAST(CAST(x1 AS BIGINT) AS VARCHAR(20)), ',', CAST(CAST(y1 AS BIGINT) AS VARCHAR(20)), ']]]}') END, '}') AS feature FROM parcels"""
+
+
+def layer(v):
+    path = fresh_path(v.spark, "layer")
+    files = v.sql(OUTLINES).groupBy("block").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return f.read_layer(v.spark, path, "parcels", "EPSG:25830", "survey", "2024-01-01").select(F.col("properties")["id"].cast("long").alias("id"), F.col("properties")["zoning"].alias("zoning"), "kind", "warning", "crs", "source")
+
+
+case("s07_read_layer", layer, "SELECT id, coalesce(zoning, 'none') AS zoning, CASE WHEN id % 10 <> 0 THEN 'Polygon' END AS kind, CASE id % 10 WHEN 0 THEN 'no geometry' WHEN 5 THEN 'empty geometry' END AS warning, 'EPSG:25830' AS crs, 'survey' AS source FROM parcels")
+
+
+def hashed_files(v):
+    path = fresh_path(v.spark, "files")
+    v.pages.select("html").write.option("maxRecordsPerFile", 1).text(path)
+    listed = v.spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"))
+    return f.fingerprint(v.spark, listed, path).groupBy("sha256").agg(F.count("*").alias("n"), F.max("size_bytes").alias("size_bytes"))
+
+
+case("s02_fingerprint", hashed_files, "SELECT sha256(concat(html, chr(10))) AS sha256, count(*) AS n, CAST(max(strlen(html)) + 1 AS BIGINT) AS size_bytes FROM pages GROUP BY 1")
+
+
+def tracks(v):
+    path = fresh_path(v.spark, "tracks")
+    body = v.sql("SELECT user_id, event_id, concat(CAST(event_id % 360 - 180 AS VARCHAR(9)), ',', CAST(event_id % 180 - 90 AS VARCHAR(9)), CASE WHEN event_id % 3 = 0 THEN '' ELSE concat(',', CAST(event_id AS VARCHAR(9))) END) AS p FROM events")
+    line = body.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "p"))), lambda x: x["p"]), " ").alias("c"))
+    line.select(F.concat(F.lit("<kml><Placemark><LineString><coordinates>"), "c", F.lit("</coordinates></LineString></Placemark></kml>")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return f.read_tracks(v.spark, path, "kml").select("n", "lon", "lat", "ele")
+
+
+case("s08_read_tracks", tracks, "SELECT CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS n, CAST(event_id % 360 - 180 AS DOUBLE) AS lon, CAST(event_id % 180 - 90 AS DOUBLE) AS lat, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS DOUBLE) END AS ele FROM events")
+
+
+def feed(v):
+    path = fresh_path(v.spark, "feeds")
+    item = v.sql("SELECT user_id % 5 AS feed, concat('<item><guid>g', CAST(event_id AS VARCHAR(9)), '</guid><title> T </title><link>http://x/', CAST(event_id AS VARCHAR(9)), '</link><description>', event_type, '</description><pubDate>Mon, ', lpad(CAST(1 + event_id % 28 AS VARCHAR(9)), 2, '0'), ' Jan 2024 10:00:00 +0100</pubDate></item>') AS item FROM events WHERE event_type <> 'error'")
+    item.groupBy("feed").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("item"), ""), F.lit("</channel></rss>")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return f.read_feed_items(v.spark, path, 1_000_000).select("id", "title", "link", F.date_format("published", "yyyy-MM-dd HH:mm").alias("published"), "summary")
+
+
+case("s09_read_feed_items", feed, "SELECT concat('g', event_id) AS id, 'T' AS title, concat('http://x/', event_id) AS link, concat('2024-01-', lpad(CAST(1 + event_id % 28 AS VARCHAR), 2, '0'), ' 09:00') AS published, event_type AS summary FROM events WHERE event_type <> 'error'")
+
+
+def streamed(v, job, rows, table):
+    """What a job has written once the rows, in several files, have passed through it."""
+    source = fresh_path(v.spark, "arrivals")
+    rows.repartition(4).write.json(source)
+    stream = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).json(source)
+    job(stream, table).option("checkpointLocation", f"{table}-progress").trigger(availableNow=True).start().awaitTermination()
+
+
+def journal_kept(v):
+    table = fresh_path(v.spark, "journal-table")
+    lines = v.journal.select("seq", "id", "kind", "ok", "undoes")
+    streamed(v, j.journal_stream, lines.unionAll(lines.where("seq % 9 = 0")), table)
+    return j.journal_now(v.spark, table).select("seq", "id", "kind", "undone")
+
+
+case("r05_journal_stream", journal_kept, "WITH u AS (SELECT j.id FROM journal j JOIN journal u ON u.undoes = j.id AND u.kind = 'undo' AND u.ok WHERE u.seq > j.seq GROUP BY j.id) SELECT seq, id, kind, kind = 'write' AND id IN (SELECT id FROM u) AS undone FROM journal")
+
+
+def catalog_kept(v):
+    table = fresh_path(v.spark, "catalog-table")
+    streamed(v, j.catalog_stream, v.assets_v1.select("rel_path", "size_bytes", "sha256"), table)
+    return j.catalog_now(v.spark, table).select("rel_path", "size_bytes", "sha256")
+
+
+case("r06_catalog_stream", catalog_kept, "SELECT rel_path, size_bytes, sha256 FROM assets_v1")
+
+
+def sql_functions(v):
+    register_functions(v.spark)
+    return v.sql(MESSY).select("page_id", F.expr("url_key(url)").alias("key"))
+
+
+case("f01_url_key", sql_functions, f"WITH {CLEAN} SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '^www\\.', '') AS key FROM c")
+
+
+def folded(v):
+    register_functions(v.spark)
+    return v.documents.select("doc_id", F.expr("md5(fold(text))").alias("folded"), F.expr("parse_amount(concat('EUR ', CAST(n_chars AS STRING), '.', CAST(doc_id % 900 + 100 AS STRING), ',5'), ',')").alias("cents"))
+
+
+case("f01_fold_and_amount", folded, f"SELECT doc_id, md5({FOLD.format('text')}) AS folded, (n_chars * 1000 + doc_id % 900 + 100) * 100 + 50 AS cents FROM documents")
+
+
+def table_functions(v):
+    register_table_functions(v.spark)
+    return v.spark.sql("SELECT doc_id, start, cents, currency FROM {receipts}, LATERAL find_prices(text)", receipts=v.receipts)
+
+
+case("f02_find_prices", table_functions, "SELECT doc_id, CAST(strpos(text, 'Total: ') + 6 AS INT) AS start, CAST(regexp_extract(text, 'Total: (\\d+)', 1) AS BIGINT) * 100 + 50 AS cents, 'EUR' AS currency FROM receipts")

@@ -4,60 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orewright.operators.extract import PII, cut_points
+from orewright.operators.text import ACCENTED, HOSTLIKE, PLAIN, TRACKING_PARAMS, TRACKING_PREFIXES, URL_PARTS
 
 
-def register_functions(spark: SparkSession) -> None:
-    """SQL functions ``fold``, ``stem``, ``url_key``, ``content_hash``, ``mask_text`` on Arrow batches, null for null; they say what the columns of the operators say."""
-    import hashlib
-    import re
-
-    from orewright.operators.text import ACCENTED, PLAIN, TRACKING_PARAMS, TRACKING_PREFIXES
-
-    table = str.maketrans(ACCENTED, PLAIN)
-    noise = (re.compile(r"\d+"), re.compile(r"[^a-zà-ÿ# \n\t]"), re.compile(r"\s+"))
-
-    def stem(w: str) -> str:
-        return w[:-2] if len(w) > 5 and w.endswith("es") else w[:-1] if len(w) > 4 and w.endswith("s") else w
-
-    def content_hash(t: str) -> str:
-        return hashlib.sha256(noise[2].sub(" ", noise[1].sub("", noise[0].sub("#", t.lower()))).strip().encode()).hexdigest()
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def mask(t: str) -> str:
-        for k, p in PII.items():
-            t = re.sub(p, f"<{k}>", t)
-        return t
 
-    def url_key(u: str) -> str:
-        u = u.strip()
-        u = "https:" + u if u.startswith("//") else u if "://" in u else "https://" + u if re.match(r"^([A-Za-z0-9]([A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(:\d+)?([/?#]|$)", u) else u
-        m = re.match(r"^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", u, re.I)
-        host = re.sub(r"^www\.", "", re.sub(r"\.$", "", re.sub(r":\d*$", "", re.sub(r"^.*@", "", m[2]))).lower()) if m else ""
-        if not host:
-            return ""
-        port = (re.search(r":0*(\d+)$", m[2]) or [None, ""])[1]
-        port = "" if (m[1].lower(), port) in (("http", "80"), ("https", "443")) or not port else f":{port}"
-        name = lambda p: p.partition("=")[0].lower()
-        kept = [p for p in (m[4] or "").split("&") if p and name(p) not in TRACKING_PARAMS and not name(p).startswith(TRACKING_PREFIXES)]
-        query = "&".join(sorted(kept, key=lambda p: (p.partition("=")[0], p)))
-        return host + port + m[3].rstrip("/") + (f"?{query}" if query else "")
+def _url_key(u: str) -> str:
+    """The SQL of :func:`orewright.operators.text.url_key` for the expression ``u``."""
+    names = ", ".join(_quote(x) for x in TRACKING_PARAMS)
+    bare = f"trim({u})"
+    bare = f"CASE WHEN startswith({bare}, '//') THEN concat('https:', {bare}) WHEN NOT contains({bare}, '://') AND rlike({bare}, {_quote(HOSTLIKE)}) THEN concat('https://', {bare}) ELSE {bare} END"
+    part = lambda n: f"regexp_extract(b, {_quote(URL_PARTS)}, {n})"
+    host = f"regexp_replace(lower(regexp_replace(regexp_replace(p.a, ':\\\\d*$', ''), '[.]$', '')), '^www[.]', '')"
+    port = "regexp_replace(regexp_extract(p.a, ':(\\\\d+)$', 1), '^0+', '')"
+    tracks = f"array_contains(array({names}), lower(split_part(x, '=', 1))) OR rlike(lower(split_part(x, '=', 1)), '^({'|'.join(TRACKING_PREFIXES)})')"
+    kept = f"transform(array_sort(transform(filter(split(p.q, '&'), x -> x <> '' AND NOT ({tracks})), x -> struct(split_part(x, '=', 1) AS n, x AS p))), x -> x.p)"
+    made = f"concat(p.h, CASE WHEN p.o = '' OR (p.s = 'http' AND p.o = '80') OR (p.s = 'https' AND p.o = '443') THEN '' ELSE concat(':', p.o) END, regexp_replace(p.p, '/+$', ''), CASE WHEN size(p.k) > 0 THEN concat('?', array_join(p.k, '&')) ELSE '' END)"
+    # one step after another, each over an array of one, so that no step is written or done twice
+    steps = f"transform(array({bare}), b -> struct(lower({part(1)}) AS s, regexp_replace({part(2)}, '^.*@', '') AS a, {part(3)} AS p, {part(4)} AS q))"
+    steps = f"transform({steps}, p -> struct(p.s AS s, {host} AS h, {port} AS o, p.p AS p, {kept} AS k))"
+    return f"transform({steps}, p -> CASE WHEN p.s IN ('http', 'https') AND p.h <> '' THEN {made} ELSE '' END)[0]"
 
-    for name, f in (("fold", lambda t: t.translate(table).lower()), ("stem", stem), ("url_key", url_key), ("content_hash", content_hash), ("mask_text", mask)):
-        spark.udf.register(name, F.pandas_udf(batch_of(f), T.StringType()))
 
-
-def batch_of(f):
-    """A function on series that leaves null alone."""
-
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else f(v))
-
-    return run
+def register_functions(spark: SparkSession) -> None:
+    """SQL functions ``fold``, ``stem``, ``url_key``, ``content_hash``, ``mask_text`` and ``parse_amount`` (``text, decimal mark``: cents), null for null.
+
+    They are SQL over built-in functions, so a query with them stays in one plan and in generated code; they say what the columns of the operators say.
+    """
+    masked = "t"
+    for kind, pattern in PII.items():
+        masked = f"regexp_replace({masked}, {_quote(pattern)}, '<{kind}>')"
+    plain = "regexp_replace(t, '[^0-9,.\\\\-]', '')"
+    number = f"CASE WHEN mark = ',' THEN replace(replace({plain}, '.', ''), ',', '.') ELSE replace({plain}, ',', '') END"
+    bodies = {
+        "fold(t STRING) RETURNS STRING": f"lower(translate(t, {_quote(ACCENTED)}, {_quote(PLAIN)}))",
+        "stem(t STRING) RETURNS STRING": "CASE WHEN length(t) > 5 AND endswith(t, 'es') THEN left(t, length(t) - 2) WHEN length(t) > 4 AND endswith(t, 's') THEN left(t, length(t) - 1) ELSE t END",
+        "content_hash(t STRING) RETURNS STRING": "sha2(trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '\\\\d+', '#'), '[^a-zà-ÿ# \\\\n\\\\t]', ''), '\\\\s+', ' ')), 256)",
+        "mask_text(t STRING) RETURNS STRING": masked,
+        "url_key(t STRING) RETURNS STRING": _url_key("t"),
+        "parse_amount(t STRING, mark STRING) RETURNS BIGINT": f"CASE WHEN rlike({number}, '[0-9]') THEN CAST(round(try_cast({number} AS DECIMAL(18, 4)) * 100, 0) AS BIGINT) END",
+    }
+    for head, body in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
 
 
 class ChunkText:

@@ -23,6 +23,9 @@ TRACKING_PARAMS = (
     "fbclid gclid gclsrc dclid msclkid mc_cid mc_eid igshid ref_src ref_url ref_ yclid twclid wbraid gbraid ttclid li_fat_id srsltid _gl _ga "
     "_hsenc _hsmi vero_id vero_conv s_cid spm snr ser eid c2id mkt_tok trackingid refid"
 ).split()
+#: A host name with a path or none, and the parts of a URL: scheme, authority, path, query.
+HOSTLIKE = r"^([A-Za-z0-9]([A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(:\d+)?([/?#]|$)"
+URL_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 TRACKING_PREFIXES = ("utm_", "mc_", "_hs", "vero_", "trk")
 
 
@@ -204,8 +207,8 @@ def content_groups(pages: DataFrame, key: str, text: str) -> DataFrame:
 def normalize_url(url: Column, strip_www: bool = False, drop: tuple[str, ...] = ()) -> Column:
     """The canonical form of an http(s) URL, else an empty string: lower-case scheme and host, no default port, credentials, fragment, tracking parameters or trailing slash, parameters in order."""
     bare = F.trim(url)
-    bare = F.when(F.startswith(bare, F.lit("//")), F.concat(F.lit("https:"), bare)).when(~F.contains(bare, F.lit("://")) & bare.rlike(r"^([A-Za-z0-9]([A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(:\d+)?([/?#]|$)"), F.concat(F.lit("https://"), bare)).otherwise(bare)
-    part = lambda n: F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", n)
+    bare = F.when(F.startswith(bare, F.lit("//")), F.concat(F.lit("https:"), bare)).when(~F.contains(bare, F.lit("://")) & bare.rlike(HOSTLIKE), F.concat(F.lit("https://"), bare)).otherwise(bare)
+    part = lambda n: F.regexp_extract(bare, URL_PARTS, n)
     scheme, authority = F.lower(part(1)), F.regexp_replace(part(2), r"^.*@", "")
     host = F.lower(F.regexp_replace(F.regexp_replace(authority, r":\d*$", ""), r"\.$", ""))
     host = F.regexp_replace(host, r"^www\.", "") if strip_www else host

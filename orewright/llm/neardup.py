@@ -165,14 +165,16 @@ def bands(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, thresho
     return [np.concatenate(x) if x else none for x in out]
 
 
-def document_frequencies(docs: DataFrame, own: Scratch, text: str = "text") -> Rarity:
-    """The sketch of all documents (see above) as the weights that it stands for, 8 MB whatever the table is."""
+def document_frequencies(docs: DataFrame, own: Scratch, text: str = "text", held_most: int = CELLS) -> Rarity:
+    """The sketch of all documents (see above) as the weights that it stands for, 8 MB whatever the table is. A task holds about ``held_most`` hashes before it counts them."""
     runs = CELLS // RUN
 
     def count(batches):
         sums, held, size, number = np.zeros(CELLS, np.uint32), [], 0, 0
 
         def add():
+            if not held:
+                return
             np.add(sums, np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32), out=sums)
             held.clear()
 
@@ -186,7 +188,7 @@ def document_frequencies(docs: DataFrame, own: Scratch, text: str = "text") -> R
                 new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
                 held.append((h[new] >> np.uint64(64 - BITS)).astype(np.uint32))
                 size, number = size + len(held[-1]), number + len(piece)
-                if size > CELLS:
+                if size > held_most:
                     add()
                     size = 0
         if number:

@@ -363,9 +363,9 @@ def test_document_frequencies_count_all_documents(spark):
     df, n = Counter(), len(texts)
     row, h, _ = neardup.shingles(pa.array(texts))
     df.update(x for _, x in set(zip(row.tolist(), h.tolist())))
-    for table in (rows.repartition(5), rows.coalesce(1)):
+    for table, most in ((rows.repartition(5), 1), (rows.coalesce(1), 10**6), (rows.coalesce(1), 0)):
         with scratch(spark, "test") as own:
-            rarity = neardup.document_frequencies(table, own)
+            rarity = neardup.document_frequencies(table, own, held_most=most)
         for x, k in df.items():
             assert abs(rarity.of(np.array([x], np.uint64))[0] - (math.log((1 + n) / (1 + k)) + 1)) < 0.001
         assert abs(rarity.top - (math.log((1 + n) / 2) + 1)) < 0.001

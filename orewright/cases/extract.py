@@ -35,16 +35,22 @@ case("j17_drop_covered_outlines", lambda v: s.drop_covered_outlines(v.sql(PARTS)
      f"WITH p AS ({PARTS}), g AS (SELECT a.id, sum({AREA}) AS area, any_value((a.x1 - a.x0) * (a.y1 - a.y0)) AS whole FROM p a JOIN p b ON NOT a.part AND b.part AND {MEET} GROUP BY a.id) SELECT id FROM p WHERE id NOT IN (SELECT id FROM g WHERE area >= 0.1 * whole)")
 FEATURES = "SELECT id, CASE WHEN id % 3 = 0 THEN 4.5e0 END AS height, id % 4 = 0 AS estimated, id % 10 = 0 AS bridge, id % 11 = 0 AS tunnel, (x1 - x0) * (y1 - y0) AS area, coalesce(zoning, 'none') AS kind FROM parcels"
 case("a10_layer_summary", lambda v: s.layer_summary(v.sql(FEATURES)), f"SELECT kind, count(*) AS n, count(height) AS with_height, count_if(estimated) AS estimated, count_if(bridge) AS bridges, count_if(tunnel) AS tunnels, round(sum(area), 3) AS area FROM ({FEATURES}) GROUP BY kind")
-FACTS = "SELECT id, (x1 - x0) * (y1 - y0) AS area, CASE WHEN id % 9 = 0 THEN NULL ELSE CAST(id % 30 AS DOUBLE) END AS slope, CAST(id % 5 AS DOUBLE) / 10 AS share, CAST(id * 37 % 900 AS DOUBLE) AS access, zoning FROM parcels"
+FACTS = "SELECT id, (x1 - x0) * (y1 - y0) AS area, CASE WHEN id % 9 = 0 THEN NULL ELSE CAST(id % 30 AS DOUBLE) END AS slope, CAST(id % 5 AS DOUBLE) * 10 AS share, concat('zone ', CAST(id % 7 AS VARCHAR(9))) AS names, CAST(id * 37 % 900 AS DOUBLE) AS access, zoning FROM parcels"
+LIMITS = {"min_area_m2": 5000.0, "max_slope_pct": 20.0, "max_access_distance_m": 600.0, "exclusion_max_overlap_pct": 25.0}
 
 
 def screened(v):
-    return s.screen_parcels(v.sql(FACTS), 5000.0, 20.0, 0.25, 600.0, ["industrial", "logistics"])
+    return s.screen_parcels(v.sql(FACTS), LIMITS, (("zoning", "in", ["industrial", "logistics"]),))
 
 
-CHECKS = f"""f AS ({FACTS}), r AS (SELECT id, list_filter([CASE WHEN area < 5000 THEN 'area' WHEN area IS NULL THEN 'area' END, CASE WHEN slope > 20 OR slope IS NULL THEN 'slope' END, CASE WHEN share > 0.25 THEN 'share' END, CASE WHEN access > 600 THEN 'access' END, CASE WHEN zoning IS NULL OR zoning NOT IN ('industrial', 'logistics') THEN 'zoning' END], lambda x: x IS NOT NULL) AS rules FROM f)"""
-case("g09_screen_parcels", lambda v: screened(v).select("id", "accepted", F.array_join(F.transform("reasons", lambda r: F.split_part(r, F.lit(" "), F.lit(1))), ",").alias("rules")), f"WITH {CHECKS} SELECT id, len(rules) = 0 AS accepted, array_to_string(rules, ',') AS rules FROM r")
-case("a12_screening_summary", lambda v: s.screening_summary(screened(v)), f"WITH {CHECKS}, u AS (SELECT unnest(rules) AS rule FROM r) SELECT rule, count(*) AS n FROM u GROUP BY rule")
+def told(rule, measured, threshold, unit, when, detail="NULL"):
+    return f"CASE WHEN {when} THEN concat('{rule}', ' ', coalesce(CAST({measured} AS VARCHAR), '?'), ' {threshold} {unit} ', coalesce({detail}, '')) END"
+
+
+CHECKS = f"""f AS ({FACTS}), r AS (SELECT id, list_filter([{told("min_area_m2", "round(area, 2)", "5000", "m²", "area < 5000")}, {told("max_slope_pct", "slope", "20", "%", "slope > 20 OR slope IS NULL", "CASE WHEN slope IS NULL THEN 'can''t be checked' END")}, {told("max_access_distance_m", "access", "600", "m", "access > 600")}, {told("exclusion_max_overlap_pct", "share", "25", "%", "share > 25", "concat('overlaps: ', names)")},
+ {told("attribute:zoning in", "zoning", "industrial, logistics", "", "zoning IS NULL OR zoning NOT IN ('industrial', 'logistics')", "CASE WHEN zoning IS NULL THEN 'can''t be checked' END")}], lambda x: x IS NOT NULL) AS reasons FROM f)"""
+case("g09_screen_parcels", lambda v: screened(v).select("id", "accepted", F.array_join(F.transform("reasons", lambda r: F.concat_ws(" ", r["rule"], F.coalesce(r["measured"], F.lit("?")), r["threshold"], r["unit"], F.coalesce(r["detail"], F.lit("")))), ";").alias("reasons")), f"WITH {CHECKS} SELECT id, len(reasons) = 0 AS accepted, array_to_string(reasons, ';') AS reasons FROM r")
+case("a12_screening_summary", lambda v: s.screening_summary(screened(v)), f"WITH {CHECKS}, u AS (SELECT unnest(reasons) AS r FROM r) SELECT regexp_extract(r, '^(attribute:[a-z]+ in|[a-z0-9_]+)', 1) AS rule, count(*) AS n FROM u GROUP BY 1")
 CORNER = lambda t, j, p: "concat(" + ", '-', ".join(f"CAST(floor({CORNERS[t[p]][i]} * {'abc'[i]} / 7) AS INT)" for i in range(3)) + ")"
 CLUSTERED = " UNION ALL ".join(f"SELECT model_id, {', '.join(f'{CORNER(t, j, p)} AS k{p}' for p in range(3))} FROM box_faces_seed WHERE NOT (model_id % 5 = 0 AND {j} = 3)" for j, t in enumerate(TRIANGLES))
 case("g12_cluster_mesh", lambda v: s.cluster_mesh(boxes(v), 7.0).groupBy("model_id").agg(F.count("*").alias("faces")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orewright.operators import polygons as poly
 from orewright.plans.shared import materialize
 
 EARTH_A, EARTH_F = 6378137.0, 1 / 298.257223563
@@ -103,18 +104,22 @@ def sample_grid(points: DataFrame, cells: DataFrame, size: float, fallback: floa
     return points.join(found, "id").withColumn("z", F.when(F.col("missing") > 0, F.lit(fallback)).otherwise(F.col("z"))).drop("missing")
 
 
-def zonal_stats(boxes: DataFrame, cells: DataFrame, size: float) -> DataFrame:
-    """``id, n, high, mean, p90`` of the cells whose centre lies in each rectangle (``x0, y0, x1, y1``); without one, of the cell nearest its centre; ``reason`` where that has no data.
+def zonal_stats(areas: DataFrame, cells: DataFrame, size: float) -> DataFrame:
+    """``id, n, high, mean, p90`` of the cells whose centre lies in each area: a rectangle (``x0, y0, x1, y1``, its border too) or a polygon (``ring``); without one, of the cell nearest a point in it; ``reason`` where that has no data.
 
-    Rectangles are dealt to the cells that they may cover, so the join is an equality.
+    Areas are dealt to the cells that their bounds cover, so the join is an equality.
     """
+    shaped = "ring" in areas.columns
+    areas = poly.with_rings(areas)
     lo, hi = lambda c: F.ceil(F.col(c) / size), lambda c: F.floor(F.col(c) / size)
-    covers = boxes.where((lo("y0") <= hi("y1")) & (lo("x0") <= hi("x1"))).select("id", F.explode(F.sequence(lo("y0"), hi("y1"))).alias("row"), lo("x0").alias("a"), hi("x1").alias("b")).select("id", "row", F.explode(F.sequence("a", "b")).alias("col"))
+    covers = areas.where((lo("y0") <= hi("y1")) & (lo("x0") <= hi("x1"))).select("id", "ring", F.explode(F.sequence(lo("y0"), hi("y1"))).alias("row"), lo("x0").alias("a"), hi("x1").alias("b")).select("id", "ring", "row", F.explode(F.sequence("a", "b")).alias("col"))
+    covers = covers.where(poly.inside(F.col("ring"), F.col("col") * size, F.col("row") * size)) if shaped else covers
     good = cells.where("z is not null")
-    inside = covers.join(good, ["row", "col"]).groupBy("id").agg(F.count("*").alias("n"), F.max("z").alias("high"), F.avg("z").alias("mean"), F.percentile("z", F.lit(0.9)).alias("p90"))
-    middle = boxes.select("id", F.round((F.col("y0") + F.col("y1")) / 2 / size).cast("long").alias("row"), F.round((F.col("x0") + F.col("x1")) / 2 / size).cast("long").alias("col"))
+    inside = covers.drop("ring").join(good, ["row", "col"]).groupBy("id").agg(F.count("*").alias("n"), F.max("z").alias("high"), F.avg("z").alias("mean"), F.percentile("z", F.lit(0.9)).alias("p90"))
+    point = poly.middle_point(F.col("ring")) if shaped else F.struct(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    middle = areas.select("id", point.alias("m")).select("id", F.round(F.col("m.y") / size).cast("long").alias("row"), F.round(F.col("m.x") / size).cast("long").alias("col"))
     near = middle.join(good, ["row", "col"]).select("id", F.col("z").alias("own"))
-    out = boxes.select("id").join(inside, "id", "left").join(near, "id", "left")
+    out = areas.select("id").join(inside, "id", "left").join(near, "id", "left")
     one = lambda c: F.coalesce(c, "own").alias(c)
     return out.select("id", F.coalesce("n", F.when(F.col("own").isNotNull(), 1).otherwise(0)).cast("long").alias("n"), one("high"), one("mean"), one("p90"), F.when(F.col("n").isNull() & F.col("own").isNull(), "no data").alias("reason"))
 
@@ -137,76 +142,86 @@ def snap_points(points: DataFrame, nodes: DataFrame, most: float) -> DataFrame:
     return points.join(near.select(F.col("a").alias("id"), "m.node", F.col("m.distance").alias("access")), "id", "left")
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, most: float) -> DataFrame:
-    """Each point's nearest segment (``id, x0, y0, x1, y1``) within ``most`` metres, ties to the lower id. A segment is dealt to the buckets that its box touches."""
+def nearest_segment(things: DataFrame, segments: DataFrame, most: float) -> DataFrame:
+    """Each thing's nearest segment (``id, x0, y0, x1, y1``) within ``most`` metres, ties to the lower id. Things are points (``id, x, y``) or polygons (``id, ring``), which are 0 from what meets them.
+
+    A segment is dealt to the buckets that its box touches, and a polygon to those of its own.
+    """
     bucket = lambda c: F.floor(F.col(c) / most)
     spread = segments.select("*", F.explode(F.sequence(F.least(bucket("x0"), bucket("x1")) - 1, F.greatest(bucket("x0"), bucket("x1")) + 1)).alias("i"))
     spread = spread.select("*", F.explode(F.sequence(F.least(bucket("y0"), bucket("y1")) - 1, F.greatest(bucket("y0"), bucket("y1")) + 1)).alias("j")).withColumnRenamed("id", "segment")
-    near = points.select(F.col("id"), "x", "y", bucket("x").alias("i"), bucket("y").alias("j")).join(spread, ["i", "j"])
-    ux, uy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    length = ux * ux + uy * uy
-    t = F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * ux + (F.col("y") - F.col("y0")) * uy) / length)))
-    d = F.sqrt((F.col("x") - F.col("x0") - t * ux) ** 2 + (F.col("y") - F.col("y0") - t * uy) ** 2)
+    if "ring" in things.columns:
+        own = poly.with_rings(things).select("id", "ring", F.explode(F.sequence(bucket("x0"), bucket("x1"))).alias("i"), "y0", "y1").select("id", "ring", "i", F.explode(F.sequence(bucket("y0"), bucket("y1"))).alias("j"))
+        near = own.join(spread, ["i", "j"]).dropDuplicates(["id", "segment"])
+        d = poly.segment_distance(F.col("ring"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    else:
+        near = things.select(F.col("id"), "x", "y", bucket("x").alias("i"), bucket("y").alias("j")).join(spread, ["i", "j"])
+        d = poly.side_distance(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")])
     best = near.withColumn("distance", F.round(d, 6)).where(F.col("distance") <= most).groupBy("id").agg(F.min(F.struct("distance", "segment")).alias("m"))
-    return points.select("id").join(best.select("id", "m.segment", "m.distance"), "id", "left")
+    return things.select("id").join(best.select("id", "m.segment", "m.distance"), "id", "left")
 
 
 def points_in_polygons(points: DataFrame, rings: DataFrame) -> DataFrame:
     """``point, polygon`` pairs by the crossing number. ``rings`` has ``id`` and ``ring``, an array of points ``x, y`` whose last joins the first; a point is only tested in the polygons whose box holds it."""
-    edges = F.zip_with("ring", F.concat(F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    low = lambda c: F.array_min(F.transform("ring", lambda p: p[c]))
-    high = lambda c: F.array_max(F.transform("ring", lambda p: p[c]))
-    polygons = rings.select(F.col("id").alias("polygon"), edges.alias("edges"), low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
+    polygons = poly.with_rings(rings.select("id", "ring")).withColumnRenamed("id", "polygon")
     size = 500.0
     bucket = lambda c: F.floor(F.col(c) / size)
     spread = polygons.select("*", F.explode(F.sequence(bucket("x0"), bucket("x1"))).alias("i")).select("*", F.explode(F.sequence(bucket("y0"), bucket("y1"))).alias("j"))
     near = points.select(F.col("id").alias("point"), "x", "y", bucket("x").alias("i"), bucket("y").alias("j")).join(spread, ["i", "j"]).where("x between x0 and x1 and y between y0 and y1")
-    crosses = F.filter("edges", lambda e: ((e["a"]["y"] > F.col("y")) != (e["b"]["y"] > F.col("y"))) & (F.col("x") < (e["b"]["x"] - e["a"]["x"]) * (F.col("y") - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))
-    return near.where(F.size(crosses) % 2 == 1).select("point", "polygon")
+    return near.where(poly.inside(F.col("ring"), F.col("x"), F.col("y"))).select("point", "polygon")
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, size: float = 500.0) -> DataFrame:
-    """``a, b, area`` of rectangles that overlap; each pair is found in one bucket only."""
+    """``a, b, area`` of areas that overlap, rectangles (``id, x0, y0, x1, y1``) or polygons (``id, ring``); each pair is found in one bucket only, that of the lower left corner of the bounds that both share."""
     bucket = lambda c: F.floor(F.col(c) / size)
+    shaped = "ring" in a.columns or "ring" in b.columns
 
     def spread(df: DataFrame, name: str) -> DataFrame:
-        df = df.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("x0", "y0", "x1", "y1")], F.explode(F.sequence(bucket("x0"), bucket("x1"))).alias("i"), "y0", "y1")
+        df = poly.with_rings(df)
+        df = df.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("x0", "y0", "x1", "y1", *["ring"] * shaped)], F.explode(F.sequence(bucket("x0"), bucket("x1"))).alias("i"), "y0", "y1")
         return df.select("*", F.explode(F.sequence(bucket("y0"), bucket("y1"))).alias("j")).drop("y0", "y1")
 
     both = spread(a, "a").join(spread(b, "b"), ["i", "j"])
     x0, y0 = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
     w, h = F.least("a_x1", "b_x1") - x0, F.least("a_y1", "b_y1") - y0
-    return both.where((w > 0) & (h > 0) & (F.floor(x0 / size) == F.col("i")) & (F.floor(y0 / size) == F.col("j"))).select("a", "b", (w * h).alias("area"))
+    met = both.where((w > 0) & (h > 0) & (F.floor(x0 / size) == F.col("i")) & (F.floor(y0 / size) == F.col("j")))
+    if not shaped:
+        return met.select("a", "b", (w * h).alias("area"))
+    return met.select("a", "b", poly.shared_area(F.col("a_ring"), F.col("b_ring")).alias("area")).where("area > 1e-9")
 
 
-def overlap_share(boxes: DataFrame, restricted: DataFrame, cell: float) -> DataFrame:
-    """Share of each rectangle under the union of the restricted ones, each spot once: of sample points at the centres of cells of ``cell`` metres. ``names`` are those that overlap."""
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    pairs = overlap_pairs(boxes, restricted)
+def overlap_share(areas: DataFrame, restricted: DataFrame, cell: float) -> DataFrame:
+    """Share of each area (rectangle or polygon) under the union of the restricted ones, each spot once: of sample points at the centres of cells of ``cell`` metres. ``names`` are those that overlap."""
+    pairs = overlap_pairs(areas, restricted)
     names = pairs.groupBy(F.col("a").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("b")), ",").alias("names"))
-    own = boxes.select(F.col("id").alias("a"), "x0", "y0", "x1", "y1")
-    other = restricted.select(F.col("id").alias("b"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
-    clip = pairs.join(own, "a").join(other, "b").select("a", F.greatest("x0", "bx0").alias("x0"), F.greatest("y0", "by0").alias("y0"), F.least("x1", "bx1").alias("x1"), F.least("y1", "by1").alias("y1"))
+    shaped = "ring" in areas.columns or "ring" in restricted.columns
+    areas, restricted = poly.with_rings(areas), poly.with_rings(restricted)
+    own = areas.select(F.col("id").alias("a"), "x0", "y0", "x1", "y1", "ring")
+    other = restricted.select(F.col("id").alias("b"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1", "ring")])
+    clip = pairs.join(own, "a").join(other, "b").select("a", "ring", "bring", F.greatest("x0", "bx0").alias("x0"), F.greatest("y0", "by0").alias("y0"), F.least("x1", "bx1").alias("x1"), F.least("y1", "by1").alias("y1"))
     lo, hi = lambda c: F.ceil(F.col(c) / cell - 0.5), lambda c: F.ceil(F.col(c) / cell - 0.5) - 1
-    spots = clip.where((lo("x0") <= hi("x1")) & (lo("y0") <= hi("y1"))).select("a", F.explode(F.sequence(lo("x0"), hi("x1"))).alias("i"), lo("y0").alias("p"), hi("y1").alias("q")).select("a", "i", F.explode(F.sequence("p", "q")).alias("j")).distinct()
-    covered = spots.groupBy(F.col("a").alias("id")).agg((F.count("*") * cell * cell).alias("covered"))
-    out = boxes.join(covered, "id", "left").join(names, "id", "left")
-    return out.select("id", F.round(F.coalesce("covered", F.lit(0.0)) / area, 6).alias("share"), F.coalesce("names", F.lit("")).alias("names"))
-
-
-def overlay_stat(boxes: DataFrame, valued: DataFrame) -> DataFrame:
-    """Area-weighted mean and maximum of the overlapping rectangles' ``value``, and the share of the rectangle that they cover (parts that overlap count each)."""
-    pairs = overlap_pairs(boxes, valued).join(valued.select(F.col("id").alias("b"), "value"), "b")
+    spots = clip.where((lo("x0") <= hi("x1")) & (lo("y0") <= hi("y1"))).select("a", "ring", "bring", F.explode(F.sequence(lo("x0"), hi("x1"))).alias("i"), lo("y0").alias("p"), hi("y1").alias("q")).select("a", "ring", "bring", "i", F.explode(F.sequence("p", "q")).alias("j"))
+    if shaped:
+        x, y = (F.col("i") + 0.5) * cell, (F.col("j") + 0.5) * cell
+        spots = spots.where(poly.inside(F.col("ring"), x, y) & poly.inside(F.col("bring"), x, y))
+    covered = spots.select("a", "i", "j").distinct().groupBy(F.col("a").alias("id")).agg((F.count("*") * cell * cell).alias("covered"))
+    out = areas.join(covered, "id", "left").join(names, "id", "left")
+    return out.select("id", F.round(F.coalesce("covered", F.lit(0.0)) / poly.ring_area(F.col("ring")), 6).alias("share"), F.coalesce("names", F.lit("")).alias("names"))
+
+
+def overlay_stat(areas: DataFrame, valued: DataFrame) -> DataFrame:
+    """Area-weighted mean and maximum of the ``value`` of the areas that overlap each one (rectangles or polygons), and the share of it that they cover (parts that overlap count each)."""
+    pairs = overlap_pairs(areas, valued).join(valued.select(F.col("id").alias("b"), "value"), "b")
     stats = pairs.groupBy(F.col("a").alias("id")).agg((F.sum(F.col("area") * F.col("value")) / F.sum("area")).alias("mean"), F.max("value").alias("high"), F.sum("area").alias("area"))
-    whole = boxes.select("id", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("whole"))
+    whole = poly.with_rings(areas).select("id", poly.ring_area(F.col("ring")).alias("whole"))
     out = whole.join(stats, "id", "left").withColumn("cover", F.coalesce(F.col("area"), F.lit(0.0)) / F.col("whole"))
     return out.select("id", F.round("mean", 6).alias("mean"), "high", F.round("cover", 6).alias("cover"), F.when(F.col("cover") < 0.99, "partly covered").alias("note"))
 
 
 def conflate_fill(base: DataFrame, extra: DataFrame, most: float = 1 / 3) -> DataFrame:
-    """Base footprints and those extra ones of which less than a third lies under the base; base heights that are estimates take the height of the extra one that overlaps most."""
+    """Base footprints (rectangles or polygons) and those extra ones of which less than a third lies under the base; base heights that are estimates take the height of the extra one that overlaps most."""
     pairs = overlap_pairs(extra, base)
-    size = extra.select(F.col("id").alias("a"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("whole"), F.col("height").alias("h"))
+    size = poly.with_rings(extra).select(F.col("id").alias("a"), poly.ring_area(F.col("ring")).alias("whole"), F.col("height").alias("h"))
     under = pairs.groupBy("a").agg(F.sum("area").alias("area")).join(size, "a").where(F.col("area") >= most * F.col("whole")).select(F.col("a").alias("id"))
     better = pairs.join(size, "a").where("h is not null").groupBy("b").agg(F.max(F.struct("area", (-F.col("a")).alias("i"), "h")).alias("m")).select(F.col("b").alias("id"), F.col("m.h").alias("h"))
     kept = base.join(better, "id", "left")
@@ -258,20 +273,20 @@ def within_area(points: DataFrame, lon0: float, lat0: float, lon1: float, lat1:
 
 
 def conflate_prefer(base: DataFrame, other: DataFrame) -> DataFrame:
-    """Base features with ``special`` and those of the other source whose middle doesn't lie in one of them."""
-    special = base.where("special").select("id", "x0", "y0", "x1", "y1", F.lit("base").alias("origin"))
-    middle = other.select(F.col("id"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    ring = F.array(*[F.struct(F.col(a).alias("x"), F.col(b).alias("y")) for a, b in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
-    inside = points_in_polygons(middle, special.select("id", ring.alias("ring"))).select(F.col("point").alias("id"))
-    return special.unionByName(other.join(inside, "id", "left_anti").select("id", "x0", "y0", "x1", "y1", F.lit("other").alias("origin")))
+    """Base features with ``special`` and those of the other source of which a point inside doesn't lie in one of them; rectangles or polygons."""
+    special = poly.with_rings(base.where("special")).select("id", "x0", "y0", "x1", "y1", "ring", F.lit("base").alias("origin"))
+    other = poly.with_rings(other)
+    middle = other.select("id", poly.middle_point(F.col("ring")).alias("m")).select("id", "m.x", "m.y")
+    inside = points_in_polygons(middle, special.select("id", "ring")).select(F.col("point").alias("id"))
+    return special.unionByName(other.join(inside, "id", "left_anti").select("id", "x0", "y0", "x1", "y1", "ring", F.lit("other").alias("origin")))
 
 
 def drop_covered_outlines(buildings: DataFrame, share: float = 0.6) -> DataFrame:
-    """Buildings without the outlines (not ``part``) of which their parts cover ``share`` or more."""
+    """Buildings (rectangles or polygons) without the outlines (not ``part``) of which their parts cover ``share`` or more."""
     parts, outlines = buildings.where("part"), buildings.where("not part")
-    covered = overlap_pairs(outlines, parts).groupBy(F.col("a").alias("id")).agg(F.sum("area").alias("area")).join(outlines, "id")
-    gone = covered.where(F.col("area") >= share * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).select("id")
-    return buildings.join(gone, "id", "left_anti")
+    whole = poly.with_rings(outlines).select("id", poly.ring_area(F.col("ring")).alias("whole"))
+    covered = overlap_pairs(outlines, parts).groupBy(F.col("a").alias("id")).agg(F.sum("area").alias("area")).join(whole, "id")
+    return buildings.join(covered.where(F.col("area") >= share * F.col("whole")).select("id"), "id", "left_anti")
 
 
 def layer_summary(features: DataFrame) -> DataFrame:
@@ -279,20 +294,41 @@ def layer_summary(features: DataFrame) -> DataFrame:
     return features.groupBy("kind").agg(F.count("*").alias("n"), F.count("height").alias("with_height"), F.count_if(F.col("estimated")).alias("estimated"), F.count_if(F.col("bridge")).alias("bridges"), F.count_if(F.col("tunnel")).alias("tunnels"), F.round(F.sum("area"), 3).alias("area"))
 
 
-def screen_parcels(parcels: DataFrame, least_area: float, most_slope: float, most_share: float, most_access: float, zoning: list[str], unknown: str = "reject") -> DataFrame:
-    """``id, accepted, reasons`` of parcels (``area, slope, share, access, zoning``): each limit that isn't met with its measured value; a missing value is unknown and, under ``reject``, a reason."""
-    def rule(name: str, col: str, ok: Column) -> Column:
-        value = F.round(col, 3).cast("string") if col != "zoning" else F.col(col)
-        missing = F.when(F.lit(unknown == "reject") & F.col(col).isNull(), F.lit(f"{name} unknown"))
-        return F.when(~ok, F.concat(F.lit(f"{name} "), value)).otherwise(missing)
+#: Rules of a screening: name, measure, side of the limit and unit.
+RULES = (("min_area_m2", "area", "least", "m²"), ("max_area_m2", "area", "most", "m²"), ("max_slope_pct", "slope", "most", "%"), ("max_access_distance_m", "access", "most", "m"), ("exclusion_max_overlap_pct", "share", "most", "%"))
+REASON = "array<struct<rule: string, measured: string, threshold: string, unit: string, detail: string>>"
 
-    reasons = F.array_compact(F.array(rule("area", "area", F.col("area") >= least_area), rule("slope", "slope", F.col("slope") <= most_slope), rule("share", "share", F.col("share") <= most_share), rule("access", "access", F.col("access") <= most_access), rule("zoning", "zoning", F.col("zoning").isin(zoning))))
-    return parcels.select("id", reasons.alias("reasons")).withColumn("accepted", F.size("reasons") == 0)
+
+def screen_parcels(parcels: DataFrame, limits: dict[str, float], attributes: tuple[tuple[str, str, list], ...] = (), unknown: str = "reject") -> DataFrame:
+    """``id, accepted, reasons, flags`` of parcels with their measures ``area, slope, access, share`` (per cent) and attributes.
+
+    ``limits`` names :data:`RULES`; ``attributes`` are ``(column, "in" or "not in", values)``. Each rule that isn't met is a reason with rule, measured value, threshold, unit and
+    detail. What is missing is a flag, and under ``reject`` also a reason without a measured value.
+    """
+    text = lambda v: F.lit(None).cast("string") if v is None else F.lit(f"{v:g}" if isinstance(v, int | float) else str(v))
+    reason = lambda rule, measured, threshold, unit, detail: F.struct(F.lit(rule).alias("rule"), measured.cast("string").alias("measured"), text(threshold).alias("threshold"), F.lit(unit).alias("unit"), detail.cast("string").alias("detail"))
+    reasons, flags = [], []
+
+    def rule(name: str, value: Column, ok: Column, threshold, unit: str, detail: Column) -> None:
+        flags.append(F.when(value.isNull(), F.lit(f"{name} is unknown")))
+        missing = F.when(F.lit(unknown == "reject") & value.isNull(), reason(name, F.lit(None), threshold, unit, F.lit("can't be checked")))
+        reasons.append(F.when(~ok, reason(name, value, threshold, unit, detail)).otherwise(missing))
+
+    for name, measure, side, unit in RULES:
+        if name in limits:
+            ok = F.col(measure) >= limits[name] if side == "least" else F.col(measure) <= limits[name] + 1e-9
+            detail = F.concat(F.lit("overlaps: "), F.col("names")) if measure == "share" and "names" in parcels.columns else F.lit(None)
+            rule(name, F.round(F.col(measure), 2), ok, limits[name], unit, detail)
+    for column, op, values in attributes:
+        hit = F.col(column).isin(values)
+        rule(f"attribute:{column} {op}", F.col(column), hit if op == "in" else ~hit, ", ".join(map(str, values)), "", F.lit(None))
+    out = parcels.select("id", F.array_compact(F.array(*reasons)).cast(REASON).alias("reasons"), F.array_compact(F.array(*flags)).alias("flags"))
+    return out.withColumn("accepted", F.size("reasons") == 0)
 
 
 def screening_summary(screened: DataFrame) -> DataFrame:
-    """``rule, n``: rejections by the first word of their reasons."""
-    return screened.select(F.explode("reasons").alias("r")).groupBy(F.split_part("r", F.lit(" "), F.lit(1)).alias("rule")).agg(F.count("*").alias("n"))
+    """``rule, n``: rejections by rule."""
+    return screened.select(F.explode("reasons").alias("r")).groupBy(F.col("r.rule").alias("rule")).agg(F.count("*").alias("n"))
 
 
 def cluster_mesh(faces: DataFrame, cell: float) -> DataFrame:
@@ -309,20 +345,22 @@ def cluster_mesh(faces: DataFrame, cell: float) -> DataFrame:
 
 
 def footprint_heights(boxes: DataFrame, cells: DataFrame, size: float, inner: float, outer: float, least: int = 8) -> DataFrame:
-    """``id, ground, eaves, roof, top``: the 20th percentile of the ring of cells from ``inner`` to ``outer`` metres outside a footprint that lie in no footprint, and above it the
+    """``id, ground, eaves, roof, top`` of footprints, rectangles or polygons (``ring``): the 20th percentile of the ring of cells from ``inner`` to ``outer`` metres outside a footprint that lie in no footprint, and above it the
     25th, 90th and 99.5th of the cells inside, 0 at least. A ring of under ``least`` cells is drawn again two and a half times as wide; a footprint whose ring is
     too small then too has no row."""
     good = cells.where("z is not null").select("row", "col", "z", (F.col("col") * size).alias("x"), (F.col("row") * size).alias("y"))
-
-    def cover(grow: float) -> DataFrame:
-        lo, hi = lambda c: F.ceil((F.col(c) - grow) / size), lambda c: F.floor((F.col(c) + grow) / size)
-        wide = boxes.where((lo("y0") <= hi("y1")) & (lo("x0") <= hi("x1"))).select("id", "x0", "y0", "x1", "y1", F.explode(F.sequence(lo("y0"), hi("y1"))).alias("row"), lo("x0").alias("p"), hi("x1").alias("q"))
-        return wide.select("id", "x0", "y0", "x1", "y1", "row", F.explode(F.sequence("p", "q")).alias("col")).join(good, ["row", "col"])
-
-    inside = cover(0.0)
+    shaped = "ring" in boxes.columns
+    boxes = poly.with_rings(boxes)
+    to_box = F.sqrt(F.greatest(F.col("x0") - F.col("x"), F.lit(0.0), F.col("x") - F.col("x1")) ** 2 + F.greatest(F.col("y0") - F.col("y"), F.lit(0.0), F.col("y") - F.col("y1")) ** 2)
+    away = poly.ring_distance(F.col("ring"), F.col("x"), F.col("y")) if shaped else to_box
+    grow = 2.5 * outer
+    lo, hi = lambda c: F.ceil((F.col(c) - grow) / size), lambda c: F.floor((F.col(c) + grow) / size)
+    own = ["id", "x0", "y0", "x1", "y1", "ring"]
+    wide = boxes.where((lo("y0") <= hi("y1")) & (lo("x0") <= hi("x1"))).select(*own, F.explode(F.sequence(lo("y0"), hi("y1"))).alias("row"), lo("x0").alias("p"), hi("x1").alias("q"))
+    around = wide.select(*own, "row", F.explode(F.sequence("p", "q")).alias("col")).join(good, ["row", "col"]).withColumn("away", away).where(F.col("away") <= grow).select("id", "row", "col", "z", "away")
+    inside = around.where("away = 0")
     used = inside.select("row", "col").distinct()
-    away = F.sqrt(F.greatest(F.col("x0") - F.col("x"), F.lit(0.0), F.col("x") - F.col("x1")) ** 2 + F.greatest(F.col("y0") - F.col("y"), F.lit(0.0), F.col("y") - F.col("y1")) ** 2)
-    ring = cover(2.5 * outer).withColumn("away", away).where((F.col("away") > inner) & (F.col("away") <= 2.5 * outer)).join(used, ["row", "col"], "left_anti")
+    ring = around.where(F.col("away") > inner).join(used, ["row", "col"], "left_anti")
     near = F.when(F.col("away") <= outer, F.col("z"))
     ground = ring.groupBy("id").agg(F.percentile(near, F.lit(0.2)).alias("first"), F.count(near).alias("m"), F.percentile("z", F.lit(0.2)).alias("second"), F.count("*").alias("n"))
     ground = ground.where(F.col("n") >= least).select("id", F.when(F.col("m") >= least, F.col("first")).otherwise(F.col("second")).alias("ground"))

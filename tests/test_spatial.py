@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from orewright.operators import network, shapes, spatial
+from orewright.operators import network, polygons, shapes, spatial
 
 
 def test_suppressed_peaks_equal_one_by_one(spark):
@@ -50,3 +51,39 @@ def test_null_and_empty_inputs(spark):
     assert spatial.focal(cells, "mean", 1).agg(F.max("focal")).first()[0] == 2.0
     none = spark.createDataFrame([], "id long, x double, y double")
     assert spatial.within_distance(none, none, 5.0).count() == 0
+
+
+def test_shared_areas_of_turned_and_concave_polygons(spark):
+    square = np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float)
+    diamond = np.array([(2, -1), (5, 2), (2, 5), (-1, 2)], float)  # its four corners stand out by a triangle of area 1 each
+    notch = np.array([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)], float)
+    assert polygons.common_area(square, square) == 16 and polygons.common_area(square, square + 10) == 0
+    assert abs(polygons.common_area(square, diamond) - (18 - 4)) < 1e-9 and abs(polygons.common_area(diamond[::-1], square) - 14) < 1e-9
+    assert abs(polygons.common_area(square, notch) - 10) < 1e-9
+    rng = np.random.default_rng(3)
+    for _ in range(10):  # against a count of points
+        p, q = (np.column_stack([np.cos(t), np.sin(t)]) * rng.uniform(0.3, 1, (7, 1)) for t in (np.sort(rng.uniform(0, 2 * np.pi, 7)) for _ in range(2)))
+        x, y = rng.uniform(-1, 1, (2, 40000))
+        held = [np.sum([((a[1] > y) != (b[1] > y)) & (x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1] + (a[1] == b[1])) + a[0]) for a, b in zip(r, np.roll(r, -1, 0))], 0) % 2 == 1 for r in (p, q)]
+        assert abs(polygons.common_area(p, q) - 4 * np.mean(held[0] & held[1])) < 0.03
+    ring = lambda r: [{"x": float(x), "y": float(y)} for x, y in r]
+    areas = spark.createDataFrame([(1, ring(notch)), (2, ring(diamond + 20))], f"id long, ring array<{polygons.POINT}>")
+    row = areas.select("id", polygons.ring_area(F.col("ring")).alias("area"), polygons.middle_point(F.col("ring")).alias("m"), polygons.ring_distance(F.col("ring"), F.lit(2.0), F.lit(4.0)).alias("d"), polygons.segment_distance(F.col("ring"), F.lit(-1.0), F.lit(3.5), F.lit(5.0), F.lit(3.5)).alias("s")).orderBy("id").first()
+    assert row["area"] == 10 and abs(row["d"] - 3 * 2 / np.sqrt(13)) < 1e-9 and row["s"] == 0 and row["m"]["y"] == 2.0
+    extra = spark.createDataFrame([(7, ring(square)), (8, ring(diamond + 21))], f"id long, ring array<{polygons.POINT}>").withColumn("height", F.lit(9.0)).withColumn("estimated", F.lit(False))
+    base = areas.withColumn("height", F.lit(3.0)).withColumn("estimated", F.col("id") == 1)
+    assert {(r["id"], r["height"]) for r in spatial.conflate_fill(base, extra).collect()} == {(1, 9.0), (2, 3.0)}
+    assert {r["id"] for r in spatial.conflate_prefer(base.withColumn("special", F.lit(True)), extra).collect()} == {1, 2, 7}  # the middle of 7 lies in the notch of 1
+    parts = base.withColumn("part", F.lit(True)).drop("height", "estimated").unionByName(extra.withColumn("part", F.lit(False)).drop("height", "estimated"))
+    assert {r["id"] for r in spatial.drop_covered_outlines(parts).collect()} == {1, 2}
+
+
+def test_screening_reasons_have_values_and_limits(spark):
+    rows = spark.createDataFrame([("P1", 9000.0, 2.0, 50.0, 0.0, "", "industrial"), ("P2", 9000.0, 15.0, 50.0, 0.0, "", "industrial"), ("P4", 9000.0, 2.0, 50.0, 50.0, "Zona inundable", "industrial"), ("P5", 9000.0, 2.0, 50.0, 0.0, "", "rustico"), ("P6", 400.0, None, 50.0, 0.0, "", "industrial")], "id string, area double, slope double, access double, share double, names string, zoning string")
+    limits = {"min_area_m2": 5000, "max_slope_pct": 10, "max_access_distance_m": 100, "exclusion_max_overlap_pct": 10}
+    got = {r["id"]: r for r in spatial.screen_parcels(rows, limits, (("zoning", "in", ["industrial"]),)).collect()}
+    why = {k: {q["rule"]: q for q in r["reasons"]} for k, r in got.items()}
+    assert got["P1"]["accepted"] and (why["P2"]["max_slope_pct"]["measured"], why["P2"]["max_slope_pct"]["threshold"], why["P2"]["max_slope_pct"]["unit"]) == ("15.0", "10", "%")
+    assert "Zona inundable" in why["P4"]["exclusion_max_overlap_pct"]["detail"] and why["P5"]["attribute:zoning in"]["measured"] == "rustico" and why["P6"]["min_area_m2"]["measured"] == "400.0" and why["P6"]["max_slope_pct"]["measured"] is None
+    lenient = {r["id"]: r for r in spatial.screen_parcels(rows, limits, unknown="accept").collect()}
+    assert [q["rule"] for q in lenient["P6"]["reasons"]] == ["min_area_m2"] and lenient["P6"]["flags"] == ["max_slope_pct is unknown"] and lenient["P5"]["accepted"]

@@ -74,10 +74,21 @@ case("w12_heading_path", lambda v: e.heading_path(v.sql(LINES), "conv_id", "turn
      f"""WITH l AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) % 2 AS inside FROM ({LINES})), h AS (SELECT *, CASE WHEN inside = 1 THEN NULL WHEN regexp_matches(line, '^# \\S') THEN 1 WHEN regexp_matches(line, '^## \\S') THEN 2 END AS level FROM l),
      g AS (SELECT *, last_value(CASE WHEN level = 1 THEN substr(line, 3) END IGNORE NULLS) OVER w AS h1, last_value(CASE WHEN level = 2 THEN substr(line, 4) WHEN level = 1 THEN '' END IGNORE NULLS) OVER w AS h2 FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
      SELECT conv_id, turn, array_to_string(list_filter([coalesce(h1, ''), coalesce(h2, '')], lambda x: x <> ''), ' § ') AS path FROM g""")
-RESPONSES = "SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, CASE page_id % 9 WHEN 0 THEN 429 WHEN 1 THEN 403 WHEN 2 THEN 401 ELSE 200 END AS status, concat(html, CASE page_id % 7 WHEN 0 THEN 'Just a moment' WHEN 1 THEN 'solve the CAPTCHA' ELSE '' END) AS html FROM pages"
-case("t15_block_census", lambda v: e.block_census(v.sql(RESPONSES)),
-     f"SELECT host, CASE WHEN status = 429 THEN 'rate limit' WHEN status = 401 THEN 'login' WHEN contains(lower(html), 'captcha') THEN 'captcha' WHEN contains(lower(html), 'just a moment') THEN 'challenge' WHEN status = 403 THEN 'forbidden' ELSE 'ok' END AS verdict, count(*) AS n FROM ({RESPONSES}) GROUP BY 1, 2")
-case("t16_page_metadata", lambda v: e.page_metadata(v.pages).select("page_id", "title", "lang"), "SELECT page_id, nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's')), '') AS title, nullif(regexp_extract(html, '<html[^>]*\\slang=\"([^\"]*)\"', 1), '') AS lang FROM pages")
+RESPONSES = """SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, CASE WHEN page_id % 17 = 0 THEN concat('https://', split_part(split_part(url, '://', 2), '/', 1), '/account/login?next=1') ELSE url END AS url,
+ CAST(CASE page_id % 9 WHEN 0 THEN 429 WHEN 1 THEN 403 WHEN 2 THEN 401 WHEN 3 THEN 503 ELSE 200 END AS INT) AS status,
+ CASE page_id % 13 WHEN 0 THEN concat('<title>Just a moment...</title><p>Cloudflare</p>', html) WHEN 1 THEN concat('<title>Access Denied</title>Reference #18.', html) WHEN 2 THEN '<html><div class="g-recaptcha" data-sitekey="k"></div></html>' WHEN 3 THEN concat('<div id="px-captcha"></div>', html) WHEN 4 THEN '<title>Sign in | Shop</title>' WHEN 5 THEN 'please press &amp; hold'
+  WHEN 6 THEN concat('<script src="https://geo.captcha-delivery.com/c.js"></script>', repeat('x', 60000)) ELSE html END AS html FROM pages"""
+HEADERS = "CASE page_id % 11 WHEN 0 THEN map('cf-mitigated', 'challenge') WHEN 1 THEN map('set-cookie', 'DataDome=1; a=b') ELSE map('server', 'AkamaiGHost') END"
+case("t15_block_census", lambda v: e.block_census(v.sql(RESPONSES).withColumn("headers", F.expr(HEADERS))),
+     f"""SELECT host, CASE WHEN page_id % 11 = 0 OR page_id % 13 = 0 THEN 'cloudflare' WHEN page_id % 13 = 1 THEN 'akamai' WHEN page_id % 11 > 1 AND status IN (403, 429) AND length(html) < 12000 THEN 'akamai' WHEN page_id % 11 = 1 AND (status IN (403, 429) OR length(html) < 12000) THEN 'datadome'
+     WHEN page_id % 13 IN (3, 5) THEN 'perimeterx' WHEN page_id % 13 = 2 THEN 'captcha' WHEN page_id % 17 = 0 OR page_id % 13 = 4 OR status = 401 THEN 'login' WHEN status = 403 THEN 'http_403' WHEN status = 429 THEN 'http_429' WHEN status >= 500 THEN 'http_5xx' ELSE 'ok' END AS verdict, count(*) AS n FROM ({RESPONSES}) GROUP BY 1, 2""")
+#: Meta elements in several orders and quotes in front of each page.
+HEADED = """SELECT page_id, url, concat('<html LANG=', CASE page_id % 2 WHEN 0 THEN '"EN"' ELSE 'es-ES' END, '>', CASE WHEN page_id % 3 = 0 THEN '<meta content="Ann &amp; Bo" name="author">' WHEN page_id % 3 = 1 THEN '<META property=article:author content=Cy>' ELSE '' END,
+ '<link href="/c', CAST(page_id AS VARCHAR(9)), '" rel="nofollow canonical">', CASE WHEN page_id % 4 = 0 THEN concat('<meta property=', chr(39), 'article:published_time', chr(39), ' content=', chr(39), '2024-01-02', chr(39), '>') ELSE '' END, '<meta name="description" content="">',
+ '<meta property="og:description" content=" two  words ">', CASE WHEN page_id % 5 = 0 THEN '<meta content="http://x/i.png" property="og:image"/>' ELSE '' END, '<meta name="keywords" content="a, b"><title>Page ', CAST(page_id AS VARCHAR(9)), '</title>') AS html FROM pages"""
+FOUND = f"SELECT page_id, url, concat('Page ', page_id) AS title, CASE page_id % 2 WHEN 0 THEN 'en' ELSE 'es-es' END AS lang, 'two words' AS description, concat('/c', page_id) AS canonical, CASE page_id % 3 WHEN 0 THEN 'Ann & Bo' WHEN 1 THEN 'Cy' END AS author, CASE WHEN page_id % 4 = 0 THEN '2024-01-02' END AS published, CASE WHEN page_id % 5 = 0 THEN 'http://x/i.png' END AS image, CAST(NULL AS VARCHAR) AS site, 'a, b' AS keywords FROM pages"
+case("t16_page_metadata", lambda v: e.page_metadata(v.sql(HEADED)), FOUND)
+case("t16_titles", lambda v: e.page_metadata(v.pages).select("page_id", F.length("title").alias("n"), "lang"), "SELECT page_id, CAST(length(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's'), '&#x27;', chr(39)), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g'))) AS INT) AS n, lower(nullif(regexp_extract(html, '<html[^>]*\\slang=\"([^\"]*)\"', 1), '')) AS lang FROM pages")
 case("t26_cite_hits", lambda v: e.cite_hits(v.sql("SELECT p_partkey AS id, 'doc' AS kind, CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE p_name END AS title, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS page, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS section FROM part")).select("id", "citation"),
      "SELECT p_partkey AS id, concat('[', CASE WHEN p_partkey % 5 = 0 THEN 'doc' ELSE p_name END, CASE WHEN p_partkey % 2 = 0 THEN concat(', p. ', p_size) ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN concat(', § ', p_type) ELSE '' END, ']') AS citation FROM part")
 case("a15_price_totals", lambda v: e.price_totals(v.receipts, "doc_id", "text"), "SELECT o_orderkey AS doc, 'EUR' AS currency, CAST(1 AS BIGINT) AS n, c AS low, c AS high, c AS total, c AS labelled FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 100 + 50 AS c FROM orders)")

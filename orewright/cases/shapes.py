@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from orewright.cases import case
-from orewright.cases.entities import boxes
+from orewright.cases.entities import FOUND, HEADED, boxes
 from orewright.operators import entities as e
 from orewright.operators import shapes as sh
 from orewright.operators import text as t
@@ -29,4 +29,4 @@ HITS = "SELECT page_id % 3 AS engine, page_id AS rank, CASE WHEN page_id % 4 = 0
 case("t05_rrf_urls", lambda v: t.rrf_urls(v.sql(HITS)).select("key", F.round("score", 9).alias("score"), "engines"),
      """WITH h AS (HITS), k AS (SELECT engine, rank, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^https?://(www\\.)?', ''), '[?&]utm_source=[^&]*', '') AS u FROM h), n AS (SELECT engine, rank, regexp_replace(regexp_replace(u, '^www\\.', ''), '/+$', '') AS key FROM k), b AS (SELECT key, engine, min(rank) AS rank FROM n GROUP BY key, engine)
      SELECT key, round(sum(1.0e0 / (60 + rank)), 9) AS score, string_agg(CAST(engine AS VARCHAR), ',' ORDER BY engine) AS engines FROM b GROUP BY key""".replace("HITS", HITS))
-case("t16_fill_rates", lambda v: e.fill_rates(e.page_metadata(v.pages)), "SELECT count(*) AS pages, count(nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's')), '')) AS title, count(nullif(regexp_extract(html, '<html[^>]*\\slang=\"([^\"]*)\"', 1), '')) AS lang, count(nullif(regexp_extract(html, '<meta\\s+name=\"description\"\\s+content=\"([^\"]*)\"', 1), '')) AS description FROM pages")
+case("t16_fill_rates", lambda v: e.fill_rates(e.page_metadata(v.sql(HEADED))), f"SELECT regexp_extract(url, '://(?:[^/?#]*\\.)?([^./?#]+\\.[^./?#]+)', 1) AS domain, count(*) AS pages, count(title) AS title, count(lang) AS lang, count(description) AS description, count(canonical) AS canonical, count(author) AS author, count(published) AS published, count(image) AS image, count(site) AS site, count(keywords) AS keywords FROM ({FOUND}) GROUP BY 1")

@@ -26,10 +26,13 @@ HOSTS = "SELECT page_id AS id, split_part(split_part(split_part(split_part(url,
 case("j18_resolve_merchants", lambda v: e.resolve_merchants(v.sql(HOSTS), "host", v.sql("SELECT * FROM (VALUES ('example.org', 'Org'), ('www.therti.example.org', 'Therti'), ('example.net', 'Net')) AS m(domain, merchant)"), v.sql("SELECT * FROM (VALUES ('^blog', 2, 'Blog'), ('th', 1, 'Th')) AS p(pattern, priority, merchant)")),
      f"""WITH h AS ({HOSTS}) SELECT id, host, CASE WHEN host = 'www.therti.example.org' THEN 'Therti' WHEN host LIKE '%.example.org' THEN 'Org' WHEN host LIKE '%.example.net' THEN 'Net' WHEN contains(host, 'th') THEN 'Th' WHEN host LIKE 'blog%' THEN 'Blog' END AS merchant,
      CASE WHEN host LIKE '%.example.org' OR host LIKE '%.example.net' THEN 'domain' WHEN contains(host, 'th') OR host LIKE 'blog%' THEN 'pattern' END AS by FROM h""")
-NAMES = "SELECT p_partkey AS id, concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' Deluxe' ELSE '' END) AS name FROM part"
+NAMES = "SELECT p_partkey AS id, concat(p_name, CASE p_partkey % 3 WHEN 0 THEN ' Deluxe' WHEN 1 THEN 'ish' ELSE '' END) AS name FROM part"
 case("j19_similar_names", lambda v: e.similar_names(v.sql(NAMES), v.sql("SELECT s_suppkey AS id, concat(p_name, ' ', p_type) AS name FROM supplier JOIN part ON p_partkey = s_suppkey + 40")),
      f"""WITH a AS (SELECT id AS a, list_distinct(string_split(lower(name), ' ')) AS w FROM ({NAMES})), b AS (SELECT s_suppkey AS b, list_distinct(regexp_extract_all(lower(concat(p_name, ' ', p_type)), '[a-z0-9]+')) AS w FROM supplier JOIN part ON p_partkey = s_suppkey + 40),
-     j AS (SELECT a, b, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS na, len(b.w) AS nb FROM a, b) SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM j WHERE k > 0 AND (k = least(na, nb) OR k / (na + nb - k) >= 0.5)""")
+     j AS (SELECT a, b, len(list_intersect(a.w, b.w)) AS k, len(a.w) AS na, len(b.w) AS nb, len(list_filter(a.w, lambda t: len(list_filter(b.w, lambda u: t <> u AND least(length(t), length(u)) >= 4 AND (contains(u, t) OR contains(t, u)))) > 0)) > 0 AS glued FROM a, b) SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM j WHERE (k > 0 AND k = least(na, nb)) OR k / (na + nb - k) >= 0.5 OR glued""")
+PERSONS = "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Ann M. Bell' WHEN 1 THEN 'BELL, Ann Maria' WHEN 2 THEN 'A. Bell' ELSE 'Carl' END AS x, CASE c_custkey % 3 WHEN 0 THEN 'Ann Maria Bell' WHEN 1 THEN 'Bell Ann' ELSE '' END AS y FROM customer"
+case("j19_person_similarity", lambda v: v.sql(PERSONS).select("id", e.person_similarity(F.col("x"), F.col("y")).alias("s")),
+     f"SELECT id, CASE WHEN y = '' THEN 0.0e0 ELSE CASE concat(id % 4, id % 3) WHEN '00' THEN 0.625e0 WHEN '10' THEN 1.0e0 WHEN '20' THEN 0.375e0 WHEN '30' THEN 0.0e0 WHEN '01' THEN 0.6667e0 WHEN '11' THEN 0.6667e0 WHEN '21' THEN 0.5e0 ELSE 0.0e0 END END AS s FROM ({PERSONS})")
 ROBOTS = "SELECT * FROM (VALUES ('a', '*', true, '/'), ('a', '*', false, '/en'), ('a', '*', true, '/en/1*'), ('a', '*', false, '/*.html$'), ('b', 'Crawler', false, '/'), ('b', 'crawler', true, '/es/'), ('b', '*', true, '/')) AS r(host, agent, allow, pattern)"
 PATHS = "SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS host, concat('/', split_part(split_part(split_part(split_part(url, '://', 2), '/', 2), '?', 1), '#', 1), '/', split_part(split_part(split_part(split_part(url, '://', 2), '/', 3), '?', 1), '#', 1)) AS path FROM pages"
 case("j21_robots_allowed", lambda v: e.robots_allowed(v.sql(PATHS), v.sql(ROBOTS), "crawler"),

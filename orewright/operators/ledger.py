@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def visible_messages(messages: DataFrame, viewer: str | None, everything: bool = False, since: int = 0, limit: int | None = None) -> DataFrame:
@@ -83,16 +87,51 @@ def net_balances(tx: DataFrame) -> DataFrame:
     return paid.unionAll(got).groupBy("grp", "member").agg(F.sum("c").alias("net"))
 
 
-def settle_groups(net: DataFrame) -> DataFrame:
-    """Transfers that settle each group: debts and claims in order of size (ties by member), laid end to end; where two stretches overlap, that much changes hands.
+def balanced_parts(cents: list[int]) -> list[int]:
+    """A number for each balance: as many parts as can be, each of which adds up to nothing. For few balances, as all their subsets are weighed."""
+    n = len(cents)
+    masks = np.arange(1 << n)
+    bits = masks[:, None] >> np.arange(n) & 1
+    level, free = bits.sum(1), bits @ np.array(cents, np.int64) == 0
+    parts, last = np.zeros(1 << n, np.int64), np.zeros(1 << n, np.int64)
+    for size in range(1, n + 1):  # of a subset's orders of joining, one that passes through most balanced subsets
+        own = masks[level == size]
+        before = np.where(bits[own] == 1, parts[own[:, None] ^ (1 << np.arange(n))], -1)
+        last[own] = before.argmax(1)
+        parts[own] = before.max(1) + free[own]
+    out, mask = [0] * n, (1 << n) - 1
+    while mask:
+        out[last[mask]] = int(parts[mask] - free[mask])
+        mask ^= 1 << int(last[mask])
+    return out
+
+
+def settle_groups(net: DataFrame, few: int = 16) -> DataFrame:
+    """Transfers that settle each group. Groups of up to ``few`` members with a balance are parted into as many balanced parts as can be, so they need the fewest transfers: one less
+    than members, for each part. In a part, or a larger group, debts and claims in order of size (ties by member) are laid end to end; where two stretches overlap, that much changes hands.
 
     Running sums and a join on what overlaps, so no group has to fit in a task's memory; a group of n members needs fewer than n transfers.
     """
-    own = Window.partitionBy("grp", "side").orderBy(F.desc("size"), "member").rowsBetween(Window.unboundedPreceding, 0)
-    rows = net.where("net <> 0").select("grp", "member", (F.col("net") > 0).alias("side"), F.abs("net").alias("size")).withColumn("to", F.sum("size").over(own)).withColumn("from", F.col("to") - F.col("size"))
-    debt = rows.where("not side").select("grp", F.col("member").alias("debtor"), F.col("from").alias("a"), F.col("to").alias("b"))
-    claim = rows.where("side").select("grp", F.col("member").alias("creditor"), F.col("from").alias("c"), F.col("to").alias("d"))
-    both = debt.join(claim, "grp").where("a < d AND c < b")
+    open_ = net.where("net <> 0").select("grp", "member", "net")
+    small = open_.join(open_.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") <= few), "grp").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("member", "net"))).alias("own"))
+
+    def part(batches):
+        for batch in batches:
+            members, cents = (batch.column("own").flatten().field(c) for c in ("member", "net"))
+            sizes = pc.list_value_length(batch.column("own")).to_pylist()
+            at, found = 0, []
+            values = cents.to_pylist()
+            for n in sizes:
+                found += balanced_parts(values[at : at + n])
+                at += n
+            yield pa.RecordBatch.from_arrays([batch.column("grp").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), members, pa.array(found, pa.int64())], names=["grp", "member", "part"])
+
+    parts = small.mapInArrow(part, T.StructType([open_.schema["grp"], open_.schema["member"], T.StructField("part", T.LongType())]))
+    own = Window.partitionBy("grp", "part", "side").orderBy(F.desc("size"), "member").rowsBetween(Window.unboundedPreceding, 0)
+    rows = open_.join(parts, ["grp", "member"], "left").select("grp", F.coalesce("part", F.lit(0)).alias("part"), "member", (F.col("net") > 0).alias("side"), F.abs("net").alias("size")).withColumn("to", F.sum("size").over(own)).withColumn("from", F.col("to") - F.col("size"))
+    debt = rows.where("not side").select("grp", "part", F.col("member").alias("debtor"), F.col("from").alias("a"), F.col("to").alias("b"))
+    claim = rows.where("side").select("grp", "part", F.col("member").alias("creditor"), F.col("from").alias("c"), F.col("to").alias("d"))
+    both = debt.join(claim, ["grp", "part"]).where("a < d AND c < b")
     return both.select("grp", "debtor", "creditor", (F.least("b", "d") - F.greatest("a", "c")).alias("cents"))
 
 

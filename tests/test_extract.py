@@ -47,3 +47,30 @@ def test_identifiers(spark):
     assert all(r["v"] == r["ok"] for r in ibans.withColumn("v", entities.valid_iban(F.col("c"))).collect())
     mails = spark.createDataFrame([("Ann <A.B+x@Googlemail.com>", "ab@gmail.com"), ("mailto:q@x.org", "q@x.org"), ("nobody", "")], "c string, k string")
     assert all(r["v"] == r["k"] for r in mails.withColumn("v", entities.email_key(F.col("c"))).collect())
+
+
+def test_small_groups_settle_with_the_fewest_transfers(spark):
+    from itertools import combinations
+
+    from orewright.operators import ledger
+
+    groups = {1: [5, -5, 7, -7, 3, -2, -1], 2: [10, -4, -6, 4, -4], 3: [100, -50, -30, -20], 4: [0, 0], 5: list(range(1, 13)) + [-78]}
+
+    def most(values):  # balanced parts, by trying all first parts
+        values = [v for v in values if v]
+        if not values:
+            return 0
+        first, rest = values[0], values[1:]
+        ways = [1 + most([v for i, v in enumerate(rest) if i not in c]) for n in range(len(rest) + 1) for c in combinations(range(len(rest)), n) if first + sum(rest[i] for i in c) == 0]
+        return max(ways, default=0)
+
+    rows = [(g, k, v) for g, values in groups.items() for k, v in enumerate(values)]
+    got = ledger.settle_groups(spark.createDataFrame(rows, "grp long, member long, net long")).collect()
+    for g, values in groups.items():
+        own = [r for r in got if r["grp"] == g]
+        left = dict(enumerate(values))
+        for r in own:
+            left[r["debtor"]] += r["cents"]
+            left[r["creditor"]] -= r["cents"]
+        assert not any(left.values()) and all(r["cents"] > 0 for r in own)
+        assert len(own) == sum(1 for v in values if v) - most(values)

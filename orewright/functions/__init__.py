@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orewright.operators.extract import PII, cut_points
+from orewright.operators.extract import cut_points, mask_string, scan_pii
 from orewright.operators.text import ACCENTED, HOSTLIKE, PLAIN, TRACKING_PARAMS, TRACKING_PREFIXES, URL_PARTS
 
 
@@ -35,23 +36,20 @@ def _url_key(u: str) -> str:
 def register_functions(spark: SparkSession) -> None:
     """SQL functions ``fold``, ``stem``, ``url_key``, ``content_hash``, ``mask_text`` and ``parse_amount`` (``text, decimal mark``: cents), null for null.
 
-    They are SQL over built-in functions, so a query with them stays in one plan and in generated code; they say what the columns of the operators say.
+    All but ``mask_text``, whose checks need a loop, are SQL over built-in functions, so a query with them stays in one plan and in generated code; they say what the columns of the operators say.
     """
-    masked = "t"
-    for kind, pattern in PII.items():
-        masked = f"regexp_replace({masked}, {_quote(pattern)}, '<{kind}>')"
     plain = "regexp_replace(t, '[^0-9,.\\\\-]', '')"
     number = f"CASE WHEN mark = ',' THEN replace(replace({plain}, '.', ''), ',', '.') ELSE replace({plain}, ',', '') END"
     bodies = {
         "fold(t STRING) RETURNS STRING": f"lower(translate(t, {_quote(ACCENTED)}, {_quote(PLAIN)}))",
         "stem(t STRING) RETURNS STRING": "CASE WHEN length(t) > 5 AND endswith(t, 'es') THEN left(t, length(t) - 2) WHEN length(t) > 4 AND endswith(t, 's') THEN left(t, length(t) - 1) ELSE t END",
         "content_hash(t STRING) RETURNS STRING": "sha2(trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '\\\\d+', '#'), '[^a-zà-ÿ# \\\\n\\\\t]', ''), '\\\\s+', ' ')), 256)",
-        "mask_text(t STRING) RETURNS STRING": masked,
         "url_key(t STRING) RETURNS STRING": _url_key("t"),
         "parse_amount(t STRING, mark STRING) RETURNS BIGINT": f"CASE WHEN rlike({number}, '[0-9]') THEN CAST(round(try_cast({number} AS DECIMAL(18, 4)) * 100, 0) AS BIGINT) END",
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    spark.udf.register("mask_text", F.pandas_udf(lambda values: values.map(mask_string), T.StringType()))
 
 
 class ChunkText:
@@ -63,14 +61,11 @@ class ChunkText:
 
 
 class ScanPii:
-    """``scan_pii(text)``: rows ``kind, value`` of what looks like personal data; checks of digits are left to the census."""
+    """``scan_pii(text)``: rows ``kind, value`` of personal data that passes its checks."""
 
     def eval(self, text: str) -> Iterator[tuple]:
-        import re
-
-        for kind, pattern in PII.items():
-            for m in re.finditer(pattern, text or ""):
-                yield kind, m[0]
+        for a, b, kind in scan_pii(text or ""):
+            yield kind, text[a:b]
 
 
 class FindDates:

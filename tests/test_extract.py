@@ -22,11 +22,17 @@ def test_readable_page():
 
 
 def test_masks_and_census(spark):
-    rows = spark.createDataFrame([(1, "mail a@b.org, 12345678Z and 12345678A", ["x@y.org", None]), (2, None, None), (3, "ip 10.0.0.7 or 300.1.1.1; card 4111111111111111", [])], "id long, text string, more array<string>")
-    got = {r["id"]: r for r in extract.mask_columns(rows, ("email", "ip")).collect()}
-    assert got[1]["text"].startswith("mail <email>,") and got[1]["more"] == ["<email>", None] and got[2]["text"] is None
+    texts = [(1, "mail a@b.org, 12345678Z and 12345678A", ["x@y.org", None]), (2, None, None), (3, "ip 10.0.0.7 or 300.1.1.1; card 4111 1111 1111 1111, not 4111111111111112", []), (4, "IBAN ES91 2100 0418 4502 0005 1332 AND X-1234567-L, B12345674, call +34 600 123 456", ["600 12 34 56"])]
+    rows = spark.createDataFrame(texts, "id long, text string, more array<string>")
+    nested = rows.select("id", "text", "more", F.struct(F.col("text").alias("t"), F.lit(5).alias("n")).alias("s"), F.create_map(F.lit("k"), F.col("text")).alias("m"), F.array(F.struct(F.col("text").alias("t"))).alias("l"))
+    got = {r["id"]: r for r in extract.mask_columns(nested, ("email", "ip", "dni", "card", "iban", "nie")).collect()}
+    assert got[1]["text"] == "mail <email>, <dni> and 12345678A" and got[1]["more"] == ["<email>", None] and got[2]["text"] is None and got[2]["more"] is None
+    assert got[3]["text"] == "ip <ip> or 300.1.1.1; card <card>, not 4111111111111112"
+    for r in got.values():
+        assert r["s"]["t"] == r["m"]["k"] == r["l"][0]["t"] == r["text"] and r["s"]["n"] == 5
+    assert got[4]["text"].startswith("IBAN <iban> AND <nie>,")
     census = {r["kind"]: r["n"] for r in extract.pii_census(rows.withColumn("s", F.lit("s")), "text", "s").collect()}
-    assert census == {"email": 1, "dni": 1, "ip": 1, "card": 1}
+    assert census == {"email": 1, "dni": 1, "ip": 1, "card": 1, "iban": 1, "nie": 1, "cif": 1, "phone": 1}
 
 
 def test_rolling_captions(spark):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from orewright.cases import case
 from orewright.operators import entities as e
+from orewright.operators import mentions as mn
 
 MEMBERS = "SELECT DISTINCT concat(split_part(p_name, ' ', 1), ' ', split_part(p_name, ' ', 2)) AS name FROM part WHERE p_partkey % 3 = 0"
 NUMBERED = f"SELECT row_number() OVER (ORDER BY name) AS member, row_number() OVER (ORDER BY name) AS number, name FROM ({MEMBERS})"
@@ -94,10 +95,22 @@ case("t16_page_metadata", lambda v: e.page_metadata(v.sql(HEADED)), FOUND)
 case("t16_titles", lambda v: e.page_metadata(v.pages).select("page_id", F.length("title").alias("n"), "lang"), "SELECT page_id, CAST(length(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's'), '&#x27;', chr(39)), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g'))) AS INT) AS n, lower(nullif(regexp_extract(html, '<html[^>]*\\slang=\"([^\"]*)\"', 1), '')) AS lang FROM pages")
 case("t26_cite_hits", lambda v: e.cite_hits(v.sql("SELECT p_partkey AS id, 'doc' AS kind, CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE p_name END AS title, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS page, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS section FROM part")).select("id", "citation"),
      "SELECT p_partkey AS id, concat('[', CASE WHEN p_partkey % 5 = 0 THEN 'doc' ELSE p_name END, CASE WHEN p_partkey % 2 = 0 THEN concat(', p. ', p_size) ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN concat(', § ', p_type) ELSE '' END, ']') AS citation FROM part")
-case("a15_price_totals", lambda v: e.price_totals(v.receipts, "doc_id", "text"), "SELECT o_orderkey AS doc, 'EUR' AS currency, CAST(1 AS BIGINT) AS n, c AS low, c AS high, c AS total, c AS labelled FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 100 + 50 AS c FROM orders)")
+case("a15_price_totals", lambda v: mn.price_totals(v.receipts, "doc_id", "text"), "SELECT o_orderkey AS doc, 'EUR' AS currency, CAST(1 AS BIGINT) AS n, c AS low, c AS high, c AS total, c AS labelled FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 100 + 50 AS c FROM orders)")
 case("a14_reference_census", lambda v: e.reference_census(v.sql("SELECT r.doc_id, concat(r.text, ' code ', e.code) AS text FROM receipts r JOIN (" + EAN + ") e ON e.id = r.doc_id"), "doc_id", "text"),
      f"WITH x AS (SELECT list_transform(range(1, 14), lambda i: CAST(substr(code, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END) AS d FROM ({EAN})) SELECT 'order' AS kind, count(*) AS n, count(*) AS docs FROM orders UNION ALL SELECT 'ean13', count(*), count(*) FROM x WHERE list_sum(d) % 10 = 0")
-case("a16_date_mentions", lambda v: e.date_mentions(v.receipts, "doc_id", "text").where("role = 'issued'").select("doc", "n", "first"), "SELECT o_orderkey AS doc, CAST(1 AS BIGINT) AS n, substring(CAST(o_orderdate AS VARCHAR), 1, 10) AS first FROM orders")
+case("a16_date_mentions", lambda v: mn.date_mentions(v.receipts, "doc_id", "text", dt.date(2024, 6, 1)).where("role = 'issued'").select("doc", "n", "first"), "SELECT o_orderkey AS doc, CAST(1 AS BIGINT) AS n, CAST(o_orderdate AS DATE) AS first FROM orders")
+TODAY = dt.date(2024, 6, 1)
+DAY = "CAST(1 + o_orderkey % 28 AS VARCHAR(9))"
+#: A price and a date in one of several shapes.
+SHAPES = f"""SELECT o_orderkey AS id, CAST(1 + o_orderkey % 28 AS INT) AS d, 1 + o_orderkey % 900 AS k, o_orderkey % 6 AS shape, concat(
+ CASE o_orderkey % 6 WHEN 0 THEN concat('Importe total: ', CAST(1 + o_orderkey % 900 AS VARCHAR(9)), '.345,60 EUR') WHEN 1 THEN concat('Subtotal $', CAST(1 + o_orderkey % 900 AS VARCHAR(9)), ',345.60') WHEN 2 THEN concat('price: £', CAST(1 + o_orderkey % 900 AS VARCHAR(9)), '.5 paid') WHEN 3 THEN concat('SEK ', CAST(1 + o_orderkey % 900 AS VARCHAR(9)), ' 200,00')
+  WHEN 4 THEN concat('Total a pagar -', CAST(1 + o_orderkey % 900 AS VARCHAR(9)), '.345 €') ELSE concat('total due: ', CAST(1 + o_orderkey % 900 AS VARCHAR(9)), '.345 dollars') END, '. ',
+ CASE o_orderkey % 6 WHEN 0 THEN concat('Fecha de emisión: ', {DAY}, ' de octubre de 2023') WHEN 1 THEN concat('due on March ', {DAY}, 'th, 2024') WHEN 2 THEN concat('caduca el ', {DAY}, '/04/25') WHEN 3 THEN concat('entrega ', {DAY}, ' nov') WHEN 4 THEN concat('emitida el ', {DAY}, ' dic.') ELSE concat('31/02/2024 and ', {DAY}, ' juni') END) AS text FROM orders"""
+case("a15_price_shapes", lambda v: mn.price_totals(v.sql(SHAPES), "id", "text"),
+     f"""WITH s AS ({SHAPES}), c AS (SELECT id AS doc, CASE shape WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' WHEN 3 THEN 'SEK' WHEN 4 THEN 'EUR' ELSE 'USD' END AS currency, CASE shape WHEN 0 THEN k * 100000 + 34560 WHEN 1 THEN k * 100000 + 34560 WHEN 2 THEN k * 100 + 50 WHEN 3 THEN k * 100000 + 20000 WHEN 4 THEN -(k * 100000 + 34500) ELSE k * 100 + 35 END AS c, shape IN (0, 4, 5) AS t FROM s)
+     SELECT doc, currency, CAST(1 AS BIGINT) AS n, c AS low, c AS high, c AS total, CASE WHEN t THEN c ELSE 0 END AS labelled FROM c""")
+case("a16_date_shapes", lambda v: mn.date_mentions(v.sql(SHAPES), "id", "text", TODAY),
+     f"""WITH s AS ({SHAPES}) SELECT id AS doc, CASE shape WHEN 0 THEN 'issued' WHEN 1 THEN 'due' WHEN 2 THEN 'expires' WHEN 3 THEN 'delivery' WHEN 4 THEN 'issued' ELSE 'other' END AS role, CAST(1 AS BIGINT) AS n, x AS first, x AS last FROM (SELECT *, CASE shape WHEN 0 THEN make_date(2023, 10, d) WHEN 1 THEN make_date(2024, 3, d) WHEN 2 THEN make_date(2025, 4, d) WHEN 3 THEN make_date(2024, 11, d) WHEN 4 THEN make_date(2023, 12, d) ELSE make_date(2024, 6, d) END AS x FROM s)""")
 TAGS = "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN map('height', concat(CAST(p_size AS STRING), ' m')) WHEN 1 THEN map('height', concat(CAST(p_size AS STRING), ' ft'), 'roof:shape', 'gabled') WHEN 2 THEN map('building:levels', CAST(p_size AS STRING)) ELSE map('building', CASE WHEN p_size % 2 = 0 THEN 'church' ELSE 'shed' END) END AS tags FROM {part}"
 case("p12_building_attributes", lambda v: e.building_attributes(v.spark.sql(TAGS, part=v.part)),
      "SELECT p_partkey AS id, round(greatest(2, least(900, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size * 0.3048e0 WHEN 2 THEN p_size * 3.0e0 ELSE CASE WHEN p_size % 2 = 0 THEN 15 ELSE 3 END END)), 4) AS height, p_partkey % 4 >= 2 AS estimated, CASE WHEN p_partkey % 4 = 1 THEN 'gabled' ELSE 'flat' END AS roof FROM part")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orewright.operators.extract import cut_points, mask_string, scan_pii
+from orewright.operators.mentions import find_dates, find_prices
 from orewright.operators.text import ACCENTED, HOSTLIKE, PLAIN, TRACKING_PARAMS, TRACKING_PREFIXES, URL_PARTS
 
 
@@ -69,26 +71,22 @@ class ScanPii:
 
 
 class FindDates:
-    """``find_dates(text)``: rows ``start, value`` of ISO dates."""
+    """``find_dates(text, today)``: rows ``start, value, role`` of dates, those without a year resolved by ``today``."""
 
-    def eval(self, text: str) -> Iterator[tuple]:
-        import re
-
-        for m in re.finditer(r"\b\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\b", text or ""):
-            yield m.start(), m[0]
+    def eval(self, text: str, today: dt.date) -> Iterator[tuple]:
+        for a, _, date, role in find_dates(text or "", today):
+            yield a, date, role
 
 
 class FindPrices:
-    """``find_prices(text)``: rows ``start, cents, currency`` of amounts like ``1.234,50 EUR``."""
+    """``find_prices(text)``: rows ``start, cents, currency, label`` of prices."""
 
     def eval(self, text: str) -> Iterator[tuple]:
-        import re
-
-        for m in re.finditer(r"(?i)(\d{1,3}(?:\.\d{3})+|\d+)(?:,(\d{2}))?\s*(EUR|USD|GBP)", text or ""):
-            yield m.start(), int(m[1].replace(".", "")) * 100 + int(m[2] or 0), m[3].upper()
+        for a, _, cents, currency, label in find_prices(text or ""):
+            yield a, cents, currency, label
 
 
 def register_table_functions(spark: SparkSession) -> None:
     """SQL table functions ``chunk_text``, ``scan_pii``, ``find_dates``, ``find_prices``, for ``LATERAL`` use."""
-    for name, kind, schema in (("chunk_text", ChunkText, "n int, start int, end int, chunk string"), ("scan_pii", ScanPii, "kind string, value string"), ("find_dates", FindDates, "start int, value string"), ("find_prices", FindPrices, "start int, cents bigint, currency string")):
+    for name, kind, schema in (("chunk_text", ChunkText, "n int, start int, end int, chunk string"), ("scan_pii", ScanPii, "kind string, value string"), ("find_dates", FindDates, "start int, value date, role string"), ("find_prices", FindPrices, "start int, cents bigint, currency string, label string")):
         spark.udtf.register(name, F.udtf(kind, returnType=schema))

@@ -27,6 +27,8 @@ case("w05_suppress_peaks", lambda v: s.suppress_peaks(s.local_peaks(v.cells, 1,
      SELECT row, col, z FROM p WHERE k IN (SELECT unnest(kept) FROM w)""")
 case("w06_terrain_mask", lambda v: s.terrain_mask(v.cells, 10.0, 10.0, 40.0).groupBy("band").agg(F.count("*").alias("n")),
      f"WITH {GRAD} SELECT CASE WHEN z IS NULL OR sqrt(gx * gx + gy * gy) IS NULL THEN NULL WHEN 100 * sqrt(gx * gx + gy * gy) > 60 THEN 'rock' WHEN z >= 40 THEN 'snow' WHEN z >= 36 THEN 'mixed' ELSE 'low' END AS band, count(*) AS n FROM g GROUP BY 1")
+case("w06_snow_mask", lambda v: s.snow_mask(v.cells, 10.0, 42.0, 40.0).select("row", "col", "snow"),
+     f"""WITH {GRAD}, e AS (SELECT max(z) AS hi, greatest(60, 0.35 * (max(z) - 40)) AS wide FROM cells), k AS (SELECT *, sqrt(gx * gx + gy * gy) AS fall FROM g) SELECT row, col, CASE WHEN z IS NULL OR fall IS NULL THEN NULL ELSE hi > 40 AND ((z >= 40 AND degrees(atan(fall)) < 40) OR (z >= 40 - wide AND z < 40 AND gy > 0.15 * fall + 0.02 AND degrees(atan(fall)) < 35)) END AS snow FROM k, e""")
 case("a09_class_area", lambda v: s.class_area(v.cells, 0.001, 42.0).withColumn("m2", F.round("m2", 3)), "SELECT class, count(*) AS cells, round(sum(111.32e0 * 111.32e0 * cos(radians(42.0e0 - row * 0.001e0))), 3) AS m2 FROM cells GROUP BY class")
 TWO = "SELECT row, col, z, 1 AS priority FROM cells WHERE col < 15 UNION ALL SELECT row, col, z + CASE WHEN (row + col) % 3 = 0 THEN 2 ELSE -2 END, 2 FROM cells WHERE col >= 10"
 case("a11_mosaic", lambda v: s.mosaic(v.sql(TWO)), f"SELECT row, col, max(z) AS z FROM ({TWO}) GROUP BY row, col")
@@ -99,6 +101,10 @@ case("g11_project_local", lambda v: s.project_local(v.sql(LONLAT), -4.7, 41.6).s
      f"""WITH k AS (SELECT 6378137.0e0 AS a, (1 / 298.257223563e0) * (2 - 1 / 298.257223563e0) AS e2, sin(radians(41.6e0)) AS s) SELECT id, round(radians(lon + 4.7e0) * a / sqrt(1 - e2 * s * s) * cos(radians(41.6e0)), 4) AS x, round(radians(lat - 41.6e0) * a * (1 - e2) / power(1 - e2 * s * s, 1.5e0), 4) AS y FROM ({LONLAT}), k""")
 case("g11_tile_keys", lambda v: s.tile_keys(v.sql(LONLAT), 14).groupBy("tx", "ty").agg(F.count("*").alias("n"), F.min("quadkey").substr(1, 3).alias("head")),
      f"WITH t AS (SELECT CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS tx, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS BIGINT) AS ty FROM ({LONLAT})) SELECT tx, ty, count(*) AS n, any_value(concat(((tx >> 13) & 1) + 2 * ((ty >> 13) & 1), ((tx >> 12) & 1) + 2 * ((ty >> 12) & 1), ((tx >> 11) & 1) + 2 * ((ty >> 11) & 1))) AS head FROM t GROUP BY tx, ty")
+case("g11_mercator", lambda v: s.from_mercator(s.to_mercator(v.sql(LONLAT)).drop("lon", "lat")).select("id", F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), s.utm_code(F.col("lon"), F.col("lat")).alias("zone")),
+     f"SELECT id, round(6378137.0e0 * radians(lon), 3) AS mx, round(6378137.0e0 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS my, round(lon, 6) AS lon, round(lat, 6) AS lat, 'EPSG:32630' AS zone FROM ({LONLAT})")
+case("g13_frame_tracks", lambda v: s.frame_tracks(v.sql(LONLAT).withColumn("path", F.col("id") % 7)).select("path", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("width_m", 2).alias("width_m"), F.round("height_m", 2).alias("height_m")),
+     f"WITH b AS (SELECT id % 7 AS path, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM ({LONLAT}) GROUP BY 1) SELECT path, round((x0 + x1) / 2, 6) AS lon, round((y0 + y1) / 2, 6) AS lat, round(greatest(500, (x1 - x0) * radians(6378137.0e0) * cos(radians((y0 + y1) / 2)) * 1.3), 2) AS width_m, round(greatest(500, (y1 - y0) * radians(6378137.0e0) * 1.3), 2) AS height_m FROM b")
 case("g13_within_area", lambda v: s.within_area(v.sql(LONLAT), -4.6905, 41.6105, -4.6505, 41.6505, 0.0).select("id"), f"SELECT id FROM ({LONLAT}) WHERE lon BETWEEN -4.6905e0 AND -4.6505e0 AND lat BETWEEN 41.6105e0 AND 41.6505e0")
 EDGES = """e AS (SELECT src, dst, min(seconds) AS seconds FROM (SELECT a AS src, b AS dst, 1000 / (speed_kmh / 3.6e0) AS seconds FROM geo_lines UNION ALL SELECT b, a, 1000 / (speed_kmh / 3.6e0) FROM geo_lines WHERE NOT oneway) GROUP BY src, dst)"""
 
@@ -116,6 +122,11 @@ REACH = f"""{EDGES}, near(kind, id, node, access) AS (SELECT kind, id, node, rou
  walk(site, node, s) AS (SELECT id, node, access FROM near WHERE kind = 's' UNION SELECT site, e.dst, s + e.seconds FROM walk w JOIN e ON e.src = w.node WHERE s + e.seconds <= 400), best AS (SELECT site, node, min(s) AS s FROM walk GROUP BY site, node),
  reach AS (SELECT site, d.id AS demand, s + access AS cost FROM best JOIN near d ON d.kind = 'd' AND d.node = best.node WHERE s + access <= 400)"""
 case("g01_build_network", lambda v: edges(v).withColumn("seconds", F.round("seconds", 6)), f"WITH {EDGES} SELECT src, dst, round(seconds, 6) AS seconds FROM e")
+STREETS = "SELECT l.a * 10 + l.b - l.a AS id, p.x + CASE WHEN l.a % 3 = 0 THEN 0.1e0 ELSE 0.0e0 END AS x0, p.y AS y0, q.x AS x1, q.y AS y1, CASE WHEN l.a % 4 = 0 THEN 77.0e0 END AS travel_time_s, l.speed_kmh, CASE WHEN l.a % 7 = 3 THEN 'yes' WHEN l.a % 7 = 4 THEN 'reverse' END AS oneway, l.bridge FROM geo_lines l JOIN geo_nodes p ON p.node = l.a JOIN geo_nodes q ON q.node = l.b"
+BLOCKS = "SELECT node AS id, x + 450 AS x0, y - 50 AS y0, x + 550 AS x1, y + 50 AS y1 FROM geo_nodes WHERE node % 25 IN (2, 6, 12)"
+case("g01_network_of_lines", lambda v: n.network_of_lines(v.sql(STREETS), v.sql(BLOCKS))[0].withColumn("seconds", F.round("seconds", 4)),
+     f"""WITH s AS ({STREETS}), b AS ({BLOCKS}), k AS (SELECT s.*, concat(CAST(round(x0 * 2) AS BIGINT), ',', CAST(round(y0 * 2) AS BIGINT)) AS p, concat(CAST(round(x1 * 2) AS BIGINT), ',', CAST(round(y1 * 2) AS BIGINT)) AS q, coalesce(travel_time_s, sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) / (speed_kmh / 3.6)) AS t FROM s WHERE bridge OR NOT EXISTS (SELECT 1 FROM b WHERE b.x0 < greatest(s.x0, s.x1) AND b.x1 > least(s.x0, s.x1) AND b.y0 < greatest(s.y0, s.y1) + 0.001 AND b.y1 > least(s.y0, s.y1) - 0.001))
+     SELECT src, dst, round(min(t), 4) AS seconds FROM (SELECT p AS src, q AS dst, t FROM k WHERE coalesce(oneway, '') <> 'reverse' UNION ALL SELECT q, p, t FROM k WHERE coalesce(oneway, '') <> 'yes') GROUP BY src, dst""")
 case("g02_reach_network", lambda v: reach(v).withColumn("cost", F.round("cost", 6)), f"WITH RECURSIVE {REACH} SELECT site, demand, round(cost, 6) AS cost FROM reach")
 CHOSEN = "SELECT * FROM (VALUES (CAST(3 AS BIGINT), 1), (CAST(17 AS BIGINT), 2), (CAST(8 AS BIGINT), 3)) AS c(site, \"order\")"
 SPARK_CHOSEN = CHOSEN.replace('"', "`")

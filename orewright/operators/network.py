@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orewright.operators import polygons as poly
 from orewright.plans.shared import materialize
 
 
@@ -16,6 +17,34 @@ def build_network(lines: DataFrame, default_kmh: float = 50.0) -> DataFrame:
     return forth.unionAll(back).where("src <> dst").groupBy("src", "dst").agg(F.min("seconds").alias("seconds"))
 
 
+def network_of_lines(lines: DataFrame, obstacles: DataFrame | None = None, snap_m: float = 0.5, default_kmh: float = 50.0, reach_m: float = 2000.0) -> tuple[DataFrame, DataFrame]:
+    """``src, dst, seconds`` and nodes ``node, x, y`` of straight lines (``id, x0, y0, x1, y1, travel_time_s, speed_kmh, oneway, bridge``).
+
+    Ends that round to one cell of ``snap_m`` are one node, which lies at the least of them. ``oneway`` is ``yes``, ``reverse`` or no (null too). A line that crosses an obstacle (``ring``) is
+    left out, but for bridges and tunnels. Lines up to ``reach_m`` long meet obstacles by buckets. Lines without length, or whose ends are one node, are left out.
+    """
+    cell = lambda c: F.floor(F.col(c) / snap_m + 0.5).cast("long")
+    length = F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2)
+    rows = lines.withColumn("length_m", length).where("length_m > 0")
+    if obstacles is not None:
+        near = poly.with_rings(obstacles).select(F.col("ring"), F.col("x0").alias("ox0"), F.col("y0").alias("oy0"), F.col("x1").alias("ox1"), F.col("y1").alias("oy1"))
+        bucket = lambda c: F.floor(F.col(c) / reach_m)
+        near = near.withColumn("i", F.explode(F.sequence(bucket("ox0"), bucket("ox1")))).withColumn("j", F.explode(F.sequence(bucket("oy0"), bucket("oy1"))))
+        low = lambda f, c: F.floor(f(f"{c}0", f"{c}1") / reach_m)
+        own = rows.where(~F.coalesce("bridge", F.lit(False))).withColumn("i", F.explode(F.sequence(low(F.least, "x"), low(F.greatest, "x")))).withColumn("j", F.explode(F.sequence(low(F.least, "y"), low(F.greatest, "y"))))
+        met = own.join(near, ["i", "j"]).where(poly.crosses_inside(F.col("ring"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
+        rows = rows.join(met.select("id").distinct(), "id", "left_anti")
+    seconds = F.when(F.col("travel_time_s") > 0, F.col("travel_time_s")).otherwise(F.col("length_m") / (F.when(F.col("speed_kmh") > 0, F.col("speed_kmh")).otherwise(default_kmh) / 3.6))
+    end = lambda k: F.struct(cell(f"x{k}").alias("i"), cell(f"y{k}").alias("j"))
+    rows = rows.select(end(0).alias("a"), end(1).alias("b"), F.lower(F.coalesce(F.col("oneway").cast("string"), F.lit("no"))).alias("oneway"), seconds.alias("seconds"), *[f"{c}{k}" for c in "xy" for k in (0, 1)])
+    nodes = rows.select(F.col("a").alias("k"), F.col("x0").alias("x"), F.col("y0").alias("y")).unionAll(rows.select("b", "x1", "y1")).groupBy("k").agg(F.min(F.struct("x", "y")).alias("p"))
+    name = lambda c: F.concat_ws(",", F.col(f"{c}.i"), F.col(f"{c}.j"))
+    rows = rows.where("a <> b")
+    forth = rows.where("oneway NOT IN ('reverse', '-1')").select(name("a").alias("src"), name("b").alias("dst"), "seconds")
+    back = rows.where("oneway NOT IN ('yes', 'true', '1')").select(name("b").alias("src"), name("a").alias("dst"), "seconds")
+    return forth.unionAll(back).groupBy("src", "dst").agg(F.min("seconds").alias("seconds")), nodes.select(name("k").alias("node"), "p.x", "p.y")
+
+
 def reach_nodes(edges: DataFrame, starts: DataFrame, most_s: float, most_rounds: int = 10_000) -> DataFrame:
     """``site, node, seconds`` and ``prior`` (the node before it on a shortest path): every node within ``most_s`` of each start (``site, node, seconds``).
 

@@ -72,6 +72,31 @@ def segment_distance(ring: Column, x0: Column, y0: Column, x1: Column, y1: Colum
     return F.when(F.exists(ring_edges(ring), crosses), 0.0).otherwise(F.least(corners, ends))
 
 
+def crosses_inside(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether the straight line between two points passes through the inside of a polygon; touching its border alone doesn't count.
+
+    The line is cut where it meets sides; it passes through where the middle of a piece is inside.
+    """
+    ux, uy = x1 - x0, y1 - y0
+
+    def meets(e: Column) -> Column:
+        vx, vy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        across = ux * vy - uy * vx
+        t = ((e["a"]["x"] - x0) * vy - (e["a"]["y"] - y0) * vx) / F.nullif(across, F.lit(0.0))
+        s = ((e["a"]["x"] - x0) * uy - (e["a"]["y"] - y0) * ux) / F.nullif(across, F.lit(0.0))
+        return F.when((t > 0) & (t < 1) & (s >= 0) & (s <= 1), t)
+
+    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.array_compact(F.transform(ring_edges(ring), meets))))
+
+    def within(i: Column) -> Column:
+        t = (F.get(cuts, i) + F.get(cuts, i - 1)) / 2
+        x, y = x0 + ux * t, y0 + uy * t
+        off = F.array_min(F.transform(ring_edges(ring), lambda e: side_distance(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])))
+        return ((F.get(cuts, i) - F.get(cuts, i - 1)) > 1e-12) & inside(ring, x, y) & (off > 1e-9)
+
+    return F.exists(F.sequence(F.lit(1), F.size(cuts) - 1), within)
+
+
 def middle_point(ring: Column) -> Column:
     """A point in the polygon, as struct ``x, y``: the middle of the widest stretch at half of its height."""
     ys = F.transform(ring, lambda p: p["y"])

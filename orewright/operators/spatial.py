@@ -15,16 +15,20 @@ def _line(along: str, across: str):
     return Window.partitionBy(across).orderBy(along)
 
 
-def slope_pct(cells: DataFrame, dx: float, dy: float) -> DataFrame:
-    """Adds ``slope``: the gradient in per cent, by central differences, one-sided at the borders; null where a cell it needs is null."""
+def _steps(cells: DataFrame, dx: float, dy: float) -> DataFrame:
+    """Adds ``_x`` and ``_y``: the rise for each metre along columns and rows, by central differences, one-sided at the borders; null where a cell it needs is null."""
     def step(along: str, across: str, size: float) -> Column:
         w = _line(along, across)
         before, after = F.lag(F.struct("z")).over(w), F.lead(F.struct("z")).over(w)
         both = (after["z"] - before["z"]) / (2 * size)
         return F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), (after["z"] - F.col("z")) / size).when(after.isNull(), (F.col("z") - before["z"]) / size).otherwise(both)
 
-    rows = cells.withColumn("_x", step("col", "row", dx)).withColumn("_y", step("row", "col", dy))
-    return rows.withColumn("slope", 100 * F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y"))).drop("_x", "_y")
+    return cells.withColumn("_x", step("col", "row", dx)).withColumn("_y", step("row", "col", dy))
+
+
+def slope_pct(cells: DataFrame, dx: float, dy: float) -> DataFrame:
+    """Adds ``slope``: the gradient in per cent; null where a cell it needs is null."""
+    return _steps(cells, dx, dy).withColumn("slope", 100 * F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y"))).drop("_x", "_y")
 
 
 def focal(cells: DataFrame, stat: str, radius: int, out: str = "focal") -> DataFrame:
@@ -77,6 +81,23 @@ def terrain_mask(cells: DataFrame, dx: float, dy: float, line: float, steep: flo
     return rows.withColumn("band", F.when(F.col("slope").isNull() | F.col("z").isNull(), None).when(F.col("slope") > steep, "rock").when(F.col("z") >= line, "snow").when(F.col("z") >= 0.9 * line, "mixed").otherwise("low"))
 
 
+def snow_mask(cells: DataFrame, size: float, lat: float, line: float | None = None, steep_deg: float = 40.0) -> DataFrame:
+    """Adds ``snow``: above the snow line where the slope holds it, and in a band below it on the shaded side, which falls towards the pole, where it's less steep; null without a slope.
+
+    Without a ``line`` it's the top fifth of the relief, not under 1800 m, of grids that reach 2000 m. A grid that doesn't reach its line has no snow.
+    """
+    rows = _steps(cells, size, size)
+    ends = cells.agg(F.max("z").alias("hi"), F.min("z").alias("lo"))  # one row
+    auto = F.when(F.col("hi") >= 2000, F.greatest(F.lit(1800.0), F.col("hi") - 0.2 * (F.col("hi") - F.col("lo"))))
+    ends = ends.withColumn("line", auto if line is None else F.when(F.col("hi") > line, F.lit(float(line)))).withColumn("wide", F.greatest(F.lit(60.0), 0.35 * (F.col("hi") - F.col("line"))))
+    rows = rows.join(F.broadcast(ends))
+    fall = F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y"))
+    slope, to_pole = F.degrees(F.atan(fall)), F.col("_y") * (1 if lat >= 0 else -1)  # rows run from north to south, so what rises to the south falls to the north
+    above = (F.col("z") >= F.col("line")) & (slope < steep_deg)
+    below = (F.col("z") >= F.col("line") - F.col("wide")) & (F.col("z") < F.col("line")) & (to_pole > 0.15 * fall + 0.02) & (slope < steep_deg - 5)
+    return rows.withColumn("snow", F.when(fall.isNull() | F.col("z").isNull(), None).otherwise(F.coalesce(above | below, F.lit(False)))).drop("_x", "_y", "hi", "lo", "line", "wide")
+
+
 def class_area(cells: DataFrame, step_deg: float, north: float) -> DataFrame:
     """Square metres of each class of cells of ``step_deg`` degrees, whose first row's centre lies at ``north``: a cell narrows with its latitude."""
     lat = F.radians(F.lit(north) - F.col("row") * step_deg)
@@ -255,6 +276,32 @@ def project_local(points: DataFrame, lon0: float, lat0: float) -> DataFrame:
     return points.withColumn("x", F.radians(F.col("lon") - lon0) * prime * math.cos(math.radians(lat0))).withColumn("y", F.radians(F.col("lat") - lat0) * meridian)
 
 
+def to_mercator(points: DataFrame) -> DataFrame:
+    """Adds ``mx, my``: Web Mercator metres; latitudes beyond its square are drawn to its edge."""
+    lat = F.radians(F.greatest(F.lit(-85.05112878), F.least(F.lit(85.05112878), F.col("lat"))))
+    return points.withColumn("mx", F.radians("lon") * EARTH_A).withColumn("my", EARTH_A * F.log(F.tan(F.pi() / 4 + lat / 2)))
+
+
+def from_mercator(points: DataFrame) -> DataFrame:
+    """Adds ``lon, lat`` of Web Mercator metres ``mx, my``."""
+    return points.withColumn("lon", F.degrees(F.col("mx") / EARTH_A)).withColumn("lat", F.degrees(2 * F.atan(F.exp(F.col("my") / EARTH_A)) - F.pi() / 2))
+
+
+def utm_code(lon: Column, lat: Column) -> Column:
+    """The EPSG code of the UTM zone of a point, north or south."""
+    zone = F.greatest(F.lit(1), F.least(F.lit(60), F.floor((lon + 180) / 6) + 1))
+    return F.concat(F.lit("EPSG:"), (F.when(lat >= 0, 32600).otherwise(32700) + zone).cast("string"))
+
+
+def frame_tracks(points: DataFrame, margin: float = 0.15, least_m: float = 500.0) -> DataFrame:
+    """``path, lon, lat, width_m, height_m``: the centre of each track's points (``path, lon, lat``) and the ground size that frames it with a margin on each side, ``least_m`` at least."""
+    box = points.groupBy("path").agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
+    degree = EARTH_A * 3.141592653589793 / 180
+    size = lambda m: F.greatest(F.lit(float(least_m)), m * (1 + 2 * margin))
+    lat = (F.col("y0") + F.col("y1")) / 2
+    return box.select("path", ((F.col("x0") + F.col("x1")) / 2).alias("lon"), lat.alias("lat"), size((F.col("x1") - F.col("x0")) * degree * F.cos(F.radians(lat))).alias("width_m"), size((F.col("y1") - F.col("y0")) * degree).alias("height_m"))
+
+
 def tile_keys(points: DataFrame, zoom: int) -> DataFrame:
     """Adds the map tile ``tx, ty`` of a zoom level and its ``quadkey``."""
     n = 2**zoom
@@ -331,13 +378,25 @@ def screening_summary(screened: DataFrame) -> DataFrame:
     return screened.select(F.explode("reasons").alias("r")).groupBy(F.col("r.rule").alias("rule")).agg(F.count("*").alias("n"))
 
 
-def cluster_mesh(faces: DataFrame, cell: float) -> DataFrame:
-    """Faces (``model_id, ax .. cz``) after vertices of one grid cell become their mean: those with two equal corners go, and of equal ones one stays."""
+def cluster_mesh(faces: DataFrame, cell: float, lock: bool = False) -> DataFrame:
+    """Faces (``model_id, ax .. cz``) after the vertices of each cell of a grid, laid from the model's least corner, become their mean: those with two equal corners go, and of equal ones one stays.
+
+    With ``lock``, vertices at the border, those of a side that one face alone has, stay where they are.
+    """
     corner = lambda p: F.struct(*[F.col(f"{p}{c}").alias(c) for c in "xyz"])
-    key = lambda v: F.concat_ws(",", *[F.floor(v[c] / cell).cast("string") for c in "xyz"])
-    rows = faces.select("model_id", *[key(corner(p)).alias(p) for p in "abc"])
     vertices = faces.select("model_id", F.explode(F.array(*[corner(p) for p in "abc"])).alias("v")).distinct()
-    means = vertices.groupBy("model_id", key(F.col("v")).alias("k")).agg(F.struct(*[F.round(F.avg(F.col(f"v.{c}")), 6).alias(c) for c in "xyz"]).alias("m"))
+    low = vertices.groupBy("model_id").agg(F.struct(*[F.min(F.col(f"v.{c}")).alias(c) for c in "xyz"]).alias("low"))
+    key = F.concat_ws(",", *[F.floor((F.col(f"v.{c}") - F.col(f"low.{c}")) / cell).cast("string") for c in "xyz"])
+    named = vertices.join(low, "model_id").withColumn("k", key).drop("low")
+    if lock:
+        side = lambda p, q: F.array_sort(F.array(corner(p), corner(q)))
+        sides = faces.select("model_id", F.explode(F.array(side("a", "b"), side("b", "c"), side("c", "a"))).alias("s")).groupBy("model_id", "s").count().where("count = 1")
+        border = sides.select("model_id", F.explode("s").alias("v")).distinct().withColumn("own", F.lit(True))
+        named = named.join(border, ["model_id", "v"], "left").withColumn("k", F.when(F.col("own"), F.concat(F.lit("at "), F.to_json("v"))).otherwise(F.col("k"))).drop("own")
+    means = named.groupBy("model_id", "k").agg(F.struct(*[F.round(F.avg(F.col(f"v.{c}")), 6).alias(c) for c in "xyz"]).alias("m"))
+    rows = faces.select("model_id", *[corner(p).alias(f"v{p}") for p in "abc"])
+    for p in "abc":
+        rows = rows.join(named.select("model_id", F.col("v").alias(f"v{p}"), F.col("k").alias(p)), ["model_id", f"v{p}"])
     rows = rows.where("a <> b AND b <> c AND a <> c").withColumn("_s", F.array_sort(F.array("a", "b", "c"))).groupBy("model_id", "_s").agg(F.min(F.struct("a", "b", "c")).alias("f")).select("model_id", "f.*")
     for p in "abc":
         rows = rows.join(means.select("model_id", F.col("k").alias(p), F.col("m").alias(f"m{p}")), ["model_id", p])

@@ -87,3 +87,23 @@ def test_screening_reasons_have_values_and_limits(spark):
     assert "Zona inundable" in why["P4"]["exclusion_max_overlap_pct"]["detail"] and why["P5"]["attribute:zoning in"]["measured"] == "rustico" and why["P6"]["min_area_m2"]["measured"] == "400.0" and why["P6"]["max_slope_pct"]["measured"] is None
     lenient = {r["id"]: r for r in spatial.screen_parcels(rows, limits, unknown="accept").collect()}
     assert [q["rule"] for q in lenient["P6"]["reasons"]] == ["min_area_m2"] and lenient["P6"]["flags"] == ["max_slope_pct is unknown"] and lenient["P5"]["accepted"]
+
+
+def test_locked_borders_stay(spark):
+    names = [f"{p}{c}" for p in "abc" for c in "xyz"]
+    grid = lambda i, j: (float(i), float(j), 0.0)
+    faces = [(1, *grid(i, j), *grid(i + 1, j), *grid(i, j + 1)) for i in range(4) for j in range(4)] + [(1, *grid(i + 1, j), *grid(i + 1, j + 1), *grid(i, j + 1)) for i in range(4) for j in range(4)]
+    table = spark.createDataFrame(faces, "model_id long, " + ", ".join(f"{n} double" for n in names))
+    corners = lambda rows: {(r[f"{p}x"], r[f"{p}y"]) for r in rows for p in "abc"}
+    border = {(float(i), float(j)) for i in range(5) for j in range(5) if i in (0, 4) or j in (0, 4)}
+    assert not border <= corners(spatial.cluster_mesh(table, 2.0).collect())
+    kept = corners(spatial.cluster_mesh(table, 2.0, lock=True).collect())
+    assert border <= kept and len(kept) < 25
+
+
+def test_lines_through_a_polygon(spark):
+    ring = [{"x": 0.0, "y": 0.0}, {"x": 4.0, "y": 0.0}, {"x": 4.0, "y": 4.0}, {"x": 2.0, "y": 1.0}, {"x": 0.0, "y": 4.0}]
+    lines = [((-1.0, 2.0, 5.0, 2.0), True), ((1.9, 3.0, 2.1, 3.0), False), ((0.0, 0.0, 4.0, 0.0), False), ((1.0, 0.5, 1.2, 0.6), True), ((-1.0, 4.0, 5.0, 4.0), False), ((2.0, 0.5, 2.0, 9.0), True)]
+    rows = spark.createDataFrame([(ring, *line, want) for line, want in lines], f"ring array<{polygons.POINT}>, x0 double, y0 double, x1 double, y1 double, want boolean")
+    got = rows.select("want", polygons.crosses_inside(F.col("ring"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from orewright.cases import case
 from orewright.operators import text as t
+from orewright.plans.shared import materialize
 
 FOLD = "lower(strip_accents({0}))"
 WORDS = "regexp_extract_all(" + FOLD.format("coalesce(text, '')") + r", '[\p{L}\p{N}]+')"
@@ -16,15 +17,15 @@ def postings(v):
 
 
 case("t01_build_postings", postings, f"WITH {POSTINGS} SELECT doc, 'text' AS \"column\", term, tf, length FROM post")
-case("t02_search_docs", lambda v: t.search_docs(postings(v), v.sql(QUERIES)),
+case("t02_search_docs", lambda v: t.search_docs(materialize(postings(v), "postings"), v.sql(QUERIES)),
      f"""WITH {POSTINGS}, {TERMS}, n AS (SELECT query, count(*) AS n FROM terms GROUP BY query), h AS (SELECT query, doc, count(DISTINCT CASE WHEN p.term = t.term THEN t.term END) AS whole, count(DISTINCT t.term) AS part FROM post p JOIN terms t ON p.term = t.term OR starts_with(p.term, t.stem) GROUP BY query, doc),
      r AS (SELECT query, doc, CAST(CASE WHEN whole = n THEN 1 WHEN part = n THEN 2 ELSE 3 END AS INT) AS rung FROM h JOIN n USING (query)) SELECT * FROM r WHERE rung = (SELECT min(rung) FROM r o WHERE o.query = r.query)""")
 BM = "SELECT * FROM (VALUES (1, 'thtion', true), (1, 'ered', false), (2, 'license', false), (2, 'apach', true)) AS q(query, term, prefix)"
 
 
 def scores(v):
-    docs = v.documents.select(F.col("doc_id").alias("doc"), F.size(t.tokens(F.col("text"))).alias("length"))
-    return t.bm25(postings(v), v.sql(BM), docs, {"text": 1.0}, "text")
+    kept = materialize(postings(v), "postings")
+    return t.bm25(kept, v.sql(BM), t.document_lengths(v.documents, "doc_id", kept, "text"), {"text": 1.0}, "text")
 
 
 BM_SQL = f"""{POSTINGS}, q AS ({BM}), d AS (SELECT doc_id AS doc, len({WORDS}) AS length FROM documents), tot AS (SELECT count(*) AS total, avg(length) AS mean FROM d),

@@ -54,6 +54,12 @@ def build_postings(docs: DataFrame, doc_id: str, columns: list[str]) -> DataFram
     return rows.groupBy("doc", "column", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+def document_lengths(docs: DataFrame, doc_id: str, postings: DataFrame, column: str) -> DataFrame:
+    """``doc, length`` of every document, from the postings alone: no text is read again. Documents without words have length 0."""
+    known = postings.where(F.col("column") == column).groupBy("doc").agg(F.max("length").alias("length"))
+    return docs.select(F.col(doc_id).alias("doc")).join(known, "doc", "left").select("doc", F.coalesce("length", F.lit(0)).alias("length"))
+
+
 def query_terms(queries: DataFrame, most: int = 12) -> DataFrame:
     """``query, term, place``: the first ``most`` distinct words of each query without stop words and single letters, or all where nothing else is left."""
     words = tokens(F.col("text"))
@@ -87,7 +93,8 @@ def search_docs(postings: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def bm25(postings: DataFrame, terms: DataFrame, documents: DataFrame, weights: dict[str, float], length_column: str, k1: float = 1.2, b: float = 0.75, floor: float = 0.1) -> DataFrame:
-    """``query, doc, score``. ``terms``: ``query, term, prefix`` (few); ``documents``: every ``doc`` with ``length`` of the one column whose length counts.
+    """``query, doc, score``. ``terms``: ``query, term, prefix`` (few); ``documents``: every ``doc`` with ``length`` of the one column whose length counts. ``postings`` are read more than
+    once, so they should be a table (:func:`orewright.plans.shared.materialize`), not a plan that parts the texts each time.
 
     The inverse document frequency is ``max(floor, ln(1 + (N - n + 0.5) / (n + 0.5)))``; a prefix term meets all words that start with it.
     """

@@ -74,7 +74,7 @@ def reach_network(edges: DataFrame, sites: DataFrame, demand: DataFrame, most_s:
 
 def assign(reach: DataFrame, chosen: DataFrame) -> DataFrame:
     """Each demand to its cheapest chosen site (``site, order``), ties to the first listed."""
-    return reach.join(F.broadcast(chosen), "site").groupBy("demand").agg(F.min(F.struct(F.round("cost", 9).alias("cost"), "order", "site")).alias("m")).select("demand", "m.site", "m.cost")
+    return reach.join(chosen, "site").groupBy("demand").agg(F.min(F.struct(F.round("cost", 9).alias("cost"), "order", "site")).alias("m")).select("demand", "m.site", "m.cost")
 
 
 def _greedy(reach: DataFrame, weights: DataFrame, costs: DataFrame | None, stop, most: int) -> DataFrame:

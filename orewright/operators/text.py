@@ -77,7 +77,7 @@ def match_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
     stems = terms.select("query", "term", stem(F.col("term")).alias("stem")).where(F.length("term") >= 3)
     words = postings.select(F.col("term").alias("word")).distinct()
     prefixes = words.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(32))), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("stem"))
-    pairs = prefixes.join(F.broadcast(stems), "stem").select("query", "term", "word").unionAll(words.join(F.broadcast(terms.select("query", "term")), F.col("word") == F.col("term")).select("query", "term", "word")).distinct()
+    pairs = prefixes.join(stems, "stem").select("query", "term", "word").unionAll(words.join(terms.select("query", "term"), F.col("word") == F.col("term")).select("query", "term", "word")).distinct()
     return postings.withColumnRenamed("term", "word").join(pairs, "word").withColumn("whole", F.col("word") == F.col("term"))
 
 
@@ -87,9 +87,9 @@ def search_docs(postings: DataFrame, queries: DataFrame) -> DataFrame:
     number = terms.groupBy("query").agg(F.count("*").alias("n"))
     hits = match_terms(postings, terms).groupBy("query", "doc").agg(F.count_distinct(F.when(F.col("whole"), F.col("term"))).alias("whole"), F.count_distinct("term").alias("some"))
     rung = F.when(F.col("whole") == F.col("n"), 1).when(F.col("some") == F.col("n"), 2).otherwise(3)
-    ranked = hits.join(F.broadcast(number), "query").select("query", "doc", rung.alias("rung"))
+    ranked = hits.join(number, "query").select("query", "doc", rung.alias("rung"))
     best = ranked.groupBy("query").agg(F.min("rung").alias("rung"))
-    return ranked.join(F.broadcast(best), ["query", "rung"]).select("query", "doc", "rung")
+    return ranked.join(best, ["query", "rung"]).select("query", "doc", "rung")
 
 
 def bm25(postings: DataFrame, terms: DataFrame, documents: DataFrame, weights: dict[str, float], length_column: str, k1: float = 1.2, b: float = 0.75, floor: float = 0.1) -> DataFrame:
@@ -99,10 +99,10 @@ def bm25(postings: DataFrame, terms: DataFrame, documents: DataFrame, weights: d
     The inverse document frequency is ``max(floor, ln(1 + (N - n + 0.5) / (n + 0.5)))``; a prefix term meets all words that start with it.
     """
     weight = F.create_map(*[x for c, w in weights.items() for x in (F.lit(c), F.lit(float(w)))])
-    exact = postings.join(F.broadcast(terms.where("not prefix").select("query", F.col("term").alias("t"))), F.col("term") == F.col("t"))
+    exact = postings.join(terms.where("not prefix").select("query", F.col("term").alias("t")), F.col("term") == F.col("t"))
     words = postings.select(F.col("term").alias("word")).distinct()
     cut = words.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(32))), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("t"))
-    wide = cut.join(F.broadcast(terms.where("prefix").select("query", F.col("term").alias("t"))), "t")
+    wide = cut.join(terms.where("prefix").select("query", F.col("term").alias("t")), "t")
     prefix = postings.join(wide.withColumnRenamed("word", "term"), "term")
     cols = ["query", "t", "doc", "column", "tf"]
     hits = exact.select(*cols, F.lit(False).alias("prefix")).unionAll(prefix.select(*cols, F.lit(True).alias("prefix"))).where(F.col("column").isin(list(weights)))
@@ -111,7 +111,7 @@ def bm25(postings: DataFrame, terms: DataFrame, documents: DataFrame, weights: d
     idf = hits.groupBy("query", "t", "prefix").agg(F.count_distinct("doc").alias("n")).crossJoin(F.broadcast(totals)).withColumn("idf", F.greatest(F.lit(floor), F.log(1 + (F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))))
     norm = F.when(F.col("column") == length_column, k1 * (1 - b + b * F.coalesce(F.col("length") / F.col("mean"), F.lit(1.0)))).otherwise(k1)
     part = F.col("idf") * weight[F.col("column")] * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    return hits.join(F.broadcast(idf), ["query", "t", "prefix"]).join(documents.select("doc", "length"), "doc").groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    return hits.join(idf, ["query", "t", "prefix"]).join(documents.select("doc", "length"), "doc").groupBy("query", "doc").agg(F.sum(part).alias("score"))
 
 
 def rrf(rankings: DataFrame, k: int = 60, by: tuple[str, ...] = ()) -> DataFrame:
@@ -139,7 +139,7 @@ def minmax_fuse(scores: DataFrame) -> DataFrame:
     """Fuse ``list, id, score, weight``: each list scaled to 0 to 1 (a flat list counts 1), then summed by weight. Bounds come from an aggregate, so a long list stays spread."""
     bounds = scores.groupBy("list").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     scaled = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    return scores.join(F.broadcast(bounds), "list").groupBy("id").agg(F.sum(scaled * F.col("weight")).alias("score"))
+    return scores.join(bounds, "list").groupBy("id").agg(F.sum(scaled * F.col("weight")).alias("score"))
 
 
 def clean_text(text: Column) -> Column:
@@ -192,7 +192,7 @@ def mention_counts(docs: DataFrame, dictionary: DataFrame, doc_id: str, text: st
     grams = [F.when(F.size("w") >= n, grams_of(n)) for n in range(1, longest + 1)]
     spans = words.select("doc", F.explode(F.flatten(F.array_compact(F.array(*grams)))).alias("g")).select("doc", "g.*")
     names = dictionary.select("entity", F.array_join(tokens(F.col("name")), " ").alias("name"))
-    found = spans.join(F.broadcast(names), "name")
+    found = spans.join(names, "name")
     longer = found.select(F.col("doc").alias("d"), F.col("at").alias("a"), F.col("n").alias("m"))
     inside = (F.col("doc") == F.col("d")) & (F.col("m") > F.col("n")) & (F.col("a") <= F.col("at")) & (F.col("at") + F.col("n") <= F.col("a") + F.col("m"))
     return found.join(longer, inside, "left_anti").groupBy("entity").agg(F.count_distinct("doc").alias("docs"))

@@ -93,8 +93,15 @@ HEADED = """SELECT page_id, url, concat('<html LANG=', CASE page_id % 2 WHEN 0 T
 FOUND = f"SELECT page_id, url, concat('Page ', page_id) AS title, CASE page_id % 2 WHEN 0 THEN 'en' ELSE 'es-es' END AS lang, 'two words' AS description, concat('/c', page_id) AS canonical, CASE page_id % 3 WHEN 0 THEN 'Ann & Bo' WHEN 1 THEN 'Cy' END AS author, CASE WHEN page_id % 4 = 0 THEN '2024-01-02' END AS published, CASE WHEN page_id % 5 = 0 THEN 'http://x/i.png' END AS image, CAST(NULL AS VARCHAR) AS site, 'a, b' AS keywords FROM pages"
 case("t16_page_metadata", lambda v: e.page_metadata(v.sql(HEADED)), FOUND)
 case("t16_titles", lambda v: e.page_metadata(v.pages).select("page_id", F.length("title").alias("n"), "lang"), "SELECT page_id, CAST(length(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's'), '&#x27;', chr(39)), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g'))) AS INT) AS n, lower(nullif(regexp_extract(html, '<html[^>]*\\slang=\"([^\"]*)\"', 1), '')) AS lang FROM pages")
-case("t26_cite_hits", lambda v: e.cite_hits(v.sql("SELECT p_partkey AS id, 'doc' AS kind, CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE p_name END AS title, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS page, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS section FROM part")).select("id", "citation"),
-     "SELECT p_partkey AS id, concat('[', CASE WHEN p_partkey % 5 = 0 THEN 'doc' ELSE p_name END, CASE WHEN p_partkey % 2 = 0 THEN concat(', p. ', p_size) ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN concat(', § ', p_type) ELSE '' END, ']') AS citation FROM part")
+CITED = "SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'doc' WHEN 1 THEN 'page' WHEN 2 THEN 'book' WHEN 3 THEN 'chat' WHEN 4 THEN 'link' WHEN 5 THEN 'mail' WHEN 6 THEN 'code' ELSE 'other' END AS kind, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS page, CASE WHEN p_partkey % 5 < 2 THEN p_type ELSE ' ' END AS section, CASE WHEN p_partkey % 7 = 0 THEN p_size END AS line, CASE WHEN p_partkey % 2 = 1 THEN '2024-01-02' END AS date, CASE WHEN p_partkey % 4 = 3 THEN p_size END AS turn, CASE WHEN p_partkey % 3 = 1 THEN p_brand END AS site FROM part"
+BOUNDS = "SELECT 'network' AS role, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM geo_nodes UNION ALL SELECT 'demand', min(x), min(y), max(x), max(y) FROM geo_demand UNION ALL SELECT 'candidates', min(x) + 90000, min(y), max(x) + 90000, max(y) FROM geo_candidates UNION ALL SELECT 'parcels', min(x0), min(y0) - 99000000, max(x1), max(y1) - 99000000 FROM parcels"
+PLACED = "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'epsg:4326' ELSE 'EPSG:25830' END AS crs, 'survey' AS source, CAST('2023-12-01' AS DATE) AS date, CASE WHEN s_suppkey % 5 = 0 THEN -181.0e0 ELSE 1.0e0 END AS x0, 1.0e0 AS y0, 2.0e0 AS x1, CASE WHEN s_suppkey % 5 = 1 THEN 90.5e0 ELSE 2.0e0 END AS y1 FROM supplier"
+case("t26_cite_hits", lambda v: e.cite_hits(v.sql(CITED)).select("id", "citation").unionAll(e.cite_hits(v.sql(CITED), "en").select((-F.col("id")).alias("id"), "citation")),
+     f"""WITH w(l, o, c, p, ch, li, t, ck, lk, m) AS (VALUES (1, '«', '»', 'p.', 'cap.', 'l.', 'turno', 'chat', 'enlace', 'correo'), (-1, '“', '”', 'p.', 'ch.', 'line', 'turn', 'chat', 'link', 'mail')), h AS (SELECT * REPLACE (nullif(trim(section), '') AS section) FROM ({CITED})), x AS (SELECT *, concat(o, title, c) AS q FROM h, w)
+     SELECT id * l AS id, CASE kind WHEN 'doc' THEN CASE WHEN page IS NOT NULL THEN concat(q, ', ', p, ' ', page, coalesce(' · ' || section, '')) WHEN section IS NOT NULL THEN concat(title, ' § ', section) ELSE concat(title, coalesce(', ' || li || ' ' || line, '')) END WHEN 'page' THEN concat(q, coalesce(', ' || p || ' ' || page, '')) WHEN 'book' THEN concat(q, coalesce(', ' || ch || ' ' || section, ''))
+     WHEN 'chat' THEN concat('[', ck, ' ', concat_ws(' · ', q, date, section, t || ' ' || turn), ']') WHEN 'link' THEN concat('[', lk, ' ', concat_ws(' · ', q, site), ']') WHEN 'mail' THEN concat('[', m, ' ', concat_ws(' · ', q, site, date), ']') WHEN 'code' THEN concat(title, coalesce(' § ' || section, ''), coalesce(':' || line, '')) END AS citation FROM x""")
+case("g10_disjoint_layers", lambda v: e.disjoint_layers(v.sql(BOUNDS)), f"WITH b AS ({BOUNDS}), p(a, b) AS (VALUES ('demand', 'network'), ('candidates', 'network'), ('parcels', 'network'), ('demand', 'candidates')) SELECT p.a, p.b FROM p JOIN b x ON x.role = p.a JOIN b y ON y.role = p.b WHERE x.x1 + 1000 < y.x0 OR y.x1 + 1000 < x.x0 OR x.y1 + 1000 < y.y0 OR y.y1 + 1000 < x.y0")
+case("g10_degrees", lambda v: e.check_layers(v.sql(PLACED), dt.date(2024, 1, 1)).select("id", "issues"), "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 5 < 2 THEN 'outside longitude and latitude' ELSE '' END AS issues FROM supplier")
 case("a15_price_totals", lambda v: mn.price_totals(v.receipts, "doc_id", "text"), "SELECT o_orderkey AS doc, 'EUR' AS currency, CAST(1 AS BIGINT) AS n, c AS low, c AS high, c AS total, c AS labelled FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 100 + 50 AS c FROM orders)")
 case("a14_reference_census", lambda v: e.reference_census(v.sql("SELECT r.doc_id, concat(r.text, ' code ', e.code) AS text FROM receipts r JOIN (" + EAN + ") e ON e.id = r.doc_id"), "doc_id", "text"),
      f"WITH x AS (SELECT list_transform(range(1, 14), lambda i: CAST(substr(code, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END) AS d FROM ({EAN})) SELECT 'order' AS kind, count(*) AS n, count(*) AS docs FROM orders UNION ALL SELECT 'ean13', count(*), count(*) FROM x WHERE list_sum(d) % 10 = 0")

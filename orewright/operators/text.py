@@ -69,23 +69,24 @@ def query_terms(queries: DataFrame, most: int = 12) -> DataFrame:
     return queries.select("query", F.posexplode(chosen).alias("place", "term"))
 
 
-def _beginnings(words: DataFrame, of: DataFrame, name: str) -> DataFrame:
-    """``word`` with each of its beginnings that is as long as a ``name`` in ``of``."""
-    sizes = of.agg(F.collect_set(F.length(name)).alias("sizes"))  # one row, with a number for each length
-    cut = F.transform(F.filter("sizes", lambda n: n <= F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))
-    return words.crossJoin(F.broadcast(sizes)).select("word", F.explode(cut).alias(name))
+def _beginnings(rows: DataFrame, column: str, of: DataFrame, name: str) -> DataFrame:
+    """Rows with each beginning of ``column``, as ``name``, that is as long as a ``name`` in ``of``."""
+    sizes = of.agg(F.collect_set(F.length(name)).alias("_sizes"))  # one row, with a number for each length
+    cut = F.transform(F.filter("_sizes", lambda n: n <= F.length(column)), lambda n: F.substring(F.col(column), F.lit(1), n))
+    return rows.crossJoin(F.broadcast(sizes)).withColumn(name, F.explode(cut)).drop("_sizes")
 
 
 def match_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """``query, term, doc, column, tf, length, whole``: postings that a query's term meets as a whole word, or whose word starts with its stem (terms of three letters or more).
+    """``query, term, doc, column, tf, length, word, whole``: postings that a query's term meets as a whole word, or whose word starts with its stem (terms of three letters or more).
 
-    A word is joined by those of its beginnings that are as long as a stem, an equality, so nothing is compared with everything.
+    A word is joined by those of its beginnings that are as long as a stem, an equality with few terms, so postings that no term meets aren't moved.
     """
     stems = terms.select("query", "term", stem(F.col("term")).alias("stem")).where(F.length("term") >= 3)
-    words = postings.select(F.col("term").alias("word")).distinct()
-    prefixes = _beginnings(words, stems, "stem")
-    pairs = prefixes.join(stems, "stem").select("query", "term", "word").unionAll(words.join(terms.select("query", "term"), F.col("word") == F.col("term")).select("query", "term", "word")).distinct()
-    return postings.withColumnRenamed("term", "word").join(pairs, "word").withColumn("whole", F.col("word") == F.col("term"))
+    words = postings.withColumnRenamed("term", "word")
+    columns = ["query", "term", "doc", "column", "tf", "length", "word"]
+    by_stem = _beginnings(words, "word", stems, "stem").join(stems, "stem").select(*columns)
+    exact = words.join(terms.select("query", "term"), F.col("word") == F.col("term")).select(*columns)
+    return by_stem.unionAll(exact).distinct().withColumn("whole", F.col("word") == F.col("term"))
 
 
 def search_docs(postings: DataFrame, queries: DataFrame) -> DataFrame:
@@ -107,10 +108,8 @@ def bm25(postings: DataFrame, terms: DataFrame, documents: DataFrame, weights: d
     """
     weight = F.create_map(*[x for c, w in weights.items() for x in (F.lit(c), F.lit(float(w)))])
     exact = postings.join(terms.where("not prefix").select("query", F.col("term").alias("t")), F.col("term") == F.col("t"))
-    words = postings.select(F.col("term").alias("word")).distinct()
-    cut = _beginnings(words, terms.where("prefix").select(F.col("term").alias("t")), "t")
-    wide = cut.join(terms.where("prefix").select("query", F.col("term").alias("t")), "t")
-    prefix = postings.join(wide.withColumnRenamed("word", "term"), "term")
+    starts = terms.where("prefix").select("query", F.col("term").alias("t"))
+    prefix = _beginnings(postings, "term", starts, "t").join(starts, "t")
     cols = ["query", "t", "doc", "column", "tf"]
     hits = exact.select(*cols, F.lit(False).alias("prefix")).unionAll(prefix.select(*cols, F.lit(True).alias("prefix"))).where(F.col("column").isin(list(weights)))
     hits = hits.groupBy("query", "t", "prefix", "doc", "column").agg(F.sum("tf").alias("tf"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orewright.llm import chat, fingerprints, language, media, mixing, neardup, quality, sentencepiece_op, token_files
+from orewright.llm import chat, fingerprints, language, line_dedup, media, mixing, neardup, quality, sentencepiece_op, token_files
 from orewright.llm.tasks import small_batches, tasks_for
 from orewright.plans.shared import fresh_path
 
@@ -82,6 +82,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, token_files.write_token_files(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json")))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least 40 code points that five documents share stay in the last of them only."""
+    small_batches(spark)
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_duplicates,
         op9_token_counts,
         op10_token_files,
+        op12_line_dedup,
     )
 } | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op12_line_dedup": line_dedup.LINES_SQL} | ({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that count as blanks at the ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,7 +22,7 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), string.ascii_uppercase, string.ascii_lowercase)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(texts: pd.Series, dropped: pd.Series) -> pd.Series:
     """Each text without the lines at the given places; null where no places are given."""
 

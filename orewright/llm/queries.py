@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orewright.llm import chat, fingerprints, language, line_dedup, media, mixing, neardup, quality, sentencepiece_op, token_files
+from orewright.llm import chat, fingerprints, language, line_dedup, media, mixing, neardup, quality, repairs, sentencepiece_op, token_files
 from orewright.llm.tasks import small_batches, tasks_for
-from orewright.plans.shared import fresh_path
+from orewright.plans.shared import fresh_path, materialize
 
 
 def _path(name: str) -> str:
@@ -82,6 +82,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, token_files.write_token_files(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the hash of the repaired turns of each damaged conversation."""
+    small_batches(spark)
+    found, turns = repairs.repair_conversations(repairs.damage(_table(spark, sf_dir, "conversations")), materialize)
+    digests = repairs.digest_turns(turns).withColumnRenamed("conv_id", "c")
+    joined = found.join(digests, found["conv_id"].eqNullSafe(F.col("c")), "left")
+    return joined.select(*found.columns, F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 40 code points that five documents share stay in the last of them only."""
     small_batches(spark)
@@ -102,7 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_duplicates,
         op9_token_counts,
         op10_token_files,
+        op11_conversation_repair,
         op12_line_dedup,
     )
 } | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op12_line_dedup": line_dedup.LINES_SQL} | ({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})
+ORACLES: dict[str, str] = {"op11_conversation_repair": repairs.REPAIR_SQL, "op12_line_dedup": line_dedup.LINES_SQL} | ({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})

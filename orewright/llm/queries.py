@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orewright.llm import chat, fingerprints, language, line_dedup, media, mixing, neardup, quality, repairs, sentencepiece_op, token_files
+from orewright.llm import chat, fingerprints, language, line_dedup, media, mixing, neardup, negatives, quality, repairs, sentencepiece_op, token_files
 from orewright.llm.tasks import small_batches, tasks_for
 from orewright.plans.shared import fresh_path, materialize
 
@@ -98,6 +98,14 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best negatives under each of the best positives of the anchors, whose ids 50 divides; labels of ids that 7 divides are moved on by one."""
+    small_batches(spark)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.comparable(_table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding"))
+    return negatives.mine_hard_negatives(rows, F.col("vec_id") % 50 == 0, materialize)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -113,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_files,
         op11_conversation_repair,
         op12_line_dedup,
+        op13_hard_negatives,
     )
 } | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op11_conversation_repair": repairs.REPAIR_SQL, "op12_line_dedup": line_dedup.LINES_SQL} | ({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})
+ORACLES: dict[str, str] = {"op13_hard_negatives": negatives.NEGATIVES_SQL, "op11_conversation_repair": repairs.REPAIR_SQL, "op12_line_dedup": line_dedup.LINES_SQL} | ({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})

@@ -8,6 +8,7 @@ from orewright.operators import spatial as s
 from orewright.plans.shared import fresh_path
 from orewright.sources import files as f
 from orewright.streaming import jobs as j
+from orewright.streaming import upkeep
 
 case("s01_select_paths", lambda v: f.select_paths(v.asset_paths, ["f1/**", "**/*.OBJ", "**/blue*.glb"], [".git/**", "node_modules/**", "**/*_1?.stl"], 3000).select("id", "rel_path"),
      r"SELECT id, rel_path FROM asset_paths WHERE size_bytes >= 3000 AND (rel_path ILIKE 'f1/%' OR rel_path ILIKE '%.obj' OR regexp_matches(rel_path, '(?i)(^|/)blue[^/]*\.glb$')) AND NOT rel_path LIKE '.git/%' AND NOT rel_path LIKE 'node_modules/%' AND NOT regexp_matches(rel_path, '(?i)_1[^/]\.stl$')")
@@ -138,13 +139,53 @@ def journal_kept(v):
 case("r05_journal_stream", journal_kept, "WITH u AS (SELECT j.id FROM journal j JOIN journal u ON u.undoes = j.id AND u.kind = 'undo' AND u.ok WHERE u.seq > j.seq GROUP BY j.id) SELECT seq, id, kind, kind = 'write' AND id IN (SELECT id FROM u) AS undone FROM journal")
 
 
-def catalog_kept(v):
-    table = fresh_path(v.spark, "catalog-table")
-    streamed(v, j.catalog_stream, v.assets_v1.select("rel_path", "size_bytes", "sha256"), table)
-    return j.catalog_now(v.spark, table).select("rel_path", "size_bytes", "sha256")
-
-
-case("r06_catalog_stream", catalog_kept, "SELECT rel_path, size_bytes, sha256 FROM assets_v1")
+#: The library after three arrivals: all assets; those of every 13th id grown, with another hash and place, and every 11th gone; every 22nd back.
+LATER = """SELECT root_id, rel_path, id, CASE WHEN id % 13 = 0 AND id % 11 <> 0 THEN size_bytes + 7 ELSE size_bytes END AS size_bytes, triangles, status, watertight,
+ CASE WHEN id % 13 = 0 AND id % 11 <> 0 THEN md5(concat(name, 'later')) ELSE sha256 END AS sha256, format, CASE WHEN id % 13 = 0 AND id % 11 <> 0 THEN 'moved' ELSE collection END AS collection, tag1, tag2
+ FROM assets WHERE id % 11 <> 0 OR id % 22 = 0"""
+KEPT: dict = {}
+
+
+def kept_up(v):
+    """The tables that the stream has kept up over the arrivals; once for each folder and session."""
+    key = (v.spark.sparkContext.applicationId, v.dir)
+    if key not in KEPT:
+        columns = ["root_id", "rel_path", "id", "size_bytes", "triangles", "status", "watertight", "sha256", "format", "collection", "tags", "removed", "at"]
+        tags = F.array("tag1", "tag2")
+        first = v.assets.withColumns({"tags": tags, "removed": F.lit(False), "at": F.lit(1)})
+        changed = v.sql(LATER).where("id % 13 = 0 and id % 11 <> 0").withColumns({"tags": tags, "removed": F.lit(False), "at": F.lit(2)})
+        gone = v.assets.where("id % 11 = 0").withColumns({"tags": tags, "removed": F.lit(True), "at": F.lit(2)})
+        back = v.assets.where("id % 22 = 0").withColumns({"tags": tags, "removed": F.lit(False), "at": F.lit(3)})
+        source, table = fresh_path(v.spark, "arrivals"), fresh_path(v.spark, "catalog")
+        for arrival in (first, changed.select(columns).unionAll(gone.select(columns)), back):
+            arrival.select(columns).repartition(2).write.mode("append").json(source)
+        stream = v.spark.readStream.schema(f"{upkeep.FILE}, removed boolean, at long").option("maxFilesPerTrigger", 2).json(source)
+        upkeep.catalog_stream(stream, table, buckets=8).option("checkpointLocation", f"{table}-progress").trigger(availableNow=True).start().awaitTermination()
+        KEPT[key] = table
+    return KEPT[key]
+
+
+case("r06_catalog_stream", lambda v: upkeep.catalog_table(v.spark, kept_up(v), "files").select("rel_path", "size_bytes", "sha256", F.array_join("tags", ",").alias("tags")), f"SELECT rel_path, size_bytes, sha256, concat(tag1, ',', tag2) AS tags FROM ({LATER}) l")
+case("r06_catalog_totals", lambda v: upkeep.catalog_totals(v.spark, kept_up(v)),
+     f"""WITH d AS (SELECT *, min(id) OVER (PARTITION BY sha256) AS lowest FROM ({LATER}) l) SELECT count(*) AS models, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(triangles) AS BIGINT) AS triangles, count_if(status = 'error') AS errors, count_if(status = 'skipped') AS skipped,
+     count_if(watertight) AS closed, count_if(NOT watertight) AS open, count_if(watertight IS NULL) AS unknown, count_if(id <> lowest) AS duplicates, count(DISTINCT format) AS formats FROM d""")
+case("r06_catalog_facets", lambda v: upkeep.catalog_facets(v.spark, kept_up(v), 20),
+     f"""WITH l AS ({LATER}), t AS (SELECT tag1 AS value FROM l UNION ALL SELECT tag2 FROM l) SELECT 'format' AS facet, format AS value, count(*) AS n FROM l GROUP BY format UNION ALL SELECT * FROM (SELECT 'tag' AS facet, value, count(*) AS n FROM t GROUP BY value ORDER BY n DESC, value LIMIT 20)
+     UNION ALL SELECT 'collection', collection, count(*) FROM l WHERE collection <> '' GROUP BY collection""")
+case("r06_catalog_copies", lambda v: upkeep.catalog_copies(v.spark, kept_up(v)), f"SELECT sha256, min(id) AS lowest, count(*) AS n FROM ({LATER}) l GROUP BY sha256 HAVING count(*) > 1")
+
+#: Each event is a poll of its user's value; errors are polls that the source doesn't answer, and every 50th is forced.
+POLLS = "SELECT CAST(user_id AS VARCHAR(20)) AS key, event_id AS seq, ts AS asked, event_type <> 'error' AS ok, value, event_id % 50 = 0 AS force FROM events"
+case("r04_live_answers", lambda v: j.live_answers(v.sql(POLLS).withColumnRenamed("asked", "at"), 3600, 14400).select("key", "seq", "state", "value", F.round("age", 3).alias("age")),
+     f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY asked, seq) AS n, epoch_us(asked) / 1e6 AS s FROM ({POLLS}) q),
+     a(key, n, seq, state, fetched, value, age) AS (
+       SELECT key, n, seq, CASE WHEN ok THEN 'fresh' ELSE 'error' END, CASE WHEN ok THEN s END, CASE WHEN ok THEN value END, CASE WHEN ok THEN 0.0e0 END FROM p WHERE n = 1
+       UNION ALL
+       SELECT key, n, seq, state, CASE WHEN state = 'fresh' THEN s ELSE fetched END, CASE WHEN state = 'fresh' THEN now ELSE value END, CASE state WHEN 'fresh' THEN 0.0e0 WHEN 'error' THEN NULL ELSE s - fetched END
+       FROM (SELECT p.key, p.n, p.seq, p.s, a.fetched, p.value AS now, a.value,
+                    CASE WHEN p.s - a.fetched < 3600 AND NOT p.force THEN 'cached' WHEN p.ok THEN 'fresh' WHEN p.s - a.fetched <= 14400 THEN 'stale' ELSE 'error' END AS state
+             FROM a JOIN p ON p.key = a.key AND p.n = a.n + 1) x)
+     SELECT key, seq, state, CASE WHEN state <> 'error' THEN value END AS value, round(age, 3) AS age FROM a""")
 
 
 def sql_functions(v):

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orewright.operators.ledger import undone_ids
@@ -77,6 +80,88 @@ def live_state(observations: DataFrame, polls: DataFrame, ttl: float, most: floa
     return rows.select("key", "at", F.when(age <= most, F.col("last.value")).alias("value"), state.alias("state"))
 
 
+def _answer(hit: tuple | None, poll, ttl: float, most: float | None) -> tuple:
+    """What is remembered after a poll (microseconds of the fetch, value), and the poll's answer."""
+    at = poll["us"]
+    if hit is not None and not poll["force"] and at - hit[0] < ttl * 1e6:
+        state = "cached"
+    elif poll["ok"]:
+        hit, state = (at, poll["value"]), "fresh"
+    else:
+        state = "stale" if hit is not None and (most is None or at - hit[0] <= most * 1e6) else "error"
+    return hit, {"seq": poll["seq"], "us": at, "state": state, "value": None if state == "error" else hit[1], "age": None if state == "error" else (at - hit[0]) / 1e6}
+
+
+class _Answers(StatefulProcessor):
+    """One key: when its value was fetched, and the value, until it's too old to be of use."""
+
+    def __init__(self, ttl: float, most: float | None):
+        self.ttl, self.most = ttl, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hit = handle.getValueState("hit", T.StructType([T.StructField("us", T.LongType()), T.StructField("value", T.DoubleType())]))
+
+    def _last_use(self, hit: tuple) -> int:
+        """The first millisecond at which a value is of no more use."""
+        return int(hit[0] / 1000 + max(self.most, self.ttl) * 1000) + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        hit = tuple(self.hit.get()) if self.hit.exists() else None
+        for poll in sorted(rows, key=lambda r: (r["us"], r["seq"])):
+            before, (hit, answer) = hit, _answer(hit, poll, self.ttl, self.most)
+            if hit != before:
+                self.hit.update(hit)
+                if self.most is not None:
+                    self.handle.registerTimer(self._last_use(hit))
+            yield Row(key=key[0], **answer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # a later fetch has a timer of its own
+        if self.hit.exists() and self._last_use(tuple(self.hit.get())) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.hit.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+_ANSWER = "key string, seq long, us long, state string, value double, age double"
+_ANSWER_ARROW = pa.schema([("key", pa.string()), ("seq", pa.int64()), ("us", pa.int64()), ("state", pa.string()), ("value", pa.float64()), ("age", pa.float64())])
+
+
+def live_answers(polls: DataFrame, ttl: float, most: float | None, late: str = "1 hour") -> DataFrame:
+    """``key, seq, at, state, value, age`` of each poll (``key, seq, at, ok, value, force``: what asking the source would give then, by ``at``, then ``seq``).
+
+    ``cached``: a value was fetched less than ``ttl`` seconds ago and the poll isn't forced, so the source isn't asked. Else ``fresh`` if it answers; if not, ``stale``
+    with the last value if that is at most ``most`` seconds old (None: of any age), else ``error`` without a value. On a stream this is keyed state that a timer
+    clears once the watermark (``late`` behind) passes the value's last use; it needs the RocksDB state store. On a table, rows of a key stream in order past one
+    remembered value, so a key with most of all rows costs time, not memory. Null keys are one key; rows without ``at`` are left out.
+    """
+    at = F.col("at").cast("timestamp")
+    rows = polls.where("at is not null").select(
+        F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), at.alias("at"), F.unix_micros(at).alias("us"), F.coalesce("ok", F.lit(False)).alias("ok"), F.col("value").cast("double").alias("value"), F.coalesce("force", F.lit(False)).alias("force")
+    )
+    if rows.isStreaming:
+        answers = rows.withWatermark("at", late).groupBy("key").transformWithState(_Answers(ttl, most), _ANSWER, "Append", "EventTime")
+    else:
+        first = F.col("key").asc_nulls_first()
+
+        def run(batches):
+            key, hit = (), None
+            for batch in batches:
+                out = []
+                for poll in batch.to_pylist():
+                    if key != (poll["key"],):
+                        key, hit = (poll["key"],), None
+                    hit, answer = _answer(hit, poll, ttl, most)
+                    out.append({"key": key[0], **answer})
+                yield pa.RecordBatch.from_pylist(out, schema=_ANSWER_ARROW)
+
+        answers = rows.drop("at").repartitionByRange(first).sortWithinPartitions(first, "us", "seq").mapInArrow(run, _ANSWER)
+    return answers.select("key", "seq", F.timestamp_micros("us").alias("at"), "state", "value", "age")
+
+
 def _earlier(spark, table: str, n: int) -> DataFrame | None:
     """Rows that batches before ``n`` have left in ``table``."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
@@ -86,10 +171,10 @@ def _earlier(spark, table: str, n: int) -> DataFrame | None:
 
 
 def journal_stream(lines: DataFrame, table: str):
-    """A query that keeps ``table`` (a path) at the journal's lines so far, each once by ``id``, the first time that it comes; :func:`journal_now` reads it."""
+    """A query that keeps ``table`` (a path) at the journal's lines so far, each once by ``id``, the first time that it comes, and all lines without one; :func:`journal_now` reads it."""
     def add(batch: DataFrame, n: int) -> None:
         known = _earlier(batch.sparkSession, table, n)
-        fresh = batch.dropDuplicates(["id"])
+        fresh = batch.where("id is not null").dropDuplicates(["id"]).unionAll(batch.where("id is null"))
         fresh = fresh if known is None else fresh.join(known.select("id"), "id", "left_anti").select(batch.columns)
         fresh.write.mode("overwrite").parquet(f"{table}/batch={n}")  # a batch that runs again replaces its own rows
 
@@ -100,18 +185,3 @@ def journal_now(spark, table: str) -> DataFrame:
     """The journal's lines so far, with ``undone`` for writes that a later successful undo names, whichever batch brought it."""
     rows = spark.read.parquet(table).drop("batch")
     return rows.join(undone_ids(rows).select("id", "undone_at"), "id", "left").withColumn("undone", (F.col("kind") == "write") & F.col("undone_at").isNotNull()).drop("undone_at")
-
-
-def catalog_stream(files: DataFrame, table: str):
-    """A query that keeps the known files of ``table`` (a path) by batches; :func:`catalog_now` has totals and copies from it."""
-    def add(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={n}")
-
-    return files.writeStream.foreachBatch(add)
-
-
-def catalog_now(spark, table: str) -> DataFrame:
-    """The last row of each ``rel_path`` over all batches."""
-    rows = spark.read.parquet(table)
-    last = Window.partitionBy("rel_path").orderBy(F.desc("batch"))
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "batch")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from orewright.cases import case
+from orewright.operators import clouds
 from orewright.operators import network as n
 from orewright.operators import polygons as poly
 from orewright.operators import spatial as s
@@ -93,9 +94,13 @@ case("j15_conflate_fill", lambda v: s.conflate_fill(v.sql(BASE), v.sql(EXTRA)),
      k AS (SELECT b, h, row_number() OVER (PARTITION BY b ORDER BY area DESC, e) AS k FROM o WHERE h IS NOT NULL) SELECT id, CASE WHEN estimated AND h IS NOT NULL THEN h ELSE height END AS height, estimated AND h IS NULL AS estimated, 'base' AS origin FROM ba LEFT JOIN k ON k.b = ba.id AND k.k = 1
      UNION ALL SELECT id, height, estimated, 'extra' FROM ex WHERE id NOT IN (SELECT e FROM u)""")
 CLOUD = "SELECT col * 25 + row AS id, col * 1.0e0 AS x, row * 1.0e0 AS y, z{0} AS z FROM cells WHERE z IS NOT NULL"
-case("j24_cloud_deviation", lambda v: s.cloud_deviation(v.sql(CLOUD.format("")), v.sql(CLOUD.format(" + CASE WHEN row = 3 AND col = 4 THEN 3.5e0 ELSE 0.1e0 END")), 0.5, 4.0),
-     f"""WITH a AS ({CLOUD.format("")}), b AS ({CLOUD.format(" + CASE WHEN row = 3 AND col = 4 THEN 3.5e0 ELSE 0.1e0 END")}), pr AS (SELECT a.id AS a, b.id AS b, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS d FROM a, range(-4, 5) i(i), range(-4, 5) j(j) JOIN b ON b.x = a.x + i.i AND b.y = a.y + j.j), n AS (SELECT 'a to b' AS way, a AS id, min(d) AS d FROM pr GROUP BY a UNION ALL SELECT 'b to a', b, min(d) FROM pr GROUP BY b)
-     SELECT way, count(*) AS n, round(max(d), 6) AS high, round(avg(d), 6) AS mean, round(sqrt(avg(d * d)), 6) AS rms, round(quantile_cont(d, 0.95), 6) AS p95, count_if(d > 0.5) AS "over" FROM n GROUP BY way""")
+OTHER_CLOUD = CLOUD.format(" + CASE WHEN row = 3 AND col = 4 THEN 30.5e0 ELSE 0.1e0 END")
+NEAREST = f"""a AS ({CLOUD.format("")}), b AS ({OTHER_CLOUD}), pr AS (SELECT a.id AS a, b.id AS b, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS d FROM a, b),
+ n AS (SELECT 'a to b' AS way, a AS id, min(struct_pack(d := d, b := b)) AS m FROM pr GROUP BY a UNION ALL SELECT 'b to a', b, min(struct_pack(d := d, b := a)) FROM pr GROUP BY b), near AS (SELECT way, id, m.d AS d, m.b AS nearest FROM n)"""
+case("j24_cloud_deviation", lambda v: clouds.cloud_deviation(v.sql(CLOUD.format("")), v.sql(OTHER_CLOUD), 0.5),
+     f"""WITH {NEAREST} SELECT way, count(*) AS n, round(max(d), 6) AS high, round(avg(d), 6) AS mean, round(sqrt(avg(d * d)), 6) AS rms, round(quantile_cont(d, 0.95), 6) AS p95, count_if(d > 0.5) AS "over", count_if(d > 0.5) / count(*) AS share FROM near GROUP BY way""")
+case("j24_worst_points", lambda v: clouds.worst_points(v.sql(CLOUD.format("")), v.sql(OTHER_CLOUD), 0.05),
+     f"""WITH {NEAREST} SELECT way, CAST(row_number() OVER (PARTITION BY way ORDER BY d DESC, id) AS INT) AS rank, id, nearest, round(d, 6) AS d FROM near WHERE d > 0.05 QUALIFY row_number() OVER (PARTITION BY way ORDER BY d DESC, id) <= 8""")
 LONLAT = "SELECT c_custkey AS id, -4.7e0 + (c_custkey % 101) * 0.001e0 AS lon, 41.6e0 + (c_custkey % 97) * 0.001e0 AS lat FROM customer"
 case("g11_project_local", lambda v: s.project_local(v.sql(LONLAT), -4.7, 41.6).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")),
      f"""WITH k AS (SELECT 6378137.0e0 AS a, (1 / 298.257223563e0) * (2 - 1 / 298.257223563e0) AS e2, sin(radians(41.6e0)) AS s) SELECT id, round(radians(lon + 4.7e0) * a / sqrt(1 - e2 * s * s) * cos(radians(41.6e0)), 4) AS x, round(radians(lat - 41.6e0) * a * (1 - e2) / power(1 - e2 * s * s, 1.5e0), 4) AS y FROM ({LONLAT}), k""")

@@ -251,20 +251,6 @@ def conflate_fill(base: DataFrame, extra: DataFrame, most: float = 1 / 3) -> Dat
     return kept.unionByName(extra.join(under, "id", "left_anti").select("id", "height", "estimated", F.lit("extra").alias("origin")))
 
 
-def cloud_deviation(a: DataFrame, b: DataFrame, tolerance: float, reach: float) -> DataFrame:
-    """For each way between two clouds (``id, x, y, z``), of the nearest points' distances: ``n``, ``high``, ``mean``, ``rms``, ``p95`` and how many are over the tolerance. Points, not surfaces; farther than ``reach`` counts as ``reach``."""
-    def one(p: DataFrame, q: DataFrame, name: str) -> DataFrame:
-        k = lambda c: F.floor(F.col(c) / reach)
-        left = p.select(F.col("id").alias("p"), *[F.col(c).alias(f"p{c}") for c in "xyz"], F.explode(F.array(*[F.struct((k("x") + i).alias("i"), (k("y") + j).alias("j"), (k("z") + m).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])).alias("c"))
-        right = q.select("x", "y", "z", F.struct(k("x").alias("i"), k("y").alias("j"), k("z").alias("k")).alias("c"))
-        d = F.sqrt((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2 + (F.col("pz") - F.col("z")) ** 2)
-        near = left.join(right, "c", "left").groupBy("p").agg(F.least(F.coalesce(F.min(d), F.lit(reach)), F.lit(reach)).alias("d"))
-        r = lambda c: F.round(c, 6)
-        return near.agg(F.count("*").alias("n"), r(F.max("d")).alias("high"), r(F.avg("d")).alias("mean"), r(F.sqrt(F.avg(F.col("d") * F.col("d")))).alias("rms"), r(F.percentile("d", F.lit(0.95))).alias("p95"), F.count_if(F.col("d") > tolerance).alias("over")).withColumn("way", F.lit(name))
-
-    return one(a, b, "a to b").unionByName(one(b, a, "b to a"))
-
-
 def project_local(points: DataFrame, lon0: float, lat0: float) -> DataFrame:
     """Adds ``x, y``: metres east and north of a point, by the ellipsoid's radii there."""
     import math

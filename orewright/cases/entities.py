@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from orewright.cases import case
 from orewright.operators import entities as e
 from orewright.operators import mentions as mn
+from orewright.operators import names
 
 MEMBERS = "SELECT DISTINCT concat(split_part(p_name, ' ', 1), ' ', split_part(p_name, ' ', 2)) AS name FROM part WHERE p_partkey % 3 = 0"
 NUMBERED = f"SELECT row_number() OVER (ORDER BY name) AS member, row_number() OVER (ORDER BY name) AS number, name FROM ({MEMBERS})"
@@ -16,7 +17,7 @@ MATCH = f"""m AS ({NUMBERED}), al AS (SELECT member, number % 6 AS k FROM m WHER
 
 
 def matched(v):
-    return e.match_names(v.sql(ITEMS), v.sql(NUMBERED), v.sql(ALIASES))
+    return names.match_names(v.sql(ITEMS), v.sql(NUMBERED), v.sql(ALIASES)).drop("candidates")
 
 
 case("j07_match_names", matched, f"WITH {MATCH} SELECT id, member, how FROM matched")

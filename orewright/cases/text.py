@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from orewright.cases import case
+from orewright.operators import names
 from orewright.operators import text as t
 from orewright.plans.shared import materialize
 
@@ -65,11 +66,13 @@ NEWER = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(text, chr(10), 'A n
 case("u02_diff_lines", lambda v: t.diff_lines(v.documents.select("doc_id", "text"), v.sql(NEWER), "doc_id").select("doc_id", "change", F.md5("line").alias("line")),
      rf"""WITH o AS (SELECT DISTINCT doc_id, trim(regexp_replace(l, '\s+', ' ', 'g')) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)), nn AS ({NEWER}), n AS (SELECT DISTINCT doc_id, trim(regexp_replace(l, '\s+', ' ', 'g')) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM nn)),
      a AS (SELECT * FROM n EXCEPT SELECT * FROM o), r AS (SELECT * FROM o EXCEPT SELECT * FROM n) SELECT doc_id, 'added' AS change, md5(line) AS line FROM a WHERE line <> '' UNION ALL SELECT doc_id, 'removed', md5(line) FROM r WHERE line <> ''""")
-DICTIONARY = "SELECT * FROM (VALUES (1, 'The'), (2, 'of the'), (3, 'the of the'), (4, 'Apache License'), (5, 'license'), (6, 'de la')) AS x(entity, name)"
-case("t12_mention_counts", lambda v: t.mention_counts(v.documents, v.sql(DICTIONARY), "doc_id"),
-     f"""WITH w AS (SELECT doc_id AS doc, {WORDS} AS w FROM documents), g AS (SELECT doc, w, unnest(range(1, len(w) + 1)) AS pos FROM w), s AS (SELECT doc, pos, n, array_to_string(w[pos:pos + n - 1], ' ') AS name FROM g, (VALUES (1), (2), (3)) AS k(n) WHERE pos + n - 1 <= len(w)),
-     d(entity, name) AS (VALUES (1, 'the'), (2, 'of the'), (3, 'the of the'), (4, 'apache license'), (5, 'license'), (6, 'de la')), f AS (SELECT * FROM s JOIN d USING (name))
-     SELECT entity, count(DISTINCT doc) AS docs FROM f WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.doc = f.doc AND o.n > f.n AND o.pos <= f.pos AND f.pos + f.n <= o.pos + o.n) GROUP BY entity""")
+NAMES = "(1, 'The'), (2, 'of the'), (3, 'the of the'), (4, 'Apache License'), (5, 'license'), (6, 'de la'), (7, 'Licensed under the Apache License Version 2.0'), (4, 'the apache'), (8, 'under the')"
+DICTIONARY = f"SELECT * FROM (VALUES {NAMES}) AS x(entity, name)"
+MENTIONS = rf"""w AS (SELECT doc_id AS doc, source, {WORDS} AS w FROM documents), d AS (SELECT entity, regexp_extract_all(lower(name), '[\p{{L}}\p{{N}}]+') AS k FROM (VALUES {NAMES}) AS x(entity, name)), g AS (SELECT doc, source, w, unnest(range(1, len(w) + 1)) AS pos FROM w),
+     f AS (SELECT doc, source, entity, pos, len(k) AS n FROM g JOIN d ON g.w[pos] = d.k[1] AND g.w[pos:pos + len(k) - 1] = d.k),
+     one AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc, entity ORDER BY pos, n DESC) = 1), m AS (SELECT * FROM one f WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.doc = f.doc AND o.n > f.n AND o.pos <= f.pos AND f.pos + f.n <= o.pos + o.n))"""
+case("t12_mention_counts", lambda v: names.mention_counts(v.documents, v.sql(DICTIONARY), "doc_id", by=("source",)), f"WITH {MENTIONS} SELECT entity, source, count(DISTINCT doc) AS docs FROM m GROUP BY entity, source")
+case("t12_find_mentions", lambda v: names.find_mentions(v.documents, v.sql(DICTIONARY), "doc_id"), f"WITH {MENTIONS} SELECT doc, entity, pos - 1 AS at_, n FROM m".replace("at_", '"at"'))
 case("t14_page_quality", lambda v: t.page_quality(v.documents).select("doc_id", "words", "short_lines", "quality"),
      r"""WITH d AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents), s AS (SELECT doc_id, words, CASE WHEN len(ls) > 0 THEN round(len(list_filter(ls, lambda x: len(regexp_split_to_array(trim(x), '\s+')) < 5)) / len(ls), 6) ELSE 0.0e0 END AS short_lines FROM d)
      SELECT doc_id, words, short_lines, CASE WHEN words < 40 THEN 'too short' WHEN short_lines >= 0.6e0 THEN 'mostly navigation' ELSE 'ok' END AS quality FROM s""")

@@ -188,22 +188,6 @@ def diff_lines(old: DataFrame, new: DataFrame, key: str, text: str = "text") ->
     return b.join(a, [key, "line"], "left_anti").select(key, F.lit("added").alias("change"), "line").unionAll(a.join(b, [key, "line"], "left_anti").select(key, F.lit("removed").alias("change"), "line"))
 
 
-def mention_counts(docs: DataFrame, dictionary: DataFrame, doc_id: str, text: str = "text", longest: int = 3) -> DataFrame:
-    """``entity, docs``: documents that name each entity (``entity, name``); a mention inside a longer one, of any entity, doesn't count. The dictionary is small."""
-    words = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(text)).alias("w"))
-
-    def grams_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("name")))
-
-    grams = [F.when(F.size("w") >= n, grams_of(n)) for n in range(1, longest + 1)]
-    spans = words.select("doc", F.explode(F.flatten(F.array_compact(F.array(*grams)))).alias("g")).select("doc", "g.*")
-    names = dictionary.select("entity", F.array_join(tokens(F.col("name")), " ").alias("name"))
-    found = spans.join(names, "name")
-    longer = found.select(F.col("doc").alias("d"), F.col("at").alias("a"), F.col("n").alias("m"))
-    inside = (F.col("doc") == F.col("d")) & (F.col("m") > F.col("n")) & (F.col("a") <= F.col("at")) & (F.col("at") + F.col("n") <= F.col("a") + F.col("m"))
-    return found.join(longer, inside, "left_anti").groupBy("entity").agg(F.count_distinct("doc").alias("docs"))
-
-
 def page_quality(texts: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``words``, ``short_lines`` (share of lines under five words) and ``quality``: ``too short`` (under 40 words), ``mostly navigation`` (three fifths of the lines or more are short) or ``ok``."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")

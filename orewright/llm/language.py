@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -24,7 +23,6 @@ FAMILIES = {
     "slavic": ("ru", "uk", "bg", "pl", "cs", "sk", "sr", "hr", "sl"),
 }
 DIMS = 4096
-_LETTER = re.compile(r"[^\W\d_]")
 _CODE = np.array([b - 96 if 97 <= b <= 122 else b - 101 if b > 127 else 0 for b in range(256)], np.int64)
 
 
@@ -141,12 +139,12 @@ def train_language(docs: DataFrame, rows_per_language: int = 800, most_languages
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``lang_pred string`` and ``score double`` (0 to 1). Texts that are null or have no letter, and all texts where nothing was learnt, are ``und`` with score 0."""
+    """Adds ``lang_pred string`` and ``score double`` (0 to 1). Texts that are null or have no letter (of a Unicode category L), and all texts where nothing was learnt, are ``und`` with score 0."""
 
     def run(batch):
         for part in slices(batch, text, 1_000_000, 256):
             texts = part.column(text)
-            there = np.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], bool)
+            there = np.array([any(map(str.isalpha, t or "")) for t in texts.to_pylist()], bool)
             lang, score = model.predict(trigrams(texts)) if model.families else (np.full(len(part), "und", object), np.zeros(len(part)))
             lang[~there], score[~there] = "und", 0.0
             yield part, {"lang_pred": pa.array(list(lang), pa.string()), "score": pa.array(score.astype(float))}

@@ -256,6 +256,23 @@ def test_language_held_out_and_odd_rows(spark, docs, none):
     assert len(held) > 30 and np.mean([rows[i]["lang_pred"] == ("en", "de", "fr", "es")[i % 4] for i in held]) > 0.97
     for r in language.predict_language(docs, model).collect():
         assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) and 0 <= r["score"] <= 1
+    marks = docs.sparkSession.createDataFrame([(i, t) for i, t in enumerate(["½ ² Ⅷ", "①", "_ 5", "ª", "ß", "٣"])], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in sorted(language.predict_language(marks, model).collect(), key=lambda r: r["doc_id"])] == [True, True, True, False, False, True]
+    # votes, one text at a time and one machine at a time
+    texts = [r["text"] for r in table.limit(40).collect()]
+    for text, lang in zip(texts, model.predict(language.trigrams(pa.array(texts)))[0], strict=True):
+        x = np.append(language.trigrams(pa.array([text]))[0], 1)
+
+        def winner(names, machines, x=x):
+            won = {n: [0, 0.0] for n in names}
+            for a, b in [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]:
+                m = float(x @ machines[a, b])
+                won[a if m >= 0 else b][0] += 1
+                won[a][1] += math.tanh(m)
+                won[b][1] -= math.tanh(m)
+            return max(names, key=lambda n: (won[n][0], won[n][1]))
+
+        assert lang == winner(model.families[winner(sorted(model.families), model.between)], model.within)
     assert language.predict_language(none, model).count() == 0
     assert {r["lang_pred"] for r in language.predict_language(docs, language.train_language(none)).collect()} == {"und"}
 

@@ -47,9 +47,10 @@ LINKS = "SELECT page_id AS id, url, CASE page_id % 3 WHEN 0 THEN concat('https:/
 case("t18_clean_links", lambda v: e.clean_links(v.sql(LINKS), "link").select("id", "clean", "changed"),
      f"SELECT id, CASE id % 3 WHEN 0 THEN concat('https://shop.example.org/p', id) WHEN 1 THEN concat('https://deep.example.org/', id) ELSE url END AS clean, id % 3 < 2 AS changed FROM ({LINKS})")
 EAN = "SELECT o_orderkey AS id, concat('40063813', lpad(CAST(o_orderkey % 10000 AS VARCHAR(9)), 4, '0'), CAST(o_custkey % 10 AS VARCHAR(9))) AS code FROM orders"
-case("t21_id_validity", lambda v: e.id_validity(v.sql(EAN), "code", "ean13").unionAll(e.id_validity(v.sql("SELECT concat(lpad(CAST(12345678 + o_orderkey AS VARCHAR(9)), 8, '0'), substring('TRWAGMYFPDXBNJZSQVHLCKE', CAST(1 + o_custkey % 23 AS INT), 1)) AS c FROM orders"), "c", "dni")).unionAll(e.id_validity(v.sql("SELECT concat('ES', lpad(CAST(o_custkey % 98 AS VARCHAR(9)), 2, '0'), '2100041845020005', lpad(CAST(o_orderkey % 10000 AS VARCHAR(9)), 4, '0')) AS c FROM orders"), "c", "iban")),
+DNIS = "SELECT CASE o_orderkey % 3 WHEN 0 THEN concat(lpad(CAST(12345678 + o_orderkey AS VARCHAR(9)), 8, '0'), l) WHEN 1 THEN concat('12.', substring(CAST(1000000 + (345678 + o_orderkey) AS VARCHAR(9)), 2, 3), '.', substring(CAST(1000000 + (345678 + o_orderkey) AS VARCHAR(9)), 5, 3), '-', lower(l)) ELSE concat(CAST(2345678 + o_orderkey AS VARCHAR(9)), ' ', l) END AS c FROM (SELECT o_orderkey, substring('TRWAGMYFPDXBNJZSQVHLCKE', CAST(1 + o_custkey % 23 AS INT), 1) AS l FROM orders) o"
+case("t21_id_validity", lambda v: e.id_validity(v.sql(EAN), "code", "ean13").unionAll(e.id_validity(v.sql(DNIS), "c", "dni")).unionAll(e.id_validity(v.sql("SELECT concat(CASE WHEN o_orderkey % 4 = 3 THEN 'FR' ELSE 'es' END, lpad(CAST(o_custkey % 98 AS VARCHAR(9)), 2, '0'), ' 2100-0418 4502 0005 ', lpad(CAST(o_orderkey % 10000 AS VARCHAR(9)), 4, '0')) AS c FROM orders"), "c", "iban")),
      f"""WITH x AS (SELECT code, list_transform(range(1, 14), lambda i: CAST(substr(code, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END) AS d FROM ({EAN})) SELECT 'ean13' AS kind, count(*) AS n, count_if(list_sum(d) % 10 = 0) AS valid FROM x
-     UNION ALL SELECT 'dni', count(*), count_if((12345678 + o_orderkey) % 23 = o_custkey % 23) FROM orders UNION ALL SELECT 'iban', count(*), count_if(CAST(concat('2100041845020005', lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0'), '1428', lpad(CAST(o_custkey % 98 AS VARCHAR), 2, '0')) AS HUGEINT) % 97 = 1) FROM orders""")
+     UNION ALL SELECT 'dni', count(*), count_if((CASE WHEN o_orderkey % 3 = 2 THEN 2345678 ELSE 12345678 END + o_orderkey) % 23 = o_custkey % 23) FROM orders UNION ALL SELECT 'iban', count(*), count_if(CAST(concat('2100041845020005', lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0'), '1428', lpad(CAST(o_custkey % 98 AS VARCHAR), 2, '0')) AS HUGEINT) % 97 = 1 AND o_orderkey % 4 <> 3) FROM orders""")
 NIES = "SELECT o_orderkey AS k, o_custkey % 23 AS r, concat(substring('XYZ', CAST(1 + o_orderkey % 3 AS INT), 1), '-', lpad(CAST(o_orderkey AS VARCHAR(9)), 7, '0'), '-', substring('TRWAGMYFPDXBNJZSQVHLCKE', CAST(1 + o_custkey % 23 AS INT), 1)) AS c FROM orders"
 CIFS = "SELECT o_orderkey AS k, o_custkey % 10 AS r, lpad(CAST(o_orderkey * 37 AS VARCHAR(9)), 7, '0') AS body, substring('BPC', CAST(1 + o_orderkey % 3 AS INT), 1) AS kind, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey % 10 AS VARCHAR(9)) ELSE substring('JABCDEFGHI', CAST(1 + o_custkey % 10 AS INT), 1) END AS control FROM orders"
 ISBNS = "SELECT concat('03064', lpad(CAST(o_orderkey % 10000 AS VARCHAR(9)), 4, '0')) AS body, o_custkey % 11 AS r FROM orders"
@@ -119,9 +120,12 @@ case("a15_price_shapes", lambda v: mn.price_totals(v.sql(SHAPES), "id", "text"),
      SELECT doc, currency, CAST(1 AS BIGINT) AS n, c AS low, c AS high, c AS total, CASE WHEN t THEN c ELSE 0 END AS labelled FROM c""")
 case("a16_date_shapes", lambda v: mn.date_mentions(v.sql(SHAPES), "id", "text", TODAY),
      f"""WITH s AS ({SHAPES}) SELECT id AS doc, CASE shape WHEN 0 THEN 'issued' WHEN 1 THEN 'due' WHEN 2 THEN 'expires' WHEN 3 THEN 'delivery' WHEN 4 THEN 'issued' ELSE 'other' END AS role, CAST(1 AS BIGINT) AS n, x AS first, x AS last FROM (SELECT *, CASE shape WHEN 0 THEN make_date(2023, 10, d) WHEN 1 THEN make_date(2024, 3, d) WHEN 2 THEN make_date(2025, 4, d) WHEN 3 THEN make_date(2024, 11, d) WHEN 4 THEN make_date(2023, 12, d) ELSE make_date(2024, 6, d) END AS x FROM s)""")
-TAGS = "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN map('height', concat(CAST(p_size AS STRING), ' m')) WHEN 1 THEN map('height', concat(CAST(p_size AS STRING), ' ft'), 'roof:shape', 'gabled') WHEN 2 THEN map('building:levels', CAST(p_size AS STRING)) ELSE map('building', CASE WHEN p_size % 2 = 0 THEN 'church' ELSE 'shed' END) END AS tags FROM {part}"
+TAGS = """SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN map('height', concat(CAST(p_size AS STRING), ',5 m'), 'min_height', '3') WHEN 1 THEN map('height', concat(CAST(p_size AS STRING), ' ft'), 'roof:shape', 'Gabled', 'roof:levels', '2') WHEN 2 THEN map('building:levels', CAST(p_size AS STRING), 'roof:levels', '1', 'building:min_level', '2', 'roof:orientation', 'across')
+ WHEN 3 THEN map('height', 'tall', 'building', CASE WHEN p_size % 2 = 0 THEN 'church' ELSE 'shed' END, 'roof:shape', 'half_hipped') WHEN 4 THEN map('building:height', concat(CAST(p_size AS STRING), '; 4'), 'roof:shape', 'sawtooth', 'roof:height', '2.5m') ELSE map('building', 'yes', 'roof:shape', 'spire') END AS tags FROM {part}"""
 case("p12_building_attributes", lambda v: e.building_attributes(v.spark.sql(TAGS, part=v.part)),
-     "SELECT p_partkey AS id, round(greatest(2, least(900, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size * 0.3048e0 WHEN 2 THEN p_size * 3.0e0 ELSE CASE WHEN p_size % 2 = 0 THEN 15 ELSE 3 END END)), 4) AS height, p_partkey % 4 >= 2 AS estimated, CASE WHEN p_partkey % 4 = 1 THEN 'gabled' ELSE 'flat' END AS roof FROM part")
+     """WITH h AS (SELECT p_partkey AS id, p_partkey % 6 AS k, CAST(greatest(2, least(900, CASE p_partkey % 6 WHEN 0 THEN p_size + 0.5e0 WHEN 1 THEN p_size * 0.3048e0 WHEN 2 THEN (p_size + 0.5e0) * 3.1e0 + 1 WHEN 3 THEN CASE WHEN p_size % 2 = 0 THEN 18 ELSE 3 END WHEN 4 THEN p_size ELSE 7 END)) AS DOUBLE) AS h FROM part)
+     SELECT id, round(h, 4) AS height, round(greatest(0, least(CASE k WHEN 0 THEN 3 WHEN 2 THEN 6.2e0 ELSE 0 END, h - 1)), 4) AS min_height, k IN (3, 5) AS estimated, CASE k WHEN 1 THEN 'gabled' WHEN 3 THEN 'half-hipped' WHEN 4 THEN 'gabled' WHEN 5 THEN 'cone' ELSE '' END AS roof,
+     CASE k WHEN 1 THEN 6.2e0 WHEN 2 THEN 3.1e0 WHEN 4 THEN 2.5e0 END AS roof_height, k = 2 AS across FROM h""")
 CORNERS = [(x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1)]
 QUADS = [(0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3)]
 TRIANGLES = [(q[0], q[1], q[2]) for q in QUADS] + [(q[0], q[2], q[3]) for q in QUADS]

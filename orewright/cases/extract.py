@@ -19,12 +19,12 @@ case("a13_pii_census", lambda v: x.pii_census(v.sql(PLANTED.replace("doc_id, '@m
 case("p11_mask_columns", lambda v: x.mask_columns(v.documents.select("doc_id", "text", F.array("source", F.lit("x@y.org")).alias("more")), ("email",)).select("doc_id", F.md5("text").alias("text"), F.array_join("more", "|").alias("more")),
      r"SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)+', '<email>', 'g')) AS text, concat(source, '|<email>') AS more FROM documents")
 #: Captions that grow, repeat and change; two thirds of an event's cues say what one before them said.
-ROLLING = "SELECT user_id AS file, event_id AS n, event_id * 1.0e0 AS start, event_id + 1.5e0 AS end_, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN concat(event_type, '  more ', CAST(event_id % 2 AS VARCHAR(9))) ELSE '' END AS text FROM events"
+ROLLING = "SELECT user_id AS file, event_id AS n, event_id * 1.0e0 AS start, event_id + 1.5e0 AS end_, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN concat(event_type, CASE WHEN event_id % 5 = 0 THEN 's' ELSE '  more ' END, CAST(event_id % 2 AS VARCHAR(9))) ELSE '' END AS text FROM events"
 case("w10_dedupe_rolling", lambda v: x.dedupe_rolling(v.sql(ROLLING).withColumnRenamed("end_", "end")),
      f"""WITH c AS (SELECT file, list({{'n': n, 'text': regexp_replace(text, '\\s+', ' ', 'g'), 'e': end_, 'kept': CAST([] AS STRUCT(n BIGINT, text VARCHAR, e DOUBLE)[])}} ORDER BY n) AS l FROM ({ROLLING}) GROUP BY file),
      r AS (SELECT file, list_reduce(l, lambda s, x: {{'n': x.n, 'text': x.text, 'e': x.e, 'kept': CASE
        WHEN len(list_filter(s.kept[-3:], lambda k: k.text = x.text)) > 0 THEN list_transform(s.kept, lambda k, i: {{'n': k.n, 'text': k.text, 'e': CASE WHEN k.text = x.text AND i > len(s.kept) - 3 THEN greatest(k.e, x.e) ELSE k.e END}})
-       WHEN len(s.kept) > 0 AND starts_with(x.text, s.kept[-1].text) THEN list_append(s.kept[:-2], {{'n': s.kept[-1].n, 'text': x.text, 'e': x.e}})
+       WHEN len(s.kept) > 0 AND starts_with(x.text, s.kept[-1].text || ' ') THEN list_append(s.kept[:-2], {{'n': s.kept[-1].n, 'text': x.text, 'e': x.e}})
        WHEN x.text <> '' THEN list_append(s.kept, {{'n': x.n, 'text': x.text, 'e': x.e}}) ELSE s.kept END}}, {{'n': CAST(0 AS BIGINT), 'text': '', 'e': 0.0e0, 'kept': CAST([] AS STRUCT(n BIGINT, text VARCHAR, e DOUBLE)[])}}).kept AS kept FROM c),
      u AS (SELECT file, unnest(kept) AS k FROM r) SELECT file, k.n AS n, k.text AS text, k.e AS "end" FROM u""")
 OTHERS = "SELECT id, x0, y0, x1, y1, id % 6 = 0 AS special FROM parcels WHERE id % 2 = 0"

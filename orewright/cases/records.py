@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from orewright.cases import case
+from orewright.operators import amounts as am
 from orewright.operators import ledger as g
 from orewright.operators import listings as ls
 
@@ -64,5 +65,11 @@ case("a17_settle_groups", lambda v: g.settle_groups(g.net_balances(v.tx)),
 case("w09_allocate_cents", lambda v: g.allocate_cents(v.sql("SELECT l_orderkey AS o, l_linenumber AS n, CAST(1001 + l_orderkey % 97 AS BIGINT) AS total, CAST(l_quantity AS BIGINT) AS w FROM lineitem"), "o", "total", "w", ["n", "w"]),
      """WITH x AS (SELECT l_orderkey AS o, l_linenumber AS n, CAST(1001 + l_orderkey % 97 AS BIGINT) AS total, CAST(l_quantity AS BIGINT) AS w FROM lineitem), y AS (SELECT *, total * w // CAST(sum(w) OVER (PARTITION BY o) AS BIGINT) AS whole, total * w % CAST(sum(w) OVER (PARTITION BY o) AS BIGINT) AS rest FROM x),
      z AS (SELECT *, total - CAST(sum(whole) OVER (PARTITION BY o) AS BIGINT) AS remaining, row_number() OVER (PARTITION BY o ORDER BY rest DESC, n, w) AS k FROM y) SELECT o, n, total, w, whole + CASE WHEN k <= remaining THEN 1 ELSE 0 END AS share FROM z""")
-AMOUNTS = "SELECT o_orderkey AS id, o_custkey % 10 AS grp, CASE WHEN o_custkey % 10 < 5 THEN concat(CAST(o_orderkey % 900 AS VARCHAR(9)), '.000,', CAST(10 + o_orderkey % 90 AS VARCHAR(9)), ' EUR') ELSE concat('$', CAST(o_orderkey % 900 AS VARCHAR(9)), ',000.', CAST(10 + o_orderkey % 90 AS VARCHAR(9))) END AS amount FROM orders"
-case("t22_parse_amounts", lambda v: g.parse_amounts(v.sql(AMOUNTS), "amount", "grp").select("id", "cents"), "SELECT o_orderkey AS id, o_orderkey % 900 * 100000 + 10 + o_orderkey % 90 AS cents FROM orders")
+#: Groups by their last digit: 0 to 2 vote for the comma, 3 to 5 for the point, 6 and 7 don't vote (one has a currency with a point), 8 and 9 hold signs and what is no amount.
+AMOUNTS = """SELECT o_orderkey AS id, o_custkey % 10 AS grp, CASE WHEN o_custkey % 10 < 3 THEN concat(w, '.000,', t, ' EUR') WHEN o_custkey % 10 < 6 THEN concat('$', w, ',000.', t) WHEN o_custkey % 10 = 6 THEN concat(w, '.', h, ' €') WHEN o_custkey % 10 = 7 THEN concat('US$ ', w, '.', h)
+ ELSE CASE o_orderkey % 8 WHEN 0 THEN concat('(', w, ',', t, ')') WHEN 1 THEN concat('−', w, ',', t) WHEN 2 THEN concat(w, ',', t, '-') WHEN 3 THEN concat('about ', w) WHEN 4 THEN concat('- ', w, ' euros') WHEN 5 THEN concat(w, '.000.000') WHEN 6 THEN concat(w, ',00,', t) ELSE concat('+', w, ',5 ', chr(8364)) END END AS amount
+ FROM (SELECT o_orderkey, o_custkey, CAST(1 + o_orderkey % 899 AS VARCHAR(9)) AS w, CAST(10 + o_orderkey % 90 AS VARCHAR(9)) AS t, CAST(100 + o_orderkey % 900 AS VARCHAR(9)) AS h FROM orders) o"""
+case("t22_parse_amounts", lambda v: am.parse_amounts(v.sql(AMOUNTS.replace("chr(8364)", "'€'")), "amount", "grp").select("id", "cents"),
+     """SELECT o_orderkey AS id, CAST(CASE WHEN g < 6 THEN w * 100000 + t WHEN g = 6 THEN (w * 1000 + h) * 100 WHEN g = 7 THEN w * 100 + CAST(floor(h / 10.0e0 + 0.5e0) AS BIGINT)
+     ELSE CASE o_orderkey % 8 WHEN 0 THEN -w * 100 - t WHEN 1 THEN -w * 100 - t WHEN 2 THEN -w * 100 - t WHEN 3 THEN NULL WHEN 4 THEN -w * 100 WHEN 5 THEN w * 100000000 WHEN 6 THEN NULL ELSE w * 100 + 50 END END AS BIGINT) AS cents
+     FROM (SELECT o_orderkey, o_custkey % 10 AS g, 1 + o_orderkey % 899 AS w, 10 + o_orderkey % 90 AS t, 100 + o_orderkey % 900 AS h FROM orders)""")

@@ -73,11 +73,23 @@ MENTIONS = rf"""w AS (SELECT doc_id AS doc, source, {WORDS} AS w FROM documents)
      one AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc, entity ORDER BY pos, n DESC) = 1), m AS (SELECT * FROM one f WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.doc = f.doc AND o.n > f.n AND o.pos <= f.pos AND f.pos + f.n <= o.pos + o.n))"""
 case("t12_mention_counts", lambda v: names.mention_counts(v.documents, v.sql(DICTIONARY), "doc_id", by=("source",)), f"WITH {MENTIONS} SELECT entity, source, count(DISTINCT doc) AS docs FROM m GROUP BY entity, source")
 case("t12_find_mentions", lambda v: names.find_mentions(v.documents, v.sql(DICTIONARY), "doc_id"), f"WITH {MENTIONS} SELECT doc, entity, pos - 1 AS at_, n FROM m".replace("at_", '"at"'))
-case("t14_page_quality", lambda v: t.page_quality(v.documents).select("doc_id", "words", "short_lines", "quality"),
-     r"""WITH d AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents), s AS (SELECT doc_id, words, CASE WHEN len(ls) > 0 THEN round(len(list_filter(ls, lambda x: len(regexp_split_to_array(trim(x), '\s+')) < 5)) / len(ls), 6) ELSE 0.0e0 END AS short_lines FROM d)
-     SELECT doc_id, words, short_lines, CASE WHEN words < 40 THEN 'too short' WHEN short_lines >= 0.6e0 THEN 'mostly navigation' ELSE 'ok' END AS quality FROM s""")
-case("a18_content_groups", lambda v: t.content_groups(v.pages, "page_id", "html"),
-     r"""SELECT sha256(trim(regexp_replace(regexp_replace(regexp_replace(lower(html), '\d+', '#', 'g'), '[^a-zà-ÿ# \n\t]', '', 'g'), '\s+', ' ', 'g'))) AS digest, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1""")
+#: Documents, and every third as a menu, a blocked page or lines of two words.
+LOOKS = """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN concat('Please Enable JavaScript', chr(10), substring(text, 1, 300)) WHEN 3 THEN concat('Home', chr(10), 'Your Cart', chr(10), 'Help', chr(10), repeat(concat('Shipping and Returns', chr(10)), 20))
+ WHEN 6 THEN repeat(concat('two words', chr(10)), CAST(doc_id % 300 AS INT)) ELSE text END AS text FROM documents"""
+case("t14_page_quality", lambda v: t.page_quality(v.sql(LOOKS)).select("doc_id", "words", "short_lines", "chrome", "quality"),
+     rf"""WITH x AS ({LOOKS}), d AS (SELECT doc_id, text, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '') AS ls FROM x),
+     s AS (SELECT *, CASE WHEN len(ls) > 0 THEN round(len(list_filter(ls, lambda x: len(regexp_extract_all(x, '\S+')) <= 3)) / len(ls), 6) ELSE 0.0e0 END AS short_lines, list_transform(ls, lambda x: regexp_extract_all(lower(x), '[\p{{L}}\p{{Nl}}\p{{No}}]+')) AS ws FROM d),
+     m AS (SELECT *, CASE WHEN len(flatten(ws)) > 0 THEN round(len(flatten(list_filter(ws, lambda w: len(w) <= 4 AND list_has_any(w, string_split('{' '.join(t.MENU_WORDS)}', ' '))))) / len(flatten(ws)), 6) ELSE 1.0e0 END AS chrome FROM s)
+     SELECT doc_id, words, short_lines, chrome, CASE WHEN words < 150 AND regexp_matches(lower(substr(text, 1, 800)), '{'|'.join(t.BLOCK_PHRASES)}') THEN 'blocked page' WHEN words < 40 THEN 'too short' WHEN short_lines > 0.85e0 AND words < 400 OR chrome >= 0.6e0 THEN 'mostly navigation' ELSE 'ok' END AS quality FROM m""")
+#: Texts that differ in what passes by itself, in a price, or in a letter of another script.
+PASSING = """SELECT page_id, concat(CASE page_id % 3 WHEN 0 THEN 'Price  10 EUR' WHEN 1 THEN 'Price 99 EUR' ELSE 'Цена 10' END, chr(10), CASE page_id % 7 WHEN 0 THEN 'Updated 3 mins ago' WHEN 1 THEN concat('© ', CAST(page_id AS VARCHAR(9))) WHEN 2 THEN 'Last updated: just now' ELSE 'HOY ES lunes' END, chr(10),
+ 'seen at ', CAST(10 + page_id % 10 AS VARCHAR(9)), ':30 pm, 2024-01-0', CAST(1 + page_id % 9 AS VARCHAR(9)), 'T10:00:00Z or hace ', CAST(page_id % 50 AS VARCHAR(9)), ' minutos as ', md5(CAST(page_id AS VARCHAR(9))), chr(10), split_part(url, '/', 3)) AS text FROM pages"""
+case("a18_content_groups", lambda v: t.content_groups(v.sql(PASSING), "page_id", "text"),
+     """SELECT sha256(lower(concat(CASE page_id % 3 WHEN 0 THEN 'price 10 eur' WHEN 1 THEN 'price 99 eur' ELSE 'цена 10' END, chr(10), 'seen at , or as', chr(10), trim(regexp_replace(split_part(url, '/', 3), '\\s+', ' ', 'g'))))) AS digest, count(*) AS n, min(page_id) AS first FROM pages GROUP BY 1""")
+case("a18_raw_pages", lambda v: t.content_groups(v.pages.select("page_id", F.regexp_replace("html", r"[^\p{L}\n ]+", " ").alias("text")), "page_id", "text"),
+     r"""WITH l AS (SELECT page_id, unnest(string_split(lower(regexp_replace(html, '[^\p{L}\n ]+', ' ', 'g')), chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS pos FROM pages),
+     k AS (SELECT page_id, pos, trim(regexp_replace(regexp_replace(regexp_replace(line, '\s+', ' ', 'g'), '^ | $', '', 'g'), '\b[0-9a-f]{16,}\b', ' ', 'g')) AS line FROM l)
+     SELECT sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE line <> '' AND NOT regexp_matches(line, '^(copyright\b|hoy es\b)')), '')) AS digest, count(*) AS n, min(page_id) AS first FROM k GROUP BY page_id""".replace("GROUP BY page_id", "GROUP BY page_id").replace("SELECT sha256", "SELECT digest, count(*) AS n, min(first) AS first FROM (SELECT sha256").replace("AS digest, count(*) AS n, min(page_id) AS first FROM k GROUP BY page_id", "AS digest, page_id AS first FROM k GROUP BY page_id) GROUP BY digest"))
 MESSY = "SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat(url, '#frag') WHEN 1 THEN replace(url, '://', '://user:pw@') WHEN 2 THEN replace(url, 'http://', 'HTTP://') WHEN 3 THEN replace(replace(url, 'http://', ''), 'https://', '') WHEN 4 THEN concat(replace(split_part(url, '?', 1), '#top', ''), '?b=2&utm_medium=x&a=1&gclid=9') ELSE url END AS url FROM pages"
 CLEAN = r"""m AS (MESSY), a AS (SELECT page_id, regexp_replace(CASE WHEN contains(url, '://') THEN url ELSE concat('https://', url) END, '#.*$', '') AS u FROM m), b AS (SELECT page_id, lower(split_part(u, '://', 1)) AS scheme, regexp_replace(split_part(split_part(u, '://', 2), '/', 1), '^.*@', '') AS host,
  regexp_replace(regexp_replace(split_part(substr(u, strpos(u, '://') + 3), '?', 1), '^[^/]*', ''), '/+$', '') AS path, list_sort(list_filter(string_split(split_part(u, '?', 2), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_') AND NOT starts_with(p, 'gclid='))) AS params FROM a),

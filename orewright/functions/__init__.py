@@ -9,21 +9,18 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orewright.operators.amounts import cents_sql, quoted
 from orewright.operators.extract import cut_points, mask_string, scan_pii
 from orewright.operators.mentions import find_dates, find_prices
-from orewright.operators.text import ACCENTED, HOSTLIKE, PLAIN, TRACKING_PARAMS, TRACKING_PREFIXES, URL_PARTS
-
-
-def _quote(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+from orewright.operators.text import ACCENTED, HOSTLIKE, PLAIN, TRACKING_PARAMS, TRACKING_PREFIXES, URL_PARTS, steady_sql
 
 
 def _url_key(u: str) -> str:
     """The SQL of :func:`orewright.operators.text.url_key` for the expression ``u``."""
-    names = ", ".join(_quote(x) for x in TRACKING_PARAMS)
+    names = ", ".join(quoted(x) for x in TRACKING_PARAMS)
     bare = f"trim({u})"
-    bare = f"CASE WHEN startswith({bare}, '//') THEN concat('https:', {bare}) WHEN NOT contains({bare}, '://') AND rlike({bare}, {_quote(HOSTLIKE)}) THEN concat('https://', {bare}) ELSE {bare} END"
-    part = lambda n: f"regexp_extract(b, {_quote(URL_PARTS)}, {n})"
+    bare = f"CASE WHEN startswith({bare}, '//') THEN concat('https:', {bare}) WHEN NOT contains({bare}, '://') AND rlike({bare}, {quoted(HOSTLIKE)}) THEN concat('https://', {bare}) ELSE {bare} END"
+    part = lambda n: f"regexp_extract(b, {quoted(URL_PARTS)}, {n})"
     host = f"regexp_replace(lower(regexp_replace(regexp_replace(p.a, ':\\\\d*$', ''), '[.]$', '')), '^www[.]', '')"
     port = "regexp_replace(regexp_extract(p.a, ':(\\\\d+)$', 1), '^0+', '')"
     tracks = f"array_contains(array({names}), lower(split_part(x, '=', 1))) OR rlike(lower(split_part(x, '=', 1)), '^({'|'.join(TRACKING_PREFIXES)})')"
@@ -40,14 +37,12 @@ def register_functions(spark: SparkSession) -> None:
 
     All but ``mask_text``, whose checks need a loop, are SQL over built-in functions, so a query with them stays in one plan and in generated code; they say what the columns of the operators say.
     """
-    plain = "regexp_replace(t, '[^0-9,.\\\\-]', '')"
-    number = f"CASE WHEN mark = ',' THEN replace(replace({plain}, '.', ''), ',', '.') ELSE replace({plain}, ',', '') END"
     bodies = {
-        "fold(t STRING) RETURNS STRING": f"lower(translate(t, {_quote(ACCENTED)}, {_quote(PLAIN)}))",
+        "fold(t STRING) RETURNS STRING": f"lower(translate(t, {quoted(ACCENTED)}, {quoted(PLAIN)}))",
         "stem(t STRING) RETURNS STRING": "CASE WHEN length(t) > 5 AND endswith(t, 'es') THEN left(t, length(t) - 2) WHEN length(t) > 4 AND endswith(t, 's') THEN left(t, length(t) - 1) ELSE t END",
-        "content_hash(t STRING) RETURNS STRING": "sha2(trim(regexp_replace(regexp_replace(regexp_replace(lower(t), '\\\\d+', '#'), '[^a-zà-ÿ# \\\\n\\\\t]', ''), '\\\\s+', ' ')), 256)",
+        "content_hash(t STRING) RETURNS STRING": f"sha2({steady_sql('t')}, 256)",
         "url_key(t STRING) RETURNS STRING": _url_key("t"),
-        "parse_amount(t STRING, mark STRING) RETURNS BIGINT": f"CASE WHEN rlike({number}, '[0-9]') THEN CAST(round(try_cast({number} AS DECIMAL(18, 4)) * 100, 0) AS BIGINT) END",
+        "parse_amount(t STRING, mark STRING) RETURNS BIGINT": cents_sql("t", "mark"),
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -227,7 +227,7 @@ def mask_text(text: Column, kinds: tuple[str, ...] = tuple(PII)) -> Column:
 
 
 def dedupe_rolling(cues: DataFrame) -> DataFrame:
-    """``file, n, text, end`` of cues (``file, n, start, end, text``) that aren't repeated by rolling captions: one equal to one of the last three kept extends it, one that continues the last kept replaces it.
+    """``file, n, text, end`` of cues (``file, n, start, end, text``) that aren't repeated by rolling captions: one equal to one of the last three kept extends it, one that goes on from the last kept after a blank replaces it.
 
     Order within a file matters, so a file is in one task; its cues stream through it in order, and only the last three kept are held.
     """
@@ -243,7 +243,7 @@ def dedupe_rolling(cues: DataFrame) -> DataFrame:
                 same = next((k for k in kept if k[2] == text), None)
                 if same:
                     same[3] = max(same[3], end)
-                elif kept and kept[-1][2] and text.startswith(kept[-1][2]):
+                elif kept and text.startswith(kept[-1][2] + " "):
                     kept[-1][2:] = [text, end]
                 elif text:
                     kept.append([own, n, text, end])

@@ -148,16 +148,3 @@ def allocate_cents(rows: DataFrame, group: str, total: str, weight: str, order:
     rows = rows.withColumn("_left", cents - F.sum("_whole").over(own)).withColumn("_rank", F.row_number().over(own.orderBy((F.col("_w") > 0).desc(), F.desc("_rest"), *order)))
     share = F.signum(F.col(total)).cast("long") * (F.col("_whole") + ((F.col("_rank") <= F.col("_left")) & (F.col("_w") > 0)).cast("long"))
     return rows.withColumn("share", share).drop("_w", "_all", "_parts", "_whole", "_rest", "_left", "_rank")
-
-
-def parse_amounts(rows: DataFrame, col: str, group: str) -> DataFrame:
-    """Adds ``cents``: amounts written with either decimal mark. Each group votes: a mark followed by one or two final digits is decimal; without votes, a comma.
-
-    The other mark groups digits. Texts without digits are null.
-    """
-    text = F.regexp_replace(F.col(col), r"[^0-9,.\-]", "")
-    votes = rows.groupBy(group).agg(F.count_if(text.rlike(r",\d{1,2}$")).alias("_comma"), F.count_if(text.rlike(r"\.\d{1,2}$")).alias("_point"))
-    rows = rows.join(votes, group)
-    comma = F.col("_comma") >= F.col("_point")
-    plain = F.when(comma, F.translate(F.replace(text, F.lit("."), F.lit("")), ",", ".")).otherwise(F.replace(text, F.lit(","), F.lit("")))
-    return rows.withColumn("cents", F.when(plain.rlike(r"\d"), F.round(plain.try_cast("decimal(18,4)") * 100, 0).cast("long"))).drop("_comma", "_point")

@@ -100,9 +100,13 @@ def max_coverage(reach: DataFrame, weights: DataFrame, k: int) -> DataFrame:
 
 
 def min_sites(reach: DataFrame, weights: DataFrame, costs: DataFrame, share: float) -> DataFrame:
-    """Greedy choice of sites by gain over cost until ``share`` of all weight is served or nothing more can be."""
+    """Greedy choice of sites by gain over cost (``site, cost``; at least a thousand-millionth) until ``share`` of all weight is served; a share that all sites together don't reach is refused with the one that they do."""
     total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
-    return _greedy(reach, weights, costs, lambda served: served >= share * total - 1e-9, 1_000_000)
+    within = weights.join(reach.join(costs, "site").select("demand").distinct(), "demand", "left_semi").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    if share * total > within + 1e-9:
+        raise ValueError(f"all sites together serve {100 * within / total:.3f} % of the weight; {100 * share:.3f} % were asked for")
+    least = costs.withColumn("cost", F.greatest(F.col("cost").cast("double"), F.lit(1e-9)))
+    return _greedy(reach, weights, least, lambda served: served >= share * total - 1e-9, 1_000_000)
 
 
 def unserved_reasons(demand: DataFrame, reach: DataFrame, chosen: DataFrame, wide: DataFrame | None = None) -> DataFrame:

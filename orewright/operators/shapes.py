@@ -14,26 +14,54 @@ def _corner(p: str) -> Column:
     return F.xxhash64("model_id", *[F.round(f"{p}{c}", 6) for c in "xyz"])
 
 
+def _edges(faces: DataFrame) -> DataFrame:
+    """The three edges of each face, with their ends in order."""
+    point = lambda p: F.struct(*[F.round(f"{p}{c}", 6).alias(c) for c in "xyz"])
+    edge = lambda p, q: F.struct(F.least(point(p), point(q)).alias("p"), F.greatest(point(p), point(q)).alias("q"))
+    return faces.select("*", F.explode(F.array(edge("a", "b"), edge("b", "c"), edge("c", "a"))).alias("e"))
+
+
+def _extent(points: DataFrame, *by: str) -> DataFrame:
+    """The box and the middle (the mean of the distinct points) of the points (``x, y, z``) of each group."""
+    boxes = [f(c).alias(f"{c}{e}") for c in "xyz" for e, f in ((0, F.min), (1, F.max))]
+    return points.select(*by, "x", "y", "z").distinct().groupBy(*by).agg(*boxes, *[F.round(F.avg(c), 4).alias(f"c{c}") for c in "xyz"])
+
+
 def mesh_bodies(faces: DataFrame) -> DataFrame:
-    """``model_id, body, triangles, volume, inverted`` of faces (``model_id, ax .. cz``): corners that faces share tie them to one body; a body whose signed volume is under 0 is inverted. ``body`` numbers a model's bodies by size."""
+    """``model_id, body, triangles, closed, volume, inverted``, the box ``x0 .. z1`` and the middle ``cx, cy, cz`` of each body of faces (``model_id, ax .. cz``): corners that faces share tie them to one body.
+
+    A body is closed if exactly two faces have each of its edges; only then it has a volume, and is inverted if that is under 0. ``body`` numbers a model's bodies by triangles.
+    """
     ids = faces.select("*", *[_corner(p).alias(f"_{p}") for p in "abc"])
     labels = connected_components(ids.select(F.explode(F.array(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")), F.struct(F.col("_a").alias("a"), F.col("_c").alias("b")))).alias("e")).select("e.*"))
     cross = lambda u, v, w: F.col(f"a{u}") * (F.col(f"b{v}") * F.col(f"c{w}") - F.col(f"b{w}") * F.col(f"c{v}"))
     signed = (cross("x", "y", "z") + cross("y", "z", "x") + cross("z", "x", "y")) / 6
-    bodies = ids.join(labels, F.col("_a") == F.col("node")).groupBy("model_id", "label").agg(F.count("*").alias("triangles"), F.sum(signed).alias("v"))
+    rows = ids.join(labels, F.col("_a") == F.col("node"))
+    bodies = rows.groupBy("model_id", "label").agg(F.count("*").alias("triangles"), F.sum(signed).alias("v"))
+    odd = _edges(rows).groupBy("model_id", "label", "e").agg(F.count("*").alias("k")).where("k <> 2").select("model_id", "label").distinct().withColumn("open", F.lit(True))
+    corners = rows.select("model_id", "label", F.explode(F.array(*[F.struct(*[F.round(f"{p}{c}", 6).alias(c) for c in "xyz"]) for p in "abc"])).alias("p")).select("model_id", "label", "p.*")
+    bodies = bodies.join(odd, ["model_id", "label"], "left").join(_extent(corners, "model_id", "label"), ["model_id", "label"]).withColumn("closed", F.col("open").isNull())
     order = Window.partitionBy("model_id").orderBy(F.desc("triangles"), F.desc(F.round(F.abs("v"), 6)), "label")
-    return bodies.select("model_id", F.row_number().over(order).alias("body"), "triangles", F.round(F.abs("v"), 6).alias("volume"), (F.col("v") < 0).alias("inverted"))
+    return bodies.select(
+        "model_id", F.row_number().over(order).alias("body"), "triangles", "closed", F.when(F.col("closed"), F.round(F.abs("v"), 6)).alias("volume"), (F.col("closed") & (F.col("v") < 0)).alias("inverted"), "x0", "x1", "y0", "y1", "z0", "z1", "cx", "cy", "cz"
+    )
 
 
-def open_loops(faces: DataFrame) -> DataFrame:
-    """``model_id, loops, edges, length``: edges that only one face has, and how many connected loops they form."""
-    point = lambda p: F.struct(*[F.round(f"{p}{c}", 6).alias(c) for c in "xyz"])
-    edge = lambda p, q: F.struct(F.least(point(p), point(q)).alias("p"), F.greatest(point(p), point(q)).alias("q"))
-    single = faces.select("model_id", F.explode(F.array(edge("a", "b"), edge("b", "c"), edge("c", "a"))).alias("e")).groupBy("model_id", "e").agg(F.count("*").alias("k")).where("k = 1")
+def list_open_loops(faces: DataFrame) -> DataFrame:
+    """``model_id, loop, edges, length``, the box ``x0 .. z1`` and the middle ``cx, cy, cz`` of each connected loop of edges that only one face has; ``loop`` numbers a model's loops by edges, then length."""
+    single = _edges(faces).groupBy("model_id", "e").agg(F.count("*").alias("k")).where("k = 1")
     name = lambda c: F.xxhash64("model_id", f"e.{c}")
-    single = single.select("model_id", name("p").alias("a"), name("q").alias("b"), F.sqrt(sum((F.col(f"e.p.{c}") - F.col(f"e.q.{c}")) ** 2 for c in "xyz")).alias("length"))
-    labels = connected_components(single)
-    return single.join(labels, F.col("a") == F.col("node")).groupBy("model_id").agg(F.count_distinct("label").alias("loops"), F.count("*").alias("edges"), F.round(F.sum("length"), 6).alias("length"))
+    single = single.select("model_id", "e", name("p").alias("a"), name("q").alias("b"), F.sqrt(sum((F.col(f"e.p.{c}") - F.col(f"e.q.{c}")) ** 2 for c in "xyz")).alias("length"))
+    rows = single.join(connected_components(single.select("a", "b")), F.col("a") == F.col("node"))
+    loops = rows.groupBy("model_id", "label").agg(F.count("*").alias("edges"), F.round(F.sum("length"), 4).alias("length"))
+    ends = rows.select("model_id", "label", F.explode(F.array("e.p", "e.q")).alias("p")).select("model_id", "label", "p.*")
+    order = Window.partitionBy("model_id").orderBy(F.desc("edges"), F.desc("length"), "label")
+    return loops.join(_extent(ends, "model_id", "label"), ["model_id", "label"]).select("model_id", F.row_number().over(order).alias("loop"), "edges", "length", "x0", "x1", "y0", "y1", "z0", "z1", "cx", "cy", "cz")
+
+
+def open_loops(faces: DataFrame) -> DataFrame:
+    """``model_id, loops, edges, length``: how many loops of :func:`list_open_loops` a model has, and their edges and length together."""
+    return list_open_loops(faces).groupBy("model_id").agg(F.count("*").alias("loops"), F.sum("edges").alias("edges"), F.round(F.sum("length"), 4).alias("length"))
 
 
 def rotations() -> list[tuple[tuple[int, int], ...]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orewright.operators.amounts import quoted
+
 #: Letters of the Latin, Greek and Cyrillic blocks that have accents, and the letter that each is without them, one character for one.
 _BASES = {c: unicodedata.normalize("NFD", c)[0].lower() for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]) if len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isalpha()}
 ACCENTED, PLAIN = "".join(_BASES), "".join(_BASES.values())
@@ -188,19 +191,101 @@ def diff_lines(old: DataFrame, new: DataFrame, key: str, text: str = "text") ->
     return b.join(a, [key, "line"], "left_anti").select(key, F.lit("added").alias("change"), "line").unionAll(a.join(b, [key, "line"], "left_anti").select(key, F.lit("removed").alias("change"), "line"))
 
 
-def page_quality(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``words``, ``short_lines`` (share of lines under five words) and ``quality``: ``too short`` (under 40 words), ``mostly navigation`` (three fifths of the lines or more are short) or ``ok``."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    short = F.size(F.filter(lines, lambda x: F.size(F.split(F.trim(x), r"\s+")) < 5))
-    words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
-    out = texts.withColumn("words", words.cast("long")).withColumn("short_lines", F.when(F.size(lines) > 0, F.round(short / F.size(lines), 6)).otherwise(0.0))
-    return out.withColumn("quality", F.when(F.col("words") < 40, "too short").when(F.col("short_lines") >= 0.6, "mostly navigation").otherwise("ok"))
+#: Words of menus and footers.
+MENU_WORDS = """
+inicio home menú menu categorías categorias buscar búsqueda busqueda login registro registrarse cuenta
+carrito cesta pedidos favoritos wishlist ayuda contacto contáctanos contactanos envíos envios devoluciones
+cookies privacidad aviso legal términos terminos condiciones política politica mapa sitio newsletter suscríbete
+suscribete síguenos siguenos facebook instagram twitter youtube tiktok pinterest whatsapp idioma país pais
+ofertas novedades outlet tiendas blog trabaja sobre nosotros empresa prensa afiliados sign account cart search
+help shipping returns terms privacy careers stores
+""".split()
+#: What a page says that lets nobody in.
+BLOCK_PHRASES = [
+    "enable javascript", "captcha", "access denied", "verify you are human", "just a moment", "acceso denegado",
+    "activa javascript", "not a robot", "checking your browser", "unusual traffic",
+]
+#: Line ends of any kind, as an expression.
+LINE_ENDS = r"\R|[\x1c-\x1e]"
+
+
+def page_quality(texts: DataFrame, text: str = "text", min_words: int = 40) -> DataFrame:
+    """Adds ``words``, ``short_lines`` (share of lines of at most three words), ``chrome`` (share of words in lines of at most four with a word of menus; 1 without words) and ``quality``.
+
+    In this order: ``blocked page`` (under 150 words, and a phrase of such pages within the first 800 characters), ``too short`` (under ``min_words``),
+    ``mostly navigation`` (over 0.85 of the lines short and under 400 words, or ``chrome`` of 0.6 at least), else ``ok``.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    lines = F.filter(F.split(body, LINE_ENDS), lambda x: x.rlike(r"(?U)\S"))
+    long = F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"(?U)\S+")) > 3))
+    of = F.transform(lines, lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{Nl}\p{No}]+)"), F.lit(1)))
+    menu = F.array(*[F.lit(w) for w in MENU_WORDS])
+    count = lambda words: F.aggregate(words, F.lit(0), lambda s, w: s + F.size(w))
+    whole, own = count(of), count(F.filter(of, lambda w: (F.size(w) <= 4) & F.arrays_overlap(w, menu)))
+    out = texts.withColumns(
+        {
+            "words": F.regexp_count(body, F.lit(r"(?U)\S+")).cast("long"),
+            "short_lines": F.when(F.size(lines) > 0, F.round(1 - long / F.size(lines), 6)).otherwise(0.0),
+            "chrome": F.when(whole > 0, F.round(own / whole, 6)).otherwise(1.0),
+        }
+    )
+    start = F.lower(F.substring(body, 1, 800))
+    blocked = F.greatest(*[F.contains(start, F.lit(p)) for p in BLOCK_PHRASES])
+    navigation = ((F.col("short_lines") > 0.85) & (F.col("words") < 400)) | (F.col("chrome") >= 0.6)
+    return out.withColumn("quality", F.when((F.col("words") < 150) & blocked, "blocked page").when(F.col("words") < min_words, "too short").when(navigation, "mostly navigation").otherwise("ok"))
+
+
+def quality_census(pages: DataFrame, url: str, text: str) -> DataFrame:
+    """``domain, quality, n`` of pages by :func:`page_quality`."""
+    return page_quality(pages, text).groupBy(registrable_domain(F.col(url)).alias("domain"), "quality").agg(F.count("*").alias("n"))
+
+
+#: Letters and signs of other forms and the usual one for each, one character for one.
+_USUAL = {c: unicodedata.normalize("NFKC", c) for c in map(chr, [*range(0xA0, 0x250), *range(0x2000, 0x3400), *range(0xF900, 0xFFF0)]) if len(unicodedata.normalize("NFKC", c)) == 1 and unicodedata.normalize("NFKC", c) != c}
+FORMS, USUAL = "".join(_USUAL), "".join(_USUAL.values())
+#: Units of time, and words around a time that passes.
+UNITS = "segundo segundos seg segs minuto minutos min mins hora horas hr hrs h dia dias día días semana semanas mes meses second seconds sec secs minute minutes hour hours day days week weeks month months".split()
+BEFORE_SPAN = "hace queda quedan falta faltan".split()
+AFTER_SPAN = "ago left remaining".split()
+MOMENTS = ["just now", "justo ahora", "ahora mismo", "hace un momento"]
+PASSING_LINES = ["©", "(c)", "copyright", "hoy es", "actualizado hace"]
+
+
+def _passing() -> tuple[str, list[str]]:
+    """Expressions for lines that pass, and for what passes within lines: stamps, spans, clocks, tokens."""
+    any_of = lambda words: "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+    whole = lambda form: rf"(?<![\p{{L}}\p{{N}}_]){form}"
+    edge = r"(?![\p{L}\p{N}_])"
+    ago = rf"[0-9]+ {any_of(UNITS)} ago{edge}"
+    starts = any_of([re.sub(r"([()])", r"[\1]", w) + (edge if w[-1].isalpha() else "") for w in PASSING_LINES] + [rf"updated [0-9]+ [\p{{L}}\p{{N}}_]+ ago{edge}", rf"last updated:? ?(?:just now|[0-9]+ [\p{{L}}\p{{N}}_]+ ago){edge}"])
+    day, clock = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{2}:[0-9]{2}(?::[0-9]{2})?"
+    within = [
+        whole(rf"{day}[t ]{clock}(?:[.,][0-9]+)?(?:z|[+-][0-9]{{2}}:?[0-9]{{2}})?(?![0-9])"),
+        whole(rf"(?:{any_of(BEFORE_SPAN)} [0-9]+ {any_of(UNITS)}{edge}|{ago.replace('ago', any_of(AFTER_SPAN))}|{any_of(MOMENTS)}{edge})"),
+        whole(r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[ap][.]?m[.]?)?(?![0-9])"),
+        whole(rf"[0-9a-f]{{16,}}{edge}"),
+    ]
+    return f"^{starts}", within
+
+
+def steady_sql(text: str) -> str:
+    """SQL for the text without what changes by itself: usual forms in lower case, blanks single; stamps, clock times, spans of time and long hexadecimal tokens go,
+    and so do lines of copyright or of the last update. All other digits, and letters of all scripts, stay. Characters that are several in their usual form stay as they are."""
+    lines, within = _passing()
+    squeeze = lambda x: f"trim(regexp_replace({x}, '(?U)\\\\s+', ' '))"
+    usual = f"lower(translate({text}, {quoted(FORMS)}, {quoted(USUAL)}))"
+    plain = f"transform(split({usual}, {quoted(LINE_ENDS)}), x -> {squeeze('regexp_replace(x, ' + quoted('[' + chr(0x200B) + chr(0x200C) + chr(0xFEFF) + ']') + ', ' + quoted('') + ')')})"
+    kept = f"filter({plain}, x -> x <> '' AND NOT rlike(x, {quoted(lines)}))"
+    bare = "x"
+    for form in within:
+        bare = f"regexp_replace({bare}, {quoted(form)}, ' ')"
+    return f"array_join(filter(transform({kept}, x -> {squeeze(bare)}), x -> x <> ''), '\n')"
 
 
 def content_groups(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """``digest, n, first``: pages by a hash of their text without digits, case, marks and runs of white space."""
-    noise = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\d+", "#"), r"[^a-zà-ÿ# \n\t]", ""), r"\s+", " "))
-    return pages.groupBy(F.sha2(noise, 256).alias("digest")).agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    """``digest, n, first``: pages by a hash of :func:`steady_sql` of their text."""
+    rows = pages.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
+    return rows.groupBy(F.sha2(F.expr(steady_sql("_text")), 256).alias("digest")).agg(F.count("*").alias("n"), F.min("_key").alias("first"))
 
 
 def normalize_url(url: Column, strip_www: bool = False, drop: tuple[str, ...] = ()) -> Column:

@@ -58,9 +58,11 @@ case("j12_nearest_segment", lambda v: s.nearest_segment(v.sql("SELECT id, (x0 +
 case("j12_segment_of_polygons", lambda v: s.nearest_segment(v.parcels.select("id", poly.box_ring().alias("ring")), v.sql(SEGMENTS), 400.0),
      f"""WITH s AS ({SEGMENTS}), d AS (SELECT p.id AS pid, s.id, round(sqrt(power(greatest(least(s.x0, s.x1) - p.x1, 0, p.x0 - greatest(s.x0, s.x1)), 2) + power(greatest(least(s.y0, s.y1) - p.y1, 0, p.y0 - greatest(s.y0, s.y1)), 2)), 6) AS distance FROM parcels p, s),
      r AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance, id) AS k FROM d WHERE distance <= 400) SELECT p.id, r.id AS segment, distance FROM parcels p LEFT JOIN r ON r.pid = p.id AND k = 1""")
-case("j13_overlap_share", lambda v: s.overlap_share(v.parcels, v.restricted, 5.0),
-     """WITH q AS (SELECT p.id, r.id AS rid, greatest(p.x0, r.x0) AS x0, greatest(p.y0, r.y0) AS y0, least(p.x1, r.x1) AS x1, least(p.y1, r.y1) AS y1 FROM parcels p JOIN restricted r ON least(p.x1, r.x1) > greatest(p.x0, r.x0) AND least(p.y1, r.y1) > greatest(p.y0, r.y0)),
-     i AS (SELECT id, unnest(range(CAST(ceil(x0 / 5 - 0.5) AS INT), CAST(ceil(x1 / 5 - 0.5) AS INT))) AS i, CAST(ceil(y0 / 5 - 0.5) AS INT) AS lo, CAST(ceil(y1 / 5 - 0.5) AS INT) AS hi FROM q), j AS (SELECT DISTINCT id, i, unnest(range(lo, hi)) AS j FROM i), c AS (SELECT id, count(*) * 25.0e0 AS covered FROM j GROUP BY id),
+#: Restricted areas that reach into their neighbours to the east.
+WIDER = "SELECT id, x0, y0, x1 + 200 AS x1, y1 FROM restricted"
+case("j13_overlap_share", lambda v: s.overlap_share(v.parcels, v.sql(WIDER)),
+     f"""WITH q AS (SELECT p.id, r.id AS rid, r.y0 AS band, greatest(p.x0, r.x0) AS x0, greatest(p.y0, r.y0) AS y0, least(p.x1, r.x1) AS x1, least(p.y1, r.y1) AS y1 FROM parcels p JOIN ({WIDER}) r ON least(p.x1, r.x1) > greatest(p.x0, r.x0) AND least(p.y1, r.y1) > greatest(p.y0, r.y0)),
+     e AS (SELECT *, max(x1) OVER (PARTITION BY id, band ORDER BY x0, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM q), c AS (SELECT id, sum((x1 - greatest(x0, coalesce(reached, x0))) * (y1 - y0)) AS covered FROM e WHERE reached IS NULL OR x1 > reached GROUP BY id),
      m AS (SELECT id, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS names FROM q GROUP BY id) SELECT p.id, round(coalesce(covered, 0) / ((x1 - x0) * (y1 - y0)), 6) AS share, coalesce(names, '') AS names FROM parcels p LEFT JOIN c USING (id) LEFT JOIN m USING (id)""")
 AREA = "(least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))"
 MEET = "least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)"
@@ -81,10 +83,9 @@ CUT = " ".join(f"{sign} {PIECE(f'((b.x{i} - a.x0) / (a.x1 - a.x0))', f'((b.y{j}
 HALF = f"o AS (SELECT a.id, b.id AS rid, ({CUT}) * (a.x1 - a.x0) * (a.y1 - a.y0) AS area, CAST(b.id % 20 AS DOUBLE) AS value FROM parcels a JOIN restricted b ON {MEET})"
 case("j14_overlay_polygons", lambda v: s.overlay_stat(triangles(v), v.restricted.withColumn("value", (F.col("id") % 20).cast("double"))).select("id", F.round("mean", 4).alias("mean"), "high", F.round("cover", 4).alias("cover")),
      f"WITH {HALF}, g AS (SELECT id, sum(area * value) / sum(area) AS mean, max(value) AS high, sum(area) AS area FROM o WHERE area > 1e-9 GROUP BY id) SELECT p.id, round(mean, 4) AS mean, high, round(coalesce(area, 0) * 2 / ((x1 - x0) * (y1 - y0)), 4) AS cover FROM parcels p LEFT JOIN g USING (id)")
-case("j13_share_of_polygons", lambda v: s.overlap_share(triangles(v), v.restricted, 5.0),
-     f"""WITH {HALF}, q AS (SELECT p.*, rid, greatest(p.x0, r.x0) AS cx0, greatest(p.y0, r.y0) AS cy0, least(p.x1, r.x1) AS cx1, least(p.y1, r.y1) AS cy1 FROM o JOIN parcels p ON p.id = o.id JOIN restricted r ON r.id = o.rid WHERE o.area > 1e-9),
-     i AS (SELECT *, unnest(range(CAST(ceil(cx0 / 5 - 0.5) AS INT), CAST(ceil(cx1 / 5 - 0.5) AS INT))) AS i FROM q), k AS (SELECT *, unnest(range(CAST(ceil(cy0 / 5 - 0.5) AS INT), CAST(ceil(cy1 / 5 - 0.5) AS INT))) AS j FROM i), c AS (SELECT id, count(DISTINCT (i, j)) * 25.0e0 AS covered FROM k WHERE ((i + 0.5) * 5 - x0) / (x1 - x0) + ((j + 0.5) * 5 - y0) / (y1 - y0) < 1 GROUP BY id),
-     m AS (SELECT id, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS names FROM q GROUP BY id) SELECT p.id, round(coalesce(covered, 0) * 2 / ((x1 - x0) * (y1 - y0)), 6) AS share, coalesce(names, '') AS names FROM parcels p LEFT JOIN c USING (id) LEFT JOIN m USING (id)""")
+case("j13_share_of_polygons", lambda v: s.overlap_share(triangles(v), v.restricted),
+     f"""WITH {HALF}, q AS (SELECT * FROM o WHERE area > 1e-9), c AS (SELECT id, sum(area) AS covered FROM q GROUP BY id), m AS (SELECT id, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS names FROM q GROUP BY id)
+     SELECT p.id, round(coalesce(covered, 0) * 2 / ((x1 - x0) * (y1 - y0)), 6) AS share, coalesce(names, '') AS names FROM parcels p LEFT JOIN c USING (id) LEFT JOIN m USING (id)""")
 case("a07_zonal_polygons", lambda v: s.zonal_stats(triangles(v), v.cells, 10.0).where("n > 1").select("id", "n", "high", F.round("mean", 6).alias("mean"), F.round("p90", 6).alias("p90")),
      """WITH i AS (SELECT p.id, count(z) AS n, max(z) AS high, round(avg(z), 6) AS mean, round(quantile_cont(z, 0.9), 6) AS p90 FROM parcels p JOIN cells c ON c.row * 10 >= y0 AND c.col * 10 >= x0 AND (c.col * 10 - x0) / (x1 - x0) + (c.row * 10 - y0) / (y1 - y0) < 1 AND z IS NOT NULL GROUP BY p.id) SELECT * FROM i WHERE n > 1""")
 BASE = "SELECT id, x0, y0, x1, y1, 3.0e0 + id % 9 AS height, id % 4 = 0 AS estimated FROM parcels WHERE id % 2 = 0"

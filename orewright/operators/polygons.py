@@ -132,6 +132,71 @@ def common_area(p: np.ndarray, q: np.ndarray) -> float:
     return total
 
 
+def _sides(ring: np.ndarray) -> np.ndarray:
+    return np.concatenate([ring, np.roll(ring, -1, 0)], 1)
+
+
+def _crossings(e: np.ndarray) -> np.ndarray:
+    """Heights at which two of the sides (x, y, x, y) cross."""
+    u = e[:, 2:] - e[:, :2]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = ((e[None, :, 0] - e[:, None, 0]) * u[None, :, 1] - (e[None, :, 1] - e[:, None, 1]) * u[None, :, 0]) / (u[:, None, 0] * u[None, :, 1] - u[:, None, 1] * u[None, :, 0])
+        return (e[:, None, 1] + t * u[:, None, 1])[(t > 0) & (t < 1)]
+
+
+def _stretches(e: np.ndarray, y: float) -> np.ndarray:
+    """Where a level line is inside a ring: from and to, in order."""
+    met = e[(e[:, 1] > y) != (e[:, 3] > y)]
+    return np.sort((met[:, 2] - met[:, 0]) * (y - met[:, 1]) / (met[:, 3] - met[:, 1]) + met[:, 0]).reshape(-1, 2)
+
+
+def union_area(p: np.ndarray, rings: list[np.ndarray], box: tuple[float, float, float, float], most: int = 120, depth: int = 8) -> float:
+    """The area of a ring (n, 2) under the union of others, inside a box (x0, y0, x1, y1).
+
+    Slabs lie between any two heights with a corner or a crossing; in a slab the union's width changes evenly, so its middle says all. A box into which more than ``most`` sides reach is quartered, ``depth`` times at most.
+    """
+    x0, y0, x1, y1 = box
+    meets = lambda r: r[:, 0].max() > x0 and r[:, 0].min() < x1 and r[:, 1].max() > y0 and r[:, 1].min() < y1
+    rings = [r for r in rings if meets(r)]
+    if not rings or not meets(p):
+        return 0.0
+    own, others = _sides(p), [_sides(r) for r in rings]
+    every = np.concatenate([own, *others])
+    near = (every[:, [0, 2]].max(1) >= x0) & (every[:, [0, 2]].min(1) <= x1) & (every[:, [1, 3]].max(1) >= y0) & (every[:, [1, 3]].min(1) <= y1)
+    if near.sum() > most and depth:
+        x, y = (x0 + x1) / 2, (y0 + y1) / 2
+        return sum(union_area(p, rings, part, most, depth - 1) for part in ((x0, y0, x, y), (x, y0, x1, y), (x0, y, x, y1), (x, y, x1, y1)))
+    every = np.concatenate([every[near], _sides(np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)]))])
+    heights = np.unique(np.concatenate([every[:, 1], every[:, 3], _crossings(every)]))
+    heights = heights[(heights >= y0) & (heights <= y1)]
+    total = 0.0
+    for low, high in zip(heights[:-1], heights[1:], strict=True):
+        y = (low + high) / 2
+        inside = np.clip(_stretches(own, y), x0, x1)
+        parts = np.concatenate([_stretches(e, y) for e in others])
+        if not len(inside) or not len(parts):
+            continue
+        parts = parts[np.argsort(parts[:, 0])]
+        reached = np.maximum.accumulate(parts[:, 1])
+        starts = np.flatnonzero(np.append(True, parts[1:, 0] > reached[:-1]))  # stretches that touch are one
+        joined = np.column_stack([parts[starts, 0], reached[np.append(starts[1:] - 1, len(parts) - 1)]])
+        wide = np.minimum(inside[:, None, 1], joined[None, :, 1]) - np.maximum(inside[:, None, 0], joined[None, :, 0])
+        total += float(np.maximum(wide, 0).sum()) * (high - low)
+    return total
+
+
+@F.pandas_udf(T.DoubleType())
+def _under(px: pd.Series, py: pd.Series, rx: pd.Series, ry: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+    rows = zip(px, py, rx, ry, zip(x0, y0, x1, y1, strict=True), strict=True)
+    return pd.Series([union_area(np.column_stack([a, b]), [np.column_stack([u, v]) for u, v in zip(us, vs, strict=True)], box) for a, b, us, vs, box in rows], dtype=float)
+
+
+def area_under(ring: Column, rings: Column, box: list[Column]) -> Column:
+    """The area of a ring under the union of ``rings``, inside a box."""
+    part = lambda r, c: F.transform(r, lambda v: v[c])
+    return _under(part(ring, "x"), part(ring, "y"), F.transform(rings, lambda r: part(r, "x")), F.transform(rings, lambda r: part(r, "y")), *box)
+
+
 @F.pandas_udf(T.DoubleType())
 def _common(px: pd.Series, py: pd.Series, qx: pd.Series, qy: pd.Series) -> pd.Series:
     return pd.Series([common_area(np.column_stack([a, b]), np.column_stack([c, d])) for a, b, c, d in zip(px, py, qx, qy, strict=True)], dtype=float)

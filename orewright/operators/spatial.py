@@ -211,21 +211,25 @@ def overlap_pairs(a: DataFrame, b: DataFrame, size: float = 500.0) -> DataFrame:
     return met.select("a", "b", poly.shared_area(F.col("a_ring"), F.col("b_ring")).alias("area")).where("area > 1e-9")
 
 
-def overlap_share(areas: DataFrame, restricted: DataFrame, cell: float) -> DataFrame:
-    """Share of each area (rectangle or polygon) under the union of the restricted ones, each spot once: of sample points at the centres of cells of ``cell`` metres. ``names`` are those that overlap."""
-    pairs = overlap_pairs(areas, restricted)
+def overlap_share(areas: DataFrame, restricted: DataFrame, size: float = 500.0) -> DataFrame:
+    """Share of each area (rectangle or polygon) under the union of the restricted ones, each spot once. ``names`` are those that overlap.
+
+    The union is found in squares of ``size``, each for itself: a square holds the restricted rings that reach into it, equal ones once, so an area with very many of them is many small tasks.
+    """
+    pairs = overlap_pairs(areas, restricted, size)
     names = pairs.groupBy(F.col("a").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("b")), ",").alias("names"))
-    shaped = "ring" in areas.columns or "ring" in restricted.columns
     areas, restricted = poly.with_rings(areas), poly.with_rings(restricted)
-    own = areas.select(F.col("id").alias("a"), "x0", "y0", "x1", "y1", "ring")
-    other = restricted.select(F.col("id").alias("b"), *[F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1", "ring")])
-    clip = pairs.join(own, "a").join(other, "b").select("a", "ring", "bring", F.greatest("x0", "bx0").alias("x0"), F.greatest("y0", "by0").alias("y0"), F.least("x1", "bx1").alias("x1"), F.least("y1", "by1").alias("y1"))
-    lo, hi = lambda c: F.ceil(F.col(c) / cell - 0.5), lambda c: F.ceil(F.col(c) / cell - 0.5) - 1
-    spots = clip.where((lo("x0") <= hi("x1")) & (lo("y0") <= hi("y1"))).select("a", "ring", "bring", F.explode(F.sequence(lo("x0"), hi("x1"))).alias("i"), lo("y0").alias("p"), hi("y1").alias("q")).select("a", "ring", "bring", "i", F.explode(F.sequence("p", "q")).alias("j"))
-    if shaped:
-        x, y = (F.col("i") + 0.5) * cell, (F.col("j") + 0.5) * cell
-        spots = spots.where(poly.inside(F.col("ring"), x, y) & poly.inside(F.col("bring"), x, y))
-    covered = spots.select("a", "i", "j").distinct().groupBy(F.col("a").alias("id")).agg((F.count("*") * cell * cell).alias("covered"))
+    bucket = lambda c: F.floor(F.col(c) / size)
+
+    def spread(df: DataFrame, name: str) -> DataFrame:
+        df = df.select(*[F.col(c).alias(f"{name}_{c}") for c in (["id"] if name == "a" else []) + ["x0", "y0", "x1", "y1", "ring"]], F.explode(F.sequence(bucket("x0"), bucket("x1"))).alias("i"), "y0", "y1")
+        return df.select("*", F.explode(F.sequence(bucket("y0"), bucket("y1"))).alias("j")).drop("y0", "y1")
+
+    met = spread(areas, "a").join(spread(restricted, "b"), ["i", "j"])
+    apart = (F.col("a_x1") <= F.col("b_x0")) | (F.col("b_x1") <= F.col("a_x0")) | (F.col("a_y1") <= F.col("b_y0")) | (F.col("b_y1") <= F.col("a_y0"))
+    squares = met.where(~apart).groupBy("a_id", "i", "j").agg(F.first("a_ring").alias("ring"), F.collect_set("b_ring").alias("rings"))
+    box = [(F.col(c) + k) * F.lit(float(size)) for k in (0, 1) for c in "ij"]
+    covered = squares.select(F.col("a_id").alias("id"), poly.area_under(F.col("ring"), F.col("rings"), box).alias("part")).groupBy("id").agg(F.sum("part").alias("covered"))
     out = areas.join(covered, "id", "left").join(names, "id", "left")
     return out.select("id", F.round(F.coalesce("covered", F.lit(0.0)) / poly.ring_area(F.col("ring")), 6).alias("share"), F.coalesce("names", F.lit("")).alias("names"))
 

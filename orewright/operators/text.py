@@ -237,7 +237,7 @@ def page_quality(texts: DataFrame, text: str = "text", min_words: int = 40) -> D
 
 def quality_census(pages: DataFrame, url: str, text: str) -> DataFrame:
     """``domain, quality, n`` of pages by :func:`page_quality`."""
-    return page_quality(pages, text).groupBy(registrable_domain(F.col(url)).alias("domain"), "quality").agg(F.count("*").alias("n"))
+    return page_quality(pages, text).groupBy(registrable_domain(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)", 1))).alias("domain"), "quality").agg(F.count("*").alias("n"))
 
 
 #: Letters and signs of other forms and the usual one for each, one character for one.

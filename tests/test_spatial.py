@@ -107,3 +107,41 @@ def test_lines_through_a_polygon(spark):
     rows = spark.createDataFrame([(ring, *line, want) for line, want in lines], f"ring array<{polygons.POINT}>, x0 double, y0 double, x1 double, y1 double, want boolean")
     got = rows.select("want", polygons.crosses_inside(F.col("ring"), *[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("got")).collect()
     assert all(r["want"] == r["got"] for r in got)
+
+
+def test_union_of_turned_and_concave_rings(spark):
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    diamond = [(5.0, 0.0), (10.0, 5.0), (5.0, 10.0), (0.0, 5.0)]
+    hook = [(0.0, 0.0), (10.0, 0.0), (10.0, 2.0), (2.0, 2.0), (2.0, 10.0), (0.0, 10.0)]
+    far = [(900.0, 900.0), (901.0, 900.0), (901.0, 901.0)]
+    rows = lambda rings: spark.createDataFrame([(i, [{"x": x + d, "y": y + d} for x, y in r]) for i, (r, d) in enumerate(rings)], "id long, ring array<struct<x: double, y: double>>")
+    for at in (0.0, 495.0, -3.0):  # also across the squares' borders
+        for rings, area in (([diamond], 50.0), ([hook], 36.0), ([diamond, hook], None), ([diamond, diamond, far], 50.0), ([square, hook, diamond], 100.0), ([far], 0.0)):
+            got = spatial.overlap_share(rows([(square, at)]), rows([(r, at) for r in rings])).first()
+            if rings == [diamond, hook]:
+                # of the hook's two arms, each as two by ten, the diamond holds two trapezia of heights two
+                area = 50 + 36 - shared(diamond, hook)
+            assert abs(got["share"] - area / 100) < 1e-6, (at, rings)
+    r = np.random.default_rng(1)
+    from orewright.operators.polygons import union_area
+
+    p = np.array(square)
+    rings = [np.array([(x, y), (x + w, y + 1), (x + w - 1, y + h), (x - 1, y + h - 1)]) for x, y, w, h in r.uniform(0, 6, (40, 4)) + [0, 0, 1, 1]]
+    whole = union_area(p, rings, (0, 0, 10, 10), most=10_000)
+    assert abs(whole - union_area(p, rings, (0, 0, 10, 10), most=30)) < 1e-6
+    dots = r.uniform(0, 10, (20_000, 2))
+
+    def within(ring, q):
+        a, b = ring, np.roll(ring, -1, 0)
+        met = (a[:, None, 1] > q[None, :, 1]) != (b[:, None, 1] > q[None, :, 1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = (b[:, None, 0] - a[:, None, 0]) * (q[None, :, 1] - a[:, None, 1]) / (b[:, None, 1] - a[:, None, 1]) + a[:, None, 0]
+        return (met & (x > q[None, :, 0])).sum(0) % 2 == 1
+
+    assert abs(whole / 100 - np.any([within(ring, dots) for ring in rings], 0).mean()) < 0.015
+
+
+def shared(p, q):
+    from orewright.operators.polygons import common_area
+
+    return common_area(np.array(p), np.array(q))

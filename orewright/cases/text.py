@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from orewright.cases import case
 from orewright.operators import names
 from orewright.operators import text as t
+from orewright.operators import vectors as vec
 from orewright.plans.shared import materialize
 
 FOLD = "lower(strip_accents({0}))"
@@ -42,7 +43,7 @@ VECTOR = "SELECT vec_id AS id, embedding AS v FROM embeddings"
 
 def nearest(v, k=10):
     vectors = v.sql(VECTOR)
-    return t.vector_topk(vectors, vectors.where("id % 20 = 0"), k, 0.0)
+    return vec.vector_topk(vectors, vectors.where("id % 20 = 0"), k, 0.0)
 
 
 TOPK = """n AS (SELECT b.vec_id AS query, a.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score FROM embeddings a JOIN embeddings b ON b.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),

@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -377,44 +375,6 @@ def by_domain(rows: DataFrame, col: str) -> DataFrame:
     return rows.groupBy(registrable_domain(host).alias("domain")).agg(F.count("*").alias("n"))
 
 
-def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, least: float = -1.0, query_block: int = 4096, corpus_block: int = 65_536) -> DataFrame:
-    """``query, id, score, rank`` of the ``k`` nearest vectors (``id, v``) by cosine (a zero vector scores 0), the query itself left out, ties to the lower id. Null vectors are left out.
-
-    Both sides are dealt to blocks by a hash of the id. Each two blocks are a task: one matrix product, of which each query keeps its own best ``k``; the last step merges those. So
-    neither side is held whole anywhere, and what moves is each vector once for each block of the other side.
-    """
-    blocks = lambda df, size: -(-max(df.count(), 1) // size)
-    corpus, queries = (df.where("v is not null").select("id", F.col("v").cast("array<double>").alias("v")) for df in (corpus, queries))
-    m, n = blocks(queries, query_block), blocks(corpus, corpus_block)
-    deal = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    both = queries.select(F.lit(True).alias("asks"), "id", "v", deal(m).alias("i"), every(n).alias("j")).unionByName(corpus.select(F.lit(False).alias("asks"), "id", "v", every(m).alias("i"), deal(n).alias("j")))
-
-    def nearest(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids, found = table.column("id").to_numpy(), {"query": [], "id": [], "score": []}
-        if asks.any() and not asks.all():
-            v = table.column("v").combine_chunks()
-            v = np.asarray(v.flatten()).reshape(len(ids), -1)
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            own, q = ids[~asks], ids[asks]
-            held = v[~asks]
-            for at in range(0, len(q), 256):
-                score = np.round(v[asks][at : at + 256] @ held.T, 9) + 0.0
-                for row, query in zip(score, q[at : at + 256], strict=True):
-                    there = np.flatnonzero((row >= least) & (own != query))
-                    if len(there) > k:  # all as good as the k-th
-                        there = there[row[there] >= np.partition(row[there], len(there) - k)[len(there) - k]]
-                    there = there[np.lexsort((own[there], -row[there]))][:k]
-                    for name, values in (("query", np.full(len(there), query)), ("id", own[there]), ("score", row[there])):
-                        found[name].append(values)
-        whole = lambda name, kind: pa.array(np.concatenate([np.zeros(0, kind), *found[name]]).astype(kind))
-        return pa.table({"query": whole("query", np.int64), "id": whole("id", np.int64), "score": whole("score", np.float64)})
-
-    near = both.groupBy("i", "j").applyInArrow(nearest, "query long, id long, score double")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-
-
 def hash_near_pairs(hashes: DataFrame, most: int = 6) -> DataFrame:
     """Links ``a < b`` of 64-bit hashes that differ in at most ``most`` bits, with ``bits``: each id to the least id of its hash (0 bits), and between the least ids of different hashes.
 

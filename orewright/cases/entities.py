@@ -6,6 +6,7 @@ from orewright.cases import case
 from orewright.operators import entities as e
 from orewright.operators import mentions as mn
 from orewright.operators import names
+from orewright.operators import references as rf
 
 MEMBERS = "SELECT DISTINCT concat(split_part(p_name, ' ', 1), ' ', split_part(p_name, ' ', 2)) AS name FROM part WHERE p_partkey % 3 = 0"
 NUMBERED = f"SELECT row_number() OVER (ORDER BY name) AS member, row_number() OVER (ORDER BY name) AS number, name FROM ({MEMBERS})"
@@ -107,6 +108,16 @@ case("g10_degrees", lambda v: e.check_layers(v.sql(PLACED), dt.date(2024, 1, 1))
 case("a15_price_totals", lambda v: mn.price_totals(v.receipts, "doc_id", "text"), "SELECT o_orderkey AS doc, 'EUR' AS currency, CAST(1 AS BIGINT) AS n, c AS low, c AS high, c AS total, c AS labelled FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 100 + 50 AS c FROM orders)")
 case("a14_reference_census", lambda v: e.reference_census(v.sql("SELECT r.doc_id, concat(r.text, ' code ', e.code) AS text FROM receipts r JOIN (" + EAN + ") e ON e.id = r.doc_id"), "doc_id", "text"),
      f"WITH x AS (SELECT list_transform(range(1, 14), lambda i: CAST(substr(code, i, 1) AS INT) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END) AS d FROM ({EAN})) SELECT 'order' AS kind, count(*) AS n, count(*) AS docs FROM orders UNION ALL SELECT 'ean13', count(*), count(*) FROM x WHERE list_sum(d) % 10 = 0")
+#: Orders with a parcel of one of five forms, some with a wrong check digit, and a product.
+SENT = """SELECT o_orderkey AS id, concat('Parcel ', CASE o_orderkey % 5 WHEN 0 THEN concat('1Z', lpad(CAST(o_orderkey AS VARCHAR(9)), 15, '0'), CAST(o_custkey % 10 AS VARCHAR(9))) WHEN 1 THEN concat('RR', lpad(CAST(o_orderkey AS VARCHAR(9)), 8, '0'), CAST(o_custkey % 10 AS VARCHAR(9)), 'ES')
+ WHEN 2 THEN concat('TBA', lpad(CAST(o_orderkey AS VARCHAR(9)), 9, '0')) WHEN 3 THEN concat('YT', lpad(CAST(o_orderkey AS VARCHAR(9)), 16, '0')) ELSE 'none' END, ', at https://shop.example.com/dp/B0', lpad(CAST(o_custkey AS VARCHAR(9)), 8, 'A'), '?sku=s', lpad(CAST(o_orderkey AS VARCHAR(9)), 6, 'x')) AS text FROM orders"""
+case("a14_reference_kinds", lambda v: rf.reference_kinds(v.sql(SENT), "id", "text"),
+     """WITH o AS (SELECT o_orderkey AS k, o_custkey % 10 AS c, list_transform(range(1, 16), lambda i: CAST(substr(lpad(CAST(o_orderkey AS VARCHAR), 15, '0'), i, 1) AS INT) * CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END) AS u, list_transform([8, 6, 4, 2, 3, 5, 9, 7], lambda w, i: w * CAST(substr(lpad(CAST(o_orderkey AS VARCHAR), 8, '0'), i, 1) AS INT)) AS s FROM orders),
+     x AS (SELECT k, c, (10 - CAST(list_sum(u) AS INT) % 10) % 10 AS ups, 11 - CAST(list_sum(s) AS INT) % 11 AS r FROM o)
+     SELECT 'parcel' AS kind, 'ups' AS carrier, count(*) AS n, count(*) AS docs FROM x WHERE k % 5 = 0 UNION ALL SELECT 'parcel', 'correos', count(*), count(*) FROM x WHERE k % 5 = 1 AND c = CASE r WHEN 10 THEN 0 WHEN 11 THEN 5 ELSE r END
+     UNION ALL SELECT 'parcel', 'amazon', count(*), count(*) FROM x WHERE k % 5 = 2 UNION ALL SELECT 'parcel', 'yunexpress', count(*), count(*) FROM x WHERE k % 5 = 3 UNION ALL SELECT 'asin', '', count(*), count(*) FROM x UNION ALL SELECT 'sku', '', count(*), count(*) FROM x""")
+case("a14_tracking_numbers", lambda v: rf.tracking_numbers(v.sql(SENT), "id", "text").where("carrier = 'ups'").select("doc", "confidence"),
+     """SELECT o_orderkey AS doc, CASE WHEN (10 - CAST(list_sum(list_transform(range(1, 16), lambda i: CAST(substr(lpad(CAST(o_orderkey AS VARCHAR), 15, '0'), i, 1) AS INT) * CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)) AS INT) % 10) % 10 = o_custkey % 10 THEN 98 ELSE 70 END AS confidence FROM orders WHERE o_orderkey % 5 = 0""")
 case("a16_date_mentions", lambda v: mn.date_mentions(v.receipts, "doc_id", "text", dt.date(2024, 6, 1)).where("role = 'issued'").select("doc", "n", "first"), "SELECT o_orderkey AS doc, CAST(1 AS BIGINT) AS n, CAST(o_orderdate AS DATE) AS first FROM orders")
 TODAY = dt.date(2024, 6, 1)
 DAY = "CAST(1 + o_orderkey % 28 AS VARCHAR(9))"

@@ -48,6 +48,15 @@ VERSIONS = "SELECT concat(url, ' ', CAST(page_id AS VARCHAR(9))) AS url, 1 AS ve
 case("r02_page_changes", lambda v: j.page_changes_batch(v.sql(VERSIONS)),
      rf"""WITH v AS ({VERSIONS}), n AS (SELECT url, version, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> '')) AS now FROM v WHERE ok), p AS (SELECT *, lag(now) OVER (PARTITION BY url ORDER BY version) AS old FROM n),
      d AS (SELECT url, version, CAST(len(list_filter(now, lambda x: NOT list_contains(old, x))) AS BIGINT) AS added, CAST(len(list_filter(old, lambda x: NOT list_contains(now, x))) AS BIGINT) AS removed FROM p WHERE old IS NOT NULL) SELECT * FROM d WHERE added > 0 OR removed > 0""")
+#: Checks of pages with prose of their own: a baseline, one that is blocked, failed, not modified, too thin or changed, and one after it.
+PROSE = "concat(repeat('plain words of prose go on here ', 10), chr(10), 'Page ', url, chr(10), 'Price 10 EUR', chr(10), 'Updated 3 mins ago')"
+CHECKS = f"""SELECT concat(url, ' ', CAST(page_id AS VARCHAR(9))) AS url, 1 AS version, 200 AS status, true AS ok, {PROSE} AS text FROM pages UNION ALL
+ SELECT concat(url, ' ', CAST(page_id AS VARCHAR(9))), 2, CASE page_id % 8 WHEN 0 THEN 304 WHEN 1 THEN 403 WHEN 2 THEN 500 ELSE 200 END, page_id % 8 > 2, CASE page_id % 8 WHEN 3 THEN 'thin' WHEN 4 THEN replace({PROSE}, 'Price 10', 'Price 11') WHEN 5 THEN replace({PROSE}, '3 mins', '7 mins') WHEN 6 THEN concat('Price 10 EUR', chr(10), replace({PROSE}, concat(chr(10), 'Price 10 EUR'), '')) ELSE concat({PROSE}, chr(10), 'One more line') END FROM pages UNION ALL
+ SELECT concat(url, ' ', CAST(page_id AS VARCHAR(9))), 3, 200, true, {PROSE} FROM pages"""
+case("r02_page_findings", lambda v: j.page_findings(v.sql(CHECKS)).select("url", "version", "outcome", F.array_join("added", "|").alias("added"), F.array_join("removed", "|").alias("removed")),
+     """WITH p AS (SELECT page_id % 8 AS k, concat(url, ' ', CAST(page_id AS VARCHAR)) AS url FROM pages) SELECT url, 1 AS version, 'baseline' AS outcome, '' AS added, '' AS removed FROM p UNION ALL
+     SELECT url, 2, CASE k WHEN 0 THEN 'not modified' WHEN 1 THEN 'blocked: http_403' WHEN 2 THEN 'failed' WHEN 3 THEN 'low quality: too short' WHEN 4 THEN 'changed' WHEN 7 THEN 'changed' ELSE 'same' END, CASE k WHEN 4 THEN 'Price 11 EUR' WHEN 7 THEN 'One more line' ELSE '' END, CASE k WHEN 4 THEN 'Price 10 EUR' ELSE '' END FROM p UNION ALL
+     SELECT url, 3, CASE WHEN k IN (4, 7) THEN 'changed' ELSE 'same' END, CASE k WHEN 4 THEN 'Price 10 EUR' ELSE '' END, CASE k WHEN 4 THEN 'Price 11 EUR' WHEN 7 THEN 'One more line' ELSE '' END FROM p""")
 OBS = "SELECT CAST(user_id % 20 AS BIGINT) AS key, event_id * 10.0e0 AS at, value FROM events WHERE event_id % 3 = 0"
 POLLS = "SELECT CAST(user_id % 20 AS BIGINT) AS key, event_id * 10.0e0 + 3 AS at FROM events WHERE event_id % 7 = 1"
 case("r04_live_state", lambda v: j.live_state(v.sql(OBS), v.sql(POLLS), 60.0, 900.0).select("key", F.col("at").alias("moment"), F.round("value", 6).alias("value"), "state"),
@@ -175,9 +184,9 @@ case("r06_catalog_facets", lambda v: upkeep.catalog_facets(v.spark, kept_up(v),
 case("r06_catalog_copies", lambda v: upkeep.catalog_copies(v.spark, kept_up(v)), f"SELECT sha256, min(id) AS lowest, count(*) AS n FROM ({LATER}) l GROUP BY sha256 HAVING count(*) > 1")
 
 #: Each event is a poll of its user's value; errors are polls that the source doesn't answer, and every 50th is forced.
-POLLS = "SELECT CAST(user_id AS VARCHAR(20)) AS key, event_id AS seq, ts AS asked, event_type <> 'error' AS ok, value, event_id % 50 = 0 AS force FROM events"
-case("r04_live_answers", lambda v: j.live_answers(v.sql(POLLS).withColumnRenamed("asked", "at"), 3600, 14400).select("key", "seq", "state", "value", F.round("age", 3).alias("age")),
-     f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY asked, seq) AS n, epoch_us(asked) / 1e6 AS s FROM ({POLLS}) q),
+LIVE_POLLS = "SELECT CAST(user_id AS VARCHAR(20)) AS key, event_id AS seq, ts AS asked, event_type <> 'error' AS ok, value, event_id % 50 = 0 AS force FROM events"
+case("r04_live_answers", lambda v: j.live_answers(v.sql(LIVE_POLLS).withColumnRenamed("asked", "at"), 3600, 14400).select("key", "seq", "state", "value", F.round("age", 3).alias("age")),
+     f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY asked, seq) AS n, epoch_us(asked) / 1e6 AS s FROM ({LIVE_POLLS}) q),
      a(key, n, seq, state, fetched, value, age) AS (
        SELECT key, n, seq, CASE WHEN ok THEN 'fresh' ELSE 'error' END, CASE WHEN ok THEN s END, CASE WHEN ok THEN value END, CASE WHEN ok THEN 0.0e0 END FROM p WHERE n = 1
        UNION ALL

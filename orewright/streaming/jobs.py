@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orewright.operators.amounts import quoted
+from orewright.operators.entities import block_verdict
 from orewright.operators.ledger import undone_ids
+from orewright.operators.text import LINE_ENDS, page_quality, steady_sql
 
 
 def watch_changes(events: DataFrame, gap: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
@@ -58,6 +61,63 @@ def page_changes_batch(checks: DataFrame) -> DataFrame:
     return rows.where("known and (added > 0 or removed > 0)").select("url", "version", "added", "removed")
 
 
+_PAGE = "url string, version long, outcome string, added array<string>, removed array<string>"
+
+
+def _read_checks(checks: DataFrame) -> DataFrame:
+    """``url, version, why, lines``: why a check says nothing of its page, or null, and the page's lines as ``key, line`` without what passes by itself."""
+    given = lambda c, kind: F.col(c) if c in checks.columns else F.lit(None).cast(kind)
+    text = F.coalesce("text", F.lit(""))
+    verdict = block_verdict(F.col("status"), F.coalesce(given("html", "string"), text), F.split(F.col("url"), " ")[0], F.coalesce(given("headers", "map<string,string>"), F.create_map().cast("map<string,string>")))
+    rows = page_quality(checks.select("url", F.col("version").cast("long").alias("version"), text.alias("text"), "status", F.coalesce("ok", F.lit(False)).alias("ok"), verdict.alias("verdict")))
+    why = (
+        F.when(F.col("status") == 304, "not modified").when(~F.col("verdict").isin("ok", "http_5xx") & (F.col("text") != ""), F.concat(F.lit("blocked: "), "verdict")).when(~F.col("ok"), "failed")
+        .when(F.col("quality") != "ok", F.concat(F.lit("low quality: "), "quality"))
+    )
+    lines = F.expr(f"filter(transform(split(text, {quoted(LINE_ENDS)}), l -> struct({steady_sql('l')} AS key, trim(l) AS line)), x -> x.key <> '')")
+    return rows.select("url", "version", why.alias("why"), F.when(why.isNull(), lines).alias("lines"))
+
+
+def page_findings(checks: DataFrame, most: int = 50) -> DataFrame:
+    """``url, version, outcome, added, removed`` of each check (``url, version, status, ok, text``; ``html`` and ``headers`` if there are any): ``baseline`` for the first good one, ``changed`` with the first
+    ``most`` lines that are new or gone since the last good one, ``same``, or why it says nothing: ``not modified``, ``blocked: ..``, ``failed``, ``low quality: ..``. Such checks keep what is known.
+
+    Lines count by :func:`orewright.operators.text.steady_sql`, so times that pass and another order are no change. On a stream the state is one page's lines; on a table a window over a page's checks.
+    """
+    rows = _read_checks(checks)
+    if rows.isStreaming:
+        def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            known = dict(zip(*state.get, strict=True)) if state.exists else None
+            out = []
+            for check in pd.concat(list(frames)).sort_values("version").itertuples():
+                if check.why is not None:
+                    out.append((key[0], check.version, check.why, [], []))
+                    continue
+                now = {}
+                for k, line in zip(check.keys, check.texts, strict=True):
+                    now.setdefault(k, line)
+                added, removed = ([line for k, line in a.items() if k not in b][:most] for a, b in ((now, known or {}), (known or {}, now)))
+                outcome = "baseline" if known is None else "changed" if added or removed else "same"
+                out.append((key[0], check.version, outcome, added if known is not None else [], removed))
+                known = now
+            if known is not None:
+                state.update((list(known), list(known.values())))
+            yield pd.DataFrame(out, columns=["url", "version", "outcome", "added", "removed"])
+
+        flat = rows.select("url", "version", "why", F.col("lines.key").alias("keys"), F.col("lines.line").alias("texts"))
+        return flat.groupBy("url").applyInPandasWithState(step, _PAGE, "keys array<string>, texts array<string>", "append", GroupStateTimeout.NoTimeout)
+    before = F.last("lines", ignorenulls=True).over(Window.partitionBy("url").orderBy("version").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before)
+
+    def new_in(a: str, b: str) -> str:
+        return f"transform(slice(array_except({a}.key, {b}.key), 1, {most}), k -> filter({a}, x -> x.key = k)[0].line)"
+
+    both = "why IS NULL AND before IS NOT NULL"
+    rows = rows.withColumns({"added": F.expr(f"CASE WHEN {both} THEN {new_in('lines', 'before')} ELSE CAST(array() AS ARRAY<STRING>) END"), "removed": F.expr(f"CASE WHEN {both} THEN {new_in('before', 'lines')} ELSE CAST(array() AS ARRAY<STRING>) END")})
+    outcome = F.coalesce("why", F.when(F.col("before").isNull(), "baseline").when((F.size("added") > 0) | (F.size("removed") > 0), "changed").otherwise("same"))
+    return rows.select("url", "version", outcome.alias("outcome"), "added", "removed")
+
+
 def new_feed_items(items: DataFrame, most_new: int = 20, most_seen: int = 400) -> DataFrame:
     """``feed, id``: of each check (a batch of ``feed, id, at``), ids that the feed hasn't shown; its first check only remembers. At most ``most_new`` for a check, and the newest ``most_seen`` are remembered, as feeds are read that way."""
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

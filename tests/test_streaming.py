@@ -122,3 +122,22 @@ def test_live_answers_of_a_stream_equal_the_table(spark, tmp_path):
     state = spark.read.format("statestore").option("stateVarName", "hit").load(str(tmp_path / "check"))
     assert state.selectExpr("key.key").collect() == [("b",)]  # timers have cleared what is of no more use
     assert jobs.live_answers(spark.createDataFrame([], schema), 10, None).count() == 0
+
+
+def test_page_findings_of_a_stream_equal_the_table(spark, tmp_path):
+    prose = "plain words of prose go on here " * 10
+    schema = "url string, version long, status int, ok boolean, text string"
+    batches = [
+        [("u", 1, 200, True, prose + "\nPrice 10\nUpdated 3 mins ago"), ("v", 1, 403, False, "no"), ("w", 1, 200, True, "thin")],
+        [("u", 2, 200, True, "Price 10\n" + prose + "\nUpdated 9 mins ago"), ("v", 2, 200, True, prose), ("w", 2, None, None, None)],
+        [("u", 3, 304, True, ""), ("u", 4, 500, False, prose), ("v", 3, 200, True, prose + "\nCAPTCHA\nnew\nNEW"), ("w", 3, 200, True, prose + "\na\na")],
+        [("u", 5, 200, True, prose + "\nPrice 11"), ("v", 4, 200, True, "new\n" + prose), ("w", 4, 200, True, prose + "\nb\na")],
+    ]
+    got = play(spark, tmp_path, batches, schema, jobs.page_findings)
+    want = jobs.page_findings(spark.createDataFrame([r for b in batches for r in b], schema)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert {(r["url"], r["version"]): (r["outcome"], r["added"], r["removed"]) for r in want} == {
+        ("u", 1): ("baseline", [], []), ("u", 2): ("same", [], []), ("u", 3): ("not modified", [], []), ("u", 4): ("failed", [], []), ("u", 5): ("changed", ["Price 11"], ["Price 10"]),
+        ("v", 1): ("blocked: http_403", [], []), ("v", 2): ("baseline", [], []), ("v", 3): ("low quality: blocked page", [], []), ("v", 4): ("changed", ["new"], []),
+        ("w", 1): ("low quality: too short", [], []), ("w", 2): ("failed", [], []), ("w", 3): ("baseline", [], []), ("w", 4): ("changed", ["b"], []),
+    }

@@ -24,15 +24,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, whether they decode back to it, and the Viterbi segmentation's length and score. Null and empty texts have no ids; repeated rows give repeated rows."""
     small_batches(spark)
     return sentencepiece_op.encode(_table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"), keep=["doc_id"], check=True)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document. Null texts have size 0; equal sizes go by id; a repeated row is a document of its own."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), slim=True)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text; null and empty texts get one too, equal texts the same. Without labels nothing is rejected."""
     small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     scored = quality.score_quality(docs, quality.train_quality(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -40,10 +43,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text. Null texts are empty; repeated and null ids are ordered as :func:`orewright.llm.fingerprints.edited_fingerprints` says."""
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every whole text; null texts and those without a letter are ``und``, equal texts get the same."""
     small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     found = language.predict_language(docs, language.train_language(docs), keep=["doc_id"])
@@ -51,6 +56,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of every text as a picture, read back from the archives. Null texts are empty; repeated rows are members of their own."""
     small_batches(spark)
     root = fresh_path(spark, "media")
     media.write_archives(media.to_media(_table(spark, sf_dir, "documents")), root)
@@ -58,6 +64,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations and of conversation -1. Null texts and roles are empty, a null id is a conversation, rows of one turn go by role and text."""
     small_batches(spark)
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -68,16 +75,19 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document. Null and empty texts stand alone unless equal; repeated rows share a class."""
     small_batches(spark)
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text, exact and by the unigram pass. Null and empty texts have none."""
     small_batches(spark)
     return sentencepiece_op.count_tokens(_table(spark, sf_dir, "documents"), _path("piece_bpe_32k.model"), keep=["doc_id", "source"])
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, numbers and hashes of all ids, read back from the files. Null texts are empty, null ids come first, and rows of one id stand in any order."""
     small_batches(spark)
     return token_files.read_token_files(spark, token_files.write_token_files(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json")))
 

@@ -74,7 +74,7 @@ def test_sentencepiece_equals_the_library_and_decodes_back(docs, none):
     assert sentencepiece_op.encode(none, PIECES).count() == 0 and sentencepiece_op.decode(sentencepiece_op.encode(none, PIECES), PIECES).count() == 0
 
 
-def test_token_counts(docs):
+def test_token_counts(docs, none):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
@@ -82,6 +82,7 @@ def test_token_counts(docs):
     for r in sentencepiece_op.count_tokens(docs, PIECES).collect():
         assert r["n_tokens"] == len(library.encode(r["text"] or ""))
         assert (r["n_tokens_unigram"] == 0) == (not r["text"])
+    assert sentencepiece_op.count_tokens(none, PIECES).count() == 0
     # the unigram pass finds the best of all segmentations
     for word in (MARK + "hello", MARK + "thened", "über", "xq~"):
         ids = model.forward([word], "unigram", True)[0]
@@ -316,6 +317,40 @@ def test_media_round_trip_ranges_and_retries(spark, docs, none, tmp_path):
         media.from_picture(media.to_picture(b"abc")[:-20] + b"x" * 20)
 
 
+def test_media_fields_from_the_bytes_alone(spark, docs):
+    """All fields against a picture that is taken apart here: its header, its packed rows and their filters."""
+    root = fresh_path(spark, "media-fields")
+    media.write_archives(media.to_media(docs), root)
+    got = defaultdict(list)
+    for r in media.media_features(media.read_archives(spark, root)).collect():
+        got[r["doc_id"]].append(r)
+    assert sum(map(len, got.values())) == len(TEXTS) + 2
+    for doc in docs.collect():
+        raw = (doc["text"] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        png = media.to_picture(raw)
+        assert png[:8] == b"\x89PNG\r\n\x1a\n" and int.from_bytes(png[16:20], "big") == 64 and png[24:26] == b"\x08\x00"
+        at, packed = 8, b""
+        while at < len(png):
+            size = int.from_bytes(png[at : at + 4], "big")
+            packed += png[at + 8 : at + 8 + size] if png[at + 4 : at + 8] == b"IDAT" else b""
+            assert zlib.crc32(png[at + 4 : at + 8 + size]) == int.from_bytes(png[at + 8 + size : at + 12 + size], "big")
+            at += 12 + size
+        rows, above, plain = zlib.decompress(packed), bytes(64), b""
+        for k in range(0, len(rows), 65):
+            kind, line = rows[k], bytearray(rows[k + 1 : k + 65])
+            assert kind in (0, 1, 2)
+            for i in range(64):
+                line[i] = (line[i] + (0, line[i - 1] if i else 0, above[i])[kind]) % 256
+            above = bytes(line)
+            plain += above
+        assert plain == payload
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest())
+        assert want in [(r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) for r in got[doc["doc_id"]]]
+    same = [r["feature"] for r in got[10] + got[11]]
+    assert len(set(same)) == 1 and got[0][0]["feature"] == got[1][0]["feature"] != got[9][0]["feature"]
+
+
 def test_chat_round_trip(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (2, None, None, None), (3, 5, "a\nb\\n<|x", "<\\|y<\\\\|z |> <| é"), (3, 6, "assistant", ""), (3, 6, "assistant", "tie"), (None, 1, "assistant", "no id"), (4, 3000, "assistant", "late"), (4, 1, "user", "x" * 5000), (4, 1, "user", "x" * 5000)]

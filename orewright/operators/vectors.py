@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orewright.plans.shared import Scratch, materialize, scratch
+from orewright.plans.shared import materialize
 
 #: Vectors that centres are chosen from, and the most centres: what is held in every task is bounded by these.
 SAMPLE, CENTRES = 4096, 256
@@ -114,20 +114,21 @@ def _top(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
-def _plan(corpus: DataFrame, queries: DataFrame, k: int, least: float, query_block: int, corpus_block: int, own: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    corpus, queries = (own.keep(df.where("v is not null and id is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")), name) for df, name in ((corpus, "corpus"), (queries, "queries")))
+def _plan(corpus: DataFrame, queries: DataFrame, k: int, least: float, query_block: int, corpus_block: int) -> tuple[DataFrame, list[DataFrame]]:
+    corpus, queries = (df.where("v is not null and id is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")) for df in (corpus, queries))
     n = corpus.count()
     centres = choose_centres(corpus, n)
-    placed = own.keep(_cells(corpus, centres), "cells") if len(centres) else own.keep(corpus.withColumns({"cell": F.lit(-1), "angle": F.lit(0.0)}), "cells")
+    placed = materialize(_cells(corpus, centres) if len(centres) else corpus.withColumns({"cell": F.lit(-1), "angle": F.lit(0.0)}), "cells")
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("wide"))
-    parts = sizes.select("cell", F.ceil(F.col("n") / corpus_block).cast("int").alias("parts"))  # a row for each cell
-    width = len(((queries if n == 0 else corpus).head() or {"v": [0.0]})["v"])
-    bounds = _Bounds(centres if len(centres) else np.zeros((1, width)), sizes.orderBy("cell").collect())
+    rows = sizes.orderBy("cell").collect()  # a row for each cell
+    parts = placed.sparkSession.createDataFrame([(r["cell"], -(-r["n"] // corpus_block)) for r in rows], "cell int, parts int")
+    width = centres.shape[1] if len(centres) else len(((queries if n == 0 else corpus).head() or {"v": [0.0]})["v"])
+    bounds = _Bounds(centres if len(centres) else np.zeros((1, width)), rows)
     m = -(-max(queries.count(), 1) // query_block)
-    first = own.keep(_visits(queries, bounds, k, True), "first")
-    near = own.keep(_top(_best(first, placed, parts, m, k, least), k).drop("rank"), "near")
+    first = _visits(queries, bounds, k, True)
+    near = materialize(_top(_best(first, placed, parts, m, k, least), k).drop("rank"), "near")
     low = near.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low")).select(F.col("query").alias("id"), F.when(F.col("n") == k, F.col("low")).alias("low"))
-    rest = own.keep(_visits(queries.join(low, "id", "left").withColumn("low", F.greatest(F.coalesce("low", F.lit(-2.0)), F.lit(least))).select("id", "v", "low"), bounds, k, False), "rest")
+    rest = _visits(queries.join(low, "id", "left").withColumn("low", F.greatest(F.coalesce("low", F.lit(-2.0)), F.lit(least))).select("id", "v", "low"), bounds, k, False)
     return _top(near.unionByName(_best(rest, placed, parts, m, k, least)), k), [first, rest, sizes, queries]
 
 
@@ -137,13 +138,11 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, least: float = -1
     Every vector belongs to the cell of its nearest centre (:func:`choose_centres`). A query sees its most promising cells first; of the others only those whose widest angle lets them hold one as
     good as its ``k``-th so far. What is skipped can't be in the result. Cells and queries are dealt to parts of ``corpus_block`` and ``query_block``, so a cell with most of all vectors is many tasks.
     """
-    with scratch(corpus.sparkSession, "nearest") as own:
-        return materialize(_plan(corpus, queries, k, least, query_block, corpus_block, own)[0], "nearest")
+    return _plan(corpus, queries, k, least, query_block, corpus_block)[0]
 
 
 def pairs_seen(corpus: DataFrame, queries: DataFrame, k: int) -> float:
     """The share of all pairs of a query and a vector that :func:`vector_topk` scores."""
-    with scratch(corpus.sparkSession, "nearest") as own:
-        _, (first, rest, sizes, asked) = _plan(corpus, queries, k, -1.0, 4096, 65_536, own)
-        seen = first.select("cell").unionAll(rest.select("cell")).join(sizes, "cell").agg(F.sum("n")).first()[0] or 0
-        return seen / max(1, asked.count() * (sizes.agg(F.sum("n")).first()[0] or 1))
+    _, (first, rest, sizes, asked) = _plan(corpus, queries, k, -1.0, 4096, 65_536)
+    seen = first.select("cell").unionAll(rest.select("cell")).join(sizes, "cell").agg(F.sum("n")).first()[0] or 0
+    return seen / max(1, asked.count() * (sizes.agg(F.sum("n")).first()[0] or 1))

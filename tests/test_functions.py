@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from orewright import registry
 from orewright.functions import register_functions, register_table_functions
 from orewright.operators import extract, text
 
@@ -28,3 +29,11 @@ def test_table_functions(spark):
     assert [tuple(r) for r in spark.sql("SELECT CAST(value AS STRING), role FROM one_text, LATERAL find_dates(t, DATE '2024-02-01')").collect()] == [("2024-01-05", "due")]
     assert [tuple(r) for r in spark.sql("SELECT kind, value FROM one_text, LATERAL scan_pii(t)").collect()] == [("email", "a@b.org")]
     assert spark.sql("SELECT string_agg(chunk, '') WITHIN GROUP (ORDER BY n) FROM one_text, LATERAL chunk_text(t, 20, 0)").first()[0].startswith("due date 2024")
+
+
+def test_amounts_have_all_of_their_groups(spark, tmp_path):
+    sizes = [(1, 0), (2, 999), (3, 1000), (4, 20123), (5, 1234567), (6, None)]
+    docs = spark.createDataFrame([(i, "Ünï", n) for i, n in sizes], "doc_id long, text string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["cents"] for r in registry.queries()["f01_fold_and_amount"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if n is None else (n * 1000 + i + 100) * 100 + 50 for i, n in sizes}

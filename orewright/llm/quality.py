@@ -24,6 +24,8 @@ from orewright.plans.shared import scratch
 _KIND = np.array([4 if b in (9, 10, 11, 12, 13, 32) else 1 if 97 <= b <= 122 or b > 127 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 5 if b in b".," else 6 if 33 <= b < 127 else 0 for b in range(256)], np.uint8)
 BASE = 20
 FEATURES = 3 * BASE
+#: Bytes of text whose features are counted at once, as counting takes many times their memory.
+SLICE = 1_000_000
 
 
 def _repeats(texts: pa.Array, mark: str, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +130,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ro
     sample = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(12)), F.lit(1 << 20)) < limit(there)).dropDuplicates(["doc_id", "text"])
 
     def run(batch):
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             yield part, {"_x": pa.array(list(features(part.column("text"))), pa.list_(pa.float64()))}
 
     got = arrow_map(sample, run, [T.StructField("_x", T.ArrayType(T.DoubleType()))], ["doc_id", "_y"], ("text",)).orderBy("doc_id", F.hash("_x")).toPandas()
@@ -144,7 +146,7 @@ def _quantile(docs: DataFrame, known: DataFrame, model: PairwiseModel) -> float:
     """Half way between the strength at the share of rejected documents, of all that have a label, and the next above it."""
 
     def run(batch):
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             yield part, {"_s": pa.array(model.strength(features(part.column("text"))))}
 
     with scratch(docs.sparkSession, "strengths") as own:
@@ -160,7 +162,7 @@ def score_quality(docs: DataFrame, model: PairwiseModel, text: str = "text", kee
     """Adds ``score double`` (0 to 1) and ``predicted int`` (1 where the score is at least ``model.at``) from each whole text; null counts as empty."""
 
     def run(batch):
-        for part in slices(batch, text):
+        for part in slices(batch, text, SLICE):
             score = model.score(features(part.column(text)))
             yield part, {"score": pa.array(score), "predicted": pa.array((score >= model.at).astype(np.int32))}
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from orewright.llm import chat, fingerprints, language, media, mixing, neardup, quality, sentencepiece_op, token_files  # noqa: E402
+from orewright.llm import chat, fingerprints, language, media, mixing, neardup, quality, sentencepiece_op, tasks, token_files  # noqa: E402
 from orewright.llm.pieces import MARK, WORD, PieceModel  # noqa: E402
 from orewright.plans.shared import fresh_path, scratch  # noqa: E402
 
@@ -513,3 +514,25 @@ def test_near_duplicates_stage_keeps_different_texts_of_one_id(spark):
     docs = spark.createDataFrame([(i, x, "en", "a", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(0, texts[0]), (0, texts[1]), (3, texts[2]), (7, texts[3]), (8, "")])
+
+
+def test_workers_keep_nothing_of_the_operator_before():
+    tasks.serve("one")
+    made = tasks.once("table", object)
+    tasks.serve("one")
+    assert tasks.once("table", object) is made
+    tasks.serve("two")
+    assert tasks.once("table", object) is not made
+
+
+def test_counting_takes_memory_for_what_is_counted():
+    cells = np.random.default_rng(1).integers(0, neardup.CELLS, 200_000).astype(np.uint32)
+    cells[:50_000] = 7
+    sums = np.zeros(neardup.CELLS, np.uint32)
+    tracemalloc.start()
+    neardup.count_into(sums, cells)
+    neardup.count_into(sums, cells[:10])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(sums, np.bincount(np.concatenate([cells, cells[:10]]), minlength=neardup.CELLS))
+    assert peak < 8 << 20  # a counter for each cell would be 32 MB

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import permutations, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orewright.plans.components import connected_components
+from orewright.plans.shared import materialize, scratch
 
 
 def _corner(p: str) -> Column:
@@ -75,17 +80,71 @@ def rotations() -> list[tuple[tuple[int, int], ...]]:
     return out
 
 
+#: Bits of a coordinate in a voxel's code, and the most voxels of a model whose turned codes are held in one table.
+BITS, TABLE = 20, 4096
+
+
+def _turns(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """The codes of a model's voxels after each rotation, moved to the origin, in order."""
+    at = np.stack([codes >> 2 * BITS, codes >> BITS & (1 << BITS) - 1, codes & (1 << BITS) - 1])
+    for turn in rotations():
+        x, y, z = (at[a] * s - (at[a] * s).min() for a, s in turn)
+        yield np.sort(x << 2 * BITS | y << BITS | z)
+
+
+def _overlap(codes: np.ndarray):
+    """A function from the codes of another model to the most pairs of equal voxels under a rotation."""
+    if not len(codes):
+        return lambda other: 0
+    if len(codes) > TABLE:  # one rotation at a time, so a large model takes no more than a few times itself
+        return lambda other: int(max((np.searchsorted(t, other, "right") - np.searchsorted(t, other, "left")).sum() for t in _turns(codes)))
+    turned = np.stack(list(_turns(codes)))
+    known, place = np.unique(turned, return_inverse=True)
+    counts = np.zeros((len(known), len(turned)), np.int64)
+    np.add.at(counts, (place.ravel(), np.repeat(np.arange(len(turned)), len(codes))), 1)
+
+    def best(other: np.ndarray) -> int:
+        at = np.minimum(np.searchsorted(known, other), len(known) - 1)
+        return int(counts[at[known[at] == other]].sum(0).max())
+
+    return best
+
+
+def _best_overlaps(batches):
+    """``sa, sb, k`` of pairs with the codes of both; neighbours in order share the table of their first model."""
+    last, best = None, None
+    for batch in batches:
+        own, k = [batch.column(c) for c in ("ca", "cb")], []
+        ends, values = [c.offsets.to_numpy() for c in own], [c.values.to_numpy(zero_copy_only=False) for c in own]
+        for i, name in enumerate(batch.column("sa").to_pylist()):
+            if last != (name,):
+                last, best = (name,), _overlap(values[0][ends[0][i] : ends[0][i + 1]])
+            k.append(best(values[1][ends[1][i] : ends[1][i + 1]]))
+        yield pa.RecordBatch.from_arrays([batch.column("sa"), batch.column("sb"), pa.array(k, pa.int64())], names=["sa", "sb", "k"])
+
+
 def shape_similarity(voxels: DataFrame, pairs: DataFrame, least: float = 0.75) -> DataFrame:
-    """``a, b, score``: of ``pairs`` of models (``model_id, vx, vy, vz``), the best overlap of their voxels over their union, under the 24 rotations of ``a``, each moved to the origin; those of ``least`` or more."""
-    axes = ["vx", "vy", "vz"]
-    turned = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), *[(F.col(axes[a]) * s).alias(n) for n, (a, s) in zip("xyz", rot, strict=True)]) for r, rot in enumerate(rotations())]))
-    rows = voxels.join(pairs.select(F.col("a").alias("model_id")).distinct(), "model_id", "left_semi").select("model_id", turned.alias("t")).select("model_id", "t.*")
-    low = rows.groupBy("model_id", "r").agg(*[F.min(c).alias(f"l{c}") for c in "xyz"])
-    rows = rows.join(low, ["model_id", "r"]).select(F.col("model_id").alias("a"), "r", *[(F.col(c) - F.col(f"l{c}")).alias(c) for c in "xyz"])
-    base = voxels.groupBy("model_id").agg(*[F.min(c).alias(f"l{c}") for c in axes], F.count("*").alias("n"))
-    other = voxels.join(base, "model_id").select(F.col("model_id").alias("b"), *[(F.col(f"v{c}") - F.col(f"lv{c}")).alias(c) for c in "xyz"])
-    size = base.select("model_id", "n")
-    both = pairs.join(rows, "a").join(other, ["b", "x", "y", "z"]).groupBy("a", "b", "r").agg(F.count("*").alias("k")).groupBy("a", "b").agg(F.max("k").alias("k"))
-    both = both.join(size.select(F.col("model_id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("model_id").alias("b"), F.col("n").alias("nb")), "b")
-    score = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    return both.where(score >= least).select("a", "b", F.round(score, 6).alias("score"))
+    """``a, b, score``: of ``pairs`` of models (``model_id, vx, vy, vz``, whole numbers), the best overlap of their voxels over their union, under the 24 rotations of ``a``, each moved to the origin; those of ``least`` or more.
+
+    A model is one row, an array of numbers that code its voxels. Models of one shape are compared once for all of them, and only pairs of different shapes
+    carry arrays, which are turned where they are compared.
+    """
+    axes, spark = ["vx", "vy", "vz"], voxels.sparkSession
+    whole = F.col("vx").isNotNull() & F.col("vy").isNotNull() & F.col("vz").isNotNull()
+    low, high = [[f(F.when(whole, F.col(c).cast("long"))).alias(f"{e}{c}") for c in axes] for e, f in (("l", F.min), ("h", F.max))]
+    lists = voxels.groupBy("model_id").agg(F.count("*").alias("n"), *low, *high, F.collect_list(F.when(whole, F.struct(*[F.col(c).cast("long").alias(c) for c in axes]))).alias("p"))
+    fits = F.coalesce(F.greatest(*[F.col(f"h{c}") - F.col(f"l{c}") for c in axes]), F.lit(0)) < 1 << BITS
+    code = lambda p: sum(((p[c] - F.col(f"l{c}")) * (1 << BITS * (2 - i)) for i, c in enumerate(axes)), F.lit(0).cast("long"))
+    codes = F.when(fits, F.array_sort(F.transform("p", code))).otherwise(F.raise_error(F.lit(f"a model is over {(1 << BITS) - 1} voxels long")).cast("array<bigint>"))
+    with scratch(spark, "shapes") as own:
+        models = own.keep(lists.select("model_id", "n", codes.alias("codes")).withColumn("digest", F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.col("codes").cast("array<string>")), 256)), "models")
+        first = models.groupBy("digest").agg(F.min("model_id").alias("shape"))
+        named = own.keep(models.select("model_id", "digest", "n").join(first, "digest").select("model_id", "shape", "n"), "named")
+        side = lambda x: named.select(F.col("model_id").alias(x), F.col("shape").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+        asked = own.keep(pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b"), "asked")
+        form = lambda x: models.join(first, F.col("model_id") == F.col("shape"), "left_semi").select(F.col("model_id").alias(f"s{x}"), F.col("codes").alias(f"c{x}")).hint("merge")
+        todo = asked.select("sa", "sb").distinct().join(form("b"), "sb").join(form("a"), "sa").select("sa", "sb", "ca", "cb")
+        kinds = {f.name: f.dataType for f in todo.schema}
+        found = todo.mapInArrow(_best_overlaps, T.StructType([T.StructField("sa", kinds["sa"]), T.StructField("sb", kinds["sb"]), T.StructField("k", T.LongType())]))
+        score = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
+        return materialize(asked.join(found.where("k > 0"), ["sa", "sb"]).where(score >= least).select("a", "b", F.round(score, 6).alias("score")), "likeness")
